@@ -83,13 +83,15 @@ def ranged_running(
     values: Sequence[str] = (),
     within: Sequence[str] = (),
     out: str = "ordinal",
+    marks: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Dense 0-based ordinal in ``order``, plus exclusive running sums ``cum_<value>``.
 
-    With ``within`` both restart per group; a group may span many partitions.
-    Call it on narrow tables: the input is sorted and written once.
+    ``marks`` names conditions; ``last_<name>`` is the ordinal of the nearest earlier row that
+    fulfils one, or null.  With ``within`` everything restarts per group; a group may span
+    many partitions.  Call it on narrow tables: the input is sorted and written once.
     """
-    within, values = list(within), list(values)
+    within, values, marks = list(within), list(values), marks or {}
     keys = [F.col(c) for c in within] + [_col(c) for c in order]
     laid = pin(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     # partition number in the upper bits, row number inside the partition in the lower 33
@@ -97,28 +99,39 @@ def ranged_running(
     laid = laid.withColumn("__p", F.shiftrightunsigned("__m", 33)).withColumn(
         "__r", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     )
+    for name, condition in marks.items():
+        laid = laid.withColumn(f"__k_{name}", F.when(condition, F.col("__r")))
     totals = laid.groupBy("__p").agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(f"__t_{v}") for v in values]
+        F.count(F.lit(1)).alias("__n"),
+        *[F.sum(v).alias(f"__t_{v}") for v in values],
+        *[F.max(f"__k_{m}").alias(f"__x_{m}") for m in marks],
     )
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # one row per partition of the sorted table
+    # one row per partition of the sorted table
+    offsets = totals.withColumn("__n0", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(
         "__p",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
+        "__n0",
         *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__t0_{v}") for v in values],
+        *[F.max(F.col("__n0") + F.col(f"__x_{m}")).over(before).alias(f"__x0_{m}") for m in marks],
     )
-    if values:
+    if values or marks:
         earlier = (
             Window.partitionBy("__p").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
         )
         for v in values:
             laid = laid.withColumn(f"__c_{v}", F.coalesce(F.sum(v).over(earlier), F.lit(0)))
+        for m in marks:
+            laid = laid.withColumn(f"__l_{m}", F.max(f"__k_{m}").over(earlier))
     full = laid.join(F.broadcast(offsets), "__p").withColumn(
         out, (F.col("__n0") + F.col("__r")).cast("bigint")
     )
     for v in values:
         full = full.withColumn(f"cum_{v}", F.col(f"__t0_{v}") + F.col(f"__c_{v}"))
-    cums = [f"cum_{v}" for v in values]
-    full = full.select(*df.columns, out, *cums)
+    for m in marks:
+        near = F.coalesce(F.col("__n0") + F.col(f"__l_{m}"), F.col(f"__x0_{m}"))
+        full = full.withColumn(f"last_{m}", near)
+    cums, lasts = [f"cum_{v}" for v in values], [f"last_{m}" for m in marks]
+    full = full.select(*df.columns, out, *cums, *lasts)
     if not within:
         return full
     starts = full.groupBy(*within).agg(
@@ -130,4 +143,27 @@ def ranged_running(
         *df.columns,
         (F.col(out) - F.col("__o0")).alias(out),
         *[(F.col(c) - F.col(f"__s_{c}")).alias(c) for c in cums],
+        *[F.when(F.col(c) >= F.col("__o0"), F.col(c) - F.col("__o0")).alias(c) for c in lasts],
+    )
+
+
+def previous(df: DataFrame, columns: Sequence[str], within: Sequence[str], out: str) -> DataFrame:
+    """``prev_<column>`` of the row one ordinal earlier, by an equi-join that no group can skew."""
+    earlier = df.select(
+        *within, (F.col(out) + 1).alias(out), *[F.col(c).alias(f"prev_{c}") for c in columns]
+    )
+    return df.join(earlier, [*within, out], "left")
+
+
+def group_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group from the middle ordinals; a group may be any size."""
+    by = list(by)
+    one = df.filter(F.col(value).isNotNull()).select(*by, value)
+    ranked = ranged_running(one, [value], within=by)
+    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    middle = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    middle = middle.filter(
+        (F.col("ordinal") == F.floor((F.col("__n") - 1) / 2))
+        | (F.col("ordinal") == F.floor(F.col("__n") / 2))
     )
+    return middle.groupBy(*by).agg(F.avg(value).alias(out))

@@ -373,8 +373,9 @@ def vqa_normalize(c: str | Column) -> Column:
     out = text
     for p in VQA_PUNCTUATION:
         beside_blank = F.contains(text, F.lit(p + " ")) | F.contains(text, F.lit(" " + p))
-        out = F.when(beside_blank | inner_comma, F.replace(out, F.lit(p), F.lit(""))).otherwise(
-            F.replace(out, F.lit(p), F.lit(" "))
+        # one reference to the running text per step keeps the expression linear
+        out = F.replace(
+            out, F.lit(p), F.when(beside_blank | inner_comma, F.lit("")).otherwise(F.lit(" "))
         )
     out = F.regexp_replace(out, r"\.(?!\d)", "")
     swaps = dict(VQA_NUMBERS)

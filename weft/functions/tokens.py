@@ -50,15 +50,8 @@ def int_encode(text: str | Column) -> Column:
 def int_offsets(text: str | Column) -> Column:
     """Character offset of every id of :func:`int_encode`."""
     c = F.col(text) if isinstance(text, str) else text
-    lengths = F.transform(F.split(c, " "), lambda x: F.length(x))
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty_ints().alias("starts")),
-        lambda s, n: F.struct(
-            (s["at"] + n + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
-        ),
-    )
-    return walked["starts"]
+    after_blank = F.transform(F.split(c, ""), lambda ch, i: F.when(ch == " ", i + 1))
+    return F.concat(F.array(F.lit(0)), F.filter(after_blank, lambda i: i.isNotNull()))
 
 
 class Tokenizer(Protocol):

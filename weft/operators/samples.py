@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.ordering import hashed_running, order_key, ranged_running
+from weft.session import pin
 
 SPLITS = ["train", "valid", "test"]
 LAST_EPOCH_SHARE = 0.80
@@ -125,9 +126,10 @@ def epoch_plan(
     stats = stats.withColumn("last_apart", F.coalesce((F.col("epochs") > 1) & few, F.lit(False)))
     tokens = F.col("epochs") * F.col("epoch_tokens") - x
     whole = F.floor(tokens / F.lit(length)).cast("bigint")
-    return stats.withColumn(
+    stats = stats.withColumn(
         "n_samples", whole if drop_last else F.ceil(tokens / F.lit(length)).cast("bigint")
     ).withColumn("total_tokens", F.col("epochs") * F.col("epoch_tokens"))
+    return pin(stats)  # one row per data set, read by every later step
 
 
 def document_order(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -309,26 +311,15 @@ def ltor_columns(
     segment.  With ``pad`` the padding is masked in the loss as well.
     """
     t = F.col(column)
-    state = F.aggregate(
-        t,
-        F.struct(
-            F.lit(0).alias("i"),
-            F.lit(0).alias("from"),
-            F.lit(0).alias("seg"),
-            F.array().cast("array<int>").alias("pos"),
-            F.array().cast("array<int>").alias("segs"),
-        ),
-        lambda s, v: F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(v == eod, s["i"] + 1).otherwise(s["from"]).alias("from"),
-            F.when(v == eod, s["seg"] + 1).otherwise(s["seg"]).alias("seg"),
-            F.array_append(s["pos"], s["i"] - s["from"]).alias("pos"),
-            F.array_append(s["segs"], s["seg"]).alias("segs"),
-        ),
-    )
+    ends = F.filter(F.transform(t, lambda v, i: F.when(v == eod, i + 1)), lambda e: e.isNotNull())
+    edges = F.concat(F.array(F.lit(0)), ends, F.array(F.size(t)))
+    spans = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), edges, lambda b, a: b - a)
+    spans = F.filter(spans, lambda n: n > 0)  # per segment, so both columns cost O(tokens)
+    positions = F.flatten(F.transform("__s", lambda n: F.sequence(F.lit(0), n - 1)))
+    segments = F.flatten(F.transform("__s", lambda n, k: F.array_repeat(k, n)))
     plain = F.transform(t, lambda v, i: i)
     zero = F.transform(t, lambda v: F.lit(0))
-    out = df.withColumn("__s", state) if reset_positions or reset_attention else df
+    out = df.withColumn("__s", spans) if reset_positions or reset_attention else df
     masked = F.lit(False)
 
     def loss(v):
@@ -340,8 +331,8 @@ def ltor_columns(
         return F.when(hit, 0).otherwise(1)
 
     return (
-        out.withColumn("position_ids", F.col("__s.pos") if reset_positions else plain)
-        .withColumn("segment_ids", F.col("__s.segs") if reset_attention else zero)
+        out.withColumn("position_ids", positions if reset_positions else plain)
+        .withColumn("segment_ids", segments if reset_attention else zero)
         .withColumn("loss_mask", F.transform(t, loss))
         .drop("__s")
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ from weft.operators.samples import (
     shuffle_samples,
     split_corpus,
 )
+from weft.session import pin
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _build_one(docs, config, size, drop_last, name) -> DataFrame:
     plan = epoch_plan(docs, config.length, requested, config.extra, drop_last)
     order = document_order(docs, plan, config.seed)
     bounds = sample_bounds(order, plan, config.length, config.extra)
-    shuffled = shuffle_samples(bounds, plan, config.seed)
+    shuffled = pin(shuffle_samples(bounds, plan, config.seed))  # ids only, read several times
     if config.separate_validation and name == "valid":
         return shuffled.select(F.col("k").alias("i"), "dataset", "k", "sample_id")
     if config.weights is not None and size is not None:
@@ -119,7 +119,3 @@ def cached(
             mark
         )
     return spark.read.parquet(table)
-
-
-def steps_needed(samples: int, batch: int) -> int:
-    return math.ceil(samples / batch)
