@@ -12,7 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 PAIR = (
     "idx bigint, text array<bigint>, types array<bigint>, labels array<bigint>, is_random int, "
@@ -189,9 +188,18 @@ def span_sample(
     )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows cost far more time than bytes here: keep one task per shuffle partition, which a
+    byte-based coalescing would fold together."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, "idx")
+
+
 def _mapped(df: DataFrame, row: Callable, schema: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
+    df = _spread(df)
+
     def run(batches):
         for batch in batches:
             yield pd.DataFrame([row(r) for r in batch.itertuples(index=False)], columns=names)
@@ -307,4 +315,4 @@ def fim(df: DataFrame, cfg: InfillConfig, tokenizer: Callable) -> DataFrame:
             ]
             yield pd.DataFrame({"idx": batch["idx"], "tokens": rows})
 
-    return df.select("idx", F.col("tokens")).mapInPandas(run, "idx bigint, tokens array<int>")
+    return _spread(df.select("idx", "tokens")).mapInPandas(run, "idx bigint, tokens array<int>")

@@ -18,14 +18,16 @@ RUNS = "array<struct<first:int,last:int,target:int>>"
 def _walk(lengths: Column, target_of, min_here: Column | int, left_over: int) -> Column:
     """Close a run at the target with at least ``min_here`` sentences inside and ``left_over``
     left, or at the end of the document."""
-    n = F.size(lengths)
+    # the count travels in the state: a lambda must not refer to the array expression itself
 
     def add(s, size):
+        n = s["n"]
         tokens, at = s["tokens"] + size, s["at"] + 1
         held = at - s["from"]
         close = ((tokens >= s["target"]) & (n - at >= left_over) & (held >= min_here)) | (at == n)
         run = F.struct(s["from"].alias("first"), at.alias("last"), s["target"].alias("target"))
         return F.struct(
+            n.alias("n"),
             at.alias("at"),
             F.when(close, at).otherwise(s["from"]).alias("from"),
             F.when(close, F.lit(0)).otherwise(tokens).alias("tokens"),
@@ -37,6 +39,7 @@ def _walk(lengths: Column, target_of, min_here: Column | int, left_over: int) ->
         )
 
     start = F.struct(
+        F.size(lengths).alias("n"),
         F.lit(0).alias("at"),
         F.lit(0).alias("from"),
         F.lit(0).alias("tokens"),
@@ -138,3 +141,23 @@ def title_blocks(
     copies = copies.withColumn("__k", order_key(seed + 1, "epoch", "block_id"))
     ranked = hashed_running(copies, "__k", ties=["epoch", "block_id"], out="k")
     return ranked.select("epoch", "doc_id", "first", "last", "block_id", "k")
+
+
+def run_sentences(runs: DataFrame, docs: DataFrame, column: str = "sentences") -> DataFrame:
+    """(idx, sentences, target): the slices of (doc_id, ``column`` array) that runs name.
+
+    The runs of a document meet it once and are cut from its array there.
+    """
+    per_doc = runs.groupBy("doc_id").agg(
+        F.collect_list(F.struct("k", "first", "last", "target")).alias("__r")
+    )
+    rows = per_doc.join(docs.select("doc_id", F.col(column).alias("__s")), "doc_id")
+    cut = F.transform(
+        "__r",
+        lambda r: F.struct(
+            r["k"].alias("idx"),
+            F.slice(F.col("__s"), r["first"] + 1, r["last"] - r["first"]).alias("sentences"),
+            r["target"].alias("target"),
+        ),
+    )
+    return rows.select(F.explode(cut).alias("__x")).select("__x.*")
