@@ -163,8 +163,8 @@ def assemble_parts(t):
 @query(
     "a14_missing_blocks",
     """WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT unnest(range((n+15)//16)) AS block, n FROM n),
-    v AS (SELECT vec_id//16 AS block, count(*)=16 AS full FROM embeddings WHERE vec_id%16<>15 OR vec_id//16%4<>1 GROUP BY 1)
-    SELECT block, block*16 AS start, least((block+1)*16, n) AS "end" FROM b WHERE block NOT IN (SELECT block FROM v WHERE full AND block%3<>0)""",
+    v AS (SELECT vec_id//16 AS block, count(*)=16 AS whole FROM embeddings WHERE vec_id%16<>15 OR vec_id//16%4<>1 GROUP BY 1)
+    SELECT block, block*16 AS start, least((block+1)*16, n) AS "end" FROM b WHERE block NOT IN (SELECT block FROM v WHERE whole AND block%3<>0)""",
 )
 def missing_blocks(t):
     """Stored blocks of vectors: every third is absent, every fourth lacks a row and is invalid."""
@@ -286,7 +286,7 @@ def mean_encoder():
     "b26_embed",
     """WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x'||h)::INT)[1:62] AS tk FROM documents),
     u AS (SELECT doc_id, CASE WHEN len(tk)=0 THEN [0] ELSE tk END AS tk FROM t)
-    SELECT doc_id, round(list_avg(tk),3) AS e0, round(list_avg(list_transform(tk, lambda x: x*x/100.0::DOUBLE)),2) AS e1 FROM u""",
+    SELECT doc_id, round(list_avg(tk)::FLOAT::DOUBLE,3) AS e0, round(list_avg(list_transform(tk, lambda x: x*x/100.0::DOUBLE))::FLOAT::DOUBLE,2) AS e1 FROM u""",
 )
 def embed(t):
     rows = E.encode(t.documents).select("doc_id", "tokens")

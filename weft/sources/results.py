@@ -147,9 +147,9 @@ def embed(
             hidden = encode([[int(x) for x in row] for row in batch])
             means = []
             for h in hidden:
-                h = np.asarray(h, dtype="float32").reshape(-1, dim)
-                mean = h.mean(axis=0) if len(h) else np.full(dim, np.nan, "float32")
-                means.append(np.zeros(dim, "float32") if np.isnan(mean).any() else mean)
+                h = np.asarray(h, dtype="float64").reshape(-1, dim)
+                mean = h.mean(axis=0) if len(h) else np.full(dim, np.nan)
+                means.append(np.zeros(dim, "float32") if np.isnan(mean).any() else mean.astype("float32"))
             yield pd.Series(means)
 
     return df.withColumn("embedding", run(ready))
