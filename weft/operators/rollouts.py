@@ -575,9 +575,7 @@ def order_groups(df: DataFrame) -> DataFrame:
 def head_tail_split(df: DataFrame, n_train: int, n_test: int, key: str) -> DataFrame:
     """(key, split): the first rows for training, the last ones for testing."""
     walked = ranged_running(df.select(key), [key])
-    total = df.sparkSession.range(1).crossJoin(
-        walked.agg(F.count(F.lit(1)).alias("__n"))
-    ).drop("id")
+    total = walked.agg(F.count(F.lit(1)).alias("__n"))
     split = F.when(F.col("ordinal") < n_train, "train").when(
         F.col("ordinal") >= F.col("__n") - n_test, "test"
     )
@@ -611,3 +609,22 @@ def rl_throughput(df: DataFrame, length: int, world: int) -> DataFrame:
         (F.col("actual") / F.col("compute")).alias("efficiency"),
         (F.col("actual") / F.col("n_seqs")).alias("mean_length"),
     )
+
+
+def environment_table(spark, configs: list[dict]) -> DataFrame:
+    """(env, agent, args, weight, evaluation_only) from configuration entries; weights are shares."""
+    total = sum(float(c["weight"]) for c in configs)
+    rows = [
+        (
+            c["env"],
+            c["agent"],
+            {k: str(v) for k, v in c.get("args", {}).items()},
+            float(c["weight"]) / total,
+            bool(c.get("evaluation_only", False)),
+        )
+        for c in configs
+    ]
+    return spark.createDataFrame(
+        rows,
+        "env string, agent string, args map<string,string>, weight double, evaluation_only boolean",
+    )

@@ -458,14 +458,14 @@ def _guard(plan, table, samples):
 
 
 def _guard_stride(ranked, table, samples, size):
-    got = ranked.count()
-    if got < size:
-        raise ValueError(f"blend of {size} samples, but only {got} can be served")
     # a source that ran dry leaves its share to the others: compare with its due
     due = table.filter("w > 0").select(
         "dataset", F.floor(F.col("w") * size - 0.5).cast("bigint").alias("asked")
     )
     _raise_if_short(due, samples)
+    got = ranked.count()
+    if got < size:
+        raise ValueError(f"blend asked for more samples than there are: {size} of {got}")
 
 
 def _raise_if_short(asked, samples):

@@ -401,11 +401,10 @@ MARKERS = {
     "llama3p1": ("<|start_header_id|>assistant<|end_header_id|>\n\n", ["<|eot_id|>"]),
     "mistral": ("[/INST]", ["</s>"]),
     "chatml": ("<|im_start|> assistant\n", ["<|im_end|>"]),
-    "nvlm-yi-34b": ("<|im_start|>assistant\n", ["<|im_end|>"]),
     "qwen2p0": ("<|im_start|>assistant\n", ["<|im_end|>"]),
     "qwen2p5": ("<|im_start|>assistant\n", ["<|im_end|>"]),
-    "nemotron5": ("<SPECIAL_14>assistant\n", ["<SPECIAL_15>"]),
-    "nemotron5-aligned": ("Assistant\n", ["[PREFIX]", "\\n"]),
+    "special-tags": ("<SPECIAL_14>assistant\n", ["<SPECIAL_15>"]),
+    "aligned": ("Assistant\n", ["[PREFIX]", "\\n"]),
 }
 
 
