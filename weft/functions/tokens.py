@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,12 @@ def byte_decode(tokens: str | Column, special_start: int = BYTE_VOCAB) -> Column
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(
-            lambda a: None
-            if a is None
-            else bytes(int(i) for i in a if 0 <= i < special_start)
-            .decode("utf-8", errors="ignore")
-            .rstrip()
-        )
+        def one(row):
+            row = np.asarray(row, dtype="i8")
+            kept = row[(row >= 0) & (row < special_start)].astype("u1")
+            return kept.tobytes().decode("utf-8", errors="ignore").rstrip()
+
+        return ids.map(one, na_action="ignore")
 
     return decode(F.col(tokens) if isinstance(tokens, str) else tokens)
 

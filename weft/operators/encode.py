@@ -28,14 +28,37 @@ def encode(
     parts = F.col(sentences) if sentences else F.array(F.col("text"))
     parts = F.coalesce(parts, F.array().cast("array<string>"))
     if tokenizer is None:
-        coded = df.withColumn("__ids", F.transform(parts, byte_encode))
-    else:
-        coded = encode_with(df.withColumn("__parts", parts), "__parts", "__ids", tokenizer)
-        coded = coded.drop("__parts")
-    coded = coded.withColumn("__ids", F.filter("__ids", lambda a: F.size(a) > 0))
+        return _encode_bytes(df, parts, eod, joined=None if sentences else F.coalesce("text", F.lit("")))
+    coded = encode_with(df.withColumn("__parts", parts), "__parts", "__ids", tokenizer)
+    coded = coded.drop("__parts").withColumn("__ids", F.filter("__ids", lambda a: F.size(a) > 0))
     return _close(coded, eod).drop("__ids")
 
 
+def _encode_bytes(df: DataFrame, parts: Column, eod: int | None, joined: Column | None) -> DataFrame:
+    """Bytes of sentences concatenate, so the joined text is encoded once and every length comes
+    from the text: a filter on ``n_tokens`` never encodes anything."""
+    text = F.array_join(parts, "") if joined is None else joined
+    end = 0 if eod is None else 1
+    ids = byte_encode(text)
+    tokens = ids if eod is None else F.when(text == "", empty_ints()).otherwise(
+        F.concat(ids, F.array(F.lit(eod)))
+    )
+    kept = F.filter(parts, lambda s: s != "")
+    plain = F.transform(kept, lambda s: F.octet_length(s))
+    lengths = plain
+    if end:
+        head, last = F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))), F.slice(plain, -1, 1)
+        lengths = F.when(F.size(kept) == 0, empty_ints()).otherwise(
+            F.concat(head, F.transform(last, lambda n: n + 1))
+        )
+    n_bytes = F.octet_length(text)
+    return (
+        df.withColumn("tokens", tokens)
+        .withColumn("sentence_lengths", lengths)
+        .withColumn("n_tokens", F.when(n_bytes > 0, n_bytes + end).otherwise(F.lit(0)))
+    )
+
+
 def _close(coded: DataFrame, eod: int | None) -> DataFrame:
     ids = F.col("__ids")
     lengths = F.transform(ids, lambda a: F.size(a))

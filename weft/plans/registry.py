@@ -18,7 +18,20 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt out; a scan of many files is left alone.
+
+    Text work costs far more than moving the text once, and one row group is one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def query(name: str, sql: str | None = None):
@@ -34,4 +47,4 @@ def query(name: str, sql: str | None = None):
 def digest(c: str | Column, sep: str = " ") -> Column:
     """md5 of an array written as text: a whole array compared in one value."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), sep))
+    return F.md5(F.array_join(c.cast("array<string>"), sep))

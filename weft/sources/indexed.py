@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -183,7 +183,7 @@ class _Done(WriterCommitMessage):
         self.sequences, self.documents = sequences, documents
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """One shard per task under a name no retry can meet; the manifest names the winners."""
 
     def __init__(self, options):
@@ -198,29 +198,37 @@ class _Writer(DataSourceWriter):
         name = f"part-{order:06d}-{uuid.uuid4().hex[:8]}"
         system, folder = _fs(self.path)
         system.create_dir(folder, recursive=True)
-        lengths, modes, bounds, last = [], [], [0], None
+        lengths, modes, bounds, last, count = [], [], [0], None, 0
         with system.open_output_stream(f"{folder}/{name}.bin") as out:
-            for row in rows:
-                if last is not None and row["doc_id"] != last:
-                    bounds.append(len(lengths))
-                last = row["doc_id"]
-                tokens = np.asarray(row["tokens"], dtype=self.dtype)
-                out.write(tokens.tobytes())
-                lengths.append(len(tokens))
-                modes.append(row["mode"] if self.multimodal else 0)
-        if lengths:
-            bounds.append(len(lengths))
+            for batch in rows:
+                if batch.num_rows == 0:
+                    continue
+                docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                tokens = batch.column("tokens")
+                # an array column is one flat run of values, so a batch is written at once
+                out.write(tokens.flatten().to_numpy(zero_copy_only=False).astype(self.dtype).tobytes())
+                lengths.append(tokens.value_lengths().to_numpy(zero_copy_only=False))
+                modes.append(batch.column("mode").to_numpy(zero_copy_only=False))
+                opens = np.flatnonzero(np.diff(docs)) + 1 + count
+                if last is not None and docs[0] != last:
+                    opens = np.concatenate([[count], opens])
+                bounds += opens.tolist()
+                last, count = docs[-1], count + len(docs)
+        if count:
+            bounds.append(count)
+        lengths = np.concatenate(lengths) if lengths else np.zeros(0, "i4")
+        modes = np.concatenate(modes) if modes else np.zeros(0, "i1")
         sizes = np.array(lengths, "<i4")
         ends = np.cumsum(sizes.astype("<i8")) * self.dtype.itemsize
         with system.open_output_stream(f"{folder}/{name}.idx") as out:
             code = CODES[self.dtype.str[1:]]
-            out.write(MAGIC + struct.pack("<QBQQ", VERSION, code, len(lengths), len(bounds)))
+            out.write(MAGIC + struct.pack("<QBQQ", VERSION, code, count, len(bounds)))
             out.write(sizes.tobytes())
             out.write(np.concatenate([[0], ends[:-1]]).astype("<i8")[: len(lengths)].tobytes())
             out.write(np.array(bounds, "<i8").tobytes())
             if self.multimodal:
                 out.write(np.array(modes, "i1").tobytes())
-        return _Done(order, name, len(lengths), len(bounds) - 1)
+        return _Done(order, name, count, len(bounds) - 1)
 
     def commit(self, messages):
         done = sorted((m for m in messages if m is not None and m.sequences), key=lambda m: m.order)
@@ -270,8 +278,9 @@ def write_indexed(
     df.sparkSession.dataSource.register(IndexedCorpus)
     mode = F.col("mode") if multimodal else F.lit(0)
     rows = df.select("doc_id", "seq_no", "tokens", mode.cast("tinyint").alias("mode"))
+    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        rows.repartitionByRange("doc_id")
+        rows.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "seq_no")
         .write.format("indexed_corpus")
         .option("vocab_size", str(vocab_size))
