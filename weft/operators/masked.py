@@ -59,19 +59,23 @@ def words_of(tokens: list[int], cfg: MaskConfig) -> list[list[int]]:
     return words
 
 
+def _sizes(count, cfg, rng, geometric):
+    """N-gram sizes for ``count`` candidates, drawn in one go."""
+    if geometric:
+        return np.minimum(rng.geometric(GEOMETRIC, count), cfg.max_ngram).tolist()
+    odds = 1.0 / np.arange(1, cfg.max_ngram + 1)
+    odds = odds[::-1] if cfg.longer_ngrams else odds
+    steps = np.cumsum(odds / odds.sum())[:-1]
+    return (np.searchsorted(steps, rng.random(count), side="right") + 1).tolist()
+
+
 def _pick_ngrams(words, budget, taken, cfg, rng, geometric):
     """Disjoint n-grams of words in random order, within ``budget`` positions."""
-    sizes = np.arange(1, cfg.max_ngram + 1)
-    odds = 1.0 / sizes
-    odds = odds[::-1] if cfg.longer_ngrams else odds
     used: set[int] = set()
-    for start in rng.permutation(len(words)):
+    order = rng.permutation(len(words)).tolist()
+    for start, n in zip(order, _sizes(len(words), cfg, rng, geometric)):
         if len(used) >= budget:
             break
-        if geometric:
-            n = min(int(rng.geometric(GEOMETRIC)), cfg.max_ngram)
-        else:
-            n = int(rng.choice(sizes, p=odds / odds.sum()))
         spots = None
         for size in range(n, 0, -1):
             candidate = [p for word in words[start : start + size] for p in word]
@@ -88,15 +92,17 @@ def mask_ngrams(tokens: list[int], target: int, cfg: MaskConfig, rng) -> tuple[l
     """(masked tokens, position to original, spans): 80 % mask, 10 % random, 10 % kept."""
     budget = min(cfg.probability * target, max(1, round(len(tokens) * cfg.probability)))
     words = words_of(tokens, cfg)
-    out, labels, spans = list(tokens), {}, []
-    for spots in _pick_ngrams(words, budget, set(), cfg, rng, cfg.geometric):
-        for p in spots:
-            labels[p] = tokens[p]
-            if cfg.always_mask or rng.random() < 0.8:
-                out[p] = cfg.mask
-            elif rng.random() < 0.5:
-                out[p] = int(rng.integers(0, cfg.vocab))
-        spans.append(spots)
+    out, labels = list(tokens), {}
+    spans = list(_pick_ngrams(words, budget, set(), cfg, rng, cfg.geometric))
+    chosen = [p for spots in spans for p in spots]
+    fates = rng.random(len(chosen)).tolist()
+    others = rng.integers(0, cfg.vocab, len(chosen)).tolist()
+    for p, fate, other in zip(chosen, fates, others):
+        labels[p] = tokens[p]
+        if cfg.always_mask or fate < 0.8:
+            out[p] = cfg.mask
+        elif fate < 0.9:
+            out[p] = other
     if cfg.permute:
         moved = sorted(
             p for spots in _pick_ngrams(words, budget, set(labels), cfg, rng, False) for p in spots
@@ -211,7 +217,7 @@ def bert_samples(df: DataFrame, cfg: MaskConfig) -> DataFrame:
     """Masked pairs from (idx, sentences array<array<int>>, target)."""
 
     def row(r):
-        sentences = [[int(t) for t in s] for s in r.sentences]
+        sentences = [s.tolist() for s in r.sentences]
         return (r.idx, *pair_sample(sentences, int(r.target), int(r.idx), cfg))
 
     return _mapped(df.select("idx", "sentences", "target"), row, PAIR)
@@ -225,7 +231,7 @@ def span_corrupt(
     always = MaskConfig(**{**cfg.__dict__, "always_mask": True})
 
     def row(r):
-        tokens = [int(t) for t in r.tokens]
+        tokens = r.tokens.tolist()
         return (r.idx, *span_sample(tokens, int(r.target), int(r.idx), always, ids, decoder_length))
 
     return _mapped(df.select("idx", "tokens", "target"), row, SPAN)
@@ -310,7 +316,7 @@ def fim(df: DataFrame, cfg: InfillConfig, tokenizer: Callable) -> DataFrame:
         tok = tokenizer()
         for batch in batches:
             rows = [
-                infill_sample([int(t) for t in r.tokens], int(r.idx), cfg, tok)
+                infill_sample(r.tokens.tolist(), int(r.idx), cfg, tok)
                 for r in batch.itertuples(index=False)
             ]
             yield pd.DataFrame({"idx": batch["idx"], "tokens": rows})
