@@ -423,7 +423,7 @@ def accuracy(t):
 def losses(t):
     """Order lines as micro-batches: loss sum from price, tokens from quantity."""
     return t.lineitem.select(
-        F.col("l_shipmode" if "l_shipmode" in t.lineitem.columns else "l_returnflag").alias("name"),
+        F.col("l_returnflag").alias("name"),
         (F.col("l_extendedprice") / 10000.0).alias("loss_sum"),
         F.col("l_quantity").alias("n_tokens"),
     )
