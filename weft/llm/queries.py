@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import lengths, packing, quality, tokenfile, toxicity
+from weft.llm import jaccard, lengths, packing, quality, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,32 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Links of documents by their shingle sets, and what they reach.  Texts are lower-cased in A-Z.
+JACCARD_SQL = r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (SELECT * FROM flat WHERE shingle IN (SELECT shingle FROM flat GROUP BY shingle HAVING count(*) > 1)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.b, r.c FROM reach r JOIN links l ON r.doc_id = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op2_token_output")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_table(table(spark, folder, "documents"))
