@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import jaccard, lengths, packing, quality, tokenfile, toxicity
+from weft.llm import decontaminate, jaccard, lengths, packing, quality, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Occurrences of 10-word windows (or whole shorter items) of the benchmark in the documents.
+DECONTAMINATION_SQL = r"""
+WITH
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i : i + 9], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM phrases) WHERE len(w) >= k)),
+found AS (SELECT p.doc_id, p.i, p.k, f.item FROM places p JOIN phrases f ON p.k = f.k AND p.phrase = f.phrase),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN items i ON w.doc_id = i.doc_id
+"""
+
 #: Links of documents by their shingle sets, and what they reach.  Texts are lower-cased in A-Z.
 JACCARD_SQL = r"""
 WITH RECURSIVE
@@ -52,6 +77,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
+@query("op1_decontamination", DECONTAMINATION_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op2_token_output")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_table(table(spark, folder, "documents"))
