@@ -1,22 +1,52 @@
-"""Corpus pipeline: documents that pass every stage, packed in sequences.
+"""Corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run` writes each result
-as Parquet to the shared folder and reads it back as the next stage's documents.
+as Parquet to the shared folder and reads it back as the next stage's documents.  Every stage but the last
+returns the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm import decontaminate, jaccard, packing, pii, quality
 from weft.llm.arrow import new_folder
-from weft.llm.packing import pack
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier calls 1; it learns from the labelled ones among them."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
 
 
-STAGES = [("best-fit packing", packing)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of least id, of every component of the n-gram Jaccard join."""
+    return jaccard.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The removal spans are cut from contaminated documents; one with no words left goes."""
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that give it away are replaced by labels."""
+    return pii.sanitise(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row for each piece, with its ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", best_fit),
+]
+#: Trained vectors and tokenizer ids have no SQL.
 ORACLE_SQL = None
 
 

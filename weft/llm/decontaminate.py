@@ -74,10 +74,9 @@ def hits(letters: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     return place[at], phrase
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans: bool = False) -> DataFrame:
-    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``; ``with_spans``
-    adds ``text`` and ``spans``, the merged removal spans as arrays of (start, end) in code points."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, window: int) -> list:
+    """The benchmark's phrases as broadcasts of bounded size."""
+    spark = benchmark.sparkSession
     blocks, held, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         held.append((row[0], row[1]))
@@ -87,32 +86,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
             held, size = [], 0
     if held or not blocks:
         blocks.append(spark.sparkContext.broadcast(Phrases(held, window)))
+    return blocks
+
+
+def search(texts: list[str | None], blocks: list[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+    """A shard's documents: (words, first word's place, hit flags by place, items found)."""
+    split = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in split], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes + np.arange(len(split))  # a gap before each document but the first
+    covered = np.zeros(int(sizes.sum()) + len(split) + 1, dtype=np.int64)
+    items: list[set[str]] = [set() for _ in split]
+    for phrases in blocks:
+        if not len(phrases.owners):
+            continue
+        letters = np.ones(int(sizes.sum()) + len(split) - 1, dtype=np.int64)
+        get = phrases.number.get
+        for w, start in zip(split, starts.tolist()):
+            letters[start : start + len(w)] = [get(x, 1) for x in w]
+        at, phrase = hits(letters, phrases)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + phrases.lengths[phrase], -1)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        for d, p in set(zip(doc.tolist(), phrase.tolist())):
+            items[d] |= phrases.owners[p]
+    return sizes, starts, np.cumsum(covered) > 0, items
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans: bool = False) -> DataFrame:
+    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``; ``with_spans``
+    adds ``text`` and ``spans``, the merged removal spans as arrays of (start, end) in code points."""
+    blocks = _blocks(benchmark, window)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] + ["text", "spans"] * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "text", SHARD_BYTES):
             texts = part.column("text").to_pylist()
-            split = [words_of(t) for t in texts]
-            sizes = np.array([len(w) for w in split], dtype=np.int64)
-            starts = np.cumsum(sizes) - sizes + np.arange(len(split))  # a gap before each document but the first
-            covered = np.zeros(int(sizes.sum()) + len(split) + 1, dtype=np.int64)
-            items: list[set[str]] = [set() for _ in split]
-            for block in blocks:
-                phrases = block.value
-                if not len(phrases.owners):
-                    continue
-                letters = np.ones(int(sizes.sum()) + len(split) - 1, dtype=np.int64)
-                get = phrases.number.get
-                for w, start in zip(split, starts.tolist()):
-                    letters[start : start + len(w)] = [get(x, 1) for x in w]
-                at, phrase = hits(letters, phrases)
-                np.add.at(covered, at, 1)
-                np.add.at(covered, at + phrases.lengths[phrase], -1)
-                doc = np.searchsorted(starts, at, side="right") - 1
-                for d, p in set(zip(doc.tolist(), phrase.tolist())):
-                    items[d] |= phrases.owners[p]
-            hit = np.cumsum(covered) > 0
+            sizes, starts, hit, items = search(texts, [b.value for b in blocks])
             total = np.concatenate(([0], np.cumsum(hit)))
             n_hit = total[starts + sizes] - total[starts]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
@@ -153,3 +162,34 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(text[at:a])
         at = b
     return "".join([*out, text[at:]])
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents (all columns) without the spans that benchmark phrases cover.
+
+    A document that had words and has none left goes; ``n_chars``, if there, follows the text.
+    """
+    blocks = _blocks(benchmark, window)
+    schema, at = docs.schema, docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, "text", SHARD_BYTES):
+            texts = part.column(at).to_pylist()
+            sizes, starts, hit, _ = search(texts, [b.value for b in blocks])
+            kept = np.ones(len(texts), dtype=bool)
+            lengths = None if counted is None else part.column(counted).to_pylist()
+            for i, (t, s, n) in enumerate(zip(texts, starts.tolist(), sizes.tolist())):
+                mine = hit[s : s + n]
+                if mine.any():
+                    kept[i] = not mine.all()
+                    texts[i] = remove_spans(t, _spans(t, mine))
+                    if lengths is not None:
+                        lengths[i] = len(texts[i])
+            columns = list(part.columns)
+            columns[at] = pa.array(texts, part.schema.field(at).type)
+            if counted is not None:
+                columns[counted] = pa.array(lengths, part.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, schema)

@@ -150,3 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characte
 def quality(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> DataFrame:
     """Scores every document; repeated rows are scored each, a null id is never held out."""
     return score_with(docs, fit(docs, labels, rows, characters), fold("doc_id", HELD_OUT_FOLDS) == HELD_OUT)
+
+
+def keep(docs: DataFrame, model: SubwordModel) -> DataFrame:
+    """The documents (all columns) that the model calls 1."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), batch.schema.names[place]):
+                yield part.filter(pa.array(shipped.value.scores(part.column(place)) >= 0.5))
+
+    return docs.mapInArrow(run, schema)

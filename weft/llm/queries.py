@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, html, jaccard, lengths, neighbours, packing, quality, tokenfile, toxicity
+from weft.llm import decontaminate, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op6_sanitisation")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_table(table(spark, folder, "documents"))
+
+
 @query("op7_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
