@@ -1,5 +1,6 @@
 import json
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -35,6 +36,37 @@ def test_indexed_round_trip(spark, tmp_path, vocab, modes):
         assert all(r["n_tokens"] == len(r["tokens"]) for r in got)
 
 
+def test_second_write_adds_documents(spark, tmp_path):
+    path = str(tmp_path / "c")
+    part = lambda a, b: spark.createDataFrame([(d, 0, [d, d + 1]) for d in range(a, b)], "doc_id bigint, seq_no int, tokens array<int>")
+    I.write_indexed(part(0, 10), path, 60000)
+    I.write_indexed(part(10, 15), path, 60000)
+    got = I.read_indexed(spark, path).orderBy("seq_id").collect()
+    assert [(r["doc_id"], r["seq_id"], r["tokens"]) for r in got] == [(d, d, [d, d + 1]) for d in range(15)]
+    I.write_indexed(part(0, 3), path, 60000, overwrite=True)
+    assert I.read_indexed(spark, path).count() == 3
+
+
+def test_token_beyond_the_element_type_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0, [70000])], "doc_id bigint, seq_no int, tokens array<int>")
+    with pytest.raises(Exception, match="don't fit"):
+        I.write_indexed(df, str(tmp_path / "c"), 60000)
+
+
+@pytest.mark.parametrize("code,kind", [(1, "u1"), (2, "i1"), (3, "i2"), (4, "i4"), (5, "i8"), (6, "f8"), (7, "f4"), (8, "u2")])
+def test_every_element_type_is_read_as_it_is(spark, tmp_path, code, kind):
+    values = np.array([1, 2, 100], "<" + kind) if kind[0] != "f" else np.array([0.5, -2.25, 1e10], "<" + kind)
+    if kind == "i8":
+        values[2] = 1 << 40
+    prefix = str(tmp_path / "one")
+    values.tofile(prefix + ".bin")
+    with open(prefix + ".idx", "wb") as f:
+        f.write(I.MAGIC + struct.pack("<QBQQ", 1, code, 1, 2))
+        f.write(np.array([3], "<i4").tobytes() + np.array([0], "<i8").tobytes() + np.array([0, 1], "<i8").tobytes())
+    (row,) = I.read_indexed(spark, prefix).collect()
+    assert row["tokens"] == values.tolist()
+
+
 def test_index_layout(spark, tmp_path):
     """Magic, version, element code, counts, lengths, byte pointers, document bounds."""
     df = spark.createDataFrame([(0, 0, [1, 2, 3]), (0, 1, [4]), (1, 0, [5, 6])], "doc_id bigint, seq_no int, tokens array<int>")

@@ -239,7 +239,7 @@ def _one_step(todo, workers, max_len, slack):
         first = min(range(0, workers - width + 1, width), key=lambda b: max(load[b : b + width]))
         balanced = min(load) > 0 and max(load) - min(load) <= slack * max(load)
         if balanced and placed and width < placed[0][3]:
-            rest = todo[at:]
+            rest += todo[at:]  # behind those already put off, still longest first
             break
         peak = max(load)
         after = max(load[first : first + width]) + length**2 / width

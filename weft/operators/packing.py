@@ -53,6 +53,8 @@ def next_fit_runs(
         left, done = counts[length], 0
 
         def room(have_tokens, have_members, length=length):
+            if have_tokens > size:  # an oversize bin takes nothing more, not even an empty sequence
+                return 0
             by_tokens = (size - have_tokens) // length if length > 0 else 1 << 62
             return max(0, min(by_tokens, cap - have_members))
 

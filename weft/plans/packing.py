@@ -304,11 +304,25 @@ def unpack(t):
 
 @query("d19_balance_groups")
 def balance_groups(t):
-    batches = lengths(t).withColumn("length", F.least("length", F.lit(16384))).filter("length > 0")
-    numbered = ranged_running(batches, ["seq_id"], out="i")
+    numbered = ranged_running(lengths(t).filter("length > 0"), ["seq_id"], out="i")
     return B.balance_groups(numbered.withColumn("batch", F.expr("i div 64")), 8, 4096)
 
 
+@query(
+    "d19_balance_served",
+    """SELECT (row_number() OVER (ORDER BY doc_id)-1)//64 AS batch, doc_id AS seq_id, octet_length(encode(text))::BIGINT AS length,
+      1::BIGINT AS steps, true AS whole, true AS wide_enough FROM documents WHERE octet_length(encode(text))>0""",
+)
+def balance_served(t):
+    """Every sequence once: in one step, on ``width`` neighbouring workers, as many as its length asks for."""
+    cells = balance_groups(t).groupBy("batch", "seq_id", "length", "width").agg(
+        F.countDistinct("step").alias("steps"), F.count(F.lit(1)).alias("n"), F.min("worker").alias("lo"), F.max("worker").alias("hi")
+    )
+    whole = (F.col("n") == F.col("width")) & (F.col("hi") - F.col("lo") + 1 == F.col("width"))
+    enough = F.col("width") >= F.least(F.ceil(F.col("length") / 4096), F.lit(8))
+    return cells.select("batch", "seq_id", "length", "steps", whole.alias("whole"), enough.alias("wide_enough"))
+
+
 @query(
     "d20_pad_batch",
     """WITH g AS (SELECT l_orderkey, l_orderkey//8 AS batch, list(l_partkey::INT ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1,2),

@@ -32,20 +32,31 @@ SMALL_VOCAB = 65500
 HEAD = len(MAGIC) + 8 + 1 + 8 + 8
 MANIFEST = "_shards.json"
 SCHEMA = (
-    "dataset string, doc_id bigint, seq_no int, seq_id bigint, tokens array<int>, "
+    "dataset string, doc_id bigint, seq_no int, seq_id bigint, tokens array<{}>, "
     "n_tokens int, mode tinyint"
 )
-ARROW = pa.schema(
-    [
-        ("dataset", pa.string()),
-        ("doc_id", pa.int64()),
-        ("seq_no", pa.int32()),
-        ("seq_id", pa.int64()),
-        ("tokens", pa.list_(pa.int32())),
-        ("n_tokens", pa.int32()),
-        ("mode", pa.int8()),
-    ]
-)
+#: Column element of the types that 32-bit integers can't hold.
+WIDE = {"i8": ("bigint", pa.int64()), "f8": ("double", pa.float64()), "f4": ("float", pa.float32())}
+
+
+def column_type(dtype: np.dtype) -> tuple[str, pa.DataType]:
+    return WIDE.get(dtype.str[1:], ("int", pa.int32()))
+
+
+def arrow_schema(element: pa.DataType) -> pa.Schema:
+    return pa.schema(
+        [
+            ("dataset", pa.string()),
+            ("doc_id", pa.int64()),
+            ("seq_no", pa.int32()),
+            ("seq_id", pa.int64()),
+            ("tokens", pa.list_(element)),
+            ("n_tokens", pa.int32()),
+            ("mode", pa.int8()),
+        ]
+    )
+
+
 CHUNK = 4096
 
 
@@ -119,14 +130,27 @@ class _Reader(DataSourceReader):
             yield f"{self.path}/{shard['name']}", docs, seqs
             docs, seqs = docs + shard["documents"], seqs + shard["sequences"]
 
+    def dtype(self):
+        """Element type of the first shard; an empty corpus has 32-bit integers."""
+        for prefix, _, _ in self._shards():
+            self._payload(prefix)
+            return _Header(prefix, self.multimodal).dtype
+        return np.dtype("<i4")
+
+    @staticmethod
+    def _payload(prefix):
+        """File info of the payload; a missing half is an error."""
+        system, path = _fs(prefix + ".bin")
+        info = system.get_file_info(path)
+        index = system.get_file_info(_fs(prefix + ".idx")[1])
+        if pafs.FileType.NotFound in (info.type, index.type):
+            raise ValueError(f"both {prefix}.bin and {prefix}.idx must exist")
+        return info
+
     def partitions(self):
         out = []
         for prefix, docs, seqs in self._shards():
-            system, path = _fs(prefix + ".bin")
-            info = system.get_file_info(path)
-            index = system.get_file_info(_fs(prefix + ".idx")[1])
-            if pafs.FileType.NotFound in (info.type, index.type):
-                raise ValueError(f"both {prefix}.bin and {prefix}.idx must exist")
+            info = self._payload(prefix)
             cuts = list(range(0, max(info.size, 1), self.size))
             for low in cuts:
                 out.append(_Range(prefix, low, low + self.size, low == cuts[-1], docs, seqs))
@@ -135,6 +159,9 @@ class _Reader(DataSourceReader):
     def read(self, part):
         head = _Header(part.prefix, self.multimodal)
         n = head.sequences
+        element = column_type(head.dtype)[1]
+        if element != column_type(self.dtype())[1]:
+            raise ValueError(f"{part.prefix}: elements of {head.dtype}, unlike the corpus' first shard")
         low = head.first_at_least(head.at_pointers, n, part.low)
         high = n if part.last else head.first_at_least(head.at_pointers, n, part.high)
         system, path = _fs(part.prefix + ".bin")
@@ -146,7 +173,7 @@ class _Reader(DataSourceReader):
             lengths = head.slice(head.at_lengths, "<i4", a, b)
             begin = int(head.slice(head.at_pointers, "<i8", a, a + 1)[0])
             raw = payload.read_at(int(lengths.sum()) * head.dtype.itemsize, begin)
-            tokens = np.frombuffer(raw, head.dtype).astype(np.int32)
+            tokens = np.frombuffer(raw, head.dtype).astype(element.to_pandas_dtype())
             bounds = head.slice(
                 head.at_documents, "<i8", doc, min(head.documents, doc + (b - a) + 1)
             )
@@ -172,7 +199,7 @@ class _Reader(DataSourceReader):
                     pa.array(lengths, pa.int32()),
                     pa.array(modes, pa.int8()),
                 ],
-                schema=ARROW,
+                schema=arrow_schema(element),
             )
             doc += int(place[-1])
 
@@ -186,8 +213,8 @@ class _Done(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """One shard per task under a name no retry can meet; the manifest names the winners."""
 
-    def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options, overwrite=False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.dtype = np.dtype("<" + token_dtype(int(options["vocab_size"])))
         self.multimodal = options.get("multimodal", "false") == "true"
 
@@ -206,7 +233,11 @@ class _Writer(DataSourceArrowWriter):
                 docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 tokens = batch.column("tokens")
                 # an array column is one flat run of values, so a batch is written at once
-                out.write(tokens.flatten().to_numpy(zero_copy_only=False).astype(self.dtype).tobytes())
+                flat = tokens.flatten().to_numpy(zero_copy_only=False)
+                bound = np.iinfo(self.dtype)
+                if len(flat) and not bound.min <= flat.min() <= flat.max() <= bound.max:
+                    raise ValueError(f"tokens from {flat.min()} to {flat.max()} don't fit {self.dtype}: give a larger vocab_size")
+                out.write(flat.astype(self.dtype).tobytes())
                 lengths.append(tokens.value_lengths().to_numpy(zero_copy_only=False))
                 modes.append(batch.column("mode").to_numpy(zero_copy_only=False))
                 opens = np.flatnonzero(np.diff(docs)) + 1 + count
@@ -232,10 +263,17 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         done = sorted((m for m in messages if m is not None and m.sequences), key=lambda m: m.order)
-        shards = [
-            {"name": m.name, "sequences": m.sequences, "documents": m.documents} for m in done
-        ]
         system, folder = _fs(self.path)
+        shards, before = [], f"{folder}/{MANIFEST}"
+        if not self.overwrite and system.get_file_info(before).type != pafs.FileType.NotFound:
+            shards = json.loads(system.open_input_file(before).read())  # appended shards come last
+            kinds = {s.get("dtype") for s in shards} - {None, self.dtype.str}
+            if kinds:
+                raise ValueError(f"the corpus has elements of {kinds.pop()}, not {self.dtype.str}")
+        shards += [
+            {"name": m.name, "sequences": m.sequences, "documents": m.documents, "dtype": self.dtype.str}
+            for m in done
+        ]
         with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
             out.write(json.dumps(shards).encode())
 
@@ -249,13 +287,21 @@ class IndexedCorpus(DataSource):
         return "indexed_corpus"
 
     def schema(self):
-        return SCHEMA
+        return SCHEMA.format(column_type(_Reader(self.options).dtype())[0])
 
     def reader(self, schema):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme belongs to the cluster's default file system, as for Spark itself."""
+    if ":" in path.split("/", 1)[0]:
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if default.startswith("file:") else f"{default.rstrip('/')}/{path.lstrip('/')}"
 
 
 def read_indexed(
@@ -267,14 +313,17 @@ def read_indexed(
         spark.read.format("indexed_corpus")
         .option("multimodal", str(multimodal).lower())
         .option("partition_bytes", str(partition_bytes))
-        .load(path)
+        .load(qualified(spark, path))
     )
 
 
 def write_indexed(
-    df: DataFrame, path: str, vocab_size: int, multimodal: bool = False
+    df: DataFrame, path: str, vocab_size: int, multimodal: bool = False, overwrite: bool = False
 ) -> None:
-    """Write (doc_id, seq_no, tokens[, mode]) in document order; a document stays in one shard."""
+    """Write (doc_id, seq_no, tokens[, mode]) in document order; a document stays in one shard.
+
+    A second write adds its documents behind those there, unless ``overwrite``.
+    """
     df.sparkSession.dataSource.register(IndexedCorpus)
     mode = F.col("mode") if multimodal else F.lit(0)
     rows = df.select("doc_id", "seq_no", "tokens", mode.cast("tinyint").alias("mode"))
@@ -285,6 +334,6 @@ def write_indexed(
         .write.format("indexed_corpus")
         .option("vocab_size", str(vocab_size))
         .option("multimodal", str(multimodal).lower())
-        .mode("append")
-        .save(path)
+        .mode("overwrite" if overwrite else "append")
+        .save(qualified(df.sparkSession, path))
     )
