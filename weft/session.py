@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,25 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context.
+
+    Workers import it from there unless their own path already has it, so that neither the driver's
+    folder nor an installation on the executors matters.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_weft_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="weft-package-"), "weft")
+        archive = shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here))
+        sc.addPyFile(archive)
+        sc._weft_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the cluster's ``spark.checkpoint.dir``.
 
