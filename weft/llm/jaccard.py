@@ -9,8 +9,8 @@ between classes, so copies never meet in pairs.
    that an intersection needs.
 2. *Light* classes, smaller than a boundary, list every pair of shingles of their prefix: linked
    light classes share a pair.  *Heavy* ones, and those near the boundary, go into the inverted
-   lists of their prefix's shingles.  The boundary is where the two costs (pairs listed, list entries
-   scanned), summed by size, are least together.
+   lists of their prefix's shingles.  The boundary is where the two costs, summed by size, are least
+   together: pairs listed, and list entries with their share of ordering a list of that length.
 3. In a list, members are tied to the least member of their size band and bands to the next, so a list
    of k members gives about k ties.  Connected ties are a *neighbourhood*: linked classes
    are always in the same one.
@@ -201,7 +201,7 @@ def contenders(shared: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
                 times = np.frombuffer(b"".join(r["classes"]), "<u4")
                 order = np.lexsort((h, times))
                 wide = min(q + 1, len(h))
-                rows.append((r["class"], n, q, h[order].astype(np.int64), float(wide * (wide - 1) // 2), float(times[order[:q]].sum())))
+                rows.append((r["class"], n, q, h[order].astype(np.int64), float(wide * (wide - 1) // 2), float(q + np.log2(times[order[:q]]).sum())))
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["class", "n", "q", "hashes", "light_cost", "heavy_cost"])
