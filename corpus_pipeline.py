@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, jaccard, packing, pii, quality
 from weft.llm.arrow import new_folder
+from weft.session import ship
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         folder = new_folder(spark, f"pipeline-{k}")

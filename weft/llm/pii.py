@@ -110,21 +110,33 @@ def _words_in(c: Column) -> Column:
 def nearby(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``row, kind, value, term, start, end``: the words next to every base span that are in no base
     span themselves.  A word cut by the end of the reach isn't taken."""
-    texts = rows.select("row", "text", F.length("text").alias("n"))
-    per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    met = spans.join(texts, "row").join(per_row, "row")
-    left_at = F.greatest(F.col("start") - REACH, F.lit(0))
-    left = F.substring(F.col("text"), left_at + 1, F.col("start") - left_at)
-    right = F.substring(F.col("text"), F.col("end") + 1, F.lit(REACH))
+    per_row = spans.groupBy("row").agg(F.collect_list(F.struct("kind", "value", "start", "end")).alias("spans"))
+    # the short strings around the spans are cut where the text is, which itself isn't repeated
+    left_at = lambda s: F.greatest(s["start"] - REACH, F.lit(0))
+    around = F.transform("spans", lambda s: F.struct(
+        s["kind"].alias("kind"), s["value"].alias("value"), s["end"].alias("end"), left_at(s).alias("left_at"),
+        F.substring(F.col("text"), left_at(s) + 1, s["start"] - left_at(s)).alias("left"),
+        F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)).alias("right"),
+    ))
+    met = per_row.join(rows.select("row", "text"), "row")
+    met = met.select("row", F.length("text").alias("n"), F.explode(around).alias("s")).select("row", "n", "s.*")
     right_end = F.least(F.col("end") + REACH, F.col("n"))
     place = lambda words, offset: F.transform(words, lambda w: F.struct(
         F.lower(w["word"]).alias("term"), (w["at"] + offset).alias("from"), (w["at"] + offset + F.length(w["word"])).alias("to")
     ))
-    ahead = F.filter(place(_words_in(left), left_at), lambda w: (w["from"] > left_at) | (left_at == 0))
-    behind = F.filter(place(_words_in(right), F.col("end")), lambda w: (w["to"] < right_end) | (right_end == F.col("n")))
-    near = F.concat(F.reverse(F.slice(F.reverse(ahead), 1, WORDS)), F.slice(behind, 1, WORDS))
-    free = F.filter(near, lambda w: ~F.exists("taken", lambda s: (s["start"] < w["to"]) & (w["from"] < s["end"])))
-    one = met.select("row", "kind", "value", F.explode(free).alias("w"))
+    ahead = F.filter(place(_words_in(F.col("left")), F.col("left_at")), lambda w: (w["from"] > F.col("left_at")) | (F.col("left_at") == 0))
+    behind = F.filter(place(_words_in(F.col("right")), F.col("end")), lambda w: (w["to"] < right_end) | (right_end == F.col("n")))
+    near = F.concat(F.slice(F.reverse(ahead), 1, WORDS), F.slice(behind, 1, WORDS))
+    one = met.select("row", "kind", "value", F.explode(near).alias("w"))
+    # a word overlaps a span if both touch a common stretch of the text; a word touches two at most
+    cell = lambda c: F.floor(c / F.lit(2 * REACH)).cast("int")
+    taken = spans.select("row", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1))).alias("cell"))
+    for edge in (F.col("w.from"), F.col("w.to") - 1):
+        one = one.withColumn("cell", cell(edge)).alias("o").join(
+            taken.alias("t"),
+            (F.col("o.row") == F.col("t.row")) & (F.col("o.cell") == F.col("t.cell")) & (F.col("t.s") < F.col("o.w.to")) & (F.col("o.w.from") < F.col("t.e")),
+            "left_anti",
+        ).drop("cell")
     return one.select("row", "kind", "value", F.col("w.term").alias("term"), F.col("w.from").alias("start"), F.col("w.to").alias("end"))
 
 
@@ -211,13 +223,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.min_by(label, F.struct("start", -F.col("end"), _kind_order(F.col("kind")))).alias("label"),
     )
     previous = F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0))
-    cut = merged.withColumn("previous", previous).join(held.select("row", F.col("text").cast("string").alias("text")), "row")
-    piece = F.concat(F.substring(F.col("text"), F.col("previous") + 1, F.col("start") - F.col("previous")), F.col("label"))
-    joined = cut.select("row", "start", "end", piece.alias("piece"), "text").groupBy("row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]), "").alias("head"),
-        F.max("end").alias("last"),
-    )
-    changed = F.when(F.col("last").isNull(), F.col("text")).otherwise(F.concat("head", F.expr("substring(text, last + 1)")))
+    parts = F.array_sort(F.collect_list(F.struct("start", "previous", "label")))
+    joined = merged.withColumn("previous", previous).groupBy("row").agg(parts.alias("parts"), F.max("end").alias("last"))
+    piece = lambda p: F.concat(F.substring(F.col("text"), p["previous"] + 1, p["start"] - p["previous"]), p["label"])
+    head = F.array_join(F.transform("parts", piece), "")
+    changed = F.when(F.col("last").isNull(), F.col("text")).otherwise(F.concat(head, F.expr("substring(text, last + 1)")))
     full = held.join(joined, "row", "left").withColumn("whole", F.col("whole").withField("text", changed))
     if "n_chars" in docs.columns:
         n = F.length("whole.text").cast(docs.schema["n_chars"].dataType)
