@@ -234,14 +234,14 @@ def pack_chat(t):
     )
 
 
-QA = "SELECT doc_id, 'Q: '||left(text, 400) AS prompt, CASE WHEN doc_id%7=0 THEN '' ELSE right(left(text,460), doc_id%60) END AS answer FROM documents"
-ALEN = 256
+QA = "SELECT doc_id, 'Q: '||text AS prompt, CASE WHEN doc_id%7=0 THEN '' ELSE reverse(text) END AS answer FROM documents"
+ALEN = 4096
 
 
 def questions(t):
     return t.documents.selectExpr(
-        "doc_id", "source AS task", "'Q: '||left(text, 400) AS prompt",
-        "CASE WHEN doc_id%7=0 THEN '' ELSE right(left(text,460), cast(doc_id%60 as int)) END AS answer",
+        "doc_id", "source AS task", "'Q: '||text AS prompt",
+        "CASE WHEN doc_id%7=0 THEN '' ELSE reverse(text) END AS answer",
     )
 
 
@@ -363,10 +363,10 @@ def harmonize_chat(t):
 
 @query(
     "b28_harmonize_pairs",
-    "SELECT item_id, md5('user:'||text||'|assistant:'||left(text,9)) AS messages FROM benchmark",
+    "SELECT item_id, md5('user:'||text||'|assistant:'||text) AS messages FROM benchmark",
 )
 def harmonize_pairs(t):
-    rows = t.benchmark.select("item_id", F.col("text").alias("question"), F.left("text", F.lit(9)).alias("response"))
+    rows = t.benchmark.select("item_id", F.col("text").alias("question"), F.col("text").alias("response"))
     out = H.harmonize_chat(rows, "pair", "item_id")
     text = F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"]))
     return out.select("item_id", F.md5(F.array_join(text, "|")).alias("messages"))

@@ -28,12 +28,12 @@ LEN = "len AS (SELECT doc_id AS seq_id, octet_length(encode(text))::BIGINT AS le
 
 @query(
     "d1_true_length",
-    "SELECT doc_id, length(rtrim(left(text,200),'. '))::INT AS n FROM documents",
+    "SELECT doc_id, length(rtrim(text,'. '))::INT AS n FROM documents",
 )
 def true_length(t):
     # blanks and dots at the end stand for padding: dots are turned into the padding id first
     ids = F.transform(
-        F.filter(F.split(F.left("text", F.lit(200)), ""), lambda c: c != ""),
+        F.filter(F.split("text", ""), lambda c: c != ""),
         lambda c: F.when(c.isin(" ", "."), F.lit(32)).otherwise(F.lit(1)),
     )
     return t.documents.select("doc_id", P.true_length(ids, 32).alias("n"))

@@ -12,7 +12,7 @@ from weft.plans.registry import digest, query
 # options of an item follow from its id
 OPTS = "array('red '||doc_id, 'green', 'blue '||(doc_id%7), 'old')"
 OPTS_SQL = "['red '||doc_id, 'green', 'blue '||(doc_id%7), 'old']"
-Q = "left(text, 80)"
+Q = "text"
 
 
 def items(t):
@@ -74,7 +74,7 @@ def math_prompts(t):
         "doc_id",
         F.md5(P.math_prompts(F.expr(Q), "tagged")).alias("tagged"),
         F.md5(P.math_prompts(F.expr(Q), "boxed")).alias("boxed"),
-        P.numeric_gold(F.expr("replace(left(text,20),'#','')||'#### '||n_chars")).alias("gold"),
+        P.numeric_gold(F.expr("replace(text,'#','')||'#### '||n_chars")).alias("gold"),
         F.md5(P.bare_problem(wrapped)).alias("problem"),
     )
 
@@ -112,13 +112,13 @@ def format_boxes(t):
 
 @query(
     "b20_normalize_chat",
-    """WITH c AS (SELECT doc_id, doc_id%6 AS m, left(replace(text,'<',' '),40) AS q FROM documents)
+    """WITH c AS (SELECT doc_id, doc_id%6 AS m, replace(text,'<',' ') AS q FROM documents)
     SELECT doc_id, CASE m WHEN 4 THEN 'more image tags than images' WHEN 5 THEN 'unexpected role' END AS error,
       CASE WHEN m<4 THEN md5('system:Answer the questions.|user:'||CASE m WHEN 0 THEN '<image> and <image> '||q WHEN 1 THEN '<image><image> '||q WHEN 2 THEN ' '||q ELSE '<image><image>'||chr(10)||q END||'|assistant:ok') END AS messages,
       CASE m WHEN 0 THEN 'b,a' WHEN 1 THEN 'a,a' WHEN 2 THEN '' WHEN 3 THEN 'a,b' WHEN 4 THEN 'a,b' ELSE 'a' END AS picked FROM c""",
 )
 def normalize_chat(t):
-    q = "left(replace(text,'<',' '),40)"
+    q = "replace(text,'<',' ')"
     rows = t.documents.selectExpr(
         "doc_id",
         f"""array(named_struct('from', CASE WHEN doc_id%6=5 THEN 'bot' ELSE 'human' END, 'value',
@@ -165,12 +165,12 @@ def audio_tokens(t):
 
 @query(
     "b23_fit_length",
-    """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(left(text,300))),'..'), lambda h: ('0x'||h)::INT) AS tk, [1+doc_id%3, 2] AS tl FROM documents),
+    """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)),'..'), lambda h: ('0x'||h)::INT) AS tk, [1+doc_id%3, 2] AS tl FROM documents),
     c AS (SELECT *, greatest(256-list_sum(tl)*20+2,0)::BIGINT AS room FROM b), d AS (SELECT doc_id, len(tk)+list_sum(tl)*20-2 AS total_len, ([300,300]||tk)[1:room] AS t, ([-100,-100]||list_transform(tk, lambda v, i: CASE WHEN i<=doc_id%250 THEN -100 ELSE v END))[1:room] AS g, tl FROM c)
     SELECT doc_id, (total_len+2)::INT AS total_len, len(t)::INT AS n, md5(array_to_string(t,' ')) AS tokens, CASE WHEN len(list_filter(g, lambda x: x<>-100))=0 THEN 'all targets ignored after truncation' END AS error FROM d""",
 )
 def fit_length(t):
-    raw = byte_encode(F.left("text", F.lit(300)))
+    raw = byte_encode("text")
     images = F.array(F.lit(300), F.lit(300))
     rows = t.documents.select("doc_id", raw.alias("b")).select(
         "doc_id",
@@ -202,7 +202,7 @@ HB = "list_transform(regexp_extract_all(hex(encode({0})),'..'), lambda h: ('0x'|
 
 @query(
     "b25_encode_pair",
-    f"""WITH d AS (SELECT doc_id, {HB.format("left(text, doc_id%90)")} AS a, CASE WHEN doc_id%3=0 THEN NULL ELSE {HB.format("right(text, doc_id%50)")} END AS b FROM documents),
+    f"""WITH d AS (SELECT doc_id, {HB.format("text")} AS a, CASE WHEN doc_id%3=0 THEN NULL ELSE {HB.format("reverse(text)")} END AS b FROM documents),
     e AS (SELECT doc_id, b IS NULL AS nb, [256]||a||[257]||COALESCE(b,[]) AS s, list_transform(range(len(a)+2), lambda x: 0)||list_transform(range(COALESCE(len(b),0)), lambda x: 1) AS k FROM d),
     f AS (SELECT doc_id, nb, CASE WHEN len(s)>=100 THEN s[1:99] ELSE s END AS s, CASE WHEN len(s)>=100 THEN k[1:99] ELSE k END AS k, NOT nb OR len(s)>=100 AS cl FROM e),
     g AS (SELECT doc_id, CASE WHEN cl THEN s||[257] ELSE s END AS s, CASE WHEN cl THEN k||[CASE WHEN nb THEN 0 ELSE 1 END] ELSE k END AS k FROM f)
@@ -211,8 +211,8 @@ HB = "list_transform(regexp_extract_all(hex(encode({0})),'..'), lambda h: ('0x'|
 def encode_pair(t):
     rows = t.documents.select(
         "doc_id",
-        byte_encode(F.expr("left(text, cast(doc_id%90 as int))")).alias("a"),
-        F.when(F.expr("doc_id % 3 <> 0"), byte_encode(F.expr("right(text, cast(doc_id%50 as int))"))).alias("b"),
+        byte_encode("text").alias("a"),
+        F.when(F.expr("doc_id % 3 <> 0"), byte_encode(F.reverse("text"))).alias("b"),
     )
     out = M.encode_pair(rows, 100, 256, 257, 258)
     return out.select(
@@ -295,7 +295,7 @@ def segment_frames(t):
 
 TAGGED = """CASE doc_id%8 WHEN 0 THEN '<image 1>' WHEN 1 THEN 'See:<image 1>'||{q} WHEN 2 THEN 'Look. <image 1> '||{q} WHEN 3 THEN '<image 1> Shows '||{q}
   WHEN 4 THEN '<image 1> shows <image 3>'||{q} WHEN 5 THEN 'what is in <image 1> now '||{q} WHEN 6 THEN 'is it (<image 1>)'||{q} ELSE 'x'||{q}||'?<image 1>' END"""
-PLAIN = "replace(replace(left(text,20),chr(10),''),' ','')"
+PLAIN = "replace(replace(text,chr(10),''),' ','')"
 
 
 @query(

@@ -285,7 +285,7 @@ def eval_means(t):
       WHEN 3 THEN CASE WHEN doc_id%3=0 THEN 0.05 ELSE 1.0 END WHEN 4 THEN 0.05 WHEN 5 THEN -0.5 ELSE CASE WHEN doc_id%3=0 THEN 0.05 ELSE 1.0 END END)::DOUBLE AS reward FROM documents""",
 )
 def math_reward(t):
-    head = "replace(replace(left(text, 60), '<', ' '), chr(92), ' ') || '\\n'"
+    head = "replace(replace(text, '<', ' '), chr(92), ' ') || '\\n'"
     response = F.expr(
         f"CASE doc_id % 7 WHEN 0 THEN {head} || '<answer> ' || n_chars || ' </answer>  ' WHEN 1 THEN {head} || '<answer>' || n_chars || '</answer> more' "
         f"WHEN 2 THEN {head} || '<answer>wrong</answer>' WHEN 3 THEN {head} || chr(92) || 'boxed{{' || n_chars || '}}' "

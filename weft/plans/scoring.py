@@ -221,17 +221,17 @@ def parse_choice(t):
 
 @query(
     "b10_extract_answer",
-    r"""WITH p AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 'x \answer{' || left(text,9) || '} y \boxed{2}' WHEN 1 THEN 'so \boxed{' || left(text,9) || '}'
-      WHEN 2 THEN 'Answer:' || left(text,30) ELSE text END AS r FROM documents)
+    r"""WITH p AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 'x \answer{' || replace(text,'}','') || '} y \boxed{2}' WHEN 1 THEN 'so \boxed{' || replace(text,'}','') || '}'
+      WHEN 2 THEN 'Answer:' || text ELSE text END AS r FROM documents)
     SELECT doc_id, md5(CASE doc_id%4 WHEN 0 THEN regexp_extract(r,'(?s)\\answer\{(.*?)\}',1) WHEN 1 THEN regexp_extract(r,'(?s)\\boxed\{(.*?)\}',1)
       ELSE replace(r,'Answer:','Answer: ') END) AS final FROM p""",
 )
 def extract_answer(t):
     mod = F.col("doc_id") % 4
     r = (
-        F.when(mod == 0, F.concat(F.lit("x \\answer{"), F.left("text", F.lit(9)), F.lit("} y \\boxed{2}")))
-        .when(mod == 1, F.concat(F.lit("so \\boxed{"), F.left("text", F.lit(9)), F.lit("}")))
-        .when(mod == 2, F.concat(F.lit("Answer:"), F.left("text", F.lit(30))))
+        F.when(mod == 0, F.concat(F.lit("x \\answer{"), F.replace("text", F.lit("}"), F.lit("")), F.lit("} y \\boxed{2}")))
+        .when(mod == 1, F.concat(F.lit("so \\boxed{"), F.replace("text", F.lit("}"), F.lit("")), F.lit("}")))
+        .when(mod == 2, F.concat(F.lit("Answer:"), F.col("text")))
         .otherwise(F.col("text"))
     )
     return t.documents.select("doc_id", r.alias("r")).select(
@@ -535,14 +535,14 @@ def result_records(t):
 
 @query(
     "f21_strip_generation",
-    f"""SELECT doc_id, 'sys ' || doc_id AS prompt, md5(trim(left(text,80), ' '||chr(10))) AS generated FROM documents""",
+    f"""SELECT doc_id, 'sys ' || doc_id AS prompt, md5(trim(text, ' '||chr(10))) AS generated FROM documents""",
 )
 def strip_generation(t):
     full = F.concat(
         F.lit("sys "),
         F.col("doc_id").cast("string"),
         F.lit("<|im_start|>assistant\n "),
-        F.left("text", F.lit(80)),
+        F.col("text"),
         F.expr("CASE WHEN doc_id%2=0 THEN '<|im_end|>tail' ELSE ' <|im_start|>assistant\\nmore' END"),
     )
     s = t.documents.select("doc_id", S.strip_generation(full, "qwen2p5").alias("s"))
@@ -573,7 +573,7 @@ def score_history(t):
 
 TOOLS = {"search": {"query": "string", "limit": "integer", "exact": "boolean"}, "math": {"x": "number", "opts": "object"}}
 CALL = (
-    "CASE doc_id % 5 WHEN 0 THEN 'hello <tool_call><function=search><parameter=query>' || substr(text,1,10) || '</parameter>"
+    "CASE doc_id % 5 WHEN 0 THEN 'hello <tool_call><function=search><parameter=query>' || text || '</parameter>"
     "<parameter=limit>' || CAST(doc_id AS {s}) || '</parameter></function></tool_call> bye' "
     "WHEN 1 THEN '<function=math><parameter=x>' || CAST(doc_id AS {s}) || '.5</parameter><parameter=opts>{{\"a\":1}}</parameter></function>' "
     "WHEN 2 THEN 'pre<tool_call><function=search><parameter=exact>True</parameter><parameter=limit>abc</parameter>' "
@@ -584,7 +584,7 @@ CALL = (
 
 @query(
     "b9_extract_tool_calls",
-    """WITH d AS (SELECT doc_id, doc_id%5 AS m, left(text,10) AS q FROM documents WHERE doc_id%5<4)
+    """WITH d AS (SELECT doc_id, doc_id%5 AS m, text AS q FROM documents WHERE doc_id%5<4)
     SELECT doc_id, 'hello ' AS content, 0::INT AS call_no, 'search' AS function, 'query' AS parameter, q AS raw, to_json(q)::VARCHAR AS value FROM d WHERE m=0
     UNION ALL SELECT doc_id, 'hello ', 0, 'search', 'limit', doc_id::VARCHAR, doc_id::VARCHAR FROM d WHERE m=0
     UNION ALL SELECT doc_id, NULL, 0, 'math', 'x', doc_id||'.5', doc_id||'.5' FROM d WHERE m=1

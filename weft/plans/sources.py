@@ -255,7 +255,7 @@ def write_rollouts(t):
 @query(
     "a19_read_eval_set",
     """WITH k AS (SELECT doc_id, lang, '' AS gold, row_number() OVER (ORDER BY 'vid-'||doc_id)-1 AS i, count(*) OVER () AS n FROM documents WHERE doc_id%300 IN (SELECT page_id FROM pages)),
-    m AS (SELECT 'txt-'||item_id AS sample_id, 'txt' AS task, md5(text) AS question, left(text,3) AS gold FROM benchmark)
+    m AS (SELECT 'txt-'||item_id AS sample_id, 'txt' AS task, md5(text) AS question, text AS gold FROM benchmark)
     SELECT 'vid-'||doc_id AS sample_id, 'vid' AS task, lang AS question, gold FROM k WHERE ((i+1)*3-1)//n=1 UNION ALL SELECT * FROM m""",
 )
 def read_eval_set(t):
@@ -271,7 +271,7 @@ def read_eval_set(t):
         task="vid", files=files, partition=(3, 1), test_split=True,
     )
     texts = R.read_eval_set(
-        t.benchmark.select("item_id", F.md5("text").alias("q"), F.left("text", F.lit(3)).alias("a")),
+        t.benchmark.select("item_id", F.md5("text").alias("q"), F.col("text").alias("a")),
         {"sample_id": "item_id", "question": "q", "gold": "a"}, task="txt",
     )
     return R.stack_tasks({"vid": videos.drop("path"), "txt": texts}).select("sample_id", "task", "question", "gold")
