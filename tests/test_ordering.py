@@ -71,3 +71,11 @@ def test_group_median(rows):
     got = {r["g"]: r["median"] for r in O.group_median(df, ["g"], "v").collect()}
     for g in ("a", "b"):
         assert got[g] == statistics.median(v for k, _, v in data if k == g)
+
+
+def test_median_of_one_value_for_nine_rows_of_ten(spark):
+    """Equal values are counted before they move, so the ranged order sees each once."""
+    rows = [("a", 7.0)] * 900 + [("a", float(i)) for i in range(100)] + [("b", 1.0), ("b", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(8)
+    got = {r["g"]: r["median"] for r in O.group_median(df, ["g"], "v").collect()}
+    assert got == {"a": 7.0, "b": 2.5}

@@ -101,3 +101,12 @@ def test_image_tag_rules(spark):
     }
     for q, want in rules.items():
         assert value(spark, P.rewrite_image_tags(F.lit(q))) == want
+
+
+def test_type_suffixes_are_no_numbers(spark):
+    from weft.functions.text import to_number
+
+    texts = ["3", " -4.5 ", "1e5", ".5", "5.", "3d", "12f", "1L", "0x10", "", "e5", "1 2", "nan", "Infinity"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(to_number("t")).collect()]
+    assert got[:5] == [3.0, -4.5, 1e5, 0.5, 5.0] and got[5:12] == [None] * 7
+    assert got[12] != got[12] and got[13] == float("inf")

@@ -156,14 +156,20 @@ def previous(df: DataFrame, columns: Sequence[str], within: Sequence[str], out:
 
 
 def group_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group from the middle ordinals; a group may be any size."""
+    """Exact median per group, from the running counts of its distinct values.
+
+    A group may be any size, and one value may fill it: equal values are counted before anything moves.
+    """
     by = list(by)
-    one = df.filter(F.col(value).isNotNull()).select(*by, value)
-    ranked = ranged_running(one, [value], within=by)
-    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    middle = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
-    middle = middle.filter(
-        (F.col("ordinal") == F.floor((F.col("__n") - 1) / 2))
-        | (F.col("ordinal") == F.floor(F.col("__n") / 2))
-    )
-    return middle.groupBy(*by).agg(F.avg(value).alias(out))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rows"))
+    ranked = ranged_running(counts, [value], ["__rows"], within=by)
+    sizes = counts.groupBy(*by).agg(F.sum("__rows").alias("__all"))
+    placed = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+
+    def holds(position: Column) -> Column:
+        inside = (position >= F.col("cum___rows")) & (position < F.col("cum___rows") + F.col("__rows"))
+        return inside.cast("int")
+
+    times = holds(F.floor((F.col("__all") - 1) / 2)) + holds(F.floor(F.col("__all") / 2))
+    middle = placed.withColumn("__times", times).filter("__times > 0")
+    return middle.groupBy(*by).agg((F.sum(F.col(value) * F.col("__times")) / 2).alias(out))

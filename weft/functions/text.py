@@ -24,6 +24,16 @@ def strip(c: str | Column, chars: str = WHITE) -> Column:
     return F.btrim(col(c), F.lit(chars))
 
 
+#: What is read as a number: decimal digits with an optional exponent, or a name of no finite number.
+NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
+
+
+def to_number(c: str | Column) -> Column:
+    """Double of a text that is a number and nothing else, else null; type suffixes are no digits."""
+    bare = strip(c)
+    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+
+
 def words(c: str | Column) -> Column:
     """Split on runs of white space, without empty ends."""
     s = strip(c)
@@ -174,7 +184,7 @@ def typed_json(raw: Column, declared: Column) -> Column:
     quoted = F.to_json(F.array(raw))
     as_string = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     whole = strip(raw).try_cast("bigint").cast("string")
-    number = strip(raw).try_cast("double")
+    number = to_number(raw)
     number_text = F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(
         number.cast("string")
     )
@@ -274,7 +284,7 @@ def extract_numbers(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Array of comparable forms: a number rounded to 2, or lower text (one character padded)."""
     s = strip(text)
-    number = F.replace(s, F.lit(","), F.lit("")).try_cast("double")
+    number = to_number(F.replace(s, F.lit(","), F.lit("")))
     low = F.lower(s)
     return (
         F.when(number.isNotNull(), F.array(F.bround(number, 2).cast("string")))

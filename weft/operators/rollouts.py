@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.ordering import ranged_running
-from weft.functions.text import col, strip
+from weft.functions.text import col, strip, to_number
 
 EPOCHS = "array<array<struct<pos:int,epoch:int>>>"
 ROLLOUT = (
@@ -455,7 +455,7 @@ def equal_text(answer: Column, gold: Column) -> Column:
     def bare(c):
         return F.regexp_replace(c, r"[\s$]", "")
 
-    x, y = bare(answer).try_cast("double"), bare(gold).try_cast("double")
+    x, y = to_number(bare(answer)), to_number(bare(gold))
     return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-9).otherwise(
         bare(answer) == bare(gold)
     )

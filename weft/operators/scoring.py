@@ -65,7 +65,7 @@ def relaxed(pred: Column, gold: Column, fix_sign: bool = False) -> Column:
     The interval is empty for negative gold; ``fix_sign`` repairs that on request.
     """
     p, g = F.rtrim(pred, F.lit("%")), F.rtrim(gold, F.lit("%"))
-    x, y = p.try_cast("double"), g.try_cast("double")
+    x, y = X.to_number(p), X.to_number(g)
     low, high = y * 0.95, y * 1.05
     if fix_sign:
         low, high = F.least(y * 0.95, y * 1.05), F.greatest(y * 0.95, y * 1.05)
@@ -189,7 +189,7 @@ def open_correct(candidates: Column, golds: Column) -> Column:
     wanted = F.array_distinct(F.flatten(F.transform(golds, X.normalize_answer)))
 
     def number(c):
-        return c.try_cast("double").isNotNull()
+        return X.to_number(c).isNotNull()
 
     return F.exists(
         candidates,

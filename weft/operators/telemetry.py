@@ -20,12 +20,12 @@ def resample(
 ) -> DataFrame:
     """(metric, step, value) on the grid start, then every multiple of ``interval`` up to ``n``.
 
-    Values round to 5 digits, a step found in several files keeps the earliest by ``order``,
-    missing steps are null.
+    Values round to 5 digits, a step found in several files keeps the earliest by ``order``
+    (without one, the least value), missing steps are null.
     """
     value = F.round("value", 5)
     kept = df.groupBy("metric", "step").agg(
-        (F.min_by(value, order) if order else F.first(value)).alias("value")
+        (F.min_by(value, order) if order else F.min(value)).alias("value")
     )
     steps = df.sparkSession.range(1, n + 1).select(F.col("id").alias("step"))
     grid = steps.filter(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.ordering import ranged_running
+from weft.functions.text import to_number
 from weft.operators.batches import partition_of
 
 SAMPLE_FORMAT = "task_loss_samples_v1"  # fixed value
@@ -36,7 +37,7 @@ def parse_results(files: DataFrame) -> DataFrame:
         F.col("name").alias("step"),
         F.explode(F.from_json("body", "map<string,string>")).alias("metric", "raw"),
     )
-    rows = training.unionByName(inference).withColumn("value", F.col("raw").try_cast("double"))
+    rows = training.unionByName(inference).withColumn("value", to_number("raw"))
     return rows.filter(F.col("value").isNotNull() & ~F.isnan("value")).drop("raw")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weft.functions.ordering import ranged_running
 from weft.operators.encode import encode
 from weft.operators.telemetry import interval_log
 
@@ -43,12 +44,8 @@ def encode_stream(
 def running_rate(spark: SparkSession, folder: str) -> DataFrame:
     """(epoch, docs, bytes, at, total_docs) of an encoding stream, one row per micro-batch."""
     rate = spark.read.parquet(f"{folder}/rate")
-    earlier = rate.select(F.col("epoch").alias("e"), F.col("docs").alias("d"))
-    return (
-        rate.join(F.broadcast(earlier), F.col("e") <= F.col("epoch"))  # one row per micro-batch
-        .groupBy("epoch", "docs", "bytes", "at")
-        .agg(F.sum("d").alias("total_docs"))
-    )
+    summed = ranged_running(rate.select("epoch", "docs", "bytes", "at"), ["epoch"], ["docs"], out="__i")
+    return summed.select("epoch", "docs", "bytes", "at", (F.col("cum_docs") + F.col("docs")).alias("total_docs"))
 
 
 def interval_log_stream(
