@@ -15,10 +15,8 @@ from weft.functions.ordering import ranged_running
 
 # piece of a plan: sequences of ``length`` ranked [first, last) go ``per_bin`` to a bin, from
 # ``bin_id`` on, at ``slot`` and token ``start`` of each bin
-PIECE = (
-    "length bigint, first bigint, last bigint, per_bin bigint, "
-    "bin_id bigint, slot bigint, start bigint"
-)
+#: Piece of a plan: ranks ``first .. last - 1`` of a length, ``per_bin`` to a bin from ``bin_id`` on.
+PIECE_FIELDS = "first: bigint, last: bigint, per_bin: bigint, bin_id: bigint, slot: bigint, start: bigint"
 MAX_DISTINCT_LENGTHS = 2_000_000
 
 
@@ -85,7 +83,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple]:
     """Pieces of repeated largest-that-fits; a pattern repeats until one of its lengths runs out."""
     if counts and max(counts) > capacity:
         raise ValueError(f"a sequence of {max(counts)} exceeds the capacity {capacity}")
-    from bisect import bisect_right
+    from bisect import bisect_left, bisect_right
 
     left, taken = dict(counts), dict.fromkeys(counts, 0)
     alive = sorted(left)
@@ -109,7 +107,9 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple]:
             taken[length] += k * times
             left[length] -= k * times
             slot, start = slot + k, start + k * length
-        alive = [length for length in alive if left[length] > 0]
+        for length, _ in pattern:  # only these can have run out
+            if left[length] == 0:
+                del alive[bisect_left(alive, length)]
         bin_id += times
     return pieces
 
@@ -125,11 +125,13 @@ def place(
         within=["length"],
         out="__r",
     )
-    table = df.sparkSession.createDataFrame(pieces, PIECE)
-    # a few pieces per distinct length: bounded like the histogram
-    joined = ranked.join(F.broadcast(table), "length").filter(
-        (F.col("__r") >= F.col("first")) & (F.col("__r") < F.col("last"))
-    )
+    # one row per distinct length with its pieces in order of rank, so a sequence meets one row
+    of_length: dict[int, list[tuple]] = {}
+    for length, *rest in sorted(pieces):
+        of_length.setdefault(length, []).append(tuple(rest))
+    table = df.sparkSession.createDataFrame(list(of_length.items()), f"length bigint, pieces array<struct<{PIECE_FIELDS}>>")
+    hit = F.filter("pieces", lambda p: (p["first"] <= F.col("__r")) & (F.col("__r") < p["last"]))
+    joined = ranked.join(table, "length").select("*", F.explode(F.slice(hit, 1, 1)).alias("__x")).select("seq_id", "length", "__r", "__x.*")
     step = F.col("__r") - F.col("first")
     inside = F.expr("(__r - first) % per_bin")
     return joined.select(

@@ -497,13 +497,24 @@ def math_reward(
     )
 
 
+#: Bits of the largest whole power that is worked out; a larger one has no value as a double anyway.
+POWER_BITS = 4096
+
+
+def _power(a, b):
+    """``a ** b``; whole numbers too large for a double raise, as a double of them would."""
+    if isinstance(a, int) and isinstance(b, int) and b > 1 and abs(a) > 1 and b * abs(a).bit_length() > POWER_BITS:
+        raise OverflowError("power beyond a double")
+    return a**b
+
+
 _OPERATORS = {
     ast.Add: operator.add,
     ast.Sub: operator.sub,
     ast.Mult: operator.mul,
     ast.Div: operator.truediv,
     ast.FloorDiv: operator.floordiv,
-    ast.Pow: lambda a, b: a**b if abs(b) <= 1000 else None,
+    ast.Pow: lambda a, b: _power(a, b),
     ast.USub: operator.neg,
     ast.UAdd: operator.pos,
 }

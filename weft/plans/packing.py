@@ -11,6 +11,7 @@ from weft.operators import packing as P
 from weft.plans.registry import digest, query
 
 BIN, CAP, MAX_SEQS = 4096, 4096, 16
+PIECES = 1_000_000
 
 
 def lengths(t):
@@ -19,10 +20,22 @@ def lengths(t):
     )
 
 
+def cut(df, length):
+    """A row for each piece ``p`` of a bin that a sequence is cut in; an empty one is a piece too."""
+    last = F.greatest(F.ceil(length / CAP) - 1, F.lit(0)).cast("bigint")
+    return df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("p"))
+
+
 def fitting(t):
-    return lengths(t).withColumn("length", F.least(F.col("length"), F.lit(CAP)))
+    """Every sequence, longer ones in pieces of a bin numbered ``seq_id * PIECES + piece``."""
+    left = F.col("length") - F.col("p") * CAP
+    return cut(lengths(t), F.col("length")).select(
+        (F.col("seq_id") * PIECES + F.col("p")).alias("seq_id"), F.least(left, F.lit(CAP)).alias("length")
+    )
 
 
+CUT = f"(SELECT doc_id, text, unnest(range(greatest((octet_length(encode(text))+{CAP}-1)//{CAP}, 1))) AS p FROM documents)"
+FIT = f"len AS (SELECT doc_id*{PIECES}+p AS seq_id, least(octet_length(encode(text))-p*{CAP}, {CAP})::BIGINT AS length FROM {CUT})"
 LEN = "len AS (SELECT doc_id AS seq_id, octet_length(encode(text))::BIGINT AS length FROM documents)"
 
 
@@ -60,7 +73,7 @@ def pack_nfd(t):
 
 @query(
     "d3_pack_best_fit",
-    f"""WITH RECURSIVE {LEN}, s0 AS (SELECT list({{'l': least(length,{CAP}), 'id': seq_id}} ORDER BY least(length,{CAP}), seq_id) AS items FROM len),
+    f"""WITH RECURSIVE {FIT}, s0 AS (SELECT list({{'l': length, 'id': seq_id}} ORDER BY length, seq_id) AS items FROM len),
     g AS (SELECT items, NULL::STRUCT(l BIGINT, id BIGINT) AS got, 0::BIGINT AS bin_id, 0::BIGINT AS slot, 0::BIGINT AS used, 0::BIGINT AS start FROM s0
       UNION ALL SELECT list_filter(items, lambda x: pick IS NULL OR x.id<>pick.id), pick, CASE WHEN pick IS NULL THEN bin_id+1 ELSE bin_id END,
         CASE WHEN pick IS NULL THEN 0 WHEN got IS NULL THEN 0 ELSE slot+1 END, CASE WHEN pick IS NULL THEN 0 ELSE used+pick.l END, used
@@ -82,15 +95,19 @@ def pack_padded(t):
 
 def token_rows(t):
     """Sequences of at most one bin, generated from the second quarter on."""
-    tokens = F.slice(byte_encode("text"), 1, BIN)
-    return t.documents.select(F.col("doc_id").alias("seq_id"), tokens.alias("tokens")).withColumn(
+    whole = t.documents.select("doc_id", byte_encode("text").alias("ids"))
+    pieces = cut(whole, F.size("ids"))
+    rows = pieces.select(
+        (F.col("doc_id") * PIECES + F.col("p")).alias("seq_id"), F.expr(f"slice(ids, cast(p * {BIN} + 1 as int), {BIN})").alias("tokens")
+    )
+    return rows.withColumn(
         "generation_mask",
         F.transform("tokens", lambda v, i: i >= F.floor(F.size("tokens") / 4)),
     )
 
 
-NFD_FIT = f"WITH RECURSIVE len AS (SELECT doc_id AS seq_id, least(octet_length(encode(text)),{BIN})::BIGINT AS length FROM documents), {walk(BIN, MAX_SEQS, '0::BIGINT')}"
-BYTES = f"tk AS (SELECT doc_id AS seq_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x'||h)::INT)[1:{BIN}] AS tokens FROM documents)"
+NFD_FIT = f"WITH RECURSIVE {FIT}, {walk(BIN, MAX_SEQS, '0::BIGINT')}"
+BYTES = f"tk AS (SELECT doc_id*{PIECES}+p AS seq_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x'||h)::INT)[p*{BIN}+1 : (p+1)*{BIN}] AS tokens FROM {CUT})"
 
 
 @query(
@@ -114,7 +131,7 @@ def assemble_bins(t):
 
 @query(
     "d6_assemble_mm_bins",
-    f"""WITH RECURSIVE len AS (SELECT doc_id AS seq_id, least(octet_length(encode(text)),{BIN})::BIGINT AS length FROM documents), {walk(BIN, 1 << 60, '0::BIGINT', '(length+63)//64*64')},
+    f"""WITH RECURSIVE {FIT}, {walk(BIN, 1 << 60, '0::BIGINT', '(length+63)//64*64')},
     {BYTES}, p AS (SELECT w.bin_id, w.slot, w.seq_id, w.length, tokens || list_transform(range(w.length-len(tokens)), lambda x: 0::INT) AS tk,
       tokens || list_transform(range(w.length-len(tokens)), lambda x: -100::INT) AS lb, seq_id%3 AS im FROM w JOIN tk USING (seq_id)),
     c AS (SELECT *, sum(length) OVER (PARTITION BY bin_id ORDER BY slot ROWS UNBOUNDED PRECEDING) AS cu FROM p)
