@@ -101,3 +101,9 @@ def test_tokenizer_types():
     assert T.load_tokenizer("byte").encode("ab") == [97, 98]
     with pytest.raises(ValueError):
         T.load_tokenizer("none")
+
+
+def test_vqa_contractions_of_two_parts(spark):
+    cases = {"couldnt've": "couldn't've", "Mightnt": "mightn't", "someones": "someone's", "youre two": "you're 2", "shedve": "shedve"}
+    df = spark.createDataFrame(list(cases.items()), "a string, b string")
+    assert all(r[0] == r[1] for r in df.select(X.vqa_normalize("a"), "b").collect())

@@ -61,10 +61,9 @@ def vqa_norm_sql(c: str) -> str:
         )
     out = rf"regexp_replace({out}, '\.([^0-9]|$)', '\1', 'g')"
     out = rf"regexp_replace({out}, '\.([^0-9]|$)', '\1', 'g')"
-    swaps = dict(X.VQA_NUMBERS)
-    for full in X.VQA_CONTRACTIONS:
-        swaps[full.replace("'", "")] = full
-    table = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in swaps.items()) + "}"
+    swaps = {**X.VQA_NUMBERS, **X.VQA_CONTRACTIONS}
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in swaps.items()) + "}"
     ws = rf"list_filter(string_split_regex(lower({out}), '\s+'), lambda w: w <> '' AND w NOT IN ('a','an','the'))"
     return f"array_to_string(list_transform({ws}, lambda w: COALESCE({table}[w], w)), ' ')"
 
