@@ -7,8 +7,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 BYTE_VOCAB = 256
 
@@ -17,8 +19,27 @@ def empty_ints() -> Column:
     return F.array().cast("array<int>")
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _utf8(texts: pa.Array) -> pa.Array:
+    """The bytes are there already: one buffer and its offsets become one list array."""
+    raw = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    values = np.zeros(0, np.int32)
+    if data is not None:
+        values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+    nulls = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(values), mask=nulls)
+
+
 def byte_encode(text: str | Column) -> Column:
-    """UTF-8 bytes as ``array<int>``; Latin-1 maps every byte to one character."""
+    """UTF-8 bytes as ``array<int>``, by Arrow batches."""
+    return _utf8(F.col(text) if isinstance(text, str) else text)
+
+
+def byte_values(text: str | Column) -> Column:
+    """The same as an expression that also works inside a lambda; Latin-1 maps every byte to one
+    character."""
     c = F.col(text) if isinstance(text, str) else text
     one_char_per_byte = F.decode(F.encode(c, "utf-8"), "ISO-8859-1")
     return F.when(F.length(c) == 0, empty_ints()).otherwise(

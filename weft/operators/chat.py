@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.ordering import ranged_running
 from weft.functions.text import strip
-from weft.functions.tokens import byte_encode, empty_ints
+from weft.functions.tokens import byte_encode, byte_values, empty_ints
 from weft.operators.packing import cumulative
 
 IGNORE = -100
@@ -111,7 +111,7 @@ def _pieces(messages: Column, template: ChatTemplate) -> Column:
     extra = 1 if template.bos is not None else 0
 
     def one(m, i):
-        tokens = byte_encode(
+        tokens = byte_values(
             F.concat(
                 F.lit(template.head), m["role"], F.lit(template.mid), m["content"], F.lit(template.tail)
             )
