@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, jaccard, packing, pii, quality
-from weft.llm.arrow import new_folder
+from weft.llm.arrow import new_folder, small_batches
 from weft.session import ship
 
 
@@ -40,12 +40,22 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, with_ids=True)
 
 
+def _sized(stage):
+    """The stage, with batches to Python workers of a size that suits whole texts."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality_filter),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("PII", personal_data),
-    ("best-fit packing", best_fit),
+    ("quality classifier", _sized(quality_filter)),
+    ("n-gram Jaccard join", _sized(near_duplicates)),
+    ("benchmark decontamination", _sized(decontamination)),
+    ("PII", _sized(personal_data)),
+    ("best-fit packing", _sized(best_fit)),
 ]
 #: Trained vectors and tokenizer ids have no SQL.
 ORACLE_SQL = None

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.llm import jaccard
@@ -72,6 +73,8 @@ def frame(spark, rows):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_equal_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 700)  # many slices of a batch
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)
     rows = [(i * 13 % 997, t) for i, t in enumerate(corpus(seed))] + [(None, "no id but a text of many words here"), (5, "twin id"), (5, "a b c d")]
     got = jaccard.jaccard_components(frame(spark, rows).repartition(6))
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got.collect()) == brute(rows)
@@ -127,6 +130,13 @@ def test_components_of_long_paths(spark):
     assert all(got[x] == min(order[:300]) for x in order[:300]) and all(got[x] == min(order[300:]) for x in order[300:])
 
 
+def test_slices_give_the_same_sets():
+    texts = pa.array([t for t in corpus(4)], pa.string())
+    whole = [s.tolist() for s in jaccard.shingles(texts)]
+    assert [s.tolist() for a in range(0, len(texts), 7) for s in jaccard.shingles(texts.slice(a, 7))] == whole
+    assert [len(s) for s in whole] == [len(sets(t)) for t in texts.to_pylist()]
+
+
 def test_prefix_is_long_enough():
     n = np.arange(1, 200)
     for size, p in zip(n.tolist(), jaccard.prefix(n).tolist()):

@@ -33,6 +33,15 @@ def test_words_together_equal_the_tokenizer(tokenizer):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_slices_of_a_batch_are_encoded_alike():
+    every = pa.array(texts(60), pa.string())
+    encoder = WordEncoder(default_path())
+    ids, bounds = encoder.encode(every)
+    parts = [encoder.encode(every.slice(a, 9)) for a in range(0, len(every), 9)]
+    assert np.concatenate([p[0] for p in parts]).tolist() == ids.tolist()
+    assert np.concatenate([np.diff(p[1]) for p in parts]).tolist() == np.diff(bounds).tolist()
+
+
 def frame(spark, rows, extra=True):
     if not extra:
         return spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import pin, shared_dir
 
+#: Rows that travel together to a Python worker.
+BATCH_ROWS = 1_000
 #: Text held at once by a task, in bytes; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -82,6 +84,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of this package are whole texts, so a batch between Spark and its Python workers has few of
+    them: ten thousand would be held several times over on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -96,4 +104,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-__all__ = ["SLICE_BYTES", "cuts", "gathered", "new_folder", "pin", "ragged", "slices", "stored", "texts", "words"]
+__all__ = ["SLICE_BYTES", "cuts", "gathered", "new_folder", "pin", "ragged", "slices", "small_batches", "stored", "texts", "words"]

@@ -12,6 +12,13 @@ def _pairs(a, b):
     return F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("up")), F.struct(F.col("y").alias("v"), F.lit(0).alias("up")))).alias("e"))
+    per = ends.groupBy("e.v").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return per.filter("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the smallest reachable node) of every node with an edge to another.
 
@@ -21,21 +28,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     now = stored(now.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(now):
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
         both = now.select(_pairs("x", "y")).select("e.*")
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         moved = large.join(least, "x")
         small = moved.filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
-        now = stored(small.filter("x <> y").distinct(), "edges")
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            break
-        before = mark
+        now = stored(small.distinct(), "edges")
     return now.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(
         now.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
     )

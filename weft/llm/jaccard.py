@@ -45,10 +45,14 @@ from weft.llm.components import components
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Bytes of text whose shingles a task makes at a time.
+SLICE_BYTES = 2 << 20
 #: Bytes of text that a task turns into one block of sorted shingles.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Shingles per hash range, on average.
-RANGE_SHINGLES = 1 << 21
+RANGE_SHINGLES = 1 << 20
+#: Hash ranges at least: a class has a row in each range that holds some of its shared shingles.
+RANGES = 32
 #: Members of a block that is verified.
 MEMBERS = 256
 
@@ -58,15 +62,17 @@ _B = np.uint64(0xBF58476D1CE4E5B9)
 
 def shingles(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 48-bit shingle hashes of every text."""
-    text = pc.ascii_lower(texts(column))
+    text = texts(column)
     for blank in "\t\n\v\f\r":
         text = pc.replace_substring(text, blank, " ")
     split = pc.split_pattern(text, " ")
     coded = split.flatten().dictionary_encode()
     bounds = np.asarray(split.offsets, dtype=np.int64)
+    bounds = bounds - bounds[0]  # a slice of a batch doesn't begin at 0
     index = coded.indices.to_numpy(zero_copy_only=False)
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    # bytes.lower() turns A-Z only; Arrow's own goes wrong on slices that don't begin at 0
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in words), dtype=np.uint64, count=len(words))
     real = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) > 0
     kept = real[index]
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[kept]
@@ -105,7 +111,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n, class``: set size and fingerprint (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             sets = shingles(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())],
@@ -122,7 +128,7 @@ def shared_shingles(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFra
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "text", BLOCK_BYTES):
             block: dict[bytes, np.ndarray] = {}
-            for piece in slices([part]):
+            for piece in slices([part], limit=SLICE_BYTES):
                 for s in shingles(piece.column("text"), width):
                     if len(s):
                         block.setdefault(fingerprint(s), s)
@@ -153,16 +159,23 @@ def shared_shingles(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFra
             size = len(r["owners"]) // (2 if n < 1 << 16 else 4)
             gaps = np.frombuffer(r["gaps"], "<u4" if len(r["gaps"]) == 4 * size else "<u8").astype(np.uint64)
             hashes.append(np.cumsum(gaps) + np.uint64(r["first"]))
-            owners.append(np.frombuffer(r["owners"], "<u2" if n < 1 << 16 else "<u4").astype(np.int64) + base)
+            owners.append(np.frombuffer(r["owners"], "<u2" if n < 1 << 16 else "<u4").astype(np.uint32) + np.uint32(base))
             names.append(r["names"])
             base += n
         names, known = np.unique(np.frombuffer(b"".join(names), dtype=[("a", ">u8"), ("b", ">u8")]), return_inverse=True)
-        h, who = np.concatenate(hashes), known.ravel()[np.concatenate(owners)]
-        order = np.lexsort((who, h))
-        h, who = h[order], who[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-        h, who = h[fresh], who[fresh]
+        h, who = np.concatenate(hashes), known.ravel().astype(np.uint64)[np.concatenate(owners)]
+        del hashes, owners
+        low, bits = h.min(), np.uint64(len(names).bit_length())
+        if int(h.max() - low).bit_length() + int(bits) <= 64:
+            # a range's hash and a class number fit in one number
+            key = np.unique((h - low) << bits | who)
+            h, who = (key >> bits) + low, (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        else:
+            order = np.lexsort((who, h))
+            h, who = h[order], who[order].astype(np.int64)
+            fresh = np.ones(len(h), dtype=bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+            h, who = h[fresh], who[fresh]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(first, len(h)))
         times = np.repeat(size, size)
@@ -371,7 +384,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         every.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes"
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // RANGE_SHINGLES))
+    ranges = max(RANGES, -(-int(total) // RANGE_SHINGLES))
     table = stored(contenders(shared_shingles(docs, ranges, width), classes, percent), "contenders")
     part_of = components(links(table, percent)).select(F.col("node").alias("class"), "component")
     named = classes.join(part_of, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))

@@ -32,6 +32,8 @@ RATE = 1.0
 #: Stands for a word that repeats the one before it: repetition has a vector of its own.
 REPEATED = "\0" * 6
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
+#: Bytes of text scored at a time.
+SLICE_BYTES = 2 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -131,7 +133,7 @@ def score_with(docs: DataFrame, model, held_out) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             score = shipped.value.scores(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -160,7 +162,7 @@ def keep(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch]), batch.schema.names[place]):
+            for part in slices(iter([batch]), batch.schema.names[place], SLICE_BYTES):
                 yield part.filter(pa.array(shipped.value.scores(part.column(place)) >= 0.5))
 
     return docs.mapInArrow(run, schema)
