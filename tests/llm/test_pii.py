@@ -117,6 +117,32 @@ def test_sanitised_text(spark):
             assert by[d]["n_chars"] == len(want)
 
 
+def scattered():
+    """An address of two documents far from the name in both; a domain whose addresses each stand once."""
+    far = " ".join(f"plain{j}" for j in range(30))
+    rows = [(i, f"Ruprecht {far} mail ann@site.org {far} ruprecht once{i} 4") for i in range(2)]
+    rows += [(10 + i, f"joe{i}@rare.net {far} mail Verdandi lone{i}") for i in range(3)]
+    return rows + [(100 + i, f"{far} mail of pair{i // 2}") for i in range(400)]
+
+
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    rows = scattered()
+    got = {r["doc_id"]: r for r in pii.pii_table(frame(spark, rows).repartition(3)).collect()}
+    for d, t in rows:
+        spans = [s.split(":") for s in got[d]["spans"].split(",") if s.startswith("term")]
+        want = {0: ["Ruprecht", "ruprecht"], 10: ["Verdandi"]}.get(0 if d < 2 else 10 if d < 13 else 100, [])
+        assert [t[int(a) : int(b)] for _, a, b in spans] == want and got[d]["n_term"] == len(want)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any(w in t.lower() for t in clean.values() for w in ("ruprecht", "verdandi", "@"))
+    assert all("mail" in t and "plain7" in t for t in clean.values()) and "lone1" in clean[11]
+
+
+def test_chance_is_no_evidence(spark):
+    """Of a domain in a third of all documents, a word of two documents tells nothing."""
+    rows = [(i, f"joe{i}@site.org word w{i // 2}x") for i in range(20)] + [(50 + i, f"word v{i}x") for i in range(40)]
+    assert all(r["n_term"] == 0 for r in pii.pii_table(frame(spark, rows)).collect())
+
+
 def test_no_python_on_the_executors(spark):
     plan = pii.pii_table(frame(spark, leaking()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

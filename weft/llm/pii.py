@@ -2,15 +2,21 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers, found by pattern and
 checked (parts up to 255; 13 to 19 digits and the Luhn sum; 9 to 15 digits).  A base value is a protected
-entity.  The method adds *terms*: words near an entity that give it away.  Over the whole corpus,
+entity, and so is its class: the domain of a mail address, the first three parts of an IP address, the first six
+digits of a card, a telephone number without its last four digits.  The kind is no entity: the label shows it.
+The method adds *terms*: words that give an entity away.  Over the whole corpus,
 
 * the information of an entity e is ``IC(e) = log2(N / n_e)``,
-* what a term t tells about it is ``PMI(t, e) = log2(N * n_te / (n_t * n_e))``,
+* what a term t tells about it is ``PMI(t, e) = log2(P(e | t) * N / n_e)`` with
+  ``P(e | t) = (n_te - 1) / (n_t - 1)``,
 
-with N documents, n_e that hold the entity, n_t that hold the term anywhere, and n_te that hold the term within
-``WORDS`` words of the entity.  A term that occurs so in ``SUPPORT`` documents or more and has
-``PMI >= DISCLOSURE * IC`` is a span wherever it stands near that entity.  It is generalised to a
-class label; one that tells the entity outright (``PMI >= REMOVAL * IC``) is removed.
+with N documents, n_e that hold the entity, n_t that hold the term and n_te that hold both, anywhere in their text.
+``P`` leaves the document out that is to be cleaned: a word of one document only tells nothing by the others.  A
+term with ``PMI >= DISCLOSURE * IC`` is a span wherever it stands in a document that holds the entity, unless chance
+(n_te - 1 of n_t - 1 documents at the rate n_e / N, by Chernoff's bound) gives as much with a probability above
+``CHANCE``.  So an entity of two documents, or a class of entities of one document each, can have terms.  A term is
+generalised to a class label; one that tells the entity outright (``PMI >= REMOVAL * IC``) is removed.  A word that
+overlaps a base span is no term there and isn't counted there.
 
 Positions are code points.  All matches of a pattern and the pieces between them give the positions as running
 sums.  Only documents with some base match go through that; the others pass in one scan.
@@ -21,6 +27,8 @@ null ids are kept.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +48,15 @@ PATTERNS = {
 #: A document without this has no base match.
 SOME = r"@|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){12}|\+[0-9]"
 
-WORDS = 3
-#: Code points read on either side of an entity for its nearest words.
-REACH = 96
-SUPPORT = 3
 DISCLOSURE = 0.8
 REMOVAL = 0.95
+#: A co-occurrence that chance gives with a higher probability is no evidence.
+CHANCE = 0.01
 #: A term: letters, then letters or digits.
 WORD = r"\p{L}[\p{L}\p{N}]*+"
+#: Stands for every character of a base span (a noncharacter), and counts as a letter there.
+FILL = "\uffff"
+FILLED_WORD = rf"[\p{{L}}{FILL}][\p{{L}}\p{{N}}{FILL}]*+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]", "removed": ""}
 
 
@@ -97,64 +106,88 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return placed.filter(_holds(F.col("kind"), F.col("value"))).select("row", "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
 
 
-def _words_in(c: Column) -> Column:
-    """``word, at`` of the words of a short string."""
-    words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-    gaps = F.split(c, WORD, -1)
-    start = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(
-        F.slice(words, 1, i), F.lit(0), lambda a, w: a + F.length(w)
+def _runs(spans: DataFrame, label: Column) -> DataFrame:
+    """``row, parts, last``: overlapping spans made one, each with the end of the one before."""
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), _kind_order(F.col("kind")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min_by(label, F.struct("start", -F.col("end"), _kind_order(F.col("kind")))).alias("label"),
     )
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), start(i).cast("int").alias("at")))
-
-
-def nearby(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``row, kind, value, term, start, end``: the words next to every base span that are in no base
-    span themselves.  A word cut by the end of the reach isn't taken."""
-    per_row = spans.groupBy("row").agg(F.collect_list(F.struct("kind", "value", "start", "end")).alias("spans"))
-    # the short strings around the spans are cut where the text is, which itself isn't repeated
-    left_at = lambda s: F.greatest(s["start"] - REACH, F.lit(0))
-    around = F.transform("spans", lambda s: F.struct(
-        s["kind"].alias("kind"), s["value"].alias("value"), s["end"].alias("end"), left_at(s).alias("left_at"),
-        F.substring(F.col("text"), left_at(s) + 1, s["start"] - left_at(s)).alias("left"),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)).alias("right"),
-    ))
-    met = per_row.join(rows.select("row", "text"), "row")
-    met = met.select("row", F.length("text").alias("n"), F.explode(around).alias("s")).select("row", "n", "s.*")
-    right_end = F.least(F.col("end") + REACH, F.col("n"))
-    place = lambda words, offset: F.transform(words, lambda w: F.struct(
-        F.lower(w["word"]).alias("term"), (w["at"] + offset).alias("from"), (w["at"] + offset + F.length(w["word"])).alias("to")
-    ))
-    ahead = F.filter(place(_words_in(F.col("left")), F.col("left_at")), lambda w: (w["from"] > F.col("left_at")) | (F.col("left_at") == 0))
-    behind = F.filter(place(_words_in(F.col("right")), F.col("end")), lambda w: (w["to"] < right_end) | (right_end == F.col("n")))
-    near = F.concat(F.slice(F.reverse(ahead), 1, WORDS), F.slice(behind, 1, WORDS))
-    one = met.select("row", "kind", "value", F.explode(near).alias("w"))
-    # a word overlaps a span if both touch a common stretch of the text; a word touches two at most
-    cell = lambda c: F.floor(c / F.lit(2 * REACH)).cast("int")
-    taken = spans.select("row", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1))).alias("cell"))
-    for edge in (F.col("w.from"), F.col("w.to") - 1):
-        one = one.withColumn("cell", cell(edge)).alias("o").join(
-            taken.alias("t"),
-            (F.col("o.row") == F.col("t.row")) & (F.col("o.cell") == F.col("t.cell")) & (F.col("t.s") < F.col("o.w.to")) & (F.col("o.w.from") < F.col("t.e")),
-            "left_anti",
-        ).drop("cell")
-    return one.select("row", "kind", "value", F.col("w.term").alias("term"), F.col("w.from").alias("start"), F.col("w.to").alias("end"))
-
-
-def disclosing(near: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """``kind, value, term, removed``: terms that give an entity away, by the whole corpus."""
-    together = near.groupBy("kind", "value", "term").agg(F.countDistinct("row").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    entity = spans.groupBy("kind", "value").agg(F.countDistinct("row").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    previous = F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0))
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "previous", "label")))
+    return merged.withColumn("previous", previous).groupBy("row").agg(parts.alias("parts"), F.max("end").alias("last"))
+
+
+def _with_parts(label) -> Column:
+    """The text with ``label`` of each part in its place."""
+    piece = lambda p: F.concat(F.substring(F.col("text"), p["previous"] + 1, p["start"] - p["previous"]), label(p))
+    head = F.array_join(F.transform("parts", piece), "")
+    return F.when(F.col("last").isNull(), F.col("text")).otherwise(F.concat(head, F.expr("substring(text, last + 1)")))
+
+
+def filled(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``row, text``: every character of a base span replaced by ``FILL``, so that positions stay."""
+    joined = rows.select("row", "text").join(_runs(spans, F.lit("")), "row", "left")
+    return joined.select("row", _with_parts(lambda p: F.repeat(F.lit(FILL), p["end"] - p["start"])).alias("text"))
+
+
+def _terms(pattern: str) -> Column:
+    """The distinct words of the text, in lower case, without those that touch a base span."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower))
+    return F.filter(words, lambda w: ~F.contains(w, F.lit(FILL)))
+
+
+def entities(spans: DataFrame) -> DataFrame:
+    """``row, entity``: the base values of a document and their classes, each once."""
+    kind, value, digits = F.col("kind"), F.col("value"), _digits(F.col("value"))
+    part = (
+        F.when(kind == "email", F.lower(F.substring_index("value", "@", -1)))
+        .when(kind == "ip", F.substring_index("value", ".", 3))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    )
+    both = F.array(F.concat_ws("=", kind, value), F.concat_ws("~", kind, part))
+    return spans.select("row", F.explode(both).alias("entity")).distinct()
+
+
+def disclosing(left: DataFrame, spans: DataFrame, clean: DataFrame) -> DataFrame:
+    """``row, term, removed``: terms of a document that give one of its entities away, by the whole
+    corpus: ``left`` is what the base spans leave of the numbered documents, ``clean`` the others."""
+    total = left.select(F.lit(1)).unionByName(clean.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
+    held = entities(spans)
+    # an entity or a term of one document has no others to tell by
+    known = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter("n_e > 1"), "entity")
+    known = stored(known.crossJoin(F.broadcast(total)).filter("n_e < n"), "entities")  # one row
+    words = left.select(F.explode(_terms(FILLED_WORD)).alias("term")).unionByName(clean.select(F.explode(_terms(WORD)).alias("term")))
     # documents per term: counted map-side, then met with the terms in question
-    holding = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    wanted = together.select("term").distinct()
-    holding = holding.join(wanted, "term")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = together.join(holding, "term").join(entity, ["kind", "value"]).crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    ic = F.log2(F.col("n") / F.col("n_e"))
-    told = stats.filter(pmi >= DISCLOSURE * ic)
-    return told.select("kind", "value", "term", (pmi >= REMOVAL * ic).alias("removed"))
+    holding = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter("n_t > 1")
+    wanted = left.join(known.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(FILLED_WORD)).alias("term"))
+    rate = F.col("n_e") / F.col("n")
+    # n_te is n_e at most, so that a common word is out before it meets a rare entity
+    able = F.col("n_e") - 1 >= (F.col("n_t") - 1) * F.pow(rate, F.lit(1 - DISCLOSURE)) * (1 - 1e-9)
+    pairs = stored(wanted.join(holding, "term").join(known, "row").filter(able).select("row", "entity", "term", "n_t", "n_e", "n"), "pairs")
+    stats = pairs.groupBy("entity", "term", "n_t", "n_e", "n").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
+    k, others = F.col("n_te") - 1, F.col("n_t") - 1
+    pmi, ic = F.log2(k / others / rate), -F.log2(rate)
+    misses = F.when(others > k, (others - k) * F.log((1 - k / others) / (1 - rate))).otherwise(F.lit(0.0))
+    evidence = k * F.log(k / others / rate) + misses
+    told = stats.filter((pmi >= DISCLOSURE * ic) & (evidence >= float(-math.log(CHANCE))))
+    told = told.select("entity", "term", (pmi >= REMOVAL * ic).alias("removed"))
+    return pairs.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
+
+
+def placed(left: DataFrame, told: DataFrame) -> DataFrame:
+    """``row, start, end, removed``: wherever the terms of a document stand in it."""
+    marked = left.join(told.select("row").distinct(), "row", "left_semi")
+    words, gaps = F.regexp_extract_all("text", F.lit(FILLED_WORD), F.lit(0)), F.split("text", FILLED_WORD, -1)
+    one = marked.select("row", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("i", "w")).select("row", "i", "w.*")
+    order = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("gap") + F.coalesce(F.length("word"), F.lit(0))).over(order).cast("int")
+    every = one.withColumn("end", end).select("row", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+    return every.join(told, ["row", "term"]).select("row", "start", "end", "removed")
 
 
 def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,12 +197,11 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(held, "held"), docs.filter(~some)
 
 
-def find_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
+def find_spans(clean: DataFrame, held: DataFrame) -> DataFrame:
     """``row, kind, start, end, removed``: base spans and terms of the numbered documents."""
     spans = stored(base_spans(held.select("row", F.col("text").cast("string").alias("text"))), "spans")
-    near = stored(nearby(held.select("row", "text"), spans), "near")
-    told = disclosing(near, spans, docs)
-    terms = near.join(told, ["kind", "value", "term"]).groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
+    left = stored(filled(held, spans), "left")
+    terms = placed(left, stored(disclosing(left, spans, clean), "told"))
     return spans.select("row", "kind", "start", "end", F.lit(False).alias("removed")).unionByName(
         terms.select("row", F.lit(TERM).alias("kind"), "start", "end", "removed")
     )
@@ -185,7 +217,7 @@ def pii_table(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term``."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held, clean = _parts(source)
-    spans = find_spans(source, held)
+    spans = find_spans(clean, held)
     entry = F.struct(_kind_order(F.col("kind")).alias("order"), "start", "end", "kind")
     per_row = spans.groupBy("row").agg(
         *[F.sum((F.col("kind") == k).cast("bigint")).alias(f"n_{k}") for k in (*KINDS, TERM)],
@@ -211,23 +243,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     source = docs.select(F.col("text").cast("string").alias("text"), whole)
     held, clean = _parts(source)
-    spans = find_spans(source, held)
-    order = Window.partitionBy("row").orderBy("start", F.desc("end"), _kind_order(F.col("kind")))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
-    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = find_spans(clean, held)
     kind = F.when(F.col("removed"), F.lit("removed")).otherwise(F.col("kind"))
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[kind]
-    merged = runs.groupBy("row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min_by(label, F.struct("start", -F.col("end"), _kind_order(F.col("kind")))).alias("label"),
-    )
-    previous = F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0))
-    parts = F.array_sort(F.collect_list(F.struct("start", "previous", "label")))
-    joined = merged.withColumn("previous", previous).groupBy("row").agg(parts.alias("parts"), F.max("end").alias("last"))
-    piece = lambda p: F.concat(F.substring(F.col("text"), p["previous"] + 1, p["start"] - p["previous"]), p["label"])
-    head = F.array_join(F.transform("parts", piece), "")
-    changed = F.when(F.col("last").isNull(), F.col("text")).otherwise(F.concat(head, F.expr("substring(text, last + 1)")))
+    joined = _runs(spans, label)
+    changed = _with_parts(lambda p: p["label"])
     full = held.join(joined, "row", "left").withColumn("whole", F.col("whole").withField("text", changed))
     if "n_chars" in docs.columns:
         n = F.length("whole.text").cast(docs.schema["n_chars"].dataType)
