@@ -118,6 +118,31 @@ def test_representatives_keep_all_columns(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 7, 9]
 
 
+def test_representatives_are_one_row_of_each_component(spark):
+    """Null ids, repeated rows, and one id with two texts."""
+    near = [" ".join(f"w{j}" for j in range(60)), " ".join(f"w{j}" for j in range(58))]
+    rows = [(None, "only text without id here"), (None, "only text without id here")]  # copies without id
+    rows += [(None, "another one that has no id")]
+    rows += [(None, near[0]), (None, near[1])]  # linked, no id
+    rows += [(3, "one two three four five six"), (3, "one two three four five six")]  # repeated row
+    rows += [(4, "text B of two rows in all"), (5, "text B of two rows in all"), (5, "text C of its own")]
+    rows += [(None, "text C of its own"), (2, ""), (2, ""), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.representatives(frame(spark, rows).repartition(4)).collect()]
+    linked = [g for g in got if g[1] in near]
+    assert len(linked) == 1 and linked[0][0] is None
+    want = [(None, "only text without id here"), (None, "another one that has no id"), (3, "one two three four five six")]
+    want += [(4, "text B of two rows in all"), (5, "text C of its own"), (2, ""), (2, ""), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want + linked))
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_representatives_equal_all_pairs(spark, seed):
+    rows = [(i * 13 % 997, t) for i, t in enumerate(corpus(seed))]
+    want = sorted(str(d) for d, n, c in brute(rows) if n == 0 or d == c)
+    got = jaccard.representatives(frame(spark, rows).repartition(6))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 

@@ -29,7 +29,6 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,22 +102,22 @@ def prefix(n: np.ndarray | int, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _source(docs: DataFrame, *keys: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys)
 
 
-def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n, class``: set size and fingerprint (null for an empty set)."""
+def set_table(docs: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n, class``: set size and fingerprint (null for an empty set), then the ``keys`` (bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE_BYTES):
             sets = shingles(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n", "class"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), *[part.column(k) for k in keys]],
+                ["doc_id", "n", "class", *keys],
             )
 
-    return _source(docs).mapInArrow(run, "doc_id bigint, n bigint, class binary")
+    return _source(docs, *keys).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, class binary", *[f"{k} bigint" for k in keys]]))
 
 
 def shared_shingles(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFrame:
@@ -377,16 +376,21 @@ def links(table: DataFrame, percent: int = PERCENT, members: int = MEMBERS) -> D
     return hubs.unionByName(rest)
 
 
+def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``class, component`` of the classes (``class, n``) of the documents that are linked with another."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    ranges = max(RANGES, -(-int(total) // RANGE_SHINGLES))
+    table = stored(contenders(shared_shingles(docs, ranges, width), classes, percent), "contenders")
+    return components(links(table, percent)).select(F.col("node").alias("class"), "component")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     every = stored(set_table(docs, width), "sets")
     classes = stored(
         every.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(RANGES, -(-int(total) // RANGE_SHINGLES))
-    table = stored(contenders(shared_shingles(docs, ranges, width), classes, percent), "contenders")
-    part_of = components(links(table, percent)).select(F.col("node").alias("class"), "component")
+    part_of = class_components(docs, classes, width, percent)
     named = classes.join(part_of, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "component").select("class", "component_id")
@@ -396,12 +400,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents (all columns) whose id is the least of their component, one row for each.
-
-    Rows of an equal id with equal text count as copies; a row without id is kept only if its
-    component has no id and then once for each distinct set.
+    """One document (all columns) of every component: the one of least id, a row without id only if
+    no row of the component has one.  Of several rows with that id the one of the least fingerprint, then the first,
+    stays.  A document with an empty set is linked with nothing, so each such row stays.
     """
-    key = f"__c_{uuid.uuid4().hex[:8]}"
-    found = jaccard_components(docs, width, percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint") == F.col(key), "left_semi")
+    # a row's number is read from what was written; the caller's columns travel as one
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "numbered")
+    source = numbered.select("whole.doc_id", "whole.text", "row")
+    every = stored(set_table(source, width, ("row",)), "sets")
+    real = every.filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = stored(real.groupBy("class").agg(F.first("n").alias("n"), first), "classes")
+    part_of = class_components(source, classes, width, percent)
+    named = classes.join(part_of, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    chosen = named.groupBy("component").agg(F.min(F.struct("first.none", "first.doc_id", "class", "first.row")).alias("least"))
+    kept = chosen.select("least.row").unionByName(every.filter("n = 0").select("row"))
+    return numbered.join(kept, "row", "left_semi").select("whole.*")
