@@ -66,7 +66,13 @@ NAMES = frozenset(
 #: The same, unless the container is inside an article.
 WEAK_NAMES = frozenset(["header", "headers"])
 
-_RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|xmp|noembed|noframes"
+#: These hold no article text; unclosed, they run to the end of the page.
+_RAW = "script|style|noscript|template|iframe|xmp|noembed|noframes"
+#: These hold none up to their closing tag; without one, only the tag itself goes.
+EMBEDDED = frozenset("object svg math canvas audio video".split())
+#: Empty if self-closed.
+FOREIGN = frozenset(["svg", "math"])
+_CLOSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in EMBEDDED}
 _TOKEN = re.compile(
     rf"""<!--.*?(?:--!?>|\Z)
     |<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)
@@ -129,7 +135,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
                 linked.append(piece)
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    unclosed: set[str] = set()  # embedded elements with no closing tag from here on
+    while m := _TOKEN.search(html, at):
         text(html[at : m.start()])
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
@@ -139,6 +146,13 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in INLINE_BREAKS:
             text(" ")
             continue
+        if tag in EMBEDDED:
+            if not closing and tag not in unclosed and not (tag in FOREIGN and attributes.endswith("/")):
+                end = _CLOSED[tag].search(html, at)
+                at = end.end() if end else at
+                if not end:
+                    unclosed.add(tag)
+            continue
         block = tag in BLOCKS
         if block:
             close_block()
