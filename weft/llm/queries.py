@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity
+from weft.llm import decontaminate, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity, whitening
 from weft.llm.arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_best_two_fit")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
