@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity, whitening
+from weft.llm import decontaminate, fingerprints, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity, whitening
 from weft.llm.arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_whitening")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_table(table(spark, folder, "documents"))
