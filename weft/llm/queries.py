@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, fingerprints, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity, whitening
+from weft.llm import alignment, decontaminate, fingerprints, html, jaccard, lengths, neighbours, packing, pii, quality, tokenfile, toxicity, whitening
 from weft.llm.arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_fingerprints")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_table(table(spark, folder, "documents"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
