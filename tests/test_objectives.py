@@ -1,4 +1,6 @@
+import hashlib
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -51,76 +53,173 @@ def test_whole_epochs_until_enough(spark):
     assert runs.filter(F.col("epoch") < last).count() < 4 * per_epoch
 
 
-def test_masking_keeps_budget_and_originals():
-    rng = np.random.default_rng(0)
-    for geometric in (False, True):
-        cfg = M.MaskConfig(**{**CFG.__dict__, "geometric": geometric})
-        for _ in range(200):
-            tokens = [200] + [int(x) for x in rng.integers(0, 100, rng.integers(2, 50))] + [201]
-            out, labels, spans = M.mask_ngrams(tokens, 60, cfg, rng)
-            assert len(labels) <= max(1, round(len(tokens) * 0.15))
-            assert all(tokens[p] == v for p, v in labels.items())
-            assert all(out[p] == t for p, t in enumerate(tokens) if p not in labels)
-            flat = [p for s in spans for p in s]
-            assert len(flat) == len(set(flat)) and 0 not in flat and len(tokens) - 1 not in flat
-
-
-def test_replacement_shares():
-    rng, fate = np.random.default_rng(1), {"mask": 0, "other": 0}
-    for _ in range(400):
-        tokens = [int(x) for x in rng.integers(0, 50, 50)]
-        out, labels, _ = M.mask_ngrams(tokens, 60, CFG, rng)
-        for p in labels:
-            fate["mask" if out[p] == CFG.mask else "other"] += 1
-    assert 0.75 < fate["mask"] / sum(fate.values()) < 0.85
-
-
-def test_pair_samples(spark):
-    rows = [(i, [[1, 2, 3], [4, 5], [6] * (i % 40), [7, 8]], 20) for i in range(60)]
+def draws(seed, *keys):
+    return hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()
+
+
+def number(digits, k=0):
+    return int(digits[8 * k : 8 * k + 8], 16)
+
+
+def pick_by_hand(words, budget, taken, idx, tag, cfg, geometric):
+    """Disjoint n-grams of words in drawn order, one after the other, within the budget."""
+    ends = cfg.size_ends(geometric)
+    used, out = set(), []
+    for digits, w in sorted((draws(cfg.seed, tag, idx, w), w) for w in range(len(words))):
+        if len(used) >= budget:
+            break
+        size = 1 + sum(number(digits, 1) >= e for e in ends)
+        for n in range(size, 0, -1):
+            spots = [p for word in words[w : w + n] for p in word]
+            if len(used) + len(spots) <= budget:
+                if not (set(spots) & (used | taken)):
+                    used.update(spots)
+                    out.append(spots)
+                break
+    return sorted(out)
+
+
+def mask_by_hand(tokens, target, idx, cfg):
+    """(text, position to label, spans) by a plain walk."""
+    words = []
+    for i, t in enumerate(tokens):
+        if t not in (cfg.cls, cfg.sep):
+            if cfg.whole_words and t in cfg.continuations and words:
+                words[-1].append(i)
+            else:
+                words.append([i])
+    budget = min(cfg.probability * target, max(1, round(len(tokens) * cfg.probability)))
+    spans = pick_by_hand(words, budget, set(), idx, "mask", cfg, cfg.geometric)
+    text, labels = list(tokens), {}
+    for p in [p for s in spans for p in s]:
+        d = draws(cfg.seed, "fate", idx, p)
+        labels[p] = tokens[p]
+        if cfg.always_mask or number(d) < round(0.8 * 2**32):
+            text[p] = cfg.mask
+        elif number(d) < round(0.9 * 2**32):
+            text[p] = number(d, 1) % cfg.vocab
+    if cfg.permute:
+        moved = [p for s in pick_by_hand(words, budget, set(labels), idx, "move", cfg, False) for p in s]
+        for p, q in zip(moved, sorted(moved, key=lambda p: draws(cfg.seed, "swap", idx, p))):
+            text[p], labels[p] = tokens[q], tokens[p]
+    return text, labels, spans
+
+
+def pair_by_hand(sentences, target, idx, cfg):
+    d, pivot, swapped = draws(cfg.seed, "pair", idx), len(sentences), 0
+    if cfg.classify:
+        pivot = 1 + number(d) % (len(sentences) - 1) if len(sentences) >= 3 else 1
+        swapped = int(number(d, 1) % 2 == 0)
+    a, b = sum(sentences[:pivot], []), sum(sentences[pivot:], [])
+    a, b = (b, a) if swapped else (a, b)
+    k = 0
+    while len(a) + len(b) > target:
+        digit = draws(cfg.seed, "trim", idx, k // 32)[k % 32]
+        part = a if len(a) > len(b) else b
+        del part[0 if digit < "8" else -1]
+        k += 1
+    tokens = [cfg.cls, *a, cfg.sep] + ([*b, cfg.sep] if b else [])
+    text, labels, _ = mask_by_hand(tokens, target, idx, cfg)
+    n, fill = len(tokens), cfg.length - len(tokens)
+    unpad = lambda row: [0 if t == cfg.pad else t for t in row]
+    return {
+        "idx": idx, "text": unpad(text) + [0] * fill, "types": [0] * (len(a) + 2) + [1] * (n - len(a) - 2) + [cfg.pad] * fill,
+        "labels": unpad([labels.get(p, -1) for p in range(cfg.length)]), "is_random": swapped,
+        "padding_mask": [cfg.pad if t == cfg.pad else 1 for t in text] + [cfg.pad] * fill,
+        "loss_mask": [int(p in labels) for p in range(cfg.length)], "truncated": int(k > 0),
+    }
+
+
+def sentences_at_random(n, seed, top=100):
+    rng = random.Random(seed)
+    return [[[rng.randrange(top) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(2, 7))] for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {}, {"geometric": True}, {"permute": True, "classify": False}, {"longer_ngrams": True, "whole_words": False},
+        {"pad": 7, "always_mask": True, "max_ngram": 5, "probability": 0.4}, {"probability": 0.01}, {"continuations": frozenset()},
+    ],
+)
+def test_pair_samples_equal_the_walk(spark, changes):
+    cfg = replace(CFG, **changes)
+    made = [*sentences_at_random(60, 3), [[55], [51]], [[3], [50] * 30], [[9] * 70, [8]]]
+    rows = [(i, s, 8 + 7 * (i % 8)) for i, s in enumerate(made)]
     df = spark.createDataFrame(rows, "idx bigint, sentences array<array<int>>, target int")
-    out = M.bert_samples(df, CFG).collect()
-    again = {r["idx"]: r["text"] for r in M.bert_samples(df.repartition(5), CFG).collect()}
-    assert len(out) == 60
-    for r in out:
-        assert r["text"] == again[r["idx"]]
-        assert len(r["text"]) == len(r["labels"]) == len(r["types"]) == 64
-        real = [t for t, p in zip(r["text"], r["padding_mask"]) if p == 1]
-        assert len(real) <= 20 + 3 and real[0] == 200 and real.count(201) == 2
-        assert r["truncated"] == int(sum(map(len, rows[r["idx"]][1])) > 20)
-    assert {r["is_random"] for r in out} == {0, 1}
-
-
-def test_spans_merge_back(spark):
+    out = {r["idx"]: r.asDict() for r in M.bert_samples(df.repartition(3), cfg).collect()}
+    for i, s, target in rows:
+        assert out[i] == pair_by_hand([list(x) for x in s], target, i, cfg), i
+
+
+def test_pairs_need_two_sentences_and_room(spark):
+    schema = "idx bigint, sentences array<array<int>>, target int"
+    for rows, message in (([(1, [[5, 6]], 20)], "two sentences"), ([(1, [[5] * 70, [6]], 200)], "longer than")):
+        with pytest.raises(Exception, match=message):
+            M.bert_samples(spark.createDataFrame(rows, schema), CFG).collect()
+
+
+def test_replacement_shares(spark):
+    df = spark.range(400).select(F.col("id").alias("idx"), F.expr("transform(sequence(0, 49), i -> cast(i as int))").alias("t"))
+    out = df.select(F.explode(M.mask_ngrams(F.col("t"), F.lit(60), F.col("idx"), CFG)["changes"]).alias("c")).select("c.*")
+    share = out.agg(F.avg((F.col("token") == CFG.mask).cast("int")), F.avg((F.col("token") == F.col("label")).cast("int"))).first()
+    assert 0.77 < share[0] < 0.83 and 0.08 < share[1] < 0.13
+
+
+def spans_by_hand(tokens, target, idx, cfg, sentinels, bos, eos):
+    cut = tokens[:target]
+    _, _, spans = mask_by_hand(cut, target, idx, replace(cfg, always_mask=True, permute=False))
+    enc, told, at = [], [], 0
+    for name, spots in zip(sentinels, spans):
+        enc += cut[at : spots[0]] + [name]
+        told += [name] + [cut[p] for p in spots]
+        at = spots[-1] + 1
+    return enc + cut[at:], [bos, *told], [*told, eos]
+
+
+def test_spans_equal_the_walk_and_merge_back(spark):
     rng = random.Random(4)
-    rows = [(i, [rng.randrange(100) for _ in range(rng.randint(5, 60))], 40) for i in range(50)]
+    rows = [(i, [rng.choice([200, 201, *range(100)]) for _ in range(rng.randint(0, 60))], 40) for i in range(60)]
     df = spark.createDataFrame(rows, "idx bigint, tokens array<int>, target int")
     sentinels = list(range(300, 320))
     for r in M.span_corrupt(df, CFG, sentinels, 290, 291, 64).collect():
-        told, key = {}, None
-        labels = [t for t, m in zip(r["labels"], r["loss_mask"]) if m]
-        assert labels[-1] == 291
-        for t in labels[:-1]:
-            if t in sentinels:
-                key = t
-                told[key] = []
-            else:
-                told[key].append(t)
-        enc = [t for t, m in zip(r["text_enc"], r["enc_mask"]) if m]
-        merged = [x for t in enc for x in (told[t] if t in told else [t])]
-        assert merged == rows[r["idx"]][1][:40]
-        dec = [t for t, m in zip(r["text_dec"], r["dec_mask"]) if m]
-        assert dec == [290, *labels[:-1]]
+        enc, dec, labels = spans_by_hand(rows[r["idx"]][1], 40, r["idx"], CFG, sentinels, 290, 291)
+        assert r["text_enc"] == enc + [0] * (64 - len(enc)) and r["enc_mask"] == [1] * len(enc) + [0] * (64 - len(enc))
+        assert r["text_dec"] == dec + [0] * (64 - len(dec)) and r["dec_mask"] == [1] * len(dec) + [0] * (64 - len(dec))
+        assert r["labels"] == labels + [0] * (64 - len(dec)) and r["loss_mask"] == r["dec_mask"]
+        assert r["truncated"] == int(len(rows[r["idx"]][1]) > 40)
+    with pytest.raises(Exception, match="sentinel"):
+        M.span_corrupt(df, CFG, [300], 290, 291, 64).collect()
 
 
-@pytest.mark.parametrize("spm", [0.0, 1.0])
+def infill_rows(n=80, seed=6):
+    rng = random.Random(seed)
+    pieces = ["alpha", "/", " ", "é", "日本", "🙂", "keep ", "\n", "\u3000"]
+    rows = [(0, list(b"alpha/beta gamma") + [256] + list(b"delta") + [256] + list(b"last/one")), (1, []), (2, [256, 256]), (3, list("日本語".encode())[1:-1])]
+    for i in range(4, n):
+        tokens = []
+        for _ in range(rng.randint(0, 30)):
+            tokens += rng.choice([[256], [47], [300], [0xE3], [0x81], [0xED, 0xA0, 0x80], [0xF0, 0x9F], *[list(rng.choice(pieces).encode()) for _ in range(8)]])
+        rows.append((i, tokens))
+    return rows
+
+
+@pytest.mark.parametrize("spm", [0.0, 0.5, 1.0])
 @pytest.mark.parametrize("split", [None, 47])
-def test_infill_rearranges_segments(spm, split):
-    tok = ByteTokenizer()
-    cfg = M.InfillConfig(1.0, spm, 260, 261, 262, 263, 256, split=split, fragment_rate=1.0)
-    text = list(b"alpha/beta gamma") + [256] + list(b"delta") + [256] + list(b"last/one")
-    out = M.infill_sample(text + [0] * 0, 5, cfg, tok)
-    assert len(out) == len(text)
-    full = M.infill_segment(list(b"alpha beta"), 1.0, cfg, tok, np.random.default_rng(3))
+@pytest.mark.parametrize("no_prefix", [None, "keep"])
+def test_infill_columns_equal_the_tokenizer_path(spark, spm, split, no_prefix):
+    cfg = M.InfillConfig(0.7, spm, 260, 261, 262, 263, 256, split=split, fragment_rate=0.6, no_prefix=no_prefix)
+    rows = infill_rows()
+    df = spark.createDataFrame(rows, "idx bigint, tokens array<int>")
+    want = {i: M.infill_sample(t, i, cfg, ByteTokenizer()) for i, t in rows}
+    assert {r["idx"]: r["tokens"] for r in M.fim_bytes(df.repartition(3), cfg).collect()} == want
+    assert {r["idx"]: r["tokens"] for r in M.fim(df, cfg, ByteTokenizer).collect()} == want
+
+
+@pytest.mark.parametrize("spm", [0.0, 1.0])
+def test_infill_parts_join_to_the_text(spm):
+    cfg = M.InfillConfig(1.0, spm, 260, 261, 262, 263, 256)
+    full = M.infill_segment(list(b"alpha beta"), 1.0, cfg, ByteTokenizer(), (3, 0))
     parts = {}
     key = None
     for t in full:
@@ -135,13 +234,16 @@ def test_infill_rearranges_segments(spm, split):
     else:
         assert full[0] == 260
         joined = parts[260] + parts[261] + parts[262]
-    assert bytes(joined) == b"alpha beta"
+    assert sorted(joined) == sorted(b"alpha beta")
 
 
-def test_infill_respects_the_prefix_rule():
-    cfg = M.InfillConfig(1.0, 0.5, 260, 261, 262, 263, 256, no_prefix="keep")
-    tokens = list(b"keep me")
-    assert M.infill_segment(tokens, 1.0, cfg, ByteTokenizer(), np.random.default_rng(0)) == tokens
+def test_byte_text_equals_the_decoder(spark):
+    rng = random.Random(11)
+    rows = [[rng.choice([rng.randrange(256), rng.randrange(0x80, 0xF5), 32, 65, 256, 300]) for _ in range(rng.randint(0, 40))] for _ in range(300)]
+    rows += [list("naïve 日本 🙂 　\x1f\x85".encode()), list("a​".encode()), [0xED, 0x9F, 0xBF], [0xF4, 0x90, 0x80, 0x80]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t array<int>")
+    got = {r["i"]: r["x"] for r in df.select("i", M.byte_text(F.col("t")).alias("x")).collect()}
+    assert got == {i: ByteTokenizer().decode(t) for i, t in enumerate(rows)}
 
 
 def packed_by_hand(parts, length, pad, cp):

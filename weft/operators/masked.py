@@ -1,27 +1,29 @@
-"""Row-seeded objectives: sentence pairs, n-gram masking, span corruption, fill in the middle.
+"""Masked objectives as array expressions: sentence pairs, n-gram masking, span corruption, fill in the middle.
 
-The random walk of one sample lives in a small per-row helper; Spark partitions the samples,
-and a row's stream depends on (seed, idx) alone, so a lost task repeats the same samples.
+Every random choice is a draw named by (seed, sample, purpose, position), see :mod:`weft.functions.draws`, so
+samples need no walk of their own and come out alike in any partitioning.  Maskable positions are called
+places and are numbered without the special tokens; a word is a range of places, an n-gram a range of words.
+Choosing n-grams folds over the words of one sample in drawn order; the rest is slices between the changed
+positions, linear in the sample.  Only fill-in-the-middle with a tokenizer from outside goes through Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-PAIR = (
-    "idx bigint, text array<bigint>, types array<bigint>, labels array<bigint>, is_random int, "
-    "padding_mask array<bigint>, loss_mask array<bigint>, truncated int"
-)
-SPAN = (
-    "idx bigint, text_enc array<bigint>, text_dec array<bigint>, labels array<bigint>, "
-    "loss_mask array<bigint>, truncated int, enc_mask array<bigint>, dec_mask array<bigint>"
-)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weft.functions.draws import below, bind, choice, coins, draw, number, plain_draw, plain_number, shuffled, steps, upto
+from weft.functions.tokens import byte_values
+
 GEOMETRIC = 0.2  # fixed value of the published span masking
+#: Shares of masked positions that become the mask token, and that become it or another token; fixed values.
+MASKED, CHANGED = 0.8, 0.9
+RANGES = "array<struct<from:int,to:int>>"
+INTS = "array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -45,196 +47,303 @@ class MaskConfig:
     continuations: frozenset[int] = frozenset()
     seed: int = 1234
 
-
-def words_of(tokens: list[int], cfg: MaskConfig) -> list[list[int]]:
-    """Maskable positions, grouped to words when whole words are masked."""
-    words: list[list[int]] = []
-    for at, token in enumerate(tokens):
-        if token in (cfg.cls, cfg.sep):
-            continue
-        if cfg.whole_words and token in cfg.continuations and words:
-            words[-1].append(at)
+    def size_ends(self, geometric: bool) -> list[int]:
+        """Where the draw of an n-gram's size goes from one size to the next."""
+        sizes = range(1, self.max_ngram + 1)
+        if geometric:
+            weights = [GEOMETRIC * (1 - GEOMETRIC) ** (n - 1) for n in sizes[:-1]]
+            weights.append(1 - sum(weights))
         else:
-            words.append([at])
-    return words
-
-
-def _sizes(count, cfg, rng, geometric):
-    """N-gram sizes for ``count`` candidates, drawn in one go."""
-    if geometric:
-        return np.minimum(rng.geometric(GEOMETRIC, count), cfg.max_ngram).tolist()
-    odds = 1.0 / np.arange(1, cfg.max_ngram + 1)
-    odds = odds[::-1] if cfg.longer_ngrams else odds
-    steps = np.cumsum(odds / odds.sum())[:-1]
-    return (np.searchsorted(steps, rng.random(count), side="right") + 1).tolist()
-
-
-def _pick_ngrams(words, budget, taken, cfg, rng, geometric):
-    """Disjoint n-grams of words in random order, within ``budget`` positions."""
-    used: set[int] = set()
-    order = rng.permutation(len(words)).tolist()
-    for start, n in zip(order, _sizes(len(words), cfg, rng, geometric)):
-        if len(used) >= budget:
-            break
-        spots = None
-        for size in range(n, 0, -1):
-            candidate = [p for word in words[start : start + size] for p in word]
-            if len(used) + len(candidate) <= budget:
-                spots = candidate
-                break
-        if spots is None or any(p in used or p in taken for p in spots):
-            continue
-        used.update(spots)
-        yield spots
-
-
-def mask_ngrams(tokens: list[int], target: int, cfg: MaskConfig, rng) -> tuple[list[int], dict, list]:
-    """(masked tokens, position to original, spans): 80 % mask, 10 % random, 10 % kept."""
-    budget = min(cfg.probability * target, max(1, round(len(tokens) * cfg.probability)))
-    words = words_of(tokens, cfg)
-    out, labels = list(tokens), {}
-    spans = list(_pick_ngrams(words, budget, set(), cfg, rng, cfg.geometric))
-    chosen = [p for spots in spans for p in spots]
-    fates = rng.random(len(chosen)).tolist()
-    others = rng.integers(0, cfg.vocab, len(chosen)).tolist()
-    for p, fate, other in zip(chosen, fates, others):
-        labels[p] = tokens[p]
-        if cfg.always_mask or fate < 0.8:
-            out[p] = cfg.mask
-        elif fate < 0.9:
-            out[p] = other
-    if cfg.permute:
-        moved = sorted(
-            p for spots in _pick_ngrams(words, budget, set(labels), cfg, rng, False) for p in spots
+            weights = [1 / n for n in sizes]
+            weights = weights[::-1] if self.longer_ngrams else weights
+        return steps(weights)
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+
+def _words(tokens: Column, cfg: MaskConfig) -> Callable:
+    """Calls its argument with ``tokens``, ``places`` (positions) and ``bounds``: word w covers the places from
+    bounds[w] to bounds[w + 1] - 1."""
+
+    def with_places(body):
+        ordinary = lambda v: F.filter(upto(F.size(v["tokens"])), lambda i: ~v["tokens"][i].isin(cfg.cls, cfg.sep))
+        return bind(F.struct(tokens.alias("tokens")), lambda v: bind(F.struct(v["tokens"].alias("tokens"), ordinary(v).alias("places")), with_bounds(body)))
+
+    def with_bounds(body):
+        def inner(v):
+            every = upto(F.size(v["places"]))
+            if cfg.whole_words and cfg.continuations:
+                continued = sorted(cfg.continuations)
+                starts = F.filter(every, lambda j: (j == 0) | ~v["tokens"][v["places"][j]].isin(*continued))
+            else:
+                starts = every
+            bounds = F.concat(starts, F.array(F.size(v["places"])))
+            return bind(F.struct(v["tokens"].alias("tokens"), v["places"].alias("places"), bounds.alias("bounds")), body)
+
+        return inner
+
+    return with_places
+
+
+def _pick(v: Column, budget: Column, taken: Column, idx: Column, tag: str, cfg: MaskConfig, geometric: bool) -> Column:
+    """Ranges of places: n-grams in drawn order that fit the budget and touch no earlier one, sorted.
+
+    A drawn size shrinks until it fits; ``taken`` are ranges that may not be touched either.
+    """
+    last = F.size(v["bounds"]) - 1
+    ends = cfg.size_ends(geometric)
+
+    def candidate(w):
+        return F.struct(draw(cfg.seed, F.lit(tag), idx, w).alias("d"), w.alias("w"))
+
+    def step(s, c):
+        drawn = choice(number(c["d"], 1), ends)
+        start = v["bounds"][c["w"]]
+        room = budget - s["used"]
+        stop = F.lit(None).cast("int")
+        for n in range(1, cfg.max_ngram + 1):  # the greatest size that fits comes last and stays
+            at = v["bounds"][F.least(c["w"] + n, last)]
+            stop = F.when((drawn >= n) & (at - start <= room), at).otherwise(stop)
+
+        def tried(stop):
+            clash = lambda r: (r["from"] < stop) & (start < r["to"])
+            free = stop.isNotNull() & ~F.exists(s["ranges"], clash) & ~F.exists(taken, clash)
+            longer = F.struct(
+                (s["used"] + stop - start).alias("used"),
+                F.array_append(s["ranges"], F.struct(start.alias("from"), stop.alias("to"))).alias("ranges"),
+            )
+            return F.when(free, longer).otherwise(s)
+
+        return F.when(room <= 0, s).otherwise(bind(stop, tried))
+
+    start = F.struct(F.lit(0).alias("used"), _empty(RANGES).alias("ranges"))
+    ordered = F.array_sort(F.transform(upto(last), candidate))
+    return F.array_sort(F.aggregate(ordered, start, step)["ranges"])
+
+
+def _budget(n: Column, target: Column, cfg: MaskConfig) -> Column:
+    share = F.lit(float(cfg.probability))
+    return F.least(target * share, F.greatest(F.lit(1.0), F.bround(n * share, 0)))
+
+
+def _covered(places: Column, ranges: Column) -> Column:
+    """The positions of the places in the ranges."""
+    return F.flatten(F.transform(ranges, lambda r: F.slice(places, r["from"] + 1, r["to"] - r["from"])))
+
+
+def _patched(base: Column, changes: Column, field: str) -> Column:
+    """``base`` with the changed positions replaced; ``changes`` is sorted by ``p``."""
+
+    def piece(i):
+        after = F.when(i > 0, changes[i - 1]["p"] + 1).otherwise(F.lit(0))
+        at = F.when(i < F.size(changes), changes[i]["p"]).otherwise(F.size(base))
+        own = F.when(i < F.size(changes), F.array(changes[i][field])).otherwise(_empty(INTS))
+        return F.concat(F.slice(base, after + 1, at - after), own)
+
+    return F.flatten(F.transform(upto(F.size(changes) + 1), piece))
+
+
+def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) -> Column:
+    """struct(tokens, text, changes, places, spans): 80 % of the chosen positions get the mask, 10 % a random token.
+
+    ``changes`` holds ``p`` (position), ``token`` (what stands there now) and ``label`` (what stood there);
+    ``spans`` the chosen n-grams as ranges of ``places``.
+    """
+
+    def chosen(v):
+        budget = _budget(F.size(v["tokens"]), target, cfg)
+        spans = _pick(v, budget, _empty(RANGES), idx, "mask", cfg, cfg.geometric)
+        return bind(spans, lambda s: changed(v, s, budget))
+
+    def fate(v, p):
+        original = v["tokens"][p]
+        if cfg.always_mask:
+            return F.lit(cfg.mask).cast("bigint")
+        by = lambda d: (
+            F.when(number(d) < below(MASKED), F.lit(cfg.mask).cast("bigint"))
+            .when(number(d) < below(CHANGED), number(d, 1) % cfg.vocab)
+            .otherwise(original)
         )
-        before = list(out)
-        for p, q in zip(moved, rng.permutation(moved) if moved else []):
-            out[p] = before[int(q)]
-            labels[p] = before[p]
-    return out, labels, sorted(spans)
-
-
-def pair_sample(sentences: list[list[int]], target: int, idx: int, cfg: MaskConfig) -> tuple:
-    """One masked pair: pivot, swap, trim from random ends, [CLS] A [SEP] B [SEP], masking."""
-    rng = np.random.default_rng([cfg.seed, idx])
-    pivot, swapped = len(sentences), False
-    if cfg.classify:
-        if len(sentences) < 2:
-            raise ValueError("a pair needs at least two sentences")
-        pivot = int(rng.integers(1, len(sentences))) if len(sentences) >= 3 else 1
-        swapped = bool(rng.random() < 0.5)
-    a = [t for s in sentences[:pivot] for t in s]
-    b = [t for s in sentences[pivot:] for t in s]
-    if swapped:
-        a, b = b, a
-    (a, b), truncated = _trim(a, b, target, rng)
-    tokens = [cfg.cls, *a, cfg.sep] + ([*b, cfg.sep] if b else [])
-    types = [0] * (len(a) + 2) + ([1] * (len(b) + 1) if b else [])
-    out, labels, _ = mask_ngrams(tokens, target, cfg, rng)
-    fill = cfg.length - len(out)
-    if fill < 0:
-        raise ValueError("sample longer than the sequence length")
-    text = [0 if t == cfg.pad else t for t in out] + [0] * fill
-    padding = [cfg.pad if t == cfg.pad else 1 for t in out] + [cfg.pad] * fill
-    label_row = [labels.get(p, -1) for p in range(cfg.length)]
-    label_row = [0 if v == cfg.pad else v for v in label_row]
-    loss = [int(p in labels) for p in range(cfg.length)]
-    return text, types + [cfg.pad] * fill, label_row, int(swapped), padding, loss, int(truncated)
-
-
-def _trim(a, b, target, rng):
-    """Cut tokens off the longer part, each from a random end, until both fit."""
-    excess = len(a) + len(b) - target
-    if excess <= 0:
-        return (a, b), False
-    cut = {"a": [0, 0], "b": [0, 0]}  # tokens gone from the front and the back
-    na, nb = len(a), len(b)
-    for front in rng.random(excess) < 0.5:
-        if na > nb:
-            cut["a"][0 if front else 1] += 1
-            na -= 1
-        else:
-            cut["b"][0 if front else 1] += 1
-            nb -= 1
-    parts = [s[f : len(s) - e] for s, (f, e) in ((a, cut["a"]), (b, cut["b"]))]
-    return (parts[0], parts[1]), True
-
-
-def span_sample(
-    tokens: list[int], target: int, idx: int, cfg: MaskConfig, ids: dict, decoder_length: int
-) -> tuple:
-    """Sentinels in place of masked spans for the encoder; spans after sentinels for the decoder."""
-    rng = np.random.default_rng([cfg.seed, idx])
-    truncated, tokens = len(tokens) > target, tokens[:target]
-    _, _, spans = mask_ngrams(tokens, target, cfg, rng)
-    if len(spans) > len(ids["sentinels"]):
-        raise ValueError("more masked spans than sentinel tokens")
-    enc, told, at = [], [], 0
-    for sentinel, spots in zip(ids["sentinels"], spans):
-        enc += tokens[at : spots[0]] + [sentinel]
-        told += [sentinel] + [tokens[p] for p in spots]
-        at = spots[-1] + 1
-    enc += tokens[at:]
-    dec, labels = [ids["bos"], *told], [*told, ids["eos"]]
-    short_enc, short_dec = cfg.length - len(enc), decoder_length - len(dec)
-    if short_enc < 0 or short_dec < 0:
-        raise ValueError("sample longer than the encoder or decoder length")
-
-    def unpad(row):
-        return [0 if t == cfg.pad else t for t in row]
-
-    return (
-        unpad(enc) + [0] * short_enc,
-        unpad(dec) + [0] * short_dec,
-        unpad(labels) + ([0] if cfg.pad == -1 else [-1]) * short_dec,
-        [1] * len(dec) + [0] * short_dec,
-        int(truncated),
-        [int(t != cfg.pad) for t in enc] + [0] * short_enc,
-        [int(t != cfg.pad) for t in dec] + [0] * short_dec,
+        return bind(draw(cfg.seed, F.lit("fate"), idx, p), by)
+
+    def changed(v, spans, budget):
+        masked = F.transform(
+            _covered(v["places"], spans),
+            lambda p: F.struct(p.alias("p"), fate(v, p).alias("token"), v["tokens"][p].alias("label")),
+        )
+        if not cfg.permute:
+            return bind(masked, lambda c: result(v, spans, c))
+        moved = _covered(v["places"], _pick(v, budget, spans, idx, "move", cfg, False))
+
+        def swapped(m):
+            return F.transform(
+                upto(F.size(m["to"])),
+                lambda i: F.struct(
+                    m["to"][i].alias("p"), v["tokens"][m["from"][i]].alias("token"), v["tokens"][m["to"][i]].alias("label")
+                ),
+            )
+
+        both = bind(moved, lambda m: F.struct(m.alias("to"), shuffled(m, cfg.seed, F.lit("swap"), idx).alias("from")))
+        return bind(bind(both, lambda m: F.array_sort(F.concat(masked, swapped(m)))), lambda c: result(v, spans, c))
+
+    def result(v, spans, changes):
+        return F.struct(
+            v["tokens"].alias("tokens"),
+            _patched(v["tokens"], changes, "token").alias("text"),
+            changes.alias("changes"),
+            v["places"].alias("places"),
+            spans.alias("spans"),
+        )
+
+    return _words(tokens.cast(INTS), cfg)(chosen)
+
+
+def _once(df: DataFrame, value: Column) -> DataFrame:
+    """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression."""
+    return df.select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
+
+
+def _padded(values: Column, length: int, fill: int) -> Column:
+    """Up to ``length`` with ``fill``; longer is an error."""
+    short = F.lit(length) - F.size(values)
+    return F.when(short < 0, F.raise_error(F.lit("sample longer than the sequence length")).cast(INTS)).otherwise(
+        F.concat(values, F.array_repeat(F.lit(fill).cast("bigint"), F.greatest(short, F.lit(0))))
     )
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows cost far more time than bytes here: keep one task per shuffle partition, which a
-    byte-based coalescing would fold together."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, "idx")
+def _zeroed(values: Column, pad: int) -> Column:
+    return F.transform(values, lambda t: F.when(t == pad, F.lit(0).cast("bigint")).otherwise(t))
 
 
-def _mapped(df: DataFrame, row: Callable, schema: str) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
+def pair_tokens(sentences: Column, target: Column, idx: Column, cfg: MaskConfig) -> Column:
+    """struct(a, b, swapped, truncated): cut at a drawn pivot, swapped by a coin, trimmed from drawn ends.
 
-    df = _spread(df)
+    The longer part is trimmed until both are equal, then the second and the first take turns.
+    """
+    n = F.size(sentences)
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame([row(r) for r in batch.itertuples(index=False)], columns=names)
+    def parts(d):
+        if not cfg.classify:
+            return F.struct(F.flatten(sentences).cast(INTS).alias("a"), _empty(INTS).alias("b"), F.lit(0).alias("swapped"))
+        pivot = F.when(n >= 3, 1 + number(d) % (n - 1)).when(n == 2, F.lit(1))
+        pivot = F.when(n < 2, F.raise_error(F.lit("a pair needs at least two sentences")).cast("int")).otherwise(pivot).cast("int")
+        heads = number(d, 1) % 2 == 0
 
-    return df.mapInPandas(run, schema)
+        def cut(at):
+            first, second = F.flatten(F.slice(sentences, 1, at)).cast(INTS), F.flatten(F.slice(sentences, at + 1, n)).cast(INTS)
+            return F.struct(
+                F.when(heads, second).otherwise(first).alias("a"),
+                F.when(heads, first).otherwise(second).alias("b"),
+                heads.cast("int").alias("swapped"),
+            )
 
+        return bind(pivot, cut)
 
-def bert_samples(df: DataFrame, cfg: MaskConfig) -> DataFrame:
-    """Masked pairs from (idx, sentences array<array<int>>, target)."""
+    def trimmed(s):
+        na, nb = F.size(s["a"]), F.size(s["b"])
+        excess = F.greatest((na + nb - target).cast("int"), F.lit(0))
+        lead = F.abs(na - nb)
+        from_a = lambda k: F.when(k < lead, na > nb).otherwise((k - lead) % 2 == 1)
 
-    def row(r):
-        sentences = [s.tolist() for s in r.sentences]
-        return (r.idx, *pair_sample(sentences, int(r.target), int(r.idx), cfg))
+        def cut(c):
+            front = lambda k: F.substring(c["coins"], k + 1, F.lit(1)) < "8"
+            count = lambda test: F.size(F.filter(upto(c["n"]), test))
+            a_front, a_all = count(lambda k: from_a(k) & front(k)), count(from_a)
+            b_front = count(lambda k: ~from_a(k) & front(k))
+            return F.struct(
+                F.slice(s["a"], a_front + 1, na - a_all).alias("a"),
+                F.slice(s["b"], b_front + 1, nb - (c["n"] - a_all)).alias("b"),
+                s["swapped"].alias("swapped"),
+                (c["n"] > 0).cast("int").alias("truncated"),
+            )
 
-    return _mapped(df.select("idx", "sentences", "target"), row, PAIR)
+        return bind(F.struct(excess.alias("n"), coins(cfg.seed, excess, F.lit("trim"), idx).alias("coins")), cut)
+
+    return bind(bind(draw(cfg.seed, F.lit("pair"), idx), parts), trimmed)
+
+
+def bert_samples(df: DataFrame, cfg: MaskConfig) -> DataFrame:
+    """Masked pairs from (idx, sentences array<array<int>>, target): ``[CLS] A [SEP] B [SEP]``, masked and padded."""
+    idx, target = F.col("idx"), F.col("target")
+    special = lambda i: F.array(F.lit(i).cast("bigint"))
+    repeat = lambda x, n: F.array_repeat(F.lit(x).cast("bigint"), n)
+
+    def joined(s):
+        two = F.size(s["b"]) > 0
+        tokens = F.concat(special(cfg.cls), s["a"], special(cfg.sep), F.when(two, F.concat(s["b"], special(cfg.sep))).otherwise(_empty(INTS)))
+        types = F.concat(repeat(0, F.size(s["a"]) + 2), repeat(1, F.when(two, F.size(s["b"]) + 1).otherwise(F.lit(0))))
+        return bind(mask_ngrams(tokens, target, idx, cfg), lambda m: finished(s, m, types))
+
+    def finished(s, m, types):
+        size = F.size(m["tokens"])
+        marks = F.transform(m["changes"], lambda c: F.struct(c["p"].alias("p"), c["label"].alias("label"), F.lit(1).cast("bigint").alias("one")))
+        kept = F.transform(m["text"], lambda t: F.when(t == cfg.pad, F.lit(cfg.pad)).otherwise(F.lit(1)).cast("bigint"))
+        return bind(
+            marks,
+            lambda c: F.struct(
+                _padded(_zeroed(m["text"], cfg.pad), cfg.length, 0).alias("text"),
+                _padded(types, cfg.length, cfg.pad).alias("types"),
+                _zeroed(_padded(_patched(repeat(-1, size), c, "label"), cfg.length, -1), cfg.pad).alias("labels"),
+                s["swapped"].alias("is_random"),
+                _padded(kept, cfg.length, cfg.pad).alias("padding_mask"),
+                _padded(_patched(repeat(0, size), c, "one"), cfg.length, 0).alias("loss_mask"),
+                s["truncated"].alias("truncated"),
+            ),
+        )
+
+    return _once(df, bind(pair_tokens(F.col("sentences"), target, idx, cfg), joined))
 
 
 def span_corrupt(
     df: DataFrame, cfg: MaskConfig, sentinels: list[int], bos: int, eos: int, decoder_length: int
 ) -> DataFrame:
-    """Span corruption from (idx, tokens, target); spans are always masked."""
-    ids = {"sentinels": list(sentinels), "bos": bos, "eos": eos}
-    always = MaskConfig(**{**cfg.__dict__, "always_mask": True})
+    """Span corruption of (idx, tokens, target): sentinels in place of the chosen n-grams for the encoder, the n-grams
+    behind their sentinels for the decoder."""
+    always = replace(cfg, always_mask=True, permute=False)
+    idx, target = F.col("idx"), F.col("target").cast("int")
+    names = F.array(*[F.lit(s).cast("bigint") for s in sentinels])
+    one = lambda x: F.array(F.lit(x).cast("bigint"))
+    ones = lambda a, fill: F.transform(a, lambda t: (t != fill).cast("bigint"))
+
+    def corrupted(m):
+        n = F.size(m["spans"])
+        spot = lambda i, side: m["places"][m["spans"][i][side]]
+        last = lambda i: m["places"][m["spans"][i]["to"] - 1]
+
+        def kept(i):
+            after = F.when(i > 0, last(i - 1) + 1).otherwise(F.lit(0))
+            at = F.when(i < n, spot(i, "from")).otherwise(F.size(m["tokens"]))
+            return F.concat(F.slice(m["tokens"], after + 1, at - after), F.when(i < n, F.array(names[i])).otherwise(_empty(INTS)))
+
+        def told(i):
+            own = F.slice(m["places"], m["spans"][i]["from"] + 1, m["spans"][i]["to"] - m["spans"][i]["from"])
+            return F.concat(F.array(names[i]), F.transform(own, lambda p: m["tokens"][p]))
+
+        enough = F.when(n > len(sentinels), F.raise_error(F.lit("more masked spans than sentinel tokens")).cast("int")).otherwise(n)
+        return bind(
+            F.struct(F.flatten(F.transform(upto(enough + 1), kept)).alias("enc"), F.flatten(F.transform(upto(n), told)).alias("told")), finished
+        )
 
-    def row(r):
-        tokens = r.tokens.tolist()
-        return (r.idx, *span_sample(tokens, int(r.target), int(r.idx), always, ids, decoder_length))
+    def finished(s):
+        dec, labels = F.concat(one(bos), s["told"]), F.concat(s["told"], one(eos))
+        return F.struct(
+            _padded(_zeroed(s["enc"], cfg.pad), cfg.length, 0).alias("text_enc"),
+            _padded(_zeroed(dec, cfg.pad), decoder_length, 0).alias("text_dec"),
+            _padded(_zeroed(labels, cfg.pad), decoder_length, 0 if cfg.pad == -1 else -1).alias("labels"),
+            _padded(F.transform(dec, lambda t: F.lit(1).cast("bigint")), decoder_length, 0).alias("loss_mask"),
+            (F.size("tokens") > target).cast("int").alias("truncated"),
+            _padded(ones(s["enc"], cfg.pad), cfg.length, 0).alias("enc_mask"),
+            _padded(ones(dec, cfg.pad), decoder_length, 0).alias("dec_mask"),
+        )
 
-    return _mapped(df.select("idx", "tokens", "target"), row, SPAN)
+    cut = F.slice(F.col("tokens"), 1, F.greatest(target, F.lit(0)))
+    return _once(df, bind(mask_ngrams(cut, target, idx, always), corrupted))
+
+
+# ---- fill in the middle --------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -254,71 +363,159 @@ class InfillConfig:
     seed: int = 1234
 
 
-def infill_segment(tokens: list[int], rate: float, cfg: InfillConfig, tok, rng) -> list[int]:
-    """Cut the text of a segment at two characters and reorder prefix, suffix, middle."""
-    if rng.random() >= rate:
+#: Well-formed UTF-8 by first byte: (from, to, bytes, least second byte, greatest second byte); fixed values.
+UTF8 = [
+    (0x00, 0x7F, 1, 0, 0),
+    (0xC2, 0xDF, 2, 0x80, 0xBF),
+    (0xE0, 0xE0, 3, 0xA0, 0xBF),
+    (0xE1, 0xEC, 3, 0x80, 0xBF),
+    (0xED, 0xED, 3, 0x80, 0x9F),
+    (0xEE, 0xEF, 3, 0x80, 0xBF),
+    (0xF0, 0xF0, 4, 0x90, 0xBF),
+    (0xF1, 0xF3, 4, 0x80, 0xBF),
+    (0xF4, 0xF4, 4, 0x80, 0x8F),
+]
+#: White space at the end of a decoded text.
+BLANK_END = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+
+
+def byte_text(tokens: Column, special_start: int = 256) -> Column:
+    """Text of byte tokens: special ids dropped, malformed bytes ignored, right-stripped."""
+
+    def decoded(b):
+        def whole(i):
+            lead, second = b[i], F.coalesce(F.get(b, i + 1), F.lit(0))
+            ok, size = F.lit(False), F.lit(0)
+            for low, high, n, least, most in UTF8:
+                here = (lead >= low) & (lead <= high)
+                size = F.when(here, F.lit(n)).otherwise(size)
+                ok = ok | (here if n == 1 else here & (second >= least) & (second <= most))
+            for k in (2, 3):
+                follows = F.coalesce(F.get(b, i + k), F.lit(0))
+                ok = ok & ((size <= k) | ((follows >= 0x80) & (follows <= 0xBF)))
+            return F.when(ok, F.slice(b, i + 1, size)).otherwise(F.array().cast("array<int>"))
+
+        good = F.when(F.exists(b, lambda t: t >= 0x80), F.flatten(F.transform(upto(F.size(b)), whole))).otherwise(b)
+        digits = F.transform(good, lambda t: F.lpad(F.hex(t), 2, "0"))
+        text = F.unhex(F.array_join(digits, "")).cast("string")
+        return F.regexp_replace(text, BLANK_END, "")
+
+    kept = F.filter(tokens, lambda t: (t >= 0) & (t < special_start)).cast("array<int>")
+    return bind(kept, decoded)
+
+
+def _marked(i: int) -> Column:
+    return F.array(F.lit(i))
+
+
+def _segment_bytes(tokens: Column, rate: float, cfg: InfillConfig, keys: list[Column]) -> Column:
+    """A segment of byte tokens cut at two drawn characters and put in another order."""
+
+    def cut(d):
+        def rearranged(text):
+            n = F.length(text) + 1
+            x, y = number(d, 1) % n, number(d, 2) % n
+
+            def moved(c):
+                part = lambda a, b: byte_values(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+                pre, mid, suf = part(F.lit(0), c["low"]), part(c["low"], c["high"]), part(c["high"], n - 1)
+                spm = F.concat(_marked(cfg.prefix), _marked(cfg.suffix), suf, _marked(cfg.middle), pre, mid)
+                psm = F.concat(_marked(cfg.prefix), pre, _marked(cfg.suffix), suf, _marked(cfg.middle), mid)
+                return F.when(number(d, 3) < below(cfg.spm_rate), spm).otherwise(psm)
+
+            out = bind(F.struct(F.least(x, y).alias("low"), F.greatest(x, y).alias("high")), moved)
+            return out if cfg.no_prefix is None else F.when(F.startswith(text, F.lit(cfg.no_prefix)), tokens).otherwise(out)
+
+        return F.when(number(d) >= below(rate), tokens).otherwise(bind(byte_text(tokens), rearranged))
+
+    return bind(draw(cfg.seed, F.lit("infill"), *keys), cut)
+
+
+def _rejoined(tokens: Column, mark: int, change: Callable[[Column, Column], Column]) -> Column:
+    """The parts between marks, changed; each non-empty one before the last closed by the mark; empty ones vanish."""
+
+    def parts(at):
+        def part(k):
+            after = F.when(k > 0, at[k - 1] + 1).otherwise(F.lit(0))
+            end = F.when(k < F.size(at), at[k]).otherwise(F.size(tokens))
+            body = F.slice(tokens, after + 1, end - after)
+            closed = lambda b: F.when(k == F.size(at), change(b, k)).when(
+                F.size(b) > 0, F.concat(change(b, k), _marked(mark))
+            ).otherwise(F.array().cast("array<int>"))
+            return bind(body, closed)
+
+        return F.flatten(F.transform(upto(F.size(at) + 1), part))
+
+    return bind(F.filter(upto(F.size(tokens)), lambda i: tokens[i] == mark), parts)
+
+
+def fim_bytes(df: DataFrame, cfg: InfillConfig) -> DataFrame:
+    """(idx, tokens) of byte tokens rearranged, then trimmed or padded to their length."""
+    idx = F.col("idx")
+
+    def segment(body, k):
+        whole = _segment_bytes(body, cfg.rate, cfg, [idx, k])
+        if cfg.split is None:
+            return whole
+        pieces = _rejoined(body, cfg.split, lambda f, j: _segment_bytes(f, cfg.fragment_rate, cfg, [idx, k, j]))
+        left = number(draw(cfg.seed, F.lit("split"), idx, k)) >= below(cfg.rate)
+        return F.when(~F.array_contains(body, cfg.split), whole).when(left, body).otherwise(pieces)
+
+    def sized(t):
+        n = F.size(t)
+        fit = lambda out: F.slice(F.concat(out, F.array_repeat(F.lit(cfg.pad), F.greatest(n - F.size(out), F.lit(0)))), 1, n)
+        return F.struct(bind(_rejoined(t, cfg.eod, segment), fit).alias("tokens"))
+
+    return _once(df, bind(F.col("tokens").cast("array<int>"), sized))
+
+
+def infill_segment(tokens: list[int], rate: float, cfg: InfillConfig, tok, keys: tuple) -> list[int]:
+    """One segment with a tokenizer from outside; the draws are those of :func:`fim_bytes`."""
+    d = plain_draw(cfg.seed, "infill", *keys)
+    if plain_number(d) >= below(rate):
         return tokens
     text = tok.decode(tokens)
     if cfg.no_prefix is not None and text.startswith(cfg.no_prefix):
         return tokens
-    low, high = sorted(int(x) for x in rng.integers(0, len(text) + 1, size=2))
-    pre, mid, suf = (tok.encode(s) for s in (text[:low], text[low:high], text[high:]))
-    if rng.random() < cfg.spm_rate:
+    low, high = sorted(plain_number(d, k) % (len(text) + 1) for k in (1, 2))
+    pre, mid, suf = (list(tok.encode(s)) for s in (text[:low], text[low:high], text[high:]))
+    if plain_number(d, 3) < below(cfg.spm_rate):
         return [cfg.prefix, cfg.suffix, *suf, cfg.middle, *pre, *mid]
     return [cfg.prefix, *pre, cfg.suffix, *suf, cfg.middle, *mid]
 
 
-def _between(tokens: list[int], mark: int) -> list[list[int]]:
+def _changed_parts(tokens: list[int], mark: int, change) -> list[int]:
     parts: list[list[int]] = [[]]
     for t in tokens:
         if t == mark:
             parts.append([])
         else:
             parts[-1].append(t)
-    return parts
-
-
-def _rejoined(parts: list[list[int]], mark: int, change) -> list[int]:
-    """Changed parts, each non-empty one before the last closed by the mark; empty ones vanish."""
-    out: list[int] = []
-    for part in parts[:-1]:
-        if part:
-            out += [*change(part), mark]
-    return out + change(parts[-1])
+    out = [x for k, p in enumerate(parts[:-1]) if p for x in [*change(p, k), mark]]
+    return out + change(parts[-1], len(parts) - 1)
 
 
 def infill_sample(tokens: list[int], idx: int, cfg: InfillConfig, tok) -> list[int]:
     """Every end-token segment (or its split-token fragments) rearranged, then trimmed or padded."""
-    rng = np.random.default_rng([cfg.seed, idx])
 
-    def segment(part):
+    def segment(part, k):
         if cfg.split is None or cfg.split not in part:
-            return infill_segment(part, cfg.rate, cfg, tok, rng)
-        if rng.random() >= cfg.rate:
+            return infill_segment(part, cfg.rate, cfg, tok, (idx, k))
+        if plain_number(plain_draw(cfg.seed, "split", idx, k)) >= below(cfg.rate):
             return part
-        return _rejoined(
-            _between(part, cfg.split),
-            cfg.split,
-            lambda f: infill_segment(f, cfg.fragment_rate, cfg, tok, rng),
-        )
+        return _changed_parts(part, cfg.split, lambda f, j: infill_segment(f, cfg.fragment_rate, cfg, tok, (idx, k, j)))
 
-    if cfg.eod in tokens:
-        out = _rejoined(_between(tokens, cfg.eod), cfg.eod, segment)
-    else:
-        out = segment(tokens)
+    out = _changed_parts(tokens, cfg.eod, segment)
     return (out + [cfg.pad] * (len(tokens) - len(out)))[: len(tokens)]
 
 
 def fim(df: DataFrame, cfg: InfillConfig, tokenizer: Callable) -> DataFrame:
-    """(idx, tokens) rearranged; one tokenizer per task."""
+    """(idx, tokens) rearranged with a tokenizer from outside, one per task: its texts only exist in Python."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer()
         for batch in batches:
-            rows = [
-                infill_sample(r.tokens.tolist(), int(r.idx), cfg, tok)
-                for r in batch.itertuples(index=False)
-            ]
+            rows = [infill_sample(list(map(int, t)), int(i), cfg, tok) for i, t in zip(batch["idx"], batch["tokens"])]
             yield pd.DataFrame({"idx": batch["idx"], "tokens": rows})
 
-    return _spread(df.select("idx", "tokens")).mapInPandas(run, "idx bigint, tokens array<int>")
+    return df.select("idx", "tokens").mapInPandas(run, "idx bigint, tokens array<int>")

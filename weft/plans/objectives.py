@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.text import split_sentences
-from weft.functions.tokens import ByteTokenizer, byte_encode, byte_values
+from weft.functions.tokens import byte_encode, byte_values
 from weft.operators import chat as H
 from weft.operators import masked as M
 from weft.operators import runs as R
-from weft.plans.corpus import SENTS, samples
+from weft.plans.corpus import FLAT, SENTS, samples
 from weft.plans.registry import digest, query
 
 MAXLEN, RATIO, SEED = 128, 4, 1234
@@ -76,8 +76,84 @@ MASKS = M.MaskConfig(
 )
 
 
-# seeded random streams differ between engines: rows here, properties in the tests
-@query("c21_pair_samples")
+def num(digits: str, k: int) -> str:
+    return f"('0x'||substr({digits},{8 * k + 1},8))::BIGINT"
+
+
+def sql_md5(*keys) -> str:
+    return f"md5(concat_ws('|','{SEED}',{','.join(map(str, keys))}))"
+
+
+def byte_list(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})),'..'), lambda h: ('0x'||h)::INT)"
+
+
+# samples with the texts of their sentences
+SMP = f"""WITH RECURSIVE {runs_sql(2, 2, 2, target_sql, '')},
+    sn AS (SELECT doc_id, {SENTS} AS ss FROM documents),
+    smp AS (SELECT row_number() OVER (ORDER BY md5(concat_ws('|','{SEED + 1}',0,w.doc_id,w.r)))-1 AS idx, w.t AS target, ss[w.f+1:w.e] AS parts
+      FROM w JOIN sn USING (doc_id) WHERE w.e IS NOT NULL)"""
+COIN = f"substr({sql_md5(repr('trim'), 'idx', 'k//32')},(k%32)::INT+1,1)<'8'"
+FROM_A = "(CASE WHEN k<abs(na-nb) THEN na>nb ELSE (k-abs(na-nb))%2=1 END)"
+# two parts trimmed to the target, then one row of tokens
+PAIRS = f"""p0 AS (SELECT *, len(parts) AS np, {sql_md5(repr('pair'), 'idx')} AS d FROM smp),
+    p1 AS (SELECT *, (CASE WHEN np>=3 THEN 1+{num('d', 0)}%(np-1) ELSE 1 END)::INT AS piv, {num('d', 1)}%2=0 AS heads FROM p0),
+    p2 AS (SELECT *, array_to_string(parts[1:piv],'') AS x, array_to_string(parts[piv+1:np],'') AS y FROM p1),
+    p3 AS (SELECT idx, target, heads::INT AS swapped, {byte_list('CASE WHEN heads THEN y ELSE x END')} AS a, {byte_list('CASE WHEN heads THEN x ELSE y END')} AS b FROM p2),"""
+JOINED = f"""SELECT idx, target, parts, len(parts) AS np FROM smp),
+    p3 AS (SELECT idx, target, 0 AS swapped, {byte_list("array_to_string(parts,'')")} AS a, []::INT[] AS b FROM p0),"""
+TRIMMED = f"""p4 AS (SELECT *, len(a) AS na, len(b) AS nb, greatest(len(a)+len(b)-target,0) AS x FROM p3),
+    p5 AS (SELECT *, len(list_filter(range(x), lambda k: {FROM_A})) AS cut_a, len(list_filter(range(x), lambda k: {FROM_A} AND {COIN})) AS front_a,
+      len(list_filter(range(x), lambda k: NOT {FROM_A} AND {COIN})) AS front_b FROM p4),
+    p6 AS (SELECT idx, target, swapped, (x>0)::INT AS truncated, a[front_a+1:front_a+na-cut_a] AS a, b[front_b+1:front_b+nb-(x-cut_a)] AS b FROM p5),
+    tk AS (SELECT *, [256] || a || [257] || CASE WHEN len(b)>0 THEN b || [257] ELSE [] END AS toks FROM p6),"""
+
+
+def fold_sql(out: str, source: str, tag: str, taken: str, ends) -> str:
+    """``out``: the ranges of places that a fold over the words in drawn order takes, within the budget."""
+    stop = "(CASE WHEN x.dn>=3 AND x.a3-x.st<=budget-s.used THEN x.a3 WHEN x.dn>=2 AND x.a2-x.st<=budget-s.used THEN x.a2 WHEN x.a1-x.st<=budget-s.used THEN x.a1 END)"
+    clash = lambda of: f"len(list_filter({of}, lambda q: q.f<{stop} AND x.st<q.t))"
+    drawn = "(1" + "".join(f"+({num('c', 1)}>={e})::INT" for e in ends) + ")"
+    at = lambda k: f"bounds[least(substr(c,33)::INT+{k},len(bounds)-1)+1]"
+    nothing = "[]::STRUCT(f BIGINT, t BIGINT)[]"
+    struct = lambda *v: "{{'st':{},'a1':{},'a2':{},'a3':{},'dn':{},'used':{},'r':{}}}".format(*v)
+    item = struct("bounds[substr(c,33)::INT+1]", at(1), at(2), at(3), drawn, "0::BIGINT", nothing)
+    grown = struct("0::BIGINT", "0::BIGINT", "0::BIGINT", "0::BIGINT", "0::INT", f"s.used+{stop}-x.st", f"list_append(s.r, {{'f':x.st,'t':{stop}}})")
+    first = struct("0::BIGINT", "0::BIGINT", "0::BIGINT", "0::BIGINT", "0::INT", "0::BIGINT", nothing)
+    return f"""{out}_c AS (SELECT *, list_sort(list_transform(range(len(bounds)-1), lambda w: {sql_md5(repr(tag), 'idx', 'w')}||w::VARCHAR)) AS cand FROM {source}),
+    {out}_i AS (SELECT * EXCLUDE (cand), list_transform(cand, lambda c: {item}) AS items FROM {out}_c),
+    {out} AS (SELECT * EXCLUDE (items), list_sort(list_reduce(items, lambda s, x: CASE WHEN budget-s.used<=0 THEN s WHEN {stop} IS NULL THEN s
+      WHEN {clash('s.r')}=0 AND {clash(taken)}=0 THEN {grown} ELSE s END, {first}).r) AS {out}_r FROM {out}_i),"""
+
+
+def places_sql(ends) -> str:
+    """Places, word bounds and budget of ``tk``, then the chosen ranges ``ch_r``."""
+    return f"""pl AS (SELECT *, list_filter(range(len(toks)), lambda i: toks[i+1] NOT IN (256,257)) AS plain,
+      least(target*0.15::DOUBLE, greatest(1, round_even(len(toks)*0.15::DOUBLE,0))) AS budget FROM tk),
+    bd AS (SELECT *, list_filter(range(len(plain)), lambda j: j=0 OR NOT (toks[plain[j+1]+1] BETWEEN 128 AND 191)) || [len(plain)] AS bounds FROM pl),
+    {fold_sql('ch', 'bd', 'mask', '[]::STRUCT(f BIGINT, t BIGINT)[]', ends)}"""
+
+
+COVERED = "flatten(list_transform({}, lambda q: plain[q.f+1:q.t]))"
+FATE = sql_md5(repr("fate"), "idx", "p")
+MASKED_TEXT = f"""list_transform(range(len(toks)), lambda p: CASE WHEN NOT list_contains(spots,p) THEN toks[p+1] WHEN {num(FATE, 0)}<{round(0.8 * 2**32)} THEN 258
+      WHEN {num(FATE, 0)}<{round(0.9 * 2**32)} THEN {num(FATE, 1)}%256 ELSE toks[p+1] END)"""
+WIDTH = MAXLEN + 3
+LABELS = f"list_transform(range({WIDTH}), lambda p: CASE WHEN list_contains({{}},p) THEN toks[p+1] ELSE 0 END)"
+INVERSE, GEOMETRIC = MASKS.size_ends(False), MASKS.size_ends(True)
+
+
+def sql_digest(array: str) -> str:
+    return f"md5(array_to_string({array},' '))"
+
+
+@query(
+    "c21_pair_samples",
+    f"""{SMP}, {PAIRS} {TRIMMED} {places_sql(INVERSE)} sp AS (SELECT *, {COVERED.format('ch_r')} AS spots FROM ch)
+    SELECT idx, {sql_digest(f"({MASKED_TEXT}) || list_transform(range({WIDTH}-len(toks)), lambda i: 0)")} AS text,
+      {sql_digest(f"list_transform(range({WIDTH}), lambda i: CASE WHEN i<len(a)+2 THEN 0 WHEN i<len(toks) THEN 1 ELSE -1 END)")} AS types,
+      {sql_digest(LABELS.format('spots'))} AS labels, swapped AS is_random, truncated, len(spots)::INT AS masked FROM sp""",
+)
 def pair_samples(t):
     out = M.bert_samples(run_rows(t), MASKS)
     return out.select(
@@ -87,16 +163,34 @@ def pair_samples(t):
     )
 
 
-@query("c22_mask_ngrams")
+SWAP = sql_md5(repr("swap"), "idx", "p")
+
+
+@query(
+    "c22_mask_ngrams",
+    f"""{SMP}, p0 AS ({JOINED} {TRIMMED} {places_sql(GEOMETRIC)} {fold_sql('mv', 'ch', 'move', 'ch_r', INVERSE)}
+    sp AS (SELECT *, {COVERED.format('ch_r')} AS spots, {COVERED.format('mv_r')} AS moved FROM mv),
+    sw AS (SELECT *, list_transform(list_sort(list_transform(moved, lambda p: {SWAP}||p::VARCHAR)), lambda s: substr(s,33)::BIGINT) AS taken FROM sp),
+    ma AS (SELECT *, {MASKED_TEXT} AS masked_text FROM sw)
+    SELECT idx, {sql_digest(LABELS.format('spots || moved'))} AS labels, len(spots || moved)::INT AS masked,
+      {sql_digest(f"list_transform(range({WIDTH}), lambda p: CASE WHEN p>=len(toks) THEN 0 WHEN list_contains(moved,p) THEN toks[taken[list_position(moved,p)]+1] ELSE masked_text[p+1] END)")} AS text FROM ma""",
+)
 def mask_ngrams(t):
     longer = M.MaskConfig(**{**MASKS.__dict__, "geometric": True, "permute": True, "classify": False})
     out = M.bert_samples(run_rows(t), longer)
     return out.select(
-        "idx", digest("labels").alias("labels"), F.size(F.filter("loss_mask", lambda x: x == 1)).alias("masked")
-    )
+        "idx", digest("labels").alias("labels"), F.size(F.filter("loss_mask", lambda x: x == 1)).alias("masked"),
+        digest("text").alias("text"),
+    )
 
 
-@query("c23_replace_tokens")
+@query(
+    "c23_replace_tokens",
+    f"""{SMP}, p0 AS ({JOINED} {TRIMMED} {places_sql(INVERSE)} sp AS (SELECT *, {COVERED.format('ch_r')} AS spots FROM ch),
+    fa AS (SELECT idx, toks, unnest(spots) AS p FROM sp),
+    fd AS (SELECT toks[p+1] AS was, CASE WHEN {num(FATE, 0)}<{round(0.8 * 2**32)} THEN 258 WHEN {num(FATE, 0)}<{round(0.9 * 2**32)} THEN {num(FATE, 1)}%256 ELSE toks[p+1] END AS now FROM fa)
+    SELECT CASE WHEN now=258 THEN 'mask' WHEN now=was THEN 'kept' ELSE 'random' END AS fate, count(*) AS n FROM fd GROUP BY 1""",
+)
 def replace_tokens(t):
     """What became of the masked positions: masked, kept or replaced, over all samples."""
     out = M.bert_samples(run_rows(t), M.MaskConfig(**{**MASKS.__dict__, "classify": False}))
@@ -109,7 +203,20 @@ def replace_tokens(t):
     return cells.groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c24_span_corrupt")
+PAD_TO = f"list_transform(range({WIDTH}-len({{0}})), lambda i: 0)"
+
+
+@query(
+    "c24_span_corrupt",
+    f"""{SMP}, fl AS (SELECT idx, target, {byte_list("array_to_string(parts,'')")} AS every FROM smp),
+    tk AS (SELECT *, every[1:target] AS toks FROM fl), {places_sql(INVERSE)}
+    cu AS (SELECT *, flatten(list_transform(range(len(ch_r)+1), lambda i: toks[(CASE WHEN i=0 THEN 0 ELSE ch_r[i].t END)+1:(CASE WHEN i<len(ch_r) THEN ch_r[i+1].f ELSE len(toks) END)]
+        || CASE WHEN i<len(ch_r) THEN [(300+i)::INT] ELSE [] END)) AS enc,
+      flatten(list_transform(range(len(ch_r)), lambda i: [(300+i)::INT] || toks[ch_r[i+1].f+1:ch_r[i+1].t])) AS told FROM ch),
+    rw AS (SELECT *, [298] || told AS dec, told || [299] AS lab FROM cu)
+    SELECT idx, {sql_digest('enc || ' + PAD_TO.format('enc'))} AS text_enc, {sql_digest('dec || ' + PAD_TO.format('dec'))} AS text_dec,
+      {sql_digest('lab || ' + PAD_TO.format('lab'))} AS labels, (len(every)>target)::INT AS truncated FROM rw""",
+)
 def span_corrupt(t):
     rows = run_rows(t).select("idx", F.flatten("sentences").alias("tokens"), "target")
     out = M.span_corrupt(rows, MASKS, list(range(300, 400)), 298, 299, MAXLEN + 3)
@@ -119,13 +226,32 @@ def span_corrupt(t):
     )
 
 
-@query("c25_fill_in_middle")
+# a character of the texts at byte i of a segment, if it lies in it whole
+LEAD = "(CASE WHEN body[i+1]<128 THEN 1 WHEN body[i+1] BETWEEN 194 AND 223 THEN 2 WHEN body[i+1] BETWEEN 224 AND 239 THEN 3 WHEN body[i+1]>=240 THEN 4 ELSE 0 END)"
+ENDING = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+
+
+@query(
+    "c25_fill_in_middle",
+    f"""{FLAT}, rows AS (SELECT ('0x'||substr(md5(dataset),1,6))::BIGINT*1000000+sample_id AS idx, tk, list_filter(range(len(tk)), lambda i: tk[i+1]=256) AS ends FROM g),
+    ks AS (SELECT *, unnest(range(len(ends)+1)) AS k FROM rows),
+    sg AS (SELECT idx, k, k=len(ends) AS last, len(tk) AS n, tk[(CASE WHEN k=0 THEN 0 ELSE ends[k]+1 END)+1:(CASE WHEN k<len(ends) THEN ends[k+1] ELSE len(tk) END)] AS body,
+      {sql_md5(repr('infill'), 'idx', 'k')} AS d FROM ks),
+    tx AS (SELECT *, regexp_replace(decode(unhex(array_to_string(list_transform(flatten(list_transform(list_filter(range(len(body)), lambda i: {LEAD}>0 AND i+{LEAD}<=len(body)),
+      lambda i: body[i+1:i+{LEAD}])), lambda b: lpad(to_hex(b),2,'0')),''))),'{ENDING}','') AS text FROM sg WHERE last OR len(body)>0),
+    cu AS (SELECT *, least({num('d', 1)}%(length(text)+1), {num('d', 2)}%(length(text)+1)) AS low, greatest({num('d', 1)}%(length(text)+1), {num('d', 2)}%(length(text)+1)) AS high FROM tx),
+    pt AS (SELECT *, {byte_list('left(text,low)')} AS pre, {byte_list('substr(text,low+1,high-low)')} AS mid, {byte_list('substr(text,high+1)')} AS suf FROM cu),
+    ch AS (SELECT idx, k, n, (CASE WHEN {num('d', 0)}>={round(0.5 * 2**32)} THEN body WHEN {num('d', 3)}<{round(0.5 * 2**32)} THEN [260,262] || suf || [261] || pre || mid
+      ELSE [260] || pre || [262] || suf || [261] || mid END) || CASE WHEN last THEN [] ELSE [256] END AS part FROM pt),
+    jo AS (SELECT idx, any_value(n) AS n, flatten(list(part ORDER BY k)) AS parts FROM ch GROUP BY 1)
+    SELECT idx, {sql_digest("(parts || list_transform(range(greatest(n-len(parts),0)), lambda i: 263))[1:n]")} AS tokens, n::INT AS n FROM jo""",
+)
 def fill_in_middle(t):
     rows = samples(t).select(
         F.expr("conv(substr(md5(dataset), 1, 6), 16, 10) * 1000000 + sample_id").cast("bigint").alias("idx"), "tokens"
     )
     cfg = M.InfillConfig(rate=0.5, spm_rate=0.5, prefix=260, middle=261, suffix=262, pad=263, eod=256, seed=SEED)
-    out = M.fim(rows, cfg, ByteTokenizer)
+    out = M.fim_bytes(rows, cfg)
     return out.select("idx", digest("tokens").alias("tokens"), F.size("tokens").alias("n"))
 
 
