@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import samples as S
+from weft.operators import schedule
 from weft.plans.build import BuildConfig, build_splits, cached, requested_sizes
 
 
@@ -87,6 +88,60 @@ def test_exact_blend(spark):
     assert [(r["dataset"], r["k"]) for r in got] == [("a", 0), ("b", 0), ("c", 0), ("a", 1)]
 
 
+def greedy_by_hand(shares, size, limits=None):
+    taken, out = [0] * len(shares), []
+    for i in range(size):
+        errors = [w * max(i, 1) - c if limits is None or c < limits[d] else float("-inf") for d, (w, c) in enumerate(zip(shares, taken))]
+        d = errors.index(max(errors))
+        out.append((i, d, taken[d]))
+        taken[d] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1, 2, 3, 4, 5] * 4, [1] * 7, [0.61803, 0.2, 0.0, 0.0707], [random.Random(3).random() ** 6 + 0.001 for _ in range(40)]])
+def test_schedule_in_blocks_equals_the_serial_walk(spark, monkeypatch, weights):
+    monkeypatch.setattr(schedule, "block_steps", lambda sources: 150)
+    shares = [w / sum(weights) for w in weights]
+    known = schedule.states(spark, shares, 1_000)
+    assert known.count() == 7
+    got = sorted(tuple(r) for r in schedule.schedule(known, shares, 1_000).collect())
+    assert got == greedy_by_hand(shares, 1_000)
+
+
+def test_schedule_mends_wrong_guesses(spark, monkeypatch):
+    """No run-up at all and starts that are off: blocks walk again from their predecessor's end."""
+    monkeypatch.setattr(schedule, "block_steps", lambda sources: 90)
+    monkeypatch.setattr(schedule, "RUN_UP", 0)
+    shares = [0.5, 0.3, 0.15, 0.05]
+
+    def off(shares, limits, step):
+        taken = schedule.np.floor(shares * step).astype("int64")
+        taken[0] += step - taken.sum()
+        return taken
+
+    monkeypatch.setattr(schedule, "rounded", off)
+    got = sorted(tuple(r) for r in schedule.schedule(schedule.states(spark, shares, 500), shares, 500).collect())
+    assert got == greedy_by_hand(shares, 500)
+
+
+def test_exhaustive_schedule_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "block_steps", lambda sources: 64)
+    sizes = {f"d{i:02}": n for i, n in enumerate([300, 1, 17, 5, 120, 2, 55])}
+    total = sum(sizes.values())
+    got = sorted(tuple(r) for r in S.blend_exhaustive(samples_of(spark, sizes), "exact").collect())
+    names = list(sizes)
+    assert got == [(i, names[d], k) for i, d, k in greedy_by_hand([n / total for n in sizes.values()], total, list(sizes.values()))]
+
+
+def test_sources_asked_for_too_much(spark):
+    df = samples_of(spark, {"a": 10, "b": 100, "c": 3})
+    rows = S.oversampled(df, {"a": 0.5, "b": 0.4, "c": 0.0, "d": 0.1}, 40).collect()
+    assert sorted(tuple(r) for r in rows) == [("a", 20, 10), ("d", 4, 0)]
+    for mode in ("stride", "exact"):
+        with pytest.raises(ValueError, match="'a'"):
+            S.blend(df, {"a": 0.5, "b": 0.5}, 40, mode)
+
+
 def test_exhaustive_blends_use_every_sample_once(spark):
     sizes = {"a": 7, "b": 23, "c": 1}
     for mode in ("stride", "exact"):

@@ -78,4 +78,4 @@ def upto(n: Column) -> Column:
 def shuffled(items: Column, seed: int | str, *keys: str | Column) -> Column:
     """The items of an array in the order of their draws."""
     tagged = F.transform(items, lambda x: F.struct(draw(seed, *keys, x).alias("d"), x.alias("x")))
-    return F.transform(F.array_sort(tagged), lambda s: s["x"])
+    return F.transform(F.sort_array(tagged), lambda s: s["x"])

@@ -120,8 +120,8 @@ def _pick(v: Column, budget: Column, taken: Column, idx: Column, tag: str, cfg:
         return F.when(room <= 0, s).otherwise(bind(stop, tried))
 
     start = F.struct(F.lit(0).alias("used"), _empty(RANGES).alias("ranges"))
-    ordered = F.array_sort(F.transform(upto(last), candidate))
-    return F.array_sort(F.aggregate(ordered, start, step)["ranges"])
+    ordered = F.sort_array(F.transform(upto(last), candidate))
+    return F.sort_array(F.aggregate(ordered, start, step)["ranges"])
 
 
 def _budget(n: Column, target: Column, cfg: MaskConfig) -> Column:
@@ -187,7 +187,7 @@ def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) ->
             )
 
         both = bind(moved, lambda m: F.struct(m.alias("to"), shuffled(m, cfg.seed, F.lit("swap"), idx).alias("from")))
-        return bind(bind(both, lambda m: F.array_sort(F.concat(masked, swapped(m)))), lambda c: result(v, spans, c))
+        return bind(bind(both, lambda m: F.sort_array(F.concat(masked, swapped(m)))), lambda c: result(v, spans, c))
 
     def result(v, spans, changes):
         return F.struct(
@@ -208,10 +208,9 @@ def _once(df: DataFrame, value: Column) -> DataFrame:
 
 def _padded(values: Column, length: int, fill: int) -> Column:
     """Up to ``length`` with ``fill``; longer is an error."""
-    short = F.lit(length) - F.size(values)
-    return F.when(short < 0, F.raise_error(F.lit("sample longer than the sequence length")).cast(INTS)).otherwise(
-        F.concat(values, F.array_repeat(F.lit(fill).cast("bigint"), F.greatest(short, F.lit(0))))
-    )
+    error = F.raise_error(F.lit("sample longer than the sequence length")).cast(INTS)
+    filled = lambda v: F.concat(v, F.array_repeat(F.lit(fill).cast("bigint"), F.lit(length) - F.size(v)))
+    return bind(values, lambda v: F.when(F.size(v) > length, error).otherwise(filled(v)))
 
 
 def _zeroed(values: Column, pad: int) -> Column:

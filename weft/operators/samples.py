@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.ordering import hashed_running, order_key, ranged_running
+from weft.operators.schedule import given, schedule, states
 from weft.session import pin
 
 SPLITS = ["train", "valid", "test"]
 LAST_EPOCH_SHARE = 0.80
 BLEND_SURPLUS = 0.005
 MAX_DATASETS = 32766
-MAX_EXACT_BLEND = 1_000_000
 
 
 def parse_split(text: str) -> list[float]:
@@ -368,35 +368,43 @@ def blend(
 ) -> DataFrame:
     """(i, dataset, k): weighted interleave of per-source samples numbered ``k`` from 0.
 
-    ``stride`` sorts samples by (k + 1/2) / weight, any size.  ``exact`` follows the greedy
-    largest-deficit schedule step by step and refuses sizes it cannot emit in one task.
-    A source asked for more samples than it has is an error.
+    ``stride`` sorts samples by (k + 1/2) / weight; ``exact`` is the greedy largest-deficit schedule
+    (:mod:`weft.operators.schedule`).  Both take any size.  A source asked for more samples than it has is an
+    error that names it, see :func:`oversampled`.
     """
-    total = sum(weights.values())
-    shares = {name: w / total for name, w in weights.items()}
-    names = list(shares)
-    if len(names) > MAX_DATASETS:
-        raise ValueError(f"more than {MAX_DATASETS} data sets")
+    names, shares = _shares(weights)
     spark = samples.sparkSession
     table = spark.createDataFrame(
-        [(name, i, float(shares[name])) for i, name in enumerate(names)],
+        [(name, i, w) for i, (name, w) in enumerate(zip(names, shares))],
         "dataset string, dataset_id int, w double",
     )
     keyed = samples.select("dataset", "k").join(F.broadcast(table), "dataset")
     if mode == "exact":
-        if size > MAX_EXACT_BLEND:
-            raise ValueError("the exact schedule is serial; use mode='stride' at this size")
-        plan = _greedy_schedule(spark, list(shares.values()), size, None)
-        _guard(plan, table, samples)
+        known = states(spark, shares, size)
+        _raise_if_any(_short(given(known, names), samples))
+        plan = schedule(known, shares, size)
         return plan.join(keyed, ["dataset_id", "k"]).select("i", "dataset", "k")
-    keyed = keyed.filter("w > 0").withColumn("__s", (F.col("k") + 0.5) / F.col("w"))
     # at least size samples lie below size + sources / 2, so the rest need not be sorted
-    near = keyed.filter(F.col("__s") <= float(size + len(names) / 2 + 1))
+    near = float(size + len(names) / 2 + 1)
+    have = samples.groupBy("dataset").agg(F.count(F.lit(1)).alias("have"))
+    due = table.filter("w > 0").join(have, "dataset", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    asked = F.floor(F.col("w") * size - 0.5).cast("bigint")
+    _raise_if_any(due.select("dataset", asked.alias("asked"), "have").filter("asked > have"))
+    below = F.least("have", F.floor(near * F.col("w") + 0.5).cast("bigint"))
+    got = due.agg(F.coalesce(F.sum(below), F.lit(0)).alias("n")).first()["n"]
+    if got < size:
+        raise ValueError(f"blend asked for more samples than there are: {size} of {got}")
+    keyed = keyed.filter("w > 0").withColumn("__s", (F.col("k") + 0.5) / F.col("w"))
     ranked = ranged_running(
-        near.select("dataset", "dataset_id", "k", "__s"), ["__s", "dataset_id", "k"], out="i"
-    ).filter(F.col("i") < size)
-    _guard_stride(ranked, table, samples, size)
-    return ranked.select("i", "dataset", "k")
+        keyed.filter(F.col("__s") <= near).select("dataset", "dataset_id", "k", "__s"), ["__s", "dataset_id", "k"], out="i"
+    )
+    return ranked.filter(F.col("i") < size).select("i", "dataset", "k")
+
+
+def oversampled(samples: DataFrame, weights: dict[str, float], size: int) -> DataFrame:
+    """(dataset, asked, have): the sources that the exact schedule asks for more samples than they have."""
+    names, shares = _shares(weights)
+    return _short(given(states(samples.sparkSession, shares, size), names), samples)
 
 
 def blend_exhaustive(samples: DataFrame, mode: str = "stride") -> DataFrame:
@@ -409,19 +417,12 @@ def blend_exhaustive(samples: DataFrame, mode: str = "stride") -> DataFrame:
         .limit(MAX_DATASETS + 1)
         .collect()
     }
-    if len(sizes) > MAX_DATASETS:
-        raise ValueError(f"more than {MAX_DATASETS} data sets")
+    names, shares = _shares(sizes)
     total = sum(sizes.values())
     if mode == "exact":
-        if total > MAX_EXACT_BLEND:
-            raise ValueError("the exact schedule is serial; use mode='stride' at this size")
-        spark = samples.sparkSession
-        table = spark.createDataFrame(
-            [(name, i) for i, name in enumerate(sizes)], "dataset string, dataset_id int"
-        )
-        plan = _greedy_schedule(
-            spark, [n / total for n in sizes.values()], total, list(sizes.values())
-        )
+        spark, limits = samples.sparkSession, list(sizes.values())
+        table = spark.createDataFrame(list(enumerate(names)), "dataset_id int, dataset string")
+        plan = schedule(states(spark, shares, total, limits), shares, total, limits)
         return (
             plan.join(F.broadcast(table), "dataset_id")
             .join(samples.select("dataset", "k"), ["dataset", "k"])
@@ -430,52 +431,20 @@ def blend_exhaustive(samples: DataFrame, mode: str = "stride") -> DataFrame:
     return blend(samples, {name: float(n) for name, n in sizes.items()}, total)
 
 
-def _greedy_schedule(spark, shares, size, limits):
-    def emit(batches):
-        import numpy as np
-        import pandas as pd
-
-        w = np.array(shares)
-        for batch in batches:
-            for _ in range(len(batch)):
-                taken = np.zeros(len(w))
-                rows = []
-                for i in range(size):
-                    short = w * max(i, 1) - taken
-                    if limits is not None:
-                        short[taken >= np.array(limits)] = -np.inf
-                    d = int(short.argmax())
-                    rows.append((i, d, int(taken[d])))
-                    taken[d] += 1
-                yield pd.DataFrame(rows, columns=["i", "dataset_id", "k"])
-
-    return spark.range(1).mapInPandas(emit, "i bigint, dataset_id int, k bigint")
-
-
-def _guard(plan, table, samples):
-    asked = plan.groupBy("dataset_id").agg((F.max("k") + 1).alias("asked"))
-    _raise_if_short(asked.join(table, "dataset_id"), samples)
+def _shares(weights: dict[str, float]) -> tuple[list[str], list[float]]:
+    if len(weights) > MAX_DATASETS:
+        raise ValueError(f"more than {MAX_DATASETS} data sets")
+    total = sum(weights.values())
+    return list(weights), [float(w / total) for w in weights.values()]
 
 
-def _guard_stride(ranked, table, samples, size):
-    # a source that ran dry leaves its share to the others: compare with its due
-    due = table.filter("w > 0").select(
-        "dataset", F.floor(F.col("w") * size - 0.5).cast("bigint").alias("asked")
-    )
-    _raise_if_short(due, samples)
-    got = ranked.count()
-    if got < size:
-        raise ValueError(f"blend asked for more samples than there are: {size} of {got}")
+def _short(asked: DataFrame, samples: DataFrame) -> DataFrame:
+    have = samples.groupBy("dataset").agg(F.count(F.lit(1)).alias("have"))
+    both = asked.join(have, "dataset", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    return both.select("dataset", "asked", "have").filter("asked > have")
 
 
-def _raise_if_short(asked, samples):
-    have = samples.groupBy("dataset").agg(F.count(F.lit(1)).alias("have"))
-    short = (
-        asked.join(have, "dataset", "left")
-        .filter(F.coalesce("have", F.lit(0)) < F.col("asked"))
-        .orderBy("dataset")
-        .limit(5)
-        .collect()
-    )
-    if short:
-        raise ValueError(f"sources asked for more samples than they have: {short}")
+def _raise_if_any(short: DataFrame) -> None:
+    few = short.orderBy("dataset").limit(5).collect()
+    if few:
+        raise ValueError(f"sources asked for more samples than they have: {few}")

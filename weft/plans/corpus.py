@@ -454,14 +454,22 @@ def blend_stride(t):
     return S.blend(per_source(t), weights(t), blend_size(t))
 
 
+def greedy_sql(n: int | str, w: str, steps: str, limited: bool = False) -> str:
+    """``g``: the greedy schedule step by step: ``i``, counts ``c`` before it and the source ``d`` (from 1) it takes."""
+    spent = "CASE WHEN c[j]>=z[j] THEN -1e300 END" if limited else "NULL"
+    error = f"list_transform(w, lambda v, j: coalesce({spent}, v*greatest(i,1)-c[j]))"
+    return f"""ws AS ({w}), s0 AS (SELECT 0::BIGINT AS i, list_transform(range({n}), lambda x: 0::BIGINT) AS c),
+    g AS (SELECT i, c, list_position(e, list_max(e)) AS d FROM (SELECT i, c, {error} AS e FROM s0, ws) WHERE {steps}>0
+      UNION ALL SELECT i, c, list_position(e, list_max(e)) FROM (SELECT i, c, {error} AS e FROM
+        (SELECT i+1 AS i, list_transform(c, lambda x, j: CASE WHEN j=d THEN x+1 ELSE x END) AS c FROM g WHERE i+1<{steps}), ws))"""
+
+
+TABLE_WEIGHTS = "SELECT list_transform(range(20), lambda i: (1+i%5)/60.0::DOUBLE) AS w"
+
+
 @query(
     "c13_blend_exact",
-    f"""WITH RECURSIVE {KS}, sz AS (SELECT count(*)//3 AS m FROM corp),
-    ws AS (SELECT list_transform(range(20), lambda i: (1+i%5)/60.0::DOUBLE) AS w),
-    s0 AS (SELECT 0::BIGINT AS i, list_transform(range(20), lambda x: 0::BIGINT) AS c),
-    g AS (SELECT i, c, list_position(e, list_max(e)) AS d FROM (SELECT i, c, list_transform(w, lambda v, j: v*greatest(i,1)-c[j]) AS e FROM s0, ws)
-      UNION ALL SELECT i, c, list_position(e, list_max(e)) FROM (SELECT i, c, list_transform(w, lambda v, j: v*greatest(i,1)-c[j]) AS e FROM
-        (SELECT i+1 AS i, list_transform(c, lambda x, j: CASE WHEN j=d THEN x+1 ELSE x END) AS c FROM g, sz WHERE i+1<m), ws))
+    f"""WITH RECURSIVE {KS}, {greedy_sql(20, TABLE_WEIGHTS, '(SELECT count(*)//3 FROM corp)')}
     SELECT i, 'src'||(d-1) AS dataset, c[d] AS k FROM g""",
 )
 def blend_exact(t):
@@ -478,6 +486,27 @@ def exhaustive(t):
     return S.blend_exhaustive(per_source(t))
 
 
+@query(
+    "c14_blend_exhaustive_exact",
+    f"""WITH RECURSIVE {KS}, zs AS (SELECT list(dataset ORDER BY dataset) AS names, list(n ORDER BY dataset) AS z FROM (SELECT dataset, count(*) AS n FROM ks GROUP BY 1)),
+    {greedy_sql('(SELECT len(z) FROM zs)', 'SELECT z, list_transform(z, lambda n: n/(list_sum(z)::DOUBLE)) AS w FROM zs', '(SELECT count(*) FROM corp)', limited=True)}
+    SELECT i, names[d] AS dataset, c[d] AS k FROM g, zs""",
+)
+def exhaustive_exact(t):
+    return S.blend_exhaustive(per_source(t), mode="exact")
+
+
+@query(
+    "c15_oversampled",
+    f"""WITH RECURSIVE {KS}, {greedy_sql(20, TABLE_WEIGHTS, '(SELECT count(*) FROM corp)')},
+    asked AS (SELECT 'src'||(d-1) AS dataset, count(*) AS asked FROM g GROUP BY 1), have AS (SELECT dataset, count(*) AS have FROM ks GROUP BY 1)
+    SELECT dataset, asked, coalesce(have, 0)::BIGINT AS have FROM asked LEFT JOIN have USING (dataset) WHERE asked > coalesce(have, 0)""",
+)
+def oversampled(t):
+    """As many samples as there are documents, by weights that the sources can't serve."""
+    return S.oversampled(per_source(t), weights(t), sized(t).count())
+
+
 @query(
     "c16_build_splits",
     f"""WITH {RANKED}, sp AS (SELECT dataset, doc_id, n, CASE WHEN o<round_even(0.7*m,0) THEN 'train'
