@@ -7,7 +7,7 @@ group-incidence matrices (ids x groups, groups x ids) gives the shared-group lin
 
 Both tokenizers cut a text at a blank between two characters that are not white space, whatever stands around it.
 So tokens, groups and links of a document are those of its pieces between such blanks, and every distinct
-piece is encoded and multiplied once per block of documents (and remembered by the worker).
+piece is encoded and multiplied once per block of documents.
 
 How many documents hold a pair of ids linked needs the whole corpus.  Blocks of documents are stored
 with their links by the number of the pair in the block; the pairs of a block, one row for each whatever
@@ -40,13 +40,13 @@ from weft.llm.arrow import gathered, ragged, stored
 BLOCK_BYTES = 8 << 20
 TOGETHER = 1_000
 CHARACTERS = 1 << 18
-#: Pieces that a worker remembers (longer ones than REMEMBERED_LENGTH aren't); emptied when full.
-REMEMBERED = 200_000
-REMEMBERED_LENGTH = 200
 #: Products expanded at once.
 PRODUCTS = 1 << 22
 #: A blank where both tokenizers cut.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A piece that is empty or has white space at an end, so that one of the blanks beside it is not such a blank.
+WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_ENDS = f"^$|^{WHITE}|{WHITE}$"
 
 RESULT = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
@@ -162,21 +162,32 @@ class Table:
 
 
 @dataclass
-class Piece:
-    """What one piece of text adds to its document; ``pairs`` are A id << 32 | B id, with how many links of each."""
+class Pieces:
+    """What each distinct piece of text adds to its document, by arrays.
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    n_overlaps: int
-    pairs: bytes
-    times: bytes
-    groups: str
+    ``fits`` is false for a piece that can't be tokenised, which adds nothing.  Piece i has the pairs of ids (A id << 32 |
+    B id) from ``bounds[i]`` to ``bounds[i + 1] - 1`` of ``keys``, with ``times`` links each; ``groups`` spells its groups.
+    """
+
+    fits: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    n_overlaps: np.ndarray
+    bounds: np.ndarray
+    keys: np.ndarray
+    times: np.ndarray
+    groups: pa.Array
+
+
+def _joined(lists: np.ndarray, items: pa.Array, by: str) -> pa.Array:
+    """The strings ``items[lists[i]:lists[i + 1]]`` of every i in one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), items), pa.scalar(by, pa.large_string()))
 
 
 class Aligner:
-    """Both tokenizers, and the pieces seen by this worker."""
+    """Both tokenizers and the bytes of their ids."""
 
     _made: dict[tuple[str, str], Aligner] = {}
 
@@ -197,7 +208,6 @@ class Aligner:
         self.b_table = Table([bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in names])
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece with a blank behind another character: words can't be encoded by themselves")
-        self.known: dict[str, Piece | None] = {}
 
     @classmethod
     def at(cls, a_path: str, b_path: str) -> Aligner:
@@ -210,82 +220,73 @@ class Aligner:
         """Ids of a blank and the text by A, and of the text by B; None where either's bytes aren't a blank and the text."""
         data = np.frombuffer(b" " + text.encode(), dtype=np.uint8)
         out = []
-        for ids, table in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.a_table), (self.b.encode(text, num_threads=1), self.b_table)):
+        for ids, table in ((self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.a_table), (self.b.encode(text, num_threads=1), self.b_table)):
             ids = np.asarray(ids, dtype=np.int64)
             if not np.array_equal(table.joined(ids), data):
                 return None
             out.append(ids)
         return out[0], out[1]
 
-    def pieces(self, wanted: list[str]) -> list[Piece | None]:
-        """What each piece adds; None for one that can't be tokenised."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        found = {p: self.known[p] for p in wanted if p in self.known}
-        new = [p for p in wanted if p not in found]
-        start, size = 0, 0
-        for i, piece in enumerate(new):
-            if i > start and (i - start == TOGETHER or size + len(piece) > CHARACTERS):
-                self._learn(new[start:i], found)
-                start, size = i, 0
-            size += len(piece)
-        if new:
-            self._learn(new[start:], found)
-        self.known.update((p, found[p]) for p in new if len(p) <= REMEMBERED_LENGTH)
-        return [found[p] for p in wanted]
-
-    def _learn(self, new: list[str], found: dict[str, Piece | None]) -> None:
-        """Pieces side by side in one text; each by itself if that can't be told apart."""
-        ids = self.encode(" ".join(new))
+    def _side_by_side(self, pieces: list[str]) -> list[tuple[list[np.ndarray], list[np.ndarray]] | None]:
+        """(ids of A and B, tokens of each piece by A and B) of pieces in one text, or of each by itself if that can't be told
+        apart; None for a piece that can't be tokenised."""
+        ids = self.encode(" ".join(pieces))
         if ids is not None:
-            ends = np.cumsum([len(p.encode()) + 1 for p in new])
+            ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
             cuts = []
             for own, table in zip(ids, (self.a_table, self.b_table)):
                 token_ends = np.cumsum(table.lengths[own])
                 at = np.searchsorted(token_ends, ends)
-                if not np.array_equal(token_ends[at], ends):
-                    break
-                cuts.append(np.concatenate(([0], at + 1)))
+                if np.array_equal(token_ends[at], ends):
+                    cuts.append(np.diff(at, prepend=-1))
             if len(cuts) == 2:
-                found.update(zip(new, self._multiply(*ids, *cuts)))
-                return
-        for piece in new:
-            if len(new) > 1:
-                self._learn([piece], found)
-            else:
-                found[piece] = None
-
-    def _multiply(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> list[Piece]:
-        """Groups and links of the pieces that end at the cuts."""
-        n = len(a_cuts) - 1
+                return [(list(ids), cuts)]
+        return [None] if len(pieces) == 1 else [x for p in pieces for x in self._side_by_side([p])]
+
+    def pieces(self, wanted: list[str]) -> Pieces:
+        """What each piece adds to its document."""
+        together, size = [0], 0
+        for i, piece in enumerate(wanted):
+            if i > together[-1] and (i - together[-1] == TOGETHER or size + len(piece) > CHARACTERS):
+                together.append(i)
+                size = 0
+            size += len(piece)
+        parts = [x for a, b in zip(together, [*together[1:], len(wanted)]) if b > a for x in self._side_by_side(wanted[a:b])]
+        nothing, unfit = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        a, b = (np.concatenate([nothing, *(x[0][k] for x in parts if x)]) for k in (0, 1))
+        n_a, n_b = (np.concatenate([nothing, *(x[1][k] if x else unfit for x in parts)]) for k in (0, 1))
+        return self._multiply(a, b, n_a, n_b)
+
+    def _multiply(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Pieces:
+        """Groups and links of pieces with ``n_a`` and ``n_b`` tokens each."""
+        n = len(n_a)
+        a_cuts = np.concatenate(([0], np.cumsum(n_a)))
         links = overlaps(self.a_table.lengths[a], self.b_table.lengths[b])
         of_a, of_b = groups_of(links)
-        total = int(of_a[-1]) + 1
-        piece = np.repeat(np.arange(n), np.diff(a_cuts))
+        total = int(of_a[-1]) + 1 if len(of_a) else 0
+        piece = np.repeat(np.arange(n), n_a)
         # ids of a piece x groups, groups x ids: an id that comes again is one row with a greater value
         rows, row = np.unique(piece << 32 | a, return_inverse=True)
         by_group = Rows.gathered(of_b, b, total, len(self.b_table.lengths))
         shared = Rows.gathered(row, of_a, len(rows), total).times(by_group)
         owner = np.repeat(rows, np.diff(shared.bounds))
-        keys = (owner & 0xFFFFFFFF) << 32 | shared.columns
-        cuts = np.searchsorted(owner >> 32, np.arange(n + 1))
-        n_links = np.diff(np.concatenate(([0], np.cumsum(shared.values)))[cuts])
-        n_overlaps = np.diff(links.bounds[a_cuts])
-        group_cuts = np.append(of_a[a_cuts[:-1]], total)
-        a_at, b_at = np.searchsorted(of_a, np.arange(total + 1)), np.searchsorted(of_b, np.arange(total + 1))
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spelled = [
-            ",".join(a_text[p:q]) + "|" + ",".join(b_text[r:s])
-            for p, q, r, s in zip(a_at[:-1].tolist(), a_at[1:].tolist(), b_at[:-1].tolist(), b_at[1:].tolist())
-        ]
-        keys, values = keys.tobytes(), shared.values.astype(np.int64).tobytes()
-        out = []
-        for n_a, n_b, g, h, m, o, p, q in zip(
-            np.diff(a_cuts).tolist(), np.diff(b_cuts).tolist(), group_cuts[:-1].tolist(), group_cuts[1:].tolist(),
-            n_links.tolist(), n_overlaps.tolist(), (8 * cuts[:-1]).tolist(), (8 * cuts[1:]).tolist(),
-        ):
-            out.append(Piece(n_a, n_b, h - g, m, o, keys[p:q], values[p:q], ";".join(spelled[g:h])))
-        return out
+        bounds = np.searchsorted(owner >> 32, np.arange(n + 1))
+        group_cuts = np.append(of_a, total)[a_cuts]
+        text = lambda ids: pa.array(ids).cast(pa.large_string())
+        each = np.arange(total + 1)
+        sides = [_joined(np.searchsorted(of, each), text(ids), ",") for of, ids in ((of_a, a), (of_b, b))]
+        return Pieces(
+            fits=n_a > 0,
+            n_a=n_a,
+            n_b=n_b,
+            n_groups=np.diff(group_cuts),
+            n_links=np.diff(np.concatenate(([0], np.cumsum(shared.values)))[bounds]),
+            n_overlaps=np.diff(links.bounds[a_cuts]),
+            bounds=bounds,
+            keys=(owner & 0xFFFFFFFF) << 32 | shared.columns,
+            times=shared.values,
+            groups=_joined(group_cuts, pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), ";"),
+        )
 
 
 def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -300,7 +301,7 @@ def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = np.asarray(split.offsets, dtype=np.int64)
     bounds = bounds - bounds[0]
-    odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in distinct], dtype=bool)
+    odd = pc.match_substring_regex(coded.dictionary, WHITE_ENDS).to_numpy(zero_copy_only=False)
     bad = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(odd[index])))[bounds]))
     if not len(bad):
         return bounds, index, distinct
@@ -319,28 +320,24 @@ def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def _block(aligner: Aligner, docs: pa.RecordBatch, block: int) -> pa.RecordBatch:
     """A block of documents as one row of ``BLOCKS``."""
     bounds, index, distinct = pieces_of(docs.column("text"))
-    known = aligner.pieces(distinct)
-    fits = np.array([p is not None for p in known], dtype=bool)
+    have = aligner.pieces(distinct)
     # documents with a piece that can't be tokenised have no tokens
-    wrong = np.diff(np.concatenate(([0], np.cumsum(~fits[index])))[bounds]) > 0
+    wrong = np.diff(np.concatenate(([0], np.cumsum(~have.fits[index])))[bounds]) > 0
     if wrong.any():
-        keep = ~np.repeat(wrong, np.diff(bounds))
-        sizes = np.where(wrong, 0, np.diff(bounds))
-        index, bounds = index[keep], np.concatenate(([0], np.cumsum(sizes)))
-    have = [p or Piece(0, 0, 0, 0, 0, b"", b"", "") for p in known]
+        sizes = np.diff(bounds)
+        index = index[~np.repeat(wrong, sizes)]
+        bounds = np.concatenate(([0], np.cumsum(np.where(wrong, 0, sizes))))
 
     def summed(name: str) -> pa.Array:
-        each = np.array([getattr(p, name) for p in have], dtype=np.int64)
-        return pa.array(np.diff(np.concatenate(([0], np.cumsum(each[index])))[bounds]))
+        return pa.array(np.diff(np.concatenate(([0], np.cumsum(getattr(have, name)[index])))[bounds]))
 
-    texts = pa.array([p.groups for p in have], pa.large_string()).take(pa.array(index))
-    spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), pa.scalar(";", pa.large_string()))
+    spelled = _joined(bounds, have.groups.take(pa.array(index)), ";")
     hashed = [hashlib.sha256(s.as_buffer()).hexdigest() if n else "" for s, n in zip(spelled, np.diff(bounds).tolist())]
     # links of a document by the number of their pair in the block
-    sizes = np.fromiter((len(p.pairs) // 8 for p in have), dtype=np.int64, count=len(have))
-    keys, number = np.unique(np.frombuffer(b"".join(p.pairs for p in have), dtype=np.int64), return_inverse=True)
-    times = np.frombuffer(b"".join(p.times for p in have), dtype=np.int64)
-    entry = ragged((np.cumsum(sizes) - sizes)[index], sizes[index])
+    sizes = np.diff(have.bounds)
+    keys, number = np.unique(have.keys, return_inverse=True)
+    times = have.times
+    entry = ragged(have.bounds[:-1][index], sizes[index])
     doc = np.repeat(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), sizes[index])
     place = doc * max(len(keys), 1) + number[entry]
     order = np.argsort(place, kind="stable")
