@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from weft.llm import decontaminate as D
 from weft.llm import neighbours as N
@@ -135,6 +136,51 @@ def test_neighbours_reach_the_recall(spark):
     assert hit / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    got = {}
+    for r in N.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in ids[ids % 20 == 0].tolist():
+        score = every @ every[ids == q][0]
+        near = [i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]
+        recall.append(len(got[q] & set(near)) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.75
+
+
+def uneven(rng):
+    return rng.standard_normal((6_000, 64)) * np.exp(rng.standard_normal(6_000))[:, None]
+
+
+@pytest.mark.parametrize(
+    "make, most",
+    [
+        (lambda rng: rng.standard_normal((16_384, 128)) / 11, 0.25),
+        (lambda rng: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.standard_normal((16_384, 128))), 0.10),
+        (lambda rng: np.vstack([10 * rng.standard_normal((1, 64)), (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.standard_normal((9_999, 64)))]), 0.10),
+        (uneven, 1.0),
+    ],
+)
+def test_recall_and_share_verified_in_a_block(make, most):
+    every = make(np.random.default_rng(7))
+    ids = np.arange(len(every))
+    blocks = [(own, vectors, N.Lines(vectors)) for own, vectors in N.by_length([(ids, every)])]
+    recall, verified = [], []
+    for q in range(0, len(every), len(every) // 40):
+        found = np.concatenate([own[index.candidates(every[q], 21)] for own, _, index in blocks])
+        score = every @ every[q]
+        score[q] = -np.inf
+        near = np.argsort(-score, kind="stable")[:20]
+        recall.append(len(np.intersect1d(found, near)) / 20)
+        verified.append(len(found) / len(every))
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.75
+    assert np.mean(verified) <= most
+
+
 def test_odd_vectors(spark):
     """Null, zero, unfinished and unequal vectors, copies and ties, fewer candidates than asked for."""
     rows = [(i, [1.0, float(i % 3)]) for i in range(15)] + [(20, [0.0, 0.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (120, []), (None, [1.0, 1.0])]

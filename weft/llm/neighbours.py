@@ -2,13 +2,14 @@
 
 Vectors are dealt out in blocks.  A block projects its vectors on random lines and keeps each line as one
 sorted array.  A query is projected on the same lines; the window around its place on each line grows
-step by step (virtual rehashing: a wider window stands for wider buckets, nothing is hashed again)
-and counts for every vector the lines on which it is inside.  Vectors at or above the collision threshold
-are candidates; windows stop growing when there are enough of them, and the candidates are
-verified: their inner products are computed in double precision on the original vectors.
+in steps (virtual rehashing: a wider window stands for wider buckets, nothing is hashed again)
+and counts for every vector the lines on which it is inside.  The vectors with most collisions are verified first; the
+distance of the k-th of them tells how many collisions a nearer vector has, give or take, which is the threshold: every vector
+at or above it is verified.  Windows stop growing when that distance gives enough collisions to tell.  Verified
+means: the inner product is computed in double precision on the original vectors.
 
 Inner products become distances by one more coordinate that gives all vectors the block's greatest
-length; a query has 0 there.
+length; a query has 0 there.  Blocks are cut by length, so that a few long vectors don't crowd the others together.
 
 Vectors that are null, zero or hold a null or a component that isn't finite take no part; vectors meet
 only those of their own number of components.  Queries are written to the shared folder once and
@@ -19,6 +20,7 @@ block, all are verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +34,34 @@ from weft.llm.arrow import new_folder, ragged
 
 NEAREST = 20
 EVERY = 20
-#: Lines per block, the share of them on which a candidate must be inside, and the share of a block
-#: that ends the growth of the windows.
-LINES = 56
-COLLISIONS = 0.72
-ENOUGH = 0.15
-#: First half-width of a window (lengths are scaled to 1) and its growth.
-HALF_WIDTH = 0.5
-GROWTH = 1.3
+#: Lines per block; they come in frames of mutually orthogonal ones, which tell vectors apart far better than
+#: lines drawn each by itself.
+LINES = 256
+#: First half-width of a window, on lines on which vectors of the block's greatest length have deviation 1.
+HALF_WIDTH = 1.0
+#: Windows are wide enough when a vector as far as the k-th found collides on this share of the lines.
+SHARE = 0.78
+#: Candidates may collide on so many deviations fewer lines than a vector as far as the k-th found.
+DEVIATIONS = 1.2
+#: Vectors verified at first, for each wanted.
+FIRST = 3
 #: Vectors of a block at most.
 BLOCK_ROWS = 16_384
 
 
+def frames(lines: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """``lines`` directions of ``size`` coordinates, orthogonal within each run of ``size``, of length sqrt(size)."""
+    made = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-lines // size))]
+    return (np.vstack(made)[:lines] * np.sqrt(size)).astype(np.float32)
+
+
+def collision_share(half: float, distance: float) -> float:
+    """Share of lines on which two vectors at a distance lie within ``half`` of each other."""
+    return math.erf(half / max(distance, 1e-9) / math.sqrt(2))
+
+
 class Lines:
-    """Sorted projections of a block of vectors of one length."""
+    """Sorted projections of a block of vectors of one number of components."""
 
     def __init__(self, vectors: np.ndarray, lines: int = LINES, seed: int = 0):
         self.vectors = vectors
@@ -53,38 +69,46 @@ class Lines:
         self.scale = float(norms.max())
         unit = (vectors / self.scale).astype(np.float32)
         rest = np.sqrt(np.maximum(1 - (norms / self.scale) ** 2, 0)).astype(np.float32)
-        rng = np.random.default_rng(seed)
-        self.axes = rng.standard_normal((lines, vectors.shape[1])).astype(np.float32)
-        extra = rng.standard_normal(lines).astype(np.float32)
-        place = self.axes @ unit.T + extra[:, None] * rest[None, :]
+        axes = frames(lines, vectors.shape[1] + 1, np.random.default_rng(seed))
+        self.axes = axes[:, :-1]
+        place = self.axes @ unit.T + axes[:, -1:] * rest[None, :]
         order = np.argsort(place, axis=1)
         # all lines in one ascending array, each moved to a stretch of its own
         self.apart = 4 * float(np.abs(place).max()) + 64
         self.sorted = (np.take_along_axis(place, order, axis=1) + self.apart * np.arange(lines)[:, None]).ravel()
-        self.order = order.ravel()
+        self.order = order.astype(np.int32).ravel()
 
-    def candidates(self, query: np.ndarray, wanted: int, collisions: float = COLLISIONS, enough: float = ENOUGH) -> np.ndarray:
+    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
+        """On how many lines each vector lies in the window around the query; what is rarer, inside or outside, is counted."""
         n, lines = len(self.vectors), len(self.axes)
-        needed = max(wanted, int(np.ceil(enough * n)))
-        if n <= needed:
-            return np.arange(n)
-        stretch = self.apart * np.arange(lines)
-        centre = self.axes @ (query / np.linalg.norm(query)).astype(np.float32) + stretch
-        lo = np.searchsorted(self.sorted, centre)
-        hi = lo.copy()
         first, last = n * np.arange(lines), n * np.arange(1, lines + 1)
-        counts = np.zeros(n, dtype=np.int64)
-        half, limit = HALF_WIDTH, int(np.ceil(collisions * lines))
+        lo = np.clip(np.searchsorted(self.sorted, centre - half), first, last)
+        hi = np.clip(np.searchsorted(self.sorted, centre + half, side="right"), first, last)
+        if 2 * int((hi - lo).sum()) <= len(self.sorted):
+            return np.bincount(self.order[ragged(lo, hi - lo)], minlength=n)
+        outside = ragged(np.concatenate((first, hi)), np.concatenate((lo - first, last - hi)))
+        return lines - np.bincount(self.order[outside], minlength=n)
+
+    def candidates(self, query: np.ndarray, wanted: int, deviations: float = DEVIATIONS) -> np.ndarray:
+        """Vectors above the collision threshold of the ``wanted``-th nearest one found."""
+        n, lines = len(self.vectors), len(self.axes)
+        some = FIRST * wanted
+        if n <= some:
+            return np.arange(n)
+        direction = query / np.linalg.norm(query)
+        centre = self.axes @ direction.astype(np.float32) + self.apart * np.arange(lines)
+        half = HALF_WIDTH
         while True:
-            below = np.minimum(np.maximum(np.searchsorted(self.sorted, centre - half), first), lo)
-            above = np.maximum(np.minimum(np.searchsorted(self.sorted, centre + half, side="right"), last), hi)
-            new = ragged(np.concatenate((below, hi)), np.concatenate((lo - below, above - hi)))
-            counts += np.bincount(self.order[new], minlength=n)
-            lo, hi = below, above
-            found = np.flatnonzero(counts >= limit)
-            if len(found) >= needed or (lo == first).all() and (hi == last).all():
-                return found
-            half *= GROWTH
+            counts = self.collisions(centre, half)
+            top = np.argpartition(counts, n - some)[n - some :]
+            likeness = np.sort(self.vectors[top] @ direction)[-wanted] / self.scale
+            distance = math.sqrt(max(2 - 2 * float(likeness), 0.0))
+            share = collision_share(half, distance)
+            if share >= SHARE:
+                break
+            half = 1.3 * distance  # virtual rehashing: the same arrays, a wider window
+        least = lines * share - deviations * math.sqrt(lines * share * (1 - share))
+        return np.union1d(np.flatnonzero(counts >= least), top)
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -116,7 +140,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, lines: int = LINES, collisions: float = COLLISIONS, enough: float = ENOUGH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, lines: int = LINES, deviations: float = DEVIATIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     fine = _valid(vectors).withColumn("size", F.size("embedding"))
@@ -127,13 +151,13 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, lines: int
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = pafs.FileSystem.from_uri(system_path)
         queries = pads.dataset(inner, filesystem=system, format="parquet")
-        for ids, block in _blocks(batches, block_rows):
+        for ids, block in by_length(_blocks(batches, block_rows)):
             index = Lines(block, lines)
             same = pads.field("size") == block.shape[1]
             for part in queries.to_batches(filter=same, batch_size=4096) if queries.files else []:
                 out = []
                 for q, query in zip(part.column("vec_id").to_pylist(), _matrix(part.column("embedding"))):
-                    found = index.candidates(query, k + 1, collisions, enough)
+                    found = index.candidates(query, k + 1, deviations)
                     found = found[ids[found] != q]
                     score = exact(query, block[found])
                     top = best(ids[found], score, k)
@@ -178,5 +202,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.n
             yield _joined(held[size])
 
 
+def by_length(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks cut in bands of vector length, each to half as much again."""
+    for ids, vectors in blocks:
+        band = np.floor(2 * np.log2(np.linalg.norm(vectors, axis=1)) + 0.25)
+        for b in np.unique(band).tolist():
+            yield ids[band == b], vectors[band == b]
+
+
 def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
