@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from weft.functions.ordering import ranged_running
 from weft.functions.text import strip
 from weft.functions.tokens import byte_encode, byte_values, empty_ints
+from weft.operators.nextfit import next_fit
 from weft.operators.packing import cumulative
+from weft.session import pin
 
 IGNORE = -100
 MESSAGES = "array<struct<role:string,content:string>>"
 IMAGE_TOKEN = "<image>"  # fixed value
-MAX_SHARD_ROWS = 20_000_000
 
 # Other names of the two speakers.
 ROLES = {
@@ -381,39 +382,21 @@ def pack_concat(
 
     Chats plus an end token (no loss on it) are cut to ``length`` and joined until more than
     ``length`` tokens; the last incomplete pack of a shard is dropped.  Shards are runs of rows
-    in key order.  Only (key, length) is walked, one shard per group; a shard too large for a
-    task is refused, ask for more shards.
+    in key order, of any size: (key, length) is packed by :func:`weft.operators.nextfit.next_fit`.
     """
     narrow = df.select(
         key, F.least(F.size("tokens") + 1, F.lit(length)).cast("bigint").alias("n")
     )
-    numbered = ranged_running(narrow, [key], out="i")
-    total = numbered.count()
-    if total > shards * MAX_SHARD_ROWS:
-        raise ValueError(f"shards of more than {MAX_SHARD_ROWS} rows: raise the number of shards")
-    share, extra = divmod(total, shards)
+    numbered = pin(ranged_running(narrow, [key], out="i"))
+    share, extra = divmod(numbered.count(), shards)
     edge = (share + 1) * extra
-    shard = F.when(F.col("i") < edge, F.floor(F.col("i") / (share + 1))).otherwise(
-        extra + F.floor((F.col("i") - edge) / max(share, 1))
-    )
-
-    def walk(rows):
-        rows = rows.sort_values("i")
-        pack, held, of = 0, 0, []
-        for n in rows["n"]:
-            of.append(pack)
-            held += n
-            if held > length:
-                pack, held = pack + 1, 0
-        out = rows.assign(pack=of)
-        return out[out["pack"] < pack][["shard", "pack", "i", "key"]]
-
-    kind = df.schema[key].dataType.simpleString()
-    placed = (
-        numbered.select(shard.cast("int").alias("shard"), "i", F.col(key).alias("key"), "n")
-        .groupBy("shard")
-        .applyInPandas(walk, f"shard int, pack bigint, i bigint, key {kind}")
-    )
+    early = F.col("i") < edge
+    shard = F.when(early, F.expr(f"i div {share + 1}")).otherwise(extra + F.expr(f"(i - {edge}) div {max(share, 1)}"))
+    begins = F.when(F.col("shard") < extra, F.col("shard") * (share + 1)).otherwise(edge + (F.col("shard") - extra) * share)
+    rows = numbered.select(F.col(key).alias("key"), shard.cast("int").alias("shard"), "i", "n")
+    rows = rows.withColumn("at", F.col("i") - begins)
+    packed = next_fit(rows.select("shard", F.col("at").alias("i"), "n"), length).withColumnRenamed("i", "at")
+    placed = rows.join(packed, ["shard", "at"]).select("shard", "pack", "i", "key")
     full = df.select(
         F.col(key).alias("key"),
         F.slice(F.concat("tokens", F.array(F.lit(eos))), 1, length).alias("ids"),
