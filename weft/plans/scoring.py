@@ -8,28 +8,27 @@ from weft.functions import text as X
 from weft.operators import scoring as S
 from weft.plans.registry import digest, query
 
-# Expressions valid in both SQL dialects.
-WORD = "split_part(replace(text, chr(10), ' '), ' ', 1)"
+# Expressions valid in both SQL dialects; answers and responses hold the whole text.
 ANSWER = (
-    f"CASE doc_id % 5 WHEN 0 THEN {WORD} WHEN 1 THEN 'The ' || {WORD} || '!' "
-    f"WHEN 2 THEN lower({WORD}) WHEN 3 THEN {WORD} || 'x' ELSE substr(text, 1, 40) END"
+    "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'The ' || text || '!' "
+    "WHEN 2 THEN lower(text) WHEN 3 THEN text || 'x' ELSE text || chr(10) || text END"
 )
-GOLD = f"lower({WORD})"
+GOLD = "lower(text)"
 NUM = "CAST(n_chars % 97 AS STRING) || '.' || CAST(n_chars % 10 AS STRING) || '0'"
 NUM_SQL = NUM.replace("STRING", "VARCHAR")
 LETTER = "substr('ABCD', CAST(doc_id % 4 AS INT) + 1, 1)"
 CHOICE = (
-    f"CASE doc_id % 7 WHEN 0 THEN 'The answer is (' || {LETTER} || ').' WHEN 1 THEN {LETTER} || '.' "
-    f"WHEN 2 THEN 'I think ' || {LETTER} || ' or (B) and (' || {LETTER} || ')' "
-    f"WHEN 3 THEN 'maybe A or C then ' || {LETTER} || ' it is' "
-    "WHEN 4 THEN 'it must be the green bird here, not the red car' "
-    "WHEN 5 THEN 'no idea' ELSE 'x ' || substr(text, 1, 30) END"
+    f"CASE doc_id % 7 WHEN 0 THEN text || ' The answer is (' || {LETTER} || ').' WHEN 1 THEN {LETTER} || '.' "
+    f"WHEN 2 THEN 'I think ' || {LETTER} || ' or (B) and (' || {LETTER} || ')' || text "
+    f"WHEN 3 THEN text || ' maybe A or C then ' || {LETTER} || ' it is' "
+    "WHEN 4 THEN text || ' it must be the green bird here, not the red car' "
+    "WHEN 5 THEN 'no idea' ELSE text END"
 )
 OPTIONS = {"A": "red car", "B": "blue boat", "C": "green bird", "D": "old house"}
 OPEN = (
-    f"CASE doc_id % 6 WHEN 0 THEN 'The total is ' || ({NUM}) || ' units' "
-    "WHEN 1 THEN 'so x = 1,234,567 and 3.5e+10' WHEN 2 THEN 'Therefore the final answer is ' || substr(text, 1, 1) "
-    f"WHEN 3 THEN {WORD} || chr(10) || 'result -12.50 = 7' WHEN 4 THEN '.5 of 10, 20' ELSE substr(text, 1, 60) END"
+    f"CASE doc_id % 6 WHEN 0 THEN text || '. The total is ' || ({NUM}) || ' units' "
+    "WHEN 1 THEN 'so x = 1,234,567 and 3.5e+10' WHEN 2 THEN 'Therefore the final answer is ' || text "
+    "WHEN 3 THEN text || chr(10) || 'result -12.50 = 7' WHEN 4 THEN '.5 of 10, 20' ELSE text END"
 )
 STRINGS = lambda s: s.replace("AS STRING", "AS VARCHAR")
 
@@ -116,7 +115,7 @@ def merged_gold(t):
 @query(
     "f2_score_relaxed",
     f"""WITH p AS (SELECT doc_id, source, CASE doc_id%4 WHEN 0 THEN {NUM_SQL} || '%' WHEN 1 THEN (n_chars%97)::VARCHAR
-        WHEN 2 THEN '-5' ELSE {WORD} END AS a,
+        WHEN 2 THEN '-5' ELSE text END AS a,
       CASE doc_id%4 WHEN 3 THEN {GOLD} WHEN 2 THEN '-5' ELSE {NUM_SQL} END AS g FROM documents),
     s AS (SELECT *, CASE WHEN TRY_CAST(rtrim(a,'%') AS DOUBLE) IS NOT NULL AND TRY_CAST(rtrim(g,'%') AS DOUBLE) IS NOT NULL
       THEN CASE WHEN TRY_CAST(rtrim(a,'%') AS DOUBLE) BETWEEN TRY_CAST(g AS DOUBLE)*0.95 AND TRY_CAST(g AS DOUBLE)*1.05 THEN 1.0 ELSE 0.0 END
@@ -127,7 +126,7 @@ def score_relaxed(t):
     d = t.documents.select(
         "source",
         F.expr(
-            f"CASE doc_id%4 WHEN 0 THEN {NUM} || '%' WHEN 1 THEN CAST(n_chars%97 AS STRING) WHEN 2 THEN '-5' ELSE {WORD} END"
+            f"CASE doc_id%4 WHEN 0 THEN {NUM} || '%' WHEN 1 THEN CAST(n_chars%97 AS STRING) WHEN 2 THEN '-5' ELSE text END"
         ).alias("a"),
         F.expr(f"CASE doc_id%4 WHEN 3 THEN {GOLD} WHEN 2 THEN '-5' ELSE {NUM} END").alias("g"),
     )
@@ -155,18 +154,32 @@ def score_consensus(t):
 FLAT = lambda c: rf"array_to_string(list_filter(string_split_regex(lower({c}), '\s+'), lambda w: w<>''), ' ')"
 
 
+# every word of every text is an answer of its own; the sums per document are compared
+WORDS = r"list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x<>'')"
+
+
 @query(
     "f4_score_anls",
-    f"""WITH {ANS}, u AS (SELECT sample_id, {FLAT('answer')} AS p, unnest(golds) AS g0 FROM ans),
-    v AS (SELECT sample_id, p, {FLAT('g0')} AS g FROM u),
-    s AS (SELECT sample_id, CASE WHEN greatest(length(p),length(g))=0 THEN 1.0 WHEN levenshtein(p,g)/greatest(length(p),length(g))::DOUBLE<0.5
-      THEN 1-levenshtein(p,g)/greatest(length(p),length(g))::DOUBLE ELSE 0 END AS s FROM v)
-    SELECT sample_id, round(max(s)::DOUBLE,6) AS score FROM s GROUP BY 1""",
+    f"""WITH w AS (SELECT doc_id, unnest({WORDS}) AS w, unnest(range(len({WORDS}))) AS i FROM documents),
+    a AS (SELECT doc_id, CASE (doc_id+i)%5 WHEN 0 THEN w WHEN 1 THEN 'The '||w||'!' WHEN 2 THEN w||'-'||w WHEN 3 THEN w||'x' ELSE lower(w) END AS answer, lower(w) AS gold FROM w),
+    u AS (SELECT doc_id, {FLAT('answer')} AS p, {FLAT('gold')} AS g, {FLAT("(gold||'s')")} AS h FROM a),
+    d AS (SELECT doc_id, levenshtein(p,g)/greatest(length(p),length(g),1)::DOUBLE AS x, levenshtein(p,h)/greatest(length(p),length(h),1)::DOUBLE AS y FROM u)
+    SELECT doc_id, count(*) AS n, round(sum(greatest(CASE WHEN x<0.5 THEN 1-x ELSE 0 END, CASE WHEN y<0.5 THEN 1-y ELSE 0 END)),6) AS score FROM d GROUP BY 1""",
 )
 def score_anls(t):
-    return answers(t).select(
-        "sample_id", F.round(S.anls(F.col("answer"), F.col("golds")), 6).alias("score")
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    rows = t.documents.select("doc_id", F.posexplode(words).alias("i", "w"))
+    turn = (F.col("doc_id") + F.col("i")) % 5
+    answer = (
+        F.when(turn == 0, F.col("w"))
+        .when(turn == 1, F.concat(F.lit("The "), "w", F.lit("!")))
+        .when(turn == 2, F.concat("w", F.lit("-"), "w"))
+        .when(turn == 3, F.concat("w", F.lit("x")))
+        .otherwise(F.lower("w"))
     )
+    golds = F.array(F.lower("w"), F.concat(F.lower("w"), F.lit("s")))
+    scored = rows.select("doc_id", S.anls(answer, golds).alias("score"))
+    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
 
 
 @query(
