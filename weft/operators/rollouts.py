@@ -393,7 +393,7 @@ def mix_groups(
     """(i, source, k): rounds in which every source gives its slots, until all are exhausted.
 
     ``groups`` (source, k) numbers the groups of every source from 0.  A source whose share is
-    below one slot gives one group per round.
+    below one slot gives one group per round; a source without a weight is an error.
     """
     share = allocate(n, weights, evaluation_only)
     base = allocate(n, weights, evaluation_only, remainder=False)
@@ -402,8 +402,9 @@ def mix_groups(
         [(s, i, share[s], max(1, base[s] // step)) for i, s in enumerate(weights)],
         "source string, place int, share bigint, slots bigint",
     )
-    rows = groups.select("source", "k").join(F.broadcast(table), "source")
-    rows = rows.filter(F.col("k") < F.col("share")).withColumn("round", F.expr("k div slots"))
+    rows = groups.select("source", "k").join(F.broadcast(table), "source", "left")  # a row per source
+    unknown = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("bigint")
+    rows = rows.withColumn("share", F.coalesce("share", unknown)).filter(F.col("k") < F.col("share")).withColumn("round", F.expr("k div slots"))
     return ranged_running(rows, ["round", "place", "k"], out="i").select("i", "source", "k")
 
 

@@ -16,22 +16,23 @@ TOLERANCE_FLOOR = 0.001
 
 
 def resample(
-    df: DataFrame, n: int, start: int, interval: int, order: str | None = None
+    df: DataFrame, n: int, start: int, interval: int, order: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """(metric, step, value) on the grid start, then every multiple of ``interval`` up to ``n``.
 
-    Values round to 5 digits, a step found in several files keeps the earliest by ``order``
+    ``by`` names further key columns, such as the run.  Values round to 5 digits, a step found in several files keeps the earliest by ``order``
     (without one, the least value), missing steps are null.
     """
     value = F.round("value", 5)
-    kept = df.groupBy("metric", "step").agg(
+    keys = ["metric", *by]
+    kept = df.groupBy(*keys, "step").agg(
         (F.min_by(value, order) if order else F.min(value)).alias("value")
     )
     steps = df.sparkSession.range(1, n + 1).select(F.col("id").alias("step"))
     grid = steps.filter(
         (F.col("step") == start) | ((F.col("step") > start) & (F.col("step") % interval == 0))
-    ).crossJoin(F.broadcast(df.select("metric").distinct()))  # steps x metric names
-    return grid.join(kept, ["metric", "step"], "left").select("metric", "step", "value")
+    ).crossJoin(df.select(*keys).distinct())  # the grid is steps x metric names
+    return grid.join(kept, [*keys, "step"], "left").select(*keys, "step", "value")
 
 
 def compare_golden(
@@ -41,30 +42,31 @@ def compare_golden(
     atol: float = 0.0,
     exact: bool = False,
     interval: int = 1,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """(metric, steps, close, passed): |a - g| <= atol + rtol |g| at every golden step.
 
     Missing on both sides is equal, on one side not.  Tolerant tests allow
     min(max(steps // 100, 1), 50) failing steps; iteration time compares medians.
     """
-    inf = F.lit(float("inf"))
-    g = golden.select("metric", "step", F.coalesce("value", inf).alias("g"))
-    a = actual.select("metric", "step", F.coalesce("value", inf).alias("a"))
-    stepped = g.join(a, ["metric", "step"], "left")
+    inf, keys = F.lit(float("inf")), ["metric", *by]
+    g = golden.select(*keys, "step", F.coalesce("value", inf).alias("g"))
+    a = actual.select(*keys, "step", F.coalesce("value", inf).alias("a"))
+    stepped = g.join(a, [*keys, "step"], "left")
     median_of = F.col("metric").isin(MEDIAN_METRICS)
     slow = stepped.filter(median_of)
-    medians = group_median(slow, ["metric"], "g", "g").join(
-        group_median(slow, ["metric"], "a", "a"), "metric", "left"
+    medians = group_median(slow, keys, "g", "g").join(
+        group_median(slow, keys, "a", "a"), keys, "left"
     )
     both = stepped.filter(~median_of).unionByName(
-        medians.withColumn("step", F.lit(None).cast("bigint")).select("metric", "step", "g", "a")
+        medians.withColumn("step", F.lit(None).cast("bigint")).select(*keys, "step", "g", "a")
     )
     near = (F.col("a") == F.col("g")) | (
         (F.col("g") != inf)
         & (F.col("a") != inf)
         & (F.abs(F.col("a") - F.col("g")) <= atol + rtol * F.abs("g"))
     )
-    summed = both.groupBy("metric").agg(
+    summed = both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.coalesce(near, F.lit(False))).alias("close"),
         ((F.max("step") - F.min("step")) / F.lit(float(interval)) + 1).alias("__s"),
@@ -74,22 +76,23 @@ def compare_golden(
     passed = F.when(F.lit(exact) | (steps == 1), F.col("close") == F.col("n")).otherwise(
         F.col("close") / F.col("n") >= 1 - allowed / steps
     )
-    return summed.select("metric", "n", "close", passed.alias("passed"))
+    return summed.select(*keys, "n", "close", passed.alias("passed"))
 
 
 def validate_series(
-    current: DataFrame, golden: DataFrame, rtol: float, atol: float = 1e-9
+    current: DataFrame, golden: DataFrame, rtol: float, atol: float = 1e-9, by: Sequence[str] = ()
 ) -> DataFrame:
     """(metric, n, mismatches, missing, extra, passed): relative test, near-zero rule, extras ignored."""
-    g = golden.select("metric", "step", F.col("value").alias("g"), F.lit(True).alias("__g"))
-    c = current.select("metric", "step", F.col("value").alias("c"), F.lit(True).alias("__c"))
-    both = g.join(c, ["metric", "step"], "full")
+    keys = ["metric", *by]
+    g = golden.select(*keys, "step", F.col("value").alias("g"), F.lit(True).alias("__g"))
+    c = current.select(*keys, "step", F.col("value").alias("c"), F.lit(True).alias("__c"))
+    both = g.join(c, [*keys, "step"], "full")
     zero = F.abs("g") < atol
     off = F.when((F.col("g") == 0) | zero, F.abs("c") > atol).otherwise(
         F.abs(F.col("c") - F.col("g")) / F.abs("g") > rtol
     )
     paired = F.col("__g").isNotNull() & F.col("__c").isNotNull()
-    out = both.groupBy("metric").agg(
+    out = both.groupBy(*keys).agg(
         F.count_if(F.col("__g").isNotNull()).alias("n"),
         F.count_if(paired & off).alias("mismatches"),
         F.count_if(F.col("__c").isNull()).alias("missing"),
@@ -99,27 +102,29 @@ def validate_series(
 
 
 def bounded_run(
-    current: DataFrame, golden: DataFrame, warmup: int, time_share: float, memory_share: float
+    current: DataFrame, golden: DataFrame, warmup: int, time_share: float, memory_share: float, by: Sequence[str] = ()
 ) -> DataFrame:
     """(metric, current, golden, passed): median time within ± share, maximum memory below + share."""
 
+    keys = ["metric", *by]
+
     def reduced(df, name):
         warm = df.filter(F.col("step") > warmup)
-        t = group_median(warm.filter(F.col("metric").isin(MEDIAN_METRICS)), ["metric"], "value", name)
+        t = group_median(warm.filter(F.col("metric").isin(MEDIAN_METRICS)), keys, "value", name)
         m = (
             warm.filter(F.col("metric").isin(MAX_METRICS))
-            .groupBy("metric")
+            .groupBy(*keys)
             .agg(F.max("value").alias(name))
         )
         return t.unionByName(m)
 
-    both = reduced(golden, "golden").join(reduced(current, "current"), "metric", "left")
+    both = reduced(golden, "golden").join(reduced(current, "current"), keys, "left")
     c, g = F.col("current"), F.col("golden")
     in_time = (c >= g * (1 - time_share)) & (c <= g * (1 + time_share))
     passed = F.when(F.col("metric").isin(MEDIAN_METRICS), in_time).otherwise(
         c <= g * (1 + memory_share)
     )
-    return both.select("metric", "current", "golden", F.coalesce(passed, F.lit(False)).alias("passed"))
+    return both.select(*keys, "current", "golden", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def run_stats(df: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def filter_uniform(t):
 @query(
     "e10_mix_groups",
     """WITH k AS (SELECT event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS k FROM events),
-    n AS (SELECT count(*)//2 AS n FROM events), w AS (SELECT * FROM (VALUES ('click',0,0.4),('error',1,0.3),('purchase',2,0.2),('view',3,0.1)) v(source, place, w)),
+    n AS (SELECT count(*)//2 AS n FROM events), w AS (SELECT * FROM (VALUES ('click',0,0.3),('error',1,0.25),('purchase',2,0.2),('view',3,0.15),('signup',4,0.1)) v(source, place, w)),
     b AS (SELECT source, place, floor(n*w::DOUBLE)::BIGINT AS base, n*w::DOUBLE - floor(n*w::DOUBLE) AS fr, n FROM w, n),
     a AS (SELECT *, base + (row_number() OVER (ORDER BY fr DESC, place) <= n - sum(base) OVER ())::INT AS share FROM b),
     g AS (SELECT list_reduce(list(base), lambda x, y: gcd(x,y)) AS g FROM a)
@@ -251,7 +251,7 @@ def mix_groups(t):
     groups = ranged_running(
         t.events.select(F.col("event_type").alias("source"), "event_id"), ["event_id"], within=["source"], out="k"
     )
-    weights = {"click": 0.4, "error": 0.3, "purchase": 0.2, "view": 0.1}
+    weights = {"click": 0.3, "error": 0.25, "purchase": 0.2, "view": 0.15, "signup": 0.1}
     return R.mix_groups(groups, weights, t.events.count() // 2)
 
 

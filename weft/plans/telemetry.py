@@ -28,8 +28,11 @@ def series(t):
     )
 
 
-def side(t, run):
-    return series(t).filter(F.col("run") == run).select("metric", "step", "value")
+def other_runs(t):
+    """The runs after the first, and the first one as the golden run of each."""
+    every = series(t)
+    runs = every.filter("run > 0").select("run").distinct()  # three runs
+    return every.filter("run > 0"), every.filter("run = 0").drop("run").crossJoin(F.broadcast(runs))
 
 
 def steps(t):
@@ -37,55 +40,57 @@ def steps(t):
 
 
 GRID = f"""{SERIES}, top AS (SELECT max(step) AS n FROM series), gr AS (SELECT metric, s AS step FROM (SELECT DISTINCT metric FROM series), (SELECT unnest(range(1, n+1)) AS s FROM top) WHERE s=1 OR s%5=0),
-  rs AS (SELECT run, gr.metric, gr.step, round(value,5) AS value FROM gr CROSS JOIN (SELECT unnest([0,1]) AS run) r LEFT JOIN (SELECT * FROM series) s USING (run, metric, step))"""
+  rs AS (SELECT run, gr.metric, gr.step, round(value,5) AS value FROM gr CROSS JOIN (SELECT DISTINCT run FROM series) r LEFT JOIN (SELECT * FROM series) s USING (run, metric, step))"""
 
 
-@query("g1_resample", f"WITH {GRID} SELECT metric, step, value FROM rs WHERE run=0")
+@query("g1_resample", f"WITH {GRID} SELECT metric, run, step, value FROM rs")
 def resample(t):
-    return G.resample(side(t, 0), steps(t), 1, 5)
+    return G.resample(series(t), steps(t), 1, 5, by=["run"])
 
 
-# the current run is the golden one, disturbed by up to 8 % on some steps
+# each run is its own golden one, disturbed by up to 8 % on some steps
 @query(
     "g2_compare_golden",
-    f"""WITH {GRID}, g AS (SELECT metric, step, value FROM rs WHERE run=0),
-    a AS (SELECT metric, step, CASE WHEN step%7=0 THEN value*1.08 ELSE value*1.01 END AS value FROM g),
-    b AS (SELECT g.metric, g.step, COALESCE(g.value,'inf'::DOUBLE) AS g, COALESCE(a.value,'inf'::DOUBLE) AS a FROM g JOIN a USING (metric, step)),
-    m AS (SELECT metric, NULL::BIGINT AS step, median(g) AS g, median(a) AS a FROM b WHERE metric='iteration-time' GROUP BY 1
+    f"""WITH {GRID}, a AS (SELECT metric, run, step, CASE WHEN step%7=0 THEN value*1.08 ELSE value*1.01 END AS value FROM rs),
+    b AS (SELECT metric, run, step, COALESCE(g.value,'inf'::DOUBLE) AS g, COALESCE(a.value,'inf'::DOUBLE) AS a FROM rs g JOIN a USING (metric, run, step)),
+    m AS (SELECT metric, run, NULL::BIGINT AS step, median(g) AS g, median(a) AS a FROM b WHERE metric='iteration-time' GROUP BY 1,2
       UNION ALL SELECT * FROM b WHERE metric<>'iteration-time'),
-    s AS (SELECT metric, count(*) AS n, count(*) FILTER (a=g OR (g<>'inf'::DOUBLE AND a<>'inf'::DOUBLE AND abs(a-g)<=0.05*abs(g))) AS close,
-      COALESCE((max(step)-min(step))/5.0+1, 1) AS s FROM m GROUP BY 1)
-    SELECT metric, n, close, CASE WHEN s=1 THEN close=n ELSE close/n::DOUBLE >= 1-least(greatest(floor(s/100),1),50)/s END AS passed FROM s""",
+    s AS (SELECT metric, run, count(*) AS n, count(*) FILTER (a=g OR (g<>'inf'::DOUBLE AND a<>'inf'::DOUBLE AND abs(a-g)<=0.05*abs(g))) AS close,
+      COALESCE((max(step)-min(step))/5.0+1, 1) AS s FROM m GROUP BY 1,2)
+    SELECT metric, run, n, close, CASE WHEN s=1 THEN close=n ELSE close/n::DOUBLE >= 1-least(greatest(floor(s/100),1),50)/s END AS passed FROM s""",
 )
 def compare_golden(t):
-    golden = G.resample(side(t, 0), steps(t), 1, 5)
+    golden = G.resample(series(t), steps(t), 1, 5, by=["run"])
     actual = golden.withColumn(
         "value", F.expr("CASE WHEN step%7=0 THEN value*1.08D ELSE value*1.01D END")
     )
-    return G.compare_golden(actual, golden, rtol=0.05, interval=5)
+    return G.compare_golden(actual, golden, rtol=0.05, interval=5, by=["run"])
 
 
 @query(
     "g3_validate_series",
-    f"""WITH {SERIES}, g AS (SELECT metric, step, value AS g FROM series WHERE run=0), c AS (SELECT metric, step, value AS c FROM series WHERE run=1),
-    b AS (SELECT COALESCE(g.metric,c.metric) AS metric, g, c FROM g FULL JOIN c ON g.metric=c.metric AND g.step=c.step)
-    SELECT metric, count(g) AS n, count(*) FILTER (g IS NOT NULL AND c IS NOT NULL AND abs(c-g)/abs(g)>0.5) AS mismatches,
+    f"""WITH {SERIES}, g AS (SELECT metric, r.run, step, value AS g FROM series s, (SELECT DISTINCT run FROM series WHERE run>0) r WHERE s.run=0), c AS (SELECT metric, run, step, value AS c FROM series WHERE run>0),
+    b AS (SELECT COALESCE(g.metric,c.metric) AS metric, COALESCE(g.run,c.run) AS run, g, c FROM g FULL JOIN c ON g.metric=c.metric AND g.run=c.run AND g.step=c.step)
+    SELECT metric, run, count(g) AS n, count(*) FILTER (g IS NOT NULL AND c IS NOT NULL AND abs(c-g)/abs(g)>0.5) AS mismatches,
       count(*) FILTER (c IS NULL) AS missing, count(*) FILTER (g IS NULL) AS extra,
-      count(*) FILTER (g IS NOT NULL AND c IS NOT NULL AND abs(c-g)/abs(g)>0.5)=0 AND count(*) FILTER (c IS NULL)=0 AS passed FROM b GROUP BY 1""",
+      count(*) FILTER (g IS NOT NULL AND c IS NOT NULL AND abs(c-g)/abs(g)>0.5)=0 AND count(*) FILTER (c IS NULL)=0 AS passed FROM b GROUP BY 1,2""",
 )
 def validate(t):
-    return G.validate_series(side(t, 1), side(t, 0), rtol=0.5)
+    """Every other run beside the first."""
+    current, golden = other_runs(t)
+    return G.validate_series(current, golden, rtol=0.5, by=["run"])
 
 
 @query(
     "g3_bounded_run",
     f"""WITH {SERIES}, w AS (SELECT * FROM series WHERE step>3 AND metric IN ('iteration-time','mem-allocated-bytes')),
     r AS (SELECT metric, run, CASE WHEN metric='iteration-time' THEN median(value) ELSE max(value) END AS v FROM w GROUP BY 1,2)
-    SELECT g.metric, c.v AS current, g.v AS golden, CASE WHEN g.metric='iteration-time' THEN c.v BETWEEN g.v*0.85 AND g.v*1.15 ELSE c.v<=g.v*1.1 END AS passed
-    FROM (SELECT * FROM r WHERE run=0) g JOIN (SELECT * FROM r WHERE run=1) c USING (metric)""",
+    SELECT g.metric, c.run, c.v AS current, g.v AS golden, CASE WHEN g.metric='iteration-time' THEN c.v BETWEEN g.v*0.85 AND g.v*1.15 ELSE c.v<=g.v*1.1 END AS passed
+    FROM (SELECT * FROM r WHERE run=0) g JOIN (SELECT * FROM r WHERE run>0) c USING (metric)""",
 )
 def bounded(t):
-    return G.bounded_run(side(t, 1), side(t, 0), 3, 0.15, 0.10)
+    current, golden = other_runs(t)
+    return G.bounded_run(current, golden, 3, 0.15, 0.10, by=["run"])
 
 
 @query(
