@@ -4,11 +4,14 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.functions.tokens import ByteTokenizer
 from weft.operators import chat as H
 from weft.operators import masked as M
+from weft.operators import nextfit
 from weft.operators import runs as R
 
 CFG = M.MaskConfig(length=64, vocab=200, cls=200, sep=201, mask=202, pad=-1, continuations=frozenset(range(50, 60)))
@@ -44,6 +47,22 @@ def test_runs_equal_the_walk(spark):
         assert sorted(blocks.get(i, [])) == want
 
 
+def test_run_ends_of_a_very_long_document():
+    rng = random.Random(2)
+    rows = [[rng.randint(0, 40) for _ in range(n)] for n in (100_000, 0, 1, 3, 50)]
+    targets = [[rng.choice([2, 30, 50]) for _ in range(100_001)] for _ in rows]
+    got = R.run_ends(R.pa.array(rows, R.pa.list_(R.pa.int32())), 2, 2, lambda rows, r: np.array([targets[i][r] for i in rows]))
+    for lengths, aims, found in zip(rows, targets, got.to_pylist()):
+        want, start, tokens = [], 0, 0
+        for i, size in enumerate(lengths):
+            tokens += size
+            left = len(lengths) - i - 1
+            if (tokens >= aims[len(want)] and left >= 2 and i + 1 - start >= 2) or left == 0:
+                want.append({"first": start, "last": i + 1, "target": aims[len(want)]})
+                start, tokens = i + 1, 0
+        assert found == want
+
+
 def test_whole_epochs_until_enough(spark):
     df = spark.createDataFrame([(i, [10] * 6) for i in range(5)], "doc_id bigint, sentence_lengths array<int>")
     per_epoch = R.sentence_runs(df, 20, 3, 2, epochs=1).count()
@@ -312,3 +331,43 @@ def test_too_large_shards_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(i, [1, 2]) for i in range(9)], "conv_id bigint, tokens array<int>")
     with pytest.raises(ValueError, match="shards"):
         H.pack_concat(df, 4, 2, 0)
+
+
+def fit_by_hand(sizes, length, held=0):
+    """(rows that close a pack, tokens held at the end)."""
+    ends = []
+    for i, n in enumerate(sizes):
+        held += n
+        if held > length:
+            ends.append(i)
+            held = 0
+    return ends, held
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=60), st.integers(1, 30), st.integers(0, 30))
+@settings(max_examples=300, deadline=None)
+def test_maps_and_closings_of_a_block(sizes, length, held):
+    held = min(held, length)
+    sizes = np.minimum(np.array(sizes), length)
+    ends, left = fit_by_hand(sizes.tolist(), length, held)
+    assert nextfit.closings(sizes, length, held).tolist() == ends
+    upto, held_after, closed = nextfit.block_map(sizes, length)
+    piece = {"upto": upto, "held": held_after, "closed": closed, "total": int(sizes.sum())}
+    after, packs = nextfit.applied(piece, np.array([held]), length)
+    assert (int(after[0]), int(packs[0])) == (left, len(ends))
+
+
+def test_one_giant_shard_is_packed_in_blocks(spark):
+    """Shard 0 holds most rows, of one length in part, so that neighbouring walks never meet."""
+    rng = random.Random(5)
+    shards = {0: [rng.randint(1, 9) for _ in range(300)] + [3] * 300, 1: [7], 2: [10] * 24, 3: [1] * 40}
+    rows = [(s, i, n) for s, sizes in shards.items() for i, n in enumerate(sizes)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "shard int, i bigint, n int")
+    got = sorted(tuple(r) for r in nextfit.next_fit(df, 10, block_rows=11).collect())
+    want = []
+    for s, sizes in shards.items():
+        ends, _ = fit_by_hand(sizes, 10)
+        want += [(s, i, sum(e < i for e in ends)) for i in range(ends[-1] + 1 if ends else 0)]
+    assert got == want
+    assert nextfit.next_fit(df.limit(0), 10).collect() == []

@@ -1,52 +1,79 @@
 """Sentence runs and title blocks: consecutive sentences up to a target length.
 
-A document is one row; the walk over its sentences is an array aggregate, so documents spread
-over all tasks and nothing but the seed decides the targets.
+A document is one row of an Arrow batch; the runs of all documents of a batch are searched side by side in their prefix
+sums, so the work is linear in the sentences and nothing but the seed decides the targets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.ordering import hash_below, hashed_running, order_key, ranged_running
+from weft.functions.draws import plain_draw, plain_number
+from weft.functions.ordering import hashed_running, order_key, ranged_running
 
 LONG_SENTENCE = 512
 RUNS = "array<struct<first:int,last:int,target:int>>"
 
 
-def _walk(lengths: Column, target_of, min_here: Column | int, left_over: int) -> Column:
-    """Close a run at the target with at least ``min_here`` sentences inside and ``left_over``
-    left, or at the end of the document."""
-    # the count travels in the state: a lambda must not refer to the array expression itself
-
-    def add(s, size):
-        n = s["n"]
-        tokens, at = s["tokens"] + size, s["at"] + 1
-        held = at - s["from"]
-        close = ((tokens >= s["target"]) & (n - at >= left_over) & (held >= min_here)) | (at == n)
-        run = F.struct(s["from"].alias("first"), at.alias("last"), s["target"].alias("target"))
-        return F.struct(
-            n.alias("n"),
-            at.alias("at"),
-            F.when(close, at).otherwise(s["from"]).alias("from"),
-            F.when(close, F.lit(0)).otherwise(tokens).alias("tokens"),
-            F.when(close, target_of(F.size(s["runs"]) + 1))
-            .otherwise(s["target"])
-            .cast("int")
-            .alias("target"),
-            F.when(close, F.array_append(s["runs"], run)).otherwise(s["runs"]).alias("runs"),
-        )
+def run_ends(
+    lengths: pa.ListArray, min_here: int, left_over: int, target_of: Callable[[np.ndarray, int], np.ndarray]
+) -> pa.ListArray:
+    """Runs of every row of a batch: a run closes at its target with at least ``min_here`` sentences inside and
+    ``left_over`` left, or at the end of the document.
 
-    start = F.struct(
-        F.size(lengths).alias("n"),
-        F.lit(0).alias("at"),
-        F.lit(0).alias("from"),
-        F.lit(0).alias("tokens"),
-        target_of(F.lit(0)).cast("int").alias("target"),
-        F.array().cast(RUNS).alias("runs"),
-    )
-    return F.aggregate(lengths, start, add)["runs"]
+    The r-th runs of all documents that still have one are found together, by search in the prefix sums;
+    ``target_of(rows, r)`` gives their targets.
+    """
+    offsets = np.asarray(lengths.offsets, dtype=np.int64)
+    sizes = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    rows, at, found, r = np.flatnonzero(end > start), start[end > start], [], 0
+    while len(rows):
+        target = target_of(rows, r)
+        full = np.searchsorted(total, total[at] + target, side="left")
+        close = np.maximum(full, at + max(min_here, 1))
+        close = np.where(close <= end[rows] - left_over, close, end[rows])
+        found.append((rows, at - start[rows], close - start[rows], target))
+        more = close < end[rows]
+        rows, at, r = rows[more], close[more], r + 1
+    row, first, last, target = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(4))
+    order = np.argsort(row, kind="stable")  # a row's runs keep their order
+    bounds = np.searchsorted(row[order], np.arange(len(lengths) + 1))
+    fields = [pa.array(x[order], pa.int32()) for x in (first, last, target)]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "target"]))
+
+
+def _runs_to(lengths: Column, target: Column, min_here: int, left_over: int) -> Column:
+    """Runs by one target per document."""
+
+    @F.arrow_udf(RUNS)
+    def walk(lengths: pa.Array, target: pa.Array) -> pa.Array:
+        aims = target.to_numpy(zero_copy_only=False)
+        return run_ends(lengths, min_here, left_over, lambda rows, r: aims[rows])
+
+    return walk(lengths, target)
+
+
+def _runs_drawn(lengths: Column, key: Column, min_here: int, left_over: int, max_len: int, short_ratio: int, seed: int) -> Column:
+    """Runs by a target drawn for every run: one in ``short_ratio`` is short, 2 + h mod (max_len - 1)."""
+
+    @F.arrow_udf(RUNS)
+    def walk(lengths: pa.Array, key: pa.Array) -> pa.Array:
+        names = key.to_pylist()
+
+        def targets(rows, r):
+            h = np.array([plain_number(plain_draw(seed, names[i], r)) for i in rows.tolist()], dtype=np.int64)
+            return np.where(h % short_ratio == 0, 2 + h % (max_len - 1), max_len)
+
+        return run_ends(lengths, min_here, left_over, targets)
+
+    return walk(lengths, key)
 
 
 def _usable(lengths: Column, min_sentences: int, tested_from: int) -> Column:
@@ -79,14 +106,13 @@ def sentence_runs(
             "epoch", F.explode(F.sequence(F.lit(first_epoch), F.lit(first_epoch + how_many - 1)))
         )
 
-        def target(run):
-            if short_ratio == 0:
-                return F.lit(max_len)
-            h = hash_below(seed, 1 << 32, "epoch", "doc_id", run)
-            return F.when(h % short_ratio == 0, 2 + h % (max_len - 1)).otherwise(F.lit(max_len))
-
         usable = rows.filter(_usable(F.col("__l"), min_sentences, 2))
-        walked = usable.withColumn("__r", _walk(F.col("__l"), target, min_sentences, 2))
+        if short_ratio:
+            key = F.concat_ws("|", "epoch", "doc_id")
+            found = _runs_drawn(F.col("__l"), key, min_sentences, 2, max_len, short_ratio, seed)
+        else:
+            found = _runs_to(F.col("__l"), F.lit(max_len), min_sentences, 2)
+        walked = usable.withColumn("__r", found)
         return walked.select("epoch", "doc_id", F.posexplode("__r").alias("run", "__x")).select(
             "epoch", "doc_id", "run", "__x.*"
         )
@@ -130,9 +156,7 @@ def title_blocks(
         _usable(F.col("__l"), min_sentences, min_sentences)
     )
     target = F.lit(max_len) - F.col("title_length")
-    walked = usable.withColumn(
-        "__r", _walk(F.col("__l"), lambda run: target, min_sentences, min_sentences)
-    )
+    walked = usable.withColumn("__r", _runs_to(F.col("__l"), target.cast("int"), min_sentences, min_sentences))
     blocks = walked.select("doc_id", F.posexplode("__r").alias("run", "__x")).select(
         "doc_id", "run", "__x.first", "__x.last"
     )
