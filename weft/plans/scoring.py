@@ -161,7 +161,7 @@ WORDS = r"list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x<>'')"
 @query(
     "f4_score_anls",
     f"""WITH w AS (SELECT doc_id, unnest({WORDS}) AS w, unnest(range(len({WORDS}))) AS i FROM documents),
-    a AS (SELECT doc_id, CASE (doc_id+i)%5 WHEN 0 THEN w WHEN 1 THEN 'The '||w||'!' WHEN 2 THEN w||'-'||w WHEN 3 THEN w||'x' ELSE lower(w) END AS answer, lower(w) AS gold FROM w),
+    a AS (SELECT doc_id, CASE (doc_id+i)%5 WHEN 0 THEN w WHEN 1 THEN 'The '||w||'!' WHEN 2 THEN 'zz-'||w||'--' WHEN 3 THEN w||'x' ELSE lower(w) END AS answer, lower(w) AS gold FROM w),
     u AS (SELECT doc_id, {FLAT('answer')} AS p, {FLAT('gold')} AS g, {FLAT("(gold||'s')")} AS h FROM a),
     d AS (SELECT doc_id, levenshtein(p,g)/greatest(length(p),length(g),1)::DOUBLE AS x, levenshtein(p,h)/greatest(length(p),length(h),1)::DOUBLE AS y FROM u)
     SELECT doc_id, count(*) AS n, round(sum(greatest(CASE WHEN x<0.5 THEN 1-x ELSE 0 END, CASE WHEN y<0.5 THEN 1-y ELSE 0 END)),6) AS score FROM d GROUP BY 1""",
@@ -173,7 +173,7 @@ def score_anls(t):
     answer = (
         F.when(turn == 0, F.col("w"))
         .when(turn == 1, F.concat(F.lit("The "), "w", F.lit("!")))
-        .when(turn == 2, F.concat("w", F.lit("-"), "w"))
+        .when(turn == 2, F.concat(F.lit("zz-"), "w", F.lit("--")))
         .when(turn == 3, F.concat("w", F.lit("x")))
         .otherwise(F.lower("w"))
     )
