@@ -30,19 +30,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import new_folder, ragged
+from weft.llm.arrow import new_folder
 
 NEAREST = 20
 EVERY = 20
-#: Lines per block; they come in frames of mutually orthogonal ones, which tell vectors apart far better than
-#: lines drawn each by itself.
+#: Lines per block at most, and the frames that they come in: all lines of a frame are orthogonal to each other, which
+#: tells vectors apart far better than lines drawn each by itself.
 LINES = 256
+FRAMES = 2
 #: First half-width of a window, on lines on which vectors of the block's greatest length have deviation 1.
-HALF_WIDTH = 1.0
+HALF_WIDTH = 1.25
 #: Windows are wide enough when a vector as far as the k-th found collides on this share of the lines.
 SHARE = 0.78
 #: Candidates may collide on so many deviations fewer lines than a vector as far as the k-th found.
-DEVIATIONS = 1.2
+DEVIATIONS = 1.1
 #: Vectors verified at first, for each wanted.
 FIRST = 3
 #: Vectors of a block at most.
@@ -65,6 +66,7 @@ class Lines:
 
     def __init__(self, vectors: np.ndarray, lines: int = LINES, seed: int = 0):
         self.vectors = vectors
+        lines = min(lines, FRAMES * (vectors.shape[1] + 1))
         norms = np.linalg.norm(vectors, axis=1)
         self.scale = float(norms.max())
         unit = (vectors / self.scale).astype(np.float32)
@@ -76,37 +78,47 @@ class Lines:
         # all lines in one ascending array, each moved to a stretch of its own
         self.apart = 4 * float(np.abs(place).max()) + 64
         self.sorted = (np.take_along_axis(place, order, axis=1) + self.apart * np.arange(lines)[:, None]).ravel()
-        self.order = order.astype(np.int32).ravel()
-
-    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
-        """On how many lines each vector lies in the window around the query; what is rarer, inside or outside, is counted."""
-        n, lines = len(self.vectors), len(self.axes)
-        first, last = n * np.arange(lines), n * np.arange(1, lines + 1)
-        lo = np.clip(np.searchsorted(self.sorted, centre - half), first, last)
-        hi = np.clip(np.searchsorted(self.sorted, centre + half, side="right"), first, last)
-        if 2 * int((hi - lo).sum()) <= len(self.sorted):
-            return np.bincount(self.order[ragged(lo, hi - lo)], minlength=n)
-        outside = ragged(np.concatenate((first, hi)), np.concatenate((lo - first, last - hi)))
-        return lines - np.bincount(self.order[outside], minlength=n)
+        self.order = order.ravel()
+
+    def collisions(self, centre: np.ndarray, half: float, first: int, last: int) -> np.ndarray:
+        """On how many of the lines ``first .. last - 1`` each vector lies in the window around the query; what is rarer,
+        inside or outside, is counted."""
+        n = len(self.vectors)
+        begin = n * np.arange(first, last)
+        lo = np.clip(np.searchsorted(self.sorted, centre[first:last] - half), begin, begin + n)
+        hi = np.clip(np.searchsorted(self.sorted, centre[first:last] + half, side="right"), begin, begin + n)
+        spans = lambda a, b: [self.order[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        if 2 * int((hi - lo).sum()) <= n * (last - first):
+            return np.bincount(np.concatenate(spans(lo, hi)), minlength=n)
+        outside = np.concatenate(spans(begin, lo) + spans(hi, begin + n))
+        return last - first - np.bincount(outside, minlength=n)
 
     def candidates(self, query: np.ndarray, wanted: int, deviations: float = DEVIATIONS) -> np.ndarray:
-        """Vectors above the collision threshold of the ``wanted``-th nearest one found."""
+        """Vectors above the collision threshold of the ``wanted``-th nearest one found.
+
+        Half of the lines find the width of the windows, then the others join in.
+        """
         n, lines = len(self.vectors), len(self.axes)
         some = FIRST * wanted
         if n <= some:
             return np.arange(n)
         direction = query / np.linalg.norm(query)
         centre = self.axes @ direction.astype(np.float32) + self.apart * np.arange(lines)
-        half = HALF_WIDTH
+        half, used = HALF_WIDTH, -(-lines // 2)
+        counts = self.collisions(centre, half, 0, used)
         while True:
-            counts = self.collisions(centre, half)
             top = np.argpartition(counts, n - some)[n - some :]
             likeness = np.sort(self.vectors[top] @ direction)[-wanted] / self.scale
             distance = math.sqrt(max(2 - 2 * float(likeness), 0.0))
             share = collision_share(half, distance)
-            if share >= SHARE:
+            if share < SHARE:  # virtual rehashing: the same arrays, a wider window
+                half = 1.3 * distance
+                counts = self.collisions(centre, half, 0, used)
+            elif used < lines:
+                counts += self.collisions(centre, half, used, lines)
+                used = lines
+            else:
                 break
-            half = 1.3 * distance  # virtual rehashing: the same arrays, a wider window
         least = lines * share - deviations * math.sqrt(lines * share * (1 - share))
         return np.union1d(np.flatnonzero(counts >= least), top)
 
