@@ -1,7 +1,10 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut in blocks at block-level tags.  Blocks in containers that hold no article text by their
-name (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments) are out.
+tag or name (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments) are out.  A name counts if all
+its parts say so: ``comment-list`` does, ``no-sidebar`` and ``legal-history`` don't.  A form or a named container around the whole
+article is a wrapper and is opened: where no article element lies outside of such containers, those that hold one, else, as long as no
+block outside passes the first pass, the outermost ones that hold a block that does.
 
 First pass: a block with mostly link text is out; a block that is long enough and has enough stop words
 of the four languages is in; a long block of few stop words outside an article element is out; all others
@@ -17,7 +20,9 @@ an empty text.  Repeated pages are extracted each; null ids and addresses are ke
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -63,6 +68,13 @@ NAMES = frozenset(
     respond disqus discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer footers pagination pager
     related recommended recommendations copyright legal disclaimer search toolbar masthead topbar""".split()
 )
+#: Parts of names that say nothing by themselves.
+FILLERS = frozenset(
+    """area bar block box body bottom col column container content element footer global group header inner item items js left links
+    list main outer page panel post posts primary right row secondary section site slot small stories top unit wrap wrapper zone""".split()
+)
+#: Containers by tag that may be a wrapper.
+WRAPPERS = frozenset(["form", "fieldset"])
 #: The same, unless the container is inside an article.
 WEAK_NAMES = frozenset(["header", "headers"])
 
@@ -85,53 +97,111 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'
 _WORD = re.compile(r"\w+")
 
 
-def _outside(tag: str, attributes: str, inside: bool) -> bool:
+def _outside(tag: str, attributes: str, inside: bool) -> str:
+    """Why a container holds no article text: by its ``tag``, by its ``name``, or not at all (empty)."""
     if tag in OUTSIDE or (tag == "header" and not inside):
-        return True
+        return "name" if tag in WRAPPERS else "tag"
     if tag in ("body", "html", *INSIDE) or not attributes.strip():
-        return False
+        return ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" and not m[2]:
-            return True
+            return "tag"
         if name == "role" and value in ROLES:
-            return True
+            return "name"
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return "tag"
         if name in ("class", "id"):
-            parts = set(re.split(r"[^a-z0-9]+", value))
-            if parts & NAMES or (not inside and parts & WEAK_NAMES):
-                return True
-    return False
+            known = NAMES if inside else NAMES | WEAK_NAMES
+            for word in value.split():
+                parts = set(re.split(r"[^a-z]+", word)) - {""}
+                if parts & known and parts <= known | FILLERS:
+                    return "name"
+    return ""
+
+
+@dataclass
+class Container:
+    """A container that is out unless it turns out to be a wrapper; ``parent`` is the next one around it."""
+
+    parent: int
+    named: bool
+    holds_article: bool = False
+    opened: bool = False
+
+
+def _passes(text: str, linked: int) -> bool | None:
+    """The first pass over a block by itself: in, out (by its links) or, undecided, None."""
+    length = len(text.replace(" ", ""))
+    if linked > LINKED * length:
+        return False
+    if length < LONG:
+        return None
+    words = [w.lower() for w in _WORD.findall(text)]
+    return True if sum(w in STOP_WORDS for w in words) >= DENSE * max(len(words), 1) else None
+
+
+def _open_wrappers(containers: list[Container], found: list[tuple[str, int, int, bool]], article_outside: bool) -> None:
+    """Mark the named containers that hold the article."""
+    if article_outside:
+        return
+    if any(c.holds_article and c.named for c in containers):
+        for c in containers:
+            c.opened = c.named and c.holds_article
+        return
+    passing = [at for text, linked, at, _ in found if _passes(text, linked)]
+
+    def outermost(at: int) -> int:
+        """The outermost container around that is not open, or -1."""
+        last = -1
+        while at >= 0:
+            if not containers[at].opened:
+                last = at
+            at = containers[at].parent
+        return last
+
+    while passing:
+        around = {outermost(at) for at in set(passing)}
+        wrappers = [c for c in around if c >= 0 and containers[c].named]
+        if -1 in around or not wrappers:
+            return
+        for c in wrappers:
+            containers[c].opened = True
+        passing = [at for at in passing if outermost(at) not in around or outermost(at) == -1]
 
 
 def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters inside links, out by its container, in an article) in page order."""
-    found: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, article
+    found: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, its container or -1, article
+    counts: Counter[str] = Counter()  # of each tag on the stack
+    containers: list[Container] = []
+    around = -1  # innermost container
     pieces: list[str] = []
     linked: list[str] = []
-    links = out = article = 0
+    article = 0
+    article_outside = False
 
     def close_block() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                found.append((text, len("".join(unescape("".join(linked)).split())), out > 0, article > 0))
+                found.append((text, len("".join(unescape("".join(linked)).split())), around, article > 0))
         pieces, linked = [], []
 
     def pop() -> None:
-        nonlocal links, out, article
-        tag, was_out, was_article = stack.pop()
-        out -= was_out
+        nonlocal around, article
+        tag, container, was_article = stack.pop()
+        counts[tag] -= 1
+        if container >= 0:
+            around = containers[container].parent
         article -= was_article
-        links -= tag == "a"
 
     def text(piece: str) -> None:
         if piece:
             pieces.append(piece)
-            if links:
+            if counts["a"]:
                 linked.append(piece)
 
     at = 0
@@ -157,44 +227,50 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         if block:
             close_block()
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if counts[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if block and any(t == "p" for t, _, _ in stack):  # a paragraph ends where a block begins
+        if block and counts["p"]:  # a paragraph ends where a block begins
             while stack[-1][0] != "p":
                 pop()
             pop()
         elif tag in ("li", "a", "option", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
             pop()
-        is_out = _outside(tag, attributes, article > 0)
+        why = _outside(tag, attributes, article > 0)
         is_article = tag in INSIDE
-        stack.append((tag, is_out, is_article))
-        out += is_out
+        if is_article:
+            article_outside |= around < 0
+            c = around
+            while c >= 0 and not containers[c].holds_article:
+                containers[c].holds_article = True
+                c = containers[c].parent
+        stack.append((tag, len(containers) if why else -1, is_article))
+        counts[tag] += 1
+        if why:
+            containers.append(Container(around, why == "name"))
+            around = len(containers) - 1
         article += is_article
-        links += tag == "a"
     text(html[at:])
     close_block()
-    return found
+    _open_wrappers(containers, found, article_outside)
+    out: list[bool] = []  # a container is out if it or one around it isn't open; parents come first
+    for c in containers:
+        out.append(not c.opened or (c.parent >= 0 and out[c.parent]))
+    return [(t, n, c >= 0 and out[c], a) for t, n, c, a in found]
 
 
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     """Which blocks are in."""
     decided: list[bool | None] = []
     for text, linked, out, article in found:
-        length = len(text.replace(" ", ""))
-        if out or linked > LINKED * length:
-            decided.append(False)
-            continue
-        words = [w.lower() for w in _WORD.findall(text)]
-        dense = sum(w in STOP_WORDS for w in words) >= DENSE * max(len(words), 1)
-        if length >= LONG and dense:
-            decided.append(True)
-        else:
-            decided.append(False if length >= LONG and not article else None)
+        verdict = False if out else _passes(text, linked)
+        if verdict is None and not article and len(text.replace(" ", "")) >= LONG:
+            verdict = False
+        decided.append(verdict)
     result = [bool(d) for d in decided]
     region = [(a and not o) for _, _, o, a in found]
     # nearest decided block of the same region, before and behind
