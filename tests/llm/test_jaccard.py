@@ -80,14 +80,47 @@ def test_components_equal_all_pairs(spark, seed, monkeypatch):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got.collect()) == brute(rows)
 
 
+def contending(docs, ranges):
+    homes = jaccard.class_table(jaccard.set_table(docs))[1]
+    return jaccard.contenders(jaccard.shared_postings(jaccard.dealt_postings(docs, ranges)), homes)
+
+
+def test_only_shingles_of_other_classes_are_shared(spark, monkeypatch):
+    """Copies in many blocks share nothing with each other; what contends is what all pairs of classes share."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 900)
+    copies = [(i, " ".join(f"k{j}" for j in range(50))) for i in range(40)]
+    rows = copies + [(100 + i, t) for i, t in enumerate(corpus(2))]
+    docs = frame(spark, rows).repartition(5)
+    table = contending(docs, 7).collect()
+    names = jaccard.set_table(docs).filter("n > 0").dropDuplicates(["class"]).collect()
+    every = {bytes(r["class"]): sets(dict(rows)[r["doc_id"]]) for r in names}
+    holders = {}
+    for c, own in every.items():
+        for x in own:
+            holders.setdefault(x, set()).add(c)
+    shared = {c: sum(len(holders[x]) > 1 for x in own) for c, own in every.items()}
+    got = {bytes(r["class"]): r for r in table}
+    assert len(got) == len(table)
+    for c, own in every.items():
+        n, q = len(own), len(own) - -(-75 * len(own) // 100) + 1 - (len(own) - shared[c])
+        assert (c in got) == (q >= 1 and n >= 3)
+        if c in got:
+            assert got[c]["q"] == q and len(got[c]["hashes"]) == shared[c]
+
+
+def test_documents_that_change_between_scans_are_an_error(spark):
+    docs = frame(spark, list(enumerate(corpus(5)))).repartition(3)
+    homes = jaccard.class_table(jaccard.set_table(docs))[1]
+    other = jaccard.shared_postings(jaccard.dealt_postings(docs.orderBy("doc_id").coalesce(1), 4))
+    with pytest.raises(Exception, match="other partitions"):
+        jaccard.contenders(other, homes).collect()
+
+
 def test_blocks_find_what_hubs_miss(spark):
     """A chain whose ends share less than the threshold, more members than a block holds."""
     words = [f"c{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 4 : i * 4 + 100])) for i in range(60)] + [(100 + i, " ".join(words[:100]) + f" e{i}") for i in range(20)]
-    table = jaccard.contenders(
-        jaccard.shared_shingles(frame(spark, rows), 8),
-        jaccard.set_table(frame(spark, rows)).groupBy("class").agg({"n": "max"}).withColumnRenamed("max(n)", "n"),
-    )
+    table = contending(frame(spark, rows), 8)
     tied = jaccard.ties(table, jaccard.boundary(table))
     hood = components(tied).selectExpr("node as class", "component as hood")
     alone = hood.selectExpr("class", "hood", "class as joined")
@@ -101,7 +134,7 @@ def test_every_size_takes_either_road(spark):
     rows = [(i, t) for i, t in enumerate(corpus(3))]
     docs = frame(spark, rows)
     classes = jaccard.set_table(docs).filter("n > 0").dropDuplicates(["class"])
-    table = jaccard.contenders(jaccard.shared_shingles(docs, 5), classes).cache()
+    table = contending(docs, 5).cache()
     by_class = {bytes(r["class"]): rows[r["doc_id"]][1] for r in classes.collect()}
     every = {k: sets(v) for k, v in by_class.items()}
     linked = [(a, b) for a in every for b in every if a < b and 100 * len(every[a] & every[b]) >= 75 * len(every[a] | every[b])]

@@ -3,8 +3,10 @@
 Documents with equal sets are one class, named by a 128-bit fingerprint of the set; links are sought
 between classes, so copies never meet in pairs.
 
-1. Every block of documents sorts its shingles (48-bit hashes) into hash ranges; a range counts the
-   classes of each shingle.  A class with so many shingles of its own that no other class
+1. Every block of documents sorts its shingles (48-bit hashes) into hash ranges; inside a block a class is a small
+   number, so a posting takes some six bytes however many ranges there are.  A range counts the
+   holders of each shingle over all blocks and sends a block the shingles that others hold too.  The block that is a class's home
+   keeps those held by more than the class's own copies.  A class with so many shingles of its own that no other class
    can reach the threshold is done.  The others keep their shared shingles, rarest first; these are all
    that an intersection needs.
 2. *Light* classes, smaller than a boundary, list every pair of shingles of their prefix: linked
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +52,8 @@ SLICE_BYTES = 2 << 20
 #: Bytes of text that a task turns into one block of sorted shingles.
 BLOCK_BYTES = 6 << 20
 #: Shingles per hash range, on average.
-RANGE_SHINGLES = 1 << 20
-#: Hash ranges at least: a class has a row in each range that holds some of its shared shingles.
+RANGE_SHINGLES = 2 << 20
+#: Hash ranges at least.
 RANGES = 32
 #: Members of a block that is verified.
 MEMBERS = 256
@@ -106,124 +109,168 @@ def _source(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, pa.RecordBatch, list[np.ndarray]]]:
+    """(block, its documents, their sets): the same blocks in every scan of the same partitions."""
+    task = TaskContext.get().partitionId()
+    for k, part in enumerate(gathered(batches, "text", BLOCK_BYTES)):
+        yield task << 32 | k, part, [s for piece in slices(iter([part]), limit=SLICE_BYTES) for s in shingles(piece.column("text"), width)]
+
+
+def _classes(sets: list[np.ndarray]) -> tuple[list[bytes | None], dict[bytes, int]]:
+    """The sets' names (None for an empty one), and the classes of a block by their first place in it."""
+    names = [fingerprint(s) if len(s) else None for s in sets]
+    order: dict[bytes, int] = {}
+    for name in names:
+        if name is not None:
+            order.setdefault(name, len(order))
+    return names, order
+
+
+def seal(order: dict[bytes, int]) -> int:
+    """One number for the classes of a block in their order."""
+    return xxhash.xxh3_64_intdigest(b"".join(order)) >> 1
+
+
 def set_table(docs: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n, class``: set size and fingerprint (null for an empty set), then the ``keys`` (bigint)."""
+    """``doc_id, n, class, block, place, seal``: set size and fingerprint (null for an empty set), the block, the class's
+    number in it, what tells whether another scan made the same block; then the ``keys`` (bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=SLICE_BYTES):
-            sets = shingles(part.column("text"), width)
+        for block, part, sets in _blocks(batches, width):
+            names, order = _classes(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), *[part.column(k) for k in keys]],
-                ["doc_id", "n", "class", *keys],
+                [
+                    part.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(names, pa.binary()),
+                    pa.array(np.full(len(sets), block), pa.int64()),
+                    pa.array([None if name is None else order[name] for name in names], pa.int64()),
+                    pa.array(np.full(len(sets), seal(order)), pa.int64()),
+                    *[part.column(k) for k in keys],
+                ],
+                ["doc_id", "n", "class", "block", "place", "seal", *keys],
             )
 
-    return _source(docs, *keys).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, class binary", *[f"{k} bigint" for k in keys]]))
+    names = ["doc_id bigint", "n bigint", "class binary", "block bigint", "place bigint", "seal bigint", *[f"{k} bigint" for k in keys]]
+    return _source(docs, *keys).mapInArrow(run, ", ".join(names))
+
 
+POSTINGS = "block bigint, seal bigint, first bigint, gaps binary, places binary"
 
-def shared_shingles(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFrame:
-    """``class, hashes, classes``: of each hash range, a class's shingles that other classes have too,
-    and how many classes have them (binary arrays of uint64 and uint32)."""
+
+def _packed(h: np.ndarray, place: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Ascending hashes as their first and gaps, class numbers as small as they are."""
+    gaps = np.diff(h, prepend=h[0])
+    return (
+        int(h[0]),
+        gaps.astype("<u4" if gaps.max() < 1 << 32 else "<u8").tobytes(),
+        place.astype("<u2" if place.max() < 1 << 16 else "<u4").tobytes(),
+    )
+
+
+def _unpacked(first: int, gaps: bytes, places: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.frombuffer(gaps, "<u4" if len(gaps) == 4 * n else "<u8").astype(np.uint64)
+    return np.cumsum(steps) + np.uint64(first), np.frombuffer(places, "<u2" if len(places) == 2 * n else "<u4").astype(np.int64)
+
+
+def dealt_postings(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFrame:
+    """A row for each block and hash range: ``range, n`` and ``POSTINGS``; a class of the block has its number there."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(batches, "text", BLOCK_BYTES):
-            block: dict[bytes, np.ndarray] = {}
-            for piece in slices([part], limit=SLICE_BYTES):
-                for s in shingles(piece.column("text"), width):
-                    if len(s):
-                        block.setdefault(fingerprint(s), s)
-            if not block:
+        for block, _, sets in _blocks(batches, width):
+            names, order = _classes(sets)
+            first = {name: s for name, s in zip(reversed(names), reversed(sets)) if name is not None}
+            if not order:
                 continue
-            names = np.frombuffer(b"".join(block), dtype="V16")
-            sizes = np.fromiter(map(len, block.values()), dtype=np.int64, count=len(block))
-            h = np.concatenate(list(block.values()))
-            order = np.argsort(h, kind="stable")
-            owner = np.repeat(np.arange(len(block), dtype=np.uint32), sizes)[order]
-            h = h[order]
+            h = np.concatenate([first[name] for name in order])
+            place = np.repeat(np.arange(len(order)), [len(first[name]) for name in order])
+            by = np.argsort(h, kind="stable")
+            h, place = h[by], place[by]
             edge = np.searchsorted(h, np.array([(k << 48) // ranges for k in range(ranges + 1)], dtype=np.uint64))
-            rows = []
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                a, b = edge[k], edge[k + 1]
-                who, local = np.unique(owner[a:b], return_inverse=True)
-                gaps = np.diff(h[a:b], prepend=h[a])
-                narrow = "<u4" if gaps.max() < 1 << 32 else "<u8"
-                rows.append((k, int(h[a]), gaps.astype(narrow).tobytes(), local.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), names[who].tobytes()))
-            cols = list(zip(*rows))
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["range", "first", "gaps", "owners", "names"])
+            some = np.flatnonzero(np.diff(edge)).tolist()
+            cols = list(zip(*((k, int(edge[k + 1] - edge[k]), block, seal(order), *_packed(h[edge[k] : edge[k + 1]], place[edge[k] : edge[k + 1]])) for k in some)))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            names = ["range", "n", "block", "seal", "first", "gaps", "places"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    return _source(docs).mapInArrow(deal, f"range int, n bigint, {POSTINGS}")
+
+
+def shared_postings(dealt: DataFrame) -> DataFrame:
+    """The postings of each block and range whose shingle has several holders: ``n``, ``POSTINGS`` and ``times`` (how many)."""
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, owners, names, base = [], [], [], 0
-        for r in table.to_pylist():
-            n = len(r["names"]) // 16
-            size = len(r["owners"]) // (2 if n < 1 << 16 else 4)
-            gaps = np.frombuffer(r["gaps"], "<u4" if len(r["gaps"]) == 4 * size else "<u8").astype(np.uint64)
-            hashes.append(np.cumsum(gaps) + np.uint64(r["first"]))
-            owners.append(np.frombuffer(r["owners"], "<u2" if n < 1 << 16 else "<u4").astype(np.uint32) + np.uint32(base))
-            names.append(r["names"])
-            base += n
-        names, known = np.unique(np.frombuffer(b"".join(names), dtype=[("a", ">u8"), ("b", ">u8")]), return_inverse=True)
-        h, who = np.concatenate(hashes), known.ravel().astype(np.uint64)[np.concatenate(owners)]
-        del hashes, owners
-        low, bits = h.min(), np.uint64(len(names).bit_length())
-        if int(h.max() - low).bit_length() + int(bits) <= 64:
-            # a range's hash and a class number fit in one number
-            key = np.unique((h - low) << bits | who)
-            h, who = (key >> bits) + low, (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        else:
-            order = np.lexsort((who, h))
-            h, who = h[order], who[order].astype(np.int64)
-            fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-            h, who = h[fresh], who[fresh]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(first, len(h)))
-        times = np.repeat(size, size)
-        shared = times > 1
-        h, who, times = h[shared], who[shared], times[shared]
-        order = np.argsort(who, kind="stable")
-        h, who, times = h[order], who[order], times[order].astype("<u4")
-        some, at = np.unique(who, return_index=True)
-        ends = np.append(at[1:], len(who))
-        spans = list(zip(at.tolist(), ends.tolist()))
-        return pa.table(
-            {
-                "class": pa.array([names[i].tobytes() for i in some.tolist()], pa.binary()),
-                "hashes": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
-                "classes": pa.array([times[a:b].tobytes() for a, b in spans], pa.binary()),
-            }
-        )
-
-    dealt = _source(docs).mapInArrow(deal, "range int, first bigint, gaps binary, owners binary, names binary")
-    return dealt.groupBy("range").applyInArrow(count, "class binary, hashes binary, classes binary")
-
-
-def contenders(shared: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Classes that may have a link: ``class, n, q, hashes, light_cost, heavy_cost``, hashes (array)
-    the shared shingles, rarest first, of which the first ``q`` are in the prefix."""
+        rows = table.to_pylist()
+        parts = [_unpacked(r["first"], r["gaps"], r["places"], r["n"]) for r in rows]
+        h = np.concatenate([p[0] for p in parts])
+        order = np.argsort(h, kind="stable")
+        ranked = h[order]
+        start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        size = np.diff(np.append(start, len(h)))
+        times = np.empty(len(h), dtype=np.uint32)
+        times[order] = np.repeat(size, size)
+        out, at = [], 0
+        for r, (own, place) in zip(rows, parts):
+            mine = times[at : at + len(own)]
+            at += len(own)
+            kept = mine > 1
+            if kept.any():
+                out.append((r["block"], r["seal"], int(kept.sum()), *_packed(own[kept], place[kept]), mine[kept].astype("<u4").tobytes()))
+        names = ["block", "seal", "n", "first", "gaps", "places", "times"]
+        cols = list(zip(*out)) if out else [[]] * len(names)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(names, cols, types)})
+
+    schema = "block bigint, seal bigint, n bigint, first bigint, gaps binary, places binary, times binary"
+    return dealt.groupBy("range").applyInArrow(count, schema)
+
+
+def class_table(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (``class, n, least, copies``) of a set table, stored, and where each is at home: ``class, n, block, place, seal, blocks``."""
+    inside = every.filter("n > 0").groupBy("class", "block", "place", "seal").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    at = F.min(F.struct("block", "place", "seal")).alias("at")
+    whole = inside.groupBy("class").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.sum("copies").alias("copies"), at, F.count(F.lit(1)).alias("blocks"))
+    whole = stored(whole, "classes")
+    return whole.select("class", "n", "least", "copies"), whole.select("class", "n", "at.block", "at.place", "at.seal", "blocks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                n = r["n"]
-                h = np.frombuffer(b"".join(r["hashes"]), "<u8")
-                q = int(prefix(n, percent)) - (n - len(h))
+
+def contenders(shared: DataFrame, homes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Classes that may have a link: ``class, n, q, hashes, light_cost, heavy_cost``, hashes (array)
+    the shingles shared with other classes, rarest first, of which the first ``q`` are in the prefix."""
+    schema = "class binary, n bigint, q int, hashes array<bigint>, light_cost double, heavy_cost double"
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64(), pa.float64()]
+
+    def run(here: pa.Table, postings: pa.Table) -> pa.Table:
+        out = []
+        if here.num_rows and postings.num_rows:
+            if set(here["seal"].to_pylist()) != set(postings["seal"].to_pylist()):
+                raise RuntimeError("the documents came in other partitions in the second scan: write them first")
+            parts = [(*_unpacked(r["first"], r["gaps"], r["places"], r["n"]), np.frombuffer(r["times"], "<u4")) for r in postings.to_pylist()]
+            h, place, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            at = np.full(max(int(place.max()), max(here["place"].to_pylist())) + 1, -1, dtype=np.int64)
+            at[here["place"].to_numpy()] = np.arange(here.num_rows)
+            owner = at[place]
+            own_copies = np.append(here["blocks"].to_numpy(), 0)[owner]
+            kept = (owner >= 0) & (times > own_copies)  # a class's copies in other blocks are no other classes
+            h, owner, times = h[kept], owner[kept], times[kept]
+            order = np.lexsort((h, times, owner))
+            h, owner, times = h[order], owner[order], times[order]
+            bounds = np.searchsorted(owner, np.arange(here.num_rows + 1)).tolist()
+            for name, n, a, b in zip(here["class"].to_pylist(), here["n"].to_pylist(), bounds[:-1], bounds[1:]):
+                q = int(prefix(n, percent)) - (n - (b - a))
                 if q < 1 or n < 3:  # different sets of fewer than three shingles are never linked
                     continue
-                times = np.frombuffer(b"".join(r["classes"]), "<u4")
-                order = np.lexsort((h, times))
-                wide = min(q + 1, len(h))
-                rows.append((r["class"], n, q, h[order].astype(np.int64), float(wide * (wide - 1) // 2), float(q + np.log2(times[order[:q]]).sum())))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["class", "n", "q", "hashes", "light_cost", "heavy_cost"])
-
-    # the parts of a class are at most one for each hash range, and no more than its shingles
-    per_class = shared.groupBy("class").agg(
-        F.collect_list(F.struct("hashes", "classes")).alias("parts")
-    ).select("class", F.col("parts.hashes").alias("hashes"), F.col("parts.classes").alias("classes"))
-    schema = "class binary, n bigint, q int, hashes array<bigint>, light_cost double, heavy_cost double"
-    return per_class.join(classes.select("class", "n"), "class").mapInArrow(run, schema)
+                wide = min(q + 1, b - a)
+                heavy = float(q + np.log2(times[a : a + q]).sum())
+                out.append((name, n, q, h[a:b].astype(np.int64), float(wide * (wide - 1) // 2), heavy))
+        cols = list(zip(*out)) if out else [[]] * 6
+        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(names, cols, types)})
+
+    left = homes.select(F.col("block").alias("home"), "class", "n", "place", "seal", "blocks")
+    return left.groupBy("home").cogroup(shared.groupBy("block")).applyInArrow(run, schema)
 
 
 def boundary(table: DataFrame, percent: int = PERCENT) -> int:
@@ -376,21 +423,23 @@ def links(table: DataFrame, percent: int = PERCENT, members: int = MEMBERS) -> D
     return hubs.unionByName(rest)
 
 
-def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``class, component`` of the classes (``class, n``) of the documents that are linked with another."""
-    total = classes.agg(F.sum("n")).first()[0] or 0
+def class_components(docs: DataFrame, homes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``class, component`` of the documents' classes that are linked with another."""
+    total = homes.agg(F.sum("n")).first()[0] or 0
     ranges = max(RANGES, -(-int(total) // RANGE_SHINGLES))
-    table = stored(contenders(shared_shingles(docs, ranges, width), classes, percent), "contenders")
+    shared = shared_postings(dealt_postings(docs, ranges, width))
+    table = stored(contenders(shared, homes, percent), "contenders")
     return components(links(table, percent)).select(F.col("node").alias("class"), "component")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+    """``doc_id, n_shingles, component_id`` of every document.
+
+    The documents are scanned twice, so they must come in the same partitions both times, as from files.
+    """
     every = stored(set_table(docs, width), "sets")
-    classes = stored(
-        every.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes"
-    )
-    part_of = class_components(docs, classes, width, percent)
+    classes, homes = class_table(every)
+    part_of = class_components(docs, homes, width, percent)
     named = classes.join(part_of, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "component").select("class", "component_id")
@@ -409,10 +458,9 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "numbered")
     source = numbered.select("whole.doc_id", "whole.text", "row")
     every = stored(set_table(source, width, ("row",)), "sets")
-    real = every.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    classes = stored(real.groupBy("class").agg(F.first("n").alias("n"), first), "classes")
-    part_of = class_components(source, classes, width, percent)
+    classes = every.filter("n > 0").groupBy("class").agg(first)
+    part_of = class_components(source, class_table(every)[1], width, percent)
     named = classes.join(part_of, "class", "left").withColumn("component", F.coalesce("component", "class"))
     chosen = named.groupBy("component").agg(F.min(F.struct("first.none", "first.doc_id", "class", "first.row")).alias("least"))
     kept = chosen.select("least.row").unionByName(every.filter("n = 0").select("row"))
