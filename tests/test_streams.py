@@ -1,4 +1,5 @@
 import glob
+import os
 import random
 
 from weft.streaming import rollout_stream as R
@@ -39,12 +40,27 @@ def test_replayed_batch_gives_no_doubles(spark, tmp_path):
     assert sorted(map(tuple, out)) == [("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 1, 1)]
 
 
-def test_expired_groups_leave(spark, tmp_path):
-    schema = "source string, batch_id bigint, index_in_batch int"
-    R.release_step(spark.createDataFrame([("a", 5, 0)], schema), 0, 2, str(tmp_path), expire_after=1)
-    R.release_step(spark.createDataFrame([("a", 6, 0)], schema), 1, 2, str(tmp_path), expire_after=1)
-    waiting = spark.read.parquet(f"{tmp_path}/waiting/1").collect()
-    assert [r["batch_id"] for r in waiting] == [6]
+def stored_rows(spark, folder, schema):
+    return {os.path.basename(p): spark.read.schema(schema).parquet(p).count() for p in glob.glob(f"{folder}/log/*")}
+
+
+def test_written_rows_follow_the_arrivals(spark, tmp_path, monkeypatch):
+    """One source never completes, others flow: its rows are merged now and then, not written with each micro-batch."""
+    monkeypatch.setattr(R, "MERGED", 3)
+    schema, folder = "source string, batch_id bigint, index_in_batch int", str(tmp_path)
+    written, seen, out = 0, {}, []
+    for epoch in range(9):
+        rows = [("stuck", epoch + 1, 0)] + [("flow", epoch, i) for i in range(20)]
+        for _ in range(1 + (epoch in (4, 8))):  # some micro-batches are replayed
+            R.release_step(spark.createDataFrame(rows, schema), epoch, 20, folder)
+        now = stored_rows(spark, folder, schema)
+        written += sum(n for name, n in now.items() if name not in seen)
+        seen = now
+        out += [tuple(r) for r in spark.read.schema(schema).parquet(f"{folder}/released/{epoch}").collect()]
+        assert len(glob.glob(f"{folder}/live/*")) <= 2 and len(glob.glob(f"{folder}/frontier/*")) <= 2
+        assert len(now) <= 3 + 2 + 3
+    assert sorted(out) == [("flow", e, i) for e in range(9) for i in range(20)]
+    assert written <= 9 * 21 + 9 + 9  # arrivals, and the waiting rows of two merges
 
 
 def test_reward_spread(spark):
