@@ -167,3 +167,86 @@ def test_embedding_of_nothing_is_zero(spark):
 
     got = {r["id"]: r["embedding"] for r in R.embed(df, encoder, 5, 9, 0, 2).collect()}
     assert got == {0: [5.0, 1.0], 1: [0.0, 0.0], 2: [6.0, 1.0]}
+
+
+class Counting:
+    """A file system whose files count the bytes that are read of each."""
+
+    def __init__(self, inner, read):
+        self.inner, self.bytes = inner, read
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def open_input_file(self, path):
+        inner, count = self.inner.open_input_file(path), self.bytes
+
+        class File:
+            def read_at(self, n, at):
+                count[path[-3:]] = count.get(path[-3:], 0) + n
+                return inner.read_at(n, at)
+
+            def read(self):
+                return inner.read()
+
+        return File()
+
+
+@pytest.fixture
+def large_corpus(spark, tmp_path):
+    rows = [(d, s, [d % 200] * (50 + d % 7)) for d in range(300) for s in range(3)]
+    I.write_indexed(spark.createDataFrame(rows, "doc_id bigint, seq_no int, tokens array<int>").repartition(4), str(tmp_path / "c"), 300)
+    return str(tmp_path / "c"), rows
+
+
+def read_here(path, monkeypatch, columns=None, filters=(), **options):
+    """(rows, bytes read by file type) of the reader itself."""
+    read, plain = {}, I._fs
+    monkeypatch.setattr(I, "_fs", lambda p: (lambda fs: (Counting(fs[0], read), fs[1]))(plain(p)))
+    reader = I._PushingReader({"path": path, "partition_bytes": "4000", **options}, columns)
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    monkeypatch.setattr(I, "_fs", plain)
+    return rows, read
+
+
+def test_only_the_bytes_of_the_wanted_documents_are_read(large_corpus, monkeypatch):
+    path, rows = large_corpus
+    every, all_bytes = read_here(path, monkeypatch)
+    assert len(every) == 900 and all_bytes["bin"] == 2 * sum(len(t) for *_, t in rows)
+    conditions = [
+        ([I.EqualTo(("doc_id",), 150)], {150}),
+        ([I.GreaterThan(("doc_id",), 20), I.LessThanOrEqual(("doc_id",), 23)], {21, 22, 23}),
+        ([I.GreaterThanOrEqual(("doc_id",), 298)], {298, 299}),
+        ([I.In(("doc_id",), (7, 9))], {7, 8, 9}),
+        ([I.LessThan(("doc_id",), 0)], set()),
+        ([I.EqualTo(("doc_id",), 10**15)], set()),
+    ]
+    for filters, wanted in conditions:
+        got, read = read_here(path, monkeypatch, filters=filters)
+        assert sorted((r["doc_id"], r["seq_no"], r["tokens"]) for r in got) == sorted(r for r in rows if r[0] in wanted)
+        assert read.get("bin", 0) == 2 * sum(len(t) for d, _, t in rows if d in wanted)
+        assert read.get("idx", 0) < 12_000
+    got, read = read_here(path, monkeypatch, filters=[I.GreaterThanOrEqual(("seq_id",), 100), I.LessThan(("seq_id",), 105)])
+    assert [r["seq_id"] for r in got] == list(range(100, 105)) and read["bin"] < 5 * 2 * 60
+    other = I.EqualTo(("n_tokens",), 50)
+    assert len(read_here(path, monkeypatch, filters=[other])[0]) == 900  # left to Spark
+
+
+def test_no_payload_without_tokens(spark, large_corpus, monkeypatch):
+    path, rows = large_corpus
+    got, read = read_here(path, monkeypatch, columns=["n_tokens", "doc_id"])
+    assert "bin" not in read and sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted((d, len(t)) for d, _, t in rows)
+    df = I.read_indexed(spark, path, columns=["doc_id", "n_tokens"], doc_ids=(10, 12))
+    assert sorted(map(tuple, df.collect())) == sorted((d, len(t)) for d, _, t in rows if 10 <= d < 12)
+
+
+def test_conditions_are_pushed_where_the_session_allows(spark, large_corpus):
+    path, rows = large_corpus
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = I.read_indexed(spark, path, partition_bytes=2000).filter("doc_id between 40 and 41 and n_tokens > 0")
+        assert sorted((r["doc_id"], r["seq_no"], r["tokens"]) for r in df.collect()) == sorted(r for r in rows if r[0] in (40, 41))
+        assert df.rdd.getNumPartitions() <= 4
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

@@ -2,6 +2,10 @@
 
 A written corpus is a folder of shards with a manifest; the reader takes a folder or one
 prefix.  Readers split by byte range, and every task finds its own sequences in the header.
+
+Conditions on ``doc_id`` and ``seq_id`` are pushed down where the session allows it
+(``spark.sql.python.filterPushdown.enabled``), or given to :func:`read_indexed`: shards outside are not opened, and of the others only
+the bytes of the sequences in question are read.  Without ``tokens`` among the columns no payload is read at all.
 """
 
 from __future__ import annotations
@@ -19,7 +23,13 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -108,31 +118,61 @@ class _Header:
 
 
 class _Range(InputPartition):
-    def __init__(self, prefix, low, high, last, doc_base, seq_base):
-        self.prefix, self.low, self.high, self.last = prefix, low, high, last
+    """Sequences ``first`` to before ``end`` of a shard."""
+
+    def __init__(self, prefix, first, end, doc_base, seq_base):
+        self.prefix, self.first, self.end = prefix, first, end
         self.doc_base, self.seq_base = doc_base, seq_base
 
 
+#: Beyond any number of documents or sequences.
+FAR = 1 << 62
+
+
+def narrowed(bounds: tuple[int, int], condition) -> tuple[int, int]:
+    """The half-open range that a pushed condition leaves of ``bounds``; other conditions leave it as it is."""
+    low, high = bounds
+    value = getattr(condition, "value", None)
+    if isinstance(condition, EqualTo) and isinstance(value, int):
+        return max(low, value), min(high, value + 1)
+    if isinstance(condition, In) and condition.value and all(isinstance(v, int) for v in condition.value):
+        return max(low, min(condition.value)), min(high, max(condition.value) + 1)
+    if isinstance(condition, GreaterThanOrEqual) and isinstance(value, int):
+        return max(low, value), high
+    if isinstance(condition, GreaterThan) and isinstance(value, int):
+        return max(low, value + 1), high
+    if isinstance(condition, LessThanOrEqual) and isinstance(value, int):
+        return low, min(high, value + 1)
+    if isinstance(condition, LessThan) and isinstance(value, int):
+        return low, min(high, value)
+    return bounds
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, columns=None):
         self.path = options["path"].rstrip("/")
         self.multimodal = options.get("multimodal", "false") == "true"
         self.size = int(options.get("partition_bytes", str(128 << 20)))
         self.dataset = options.get("dataset", self.path.rsplit("/", 1)[-1])
+        self.columns = columns
+        self.ranges = {
+            name: (int(options.get(f"{name}_from", "0")), int(options.get(f"{name}_before", str(FAR)))) for name in ("doc_id", "seq_id")
+        }
 
     def _shards(self):
+        """(prefix, documents before, sequences before, documents, sequences); counts are unknown for one prefix."""
         system, path = _fs(f"{self.path}/{MANIFEST}")
         if system.get_file_info(path).type == pafs.FileType.NotFound:
-            yield self.path, 0, 0
+            yield self.path, 0, 0, None, None
             return
         docs = seqs = 0
         for shard in json.loads(system.open_input_file(path).read()):
-            yield f"{self.path}/{shard['name']}", docs, seqs
+            yield f"{self.path}/{shard['name']}", docs, seqs, shard["documents"], shard["sequences"]
             docs, seqs = docs + shard["documents"], seqs + shard["sequences"]
 
     def dtype(self):
         """Element type of the first shard; an empty corpus has 32-bit integers."""
-        for prefix, _, _ in self._shards():
+        for prefix, *_ in self._shards():
             self._payload(prefix)
             return _Header(prefix, self.multimodal).dtype
         return np.dtype("<i4")
@@ -147,33 +187,49 @@ class _Reader(DataSourceReader):
             raise ValueError(f"both {prefix}.bin and {prefix}.idx must exist")
         return info
 
+    def _wanted(self, head, docs, seqs):
+        """The sequences of a shard that the ranges leave, by its own numbers."""
+        low, high = (min(max(x - seqs, 0), head.sequences) for x in self.ranges["seq_id"])
+        first, before = (min(max(x - docs, 0), head.documents - 1) for x in self.ranges["doc_id"])
+        if self.ranges["doc_id"] != (0, FAR) and head.documents:
+            low = max(low, int(head.slice(head.at_documents, "<i8", first, first + 1)[0]))
+            high = min(high, int(head.slice(head.at_documents, "<i8", before, before + 1)[0]))
+        return low, high
+
     def partitions(self):
         out = []
-        for prefix, docs, seqs in self._shards():
-            info = self._payload(prefix)
-            cuts = list(range(0, max(info.size, 1), self.size))
-            for low in cuts:
-                out.append(_Range(prefix, low, low + self.size, low == cuts[-1], docs, seqs))
+        for prefix, docs, seqs, n_docs, n_seqs in self._shards():
+            outside = [n is not None and (high <= base or low >= base + n) for (low, high), base, n in
+                       zip((self.ranges["doc_id"], self.ranges["seq_id"]), (docs, seqs), (n_docs, n_seqs))]
+            if any(outside):
+                continue
+            self._payload(prefix)
+            head = _Header(prefix, self.multimodal)
+            low, high = self._wanted(head, docs, seqs)
+            if low >= high:
+                continue
+            begin = int(head.slice(head.at_pointers, "<i8", low, low + 1)[0])
+            last = int(head.slice(head.at_pointers, "<i8", high - 1, high)[0])
+            cuts = [head.first_at_least(head.at_pointers, head.sequences, at) for at in range(begin + self.size, last + 1, self.size)]
+            edges = [low, *(c for c in cuts if low < c < high), high]
+            out += [_Range(prefix, a, b, docs, seqs) for a, b in zip(edges[:-1], edges[1:]) if b > a]
         return out
 
     def read(self, part):
         head = _Header(part.prefix, self.multimodal)
-        n = head.sequences
         element = column_type(head.dtype)[1]
         if element != column_type(self.dtype())[1]:
             raise ValueError(f"{part.prefix}: elements of {head.dtype}, unlike the corpus' first shard")
-        low = head.first_at_least(head.at_pointers, n, part.low)
-        high = n if part.last else head.first_at_least(head.at_pointers, n, part.high)
+        schema = arrow_schema(element)
+        names = [f.name for f in schema] if self.columns is None else self.columns
+        low, high = part.first, part.end
         system, path = _fs(part.prefix + ".bin")
-        payload = system.open_input_file(path)
+        payload = system.open_input_file(path) if "tokens" in names else None
         # the document of a sequence: last bound that is <= its number
         doc = head.first_at_least(head.at_documents, head.documents, low + 1) - 1
         for a in range(low, high, CHUNK):
             b = min(a + CHUNK, high)
             lengths = head.slice(head.at_lengths, "<i4", a, b)
-            begin = int(head.slice(head.at_pointers, "<i8", a, a + 1)[0])
-            raw = payload.read_at(int(lengths.sum()) * head.dtype.itemsize, begin)
-            tokens = np.frombuffer(raw, head.dtype).astype(element.to_pandas_dtype())
             bounds = head.slice(
                 head.at_documents, "<i8", doc, min(head.documents, doc + (b - a) + 1)
             )
@@ -188,22 +244,41 @@ class _Reader(DataSourceReader):
             modes = (
                 head.slice(head.at_modes, "i1", a, b) if self.multimodal else np.zeros(b - a, "i1")
             )
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([self.dataset] * (b - a), pa.string()),
-                    pa.array(doc + place + part.doc_base, pa.int64()),
-                    pa.array((seq - bounds[place]).astype(np.int32), pa.int32()),
-                    pa.array(seq + part.seq_base, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
-                    pa.array(lengths, pa.int32()),
-                    pa.array(modes, pa.int8()),
-                ],
-                schema=arrow_schema(element),
-            )
+            columns = {
+                "dataset": lambda: pa.array([self.dataset] * (b - a), pa.string()),
+                "doc_id": lambda: pa.array(doc + place + part.doc_base, pa.int64()),
+                "seq_no": lambda: pa.array((seq - bounds[place]).astype(np.int32), pa.int32()),
+                "seq_id": lambda: pa.array(seq + part.seq_base, pa.int64()),
+                "tokens": lambda: self._tokens(head, payload, lengths, a, element),
+                "n_tokens": lambda: pa.array(lengths, pa.int32()),
+                "mode": lambda: pa.array(modes, pa.int8()),
+            }
+            yield pa.RecordBatch.from_arrays([columns[name]() for name in names], schema=pa.schema([schema.field(name) for name in names]))
             doc += int(place[-1])
 
 
+    @staticmethod
+    def _tokens(head, payload, lengths, first, element):
+        """The payload of the sequences from ``first`` on, in one piece."""
+        begin = int(head.slice(head.at_pointers, "<i8", first, first + 1)[0])
+        raw = payload.read_at(int(lengths.sum()) * head.dtype.itemsize, begin)
+        values = np.frombuffer(raw, head.dtype).astype(element.to_pandas_dtype())
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+class _PushingReader(_Reader):
+    """The reader of a session that pushes conditions down (others refuse one that could take them)."""
+
+    def pushFilters(self, filters):
+        """Ranges of the ids; Spark tests every condition again."""
+        for condition in filters:
+            name = getattr(condition, "attribute", ("",))[0]
+            if name in self.ranges:
+                self.ranges[name] = narrowed(self.ranges[name], condition)
+            yield condition
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, order, name, sequences, documents):
         self.order, self.name = order, name
@@ -290,7 +365,8 @@ class IndexedCorpus(DataSource):
         return SCHEMA.format(column_type(_Reader(self.options).dtype())[0])
 
     def reader(self, schema):
-        return _Reader(self.options)
+        pushes = self.options.get("pushdown", "false") == "true"
+        return (_PushingReader if pushes else _Reader)(self.options, schema.fieldNames())
 
     def writer(self, schema, overwrite):
         return _Writer(self.options, overwrite)
@@ -305,16 +381,32 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def read_indexed(
-    spark: SparkSession, path: str, multimodal: bool = False, partition_bytes: int = 128 << 20
+    spark: SparkSession,
+    path: str,
+    multimodal: bool = False,
+    partition_bytes: int = 128 << 20,
+    columns: list[str] | None = None,
+    doc_ids: tuple[int, int] | None = None,
+    seq_ids: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Sequences of a corpus folder or of one prefix, with document and sequence numbers."""
+    """Sequences of a corpus folder or of one prefix, with document and sequence numbers.
+
+    ``columns`` chooses columns (no payload is read without ``tokens``); ``doc_ids`` and ``seq_ids``
+    are ranges, the end not included, of which only the bytes are read.
+    """
     spark.dataSource.register(IndexedCorpus)
-    return (
-        spark.read.format("indexed_corpus")
-        .option("multimodal", str(multimodal).lower())
-        .option("partition_bytes", str(partition_bytes))
-        .load(qualified(spark, path))
-    )
+    reader = spark.read.format("indexed_corpus").option("multimodal", str(multimodal).lower())
+    reader = reader.option("partition_bytes", str(partition_bytes))
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    for name, ids in (("doc_id", doc_ids), ("seq_id", seq_ids)):
+        if ids is not None:
+            reader = reader.option(f"{name}_from", str(ids[0])).option(f"{name}_before", str(ids[1]))
+    place = qualified(spark, path)
+    if columns is not None:
+        kind = column_type(_Reader({"path": place, "multimodal": str(multimodal).lower()}).dtype())[0]
+        types = dict(part.split(" ", 1) for part in SCHEMA.format(kind).split(", "))
+        reader = reader.schema(", ".join(f"{c} {types[c]}" for c in columns))
+    return reader.load(place)
 
 
 def write_indexed(
