@@ -143,6 +143,27 @@ def test_chance_is_no_evidence(spark):
     assert all(r["n_term"] == 0 for r in pii.pii_table(frame(spark, rows)).collect())
 
 
+def test_copies_are_no_evidence(spark):
+    """A text of rare words with an address, held five times: its words stay, whatever the number of copies."""
+    rare = " ".join(f"rare{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    rows = [(i, f"write to ann@site.org today {rare}") for i in range(5)] + [(50 + i, f"the text {i} of many words that is here") for i in range(300)]
+    got = {r["doc_id"]: r for r in pii.pii_table(frame(spark, rows)).collect()}
+    assert all(got[i]["n_email"] == 1 for i in range(5)) and not any(r["n_term"] for r in got.values())
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert clean[0] == f"write to [EMAIL] today {rare}"
+
+
+def test_many_coincidences_are_no_evidence(spark):
+    """Each of 300 domains of two documents meets one word by chance: so many pairs are expected to be false."""
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3_000)]
+    rows = [(i, f"joe{i}@site{i % 300}.org " + " ".join(rng.choice(words) for _ in range(40))) for i in range(600)]
+    table = pii.pii_table(frame(spark, rows)).collect()
+    assert sum(r["n_term"] for r in table) == 0
+
+
 def test_no_python_on_the_executors(spark):
     plan = pii.pii_table(frame(spark, leaking()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -13,15 +13,17 @@ The method adds *terms*: words that give an entity away.  Over the whole corpus,
 with N documents, n_e that hold the entity, n_t that hold the term and n_te that hold both, anywhere in their text.
 ``P`` leaves the document out that is to be cleaned: a word of one document only tells nothing by the others.  A
 term with ``PMI >= DISCLOSURE * IC`` is a span wherever it stands in a document that holds the entity, unless chance
-(n_te - 1 of n_t - 1 documents at the rate n_e / N, by Chernoff's bound) gives as much with a probability above
-``CHANCE``.  So an entity of two documents, or a class of entities of one document each, can have terms.  A term is
+gives as much: by Chernoff's bound (n_te - 1 of n_t - 1 documents at the rate n_e / N) each pair of a term and an entity has a
+probability, and of the pairs that are taken, at most a share ``CHANCE`` may be expected to be false among all that meet more
+than once (Benjamini and Hochberg).  A class of entities of one document each can have terms, too.  A term is
 generalised to a class label; one that tells the entity outright (``PMI >= REMOVAL * IC``) is removed.  A word that
-overlaps a base span is no term there and isn't counted there.
+overlaps a base span is no term there and isn't counted there.  Documents with a base span count once for each distinct text, so
+copies are no evidence; copies among the others count each, which only makes a word tell less.
 
 Positions are code points.  All matches of a pattern and the pieces between them give the positions as running
 sums.  Only documents with some base match go through that; the others pass in one scan.
 
-A null or empty text has no spans; it stays null or empty.  Repeated rows and ids are separate documents,
+A null or empty text has no spans; it stays null or empty.  Repeated rows and ids are separate rows of the result,
 null ids are kept.  An empty table gives an empty result.
 """
 
@@ -50,8 +52,10 @@ SOME = r"@|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){12}|\+[0-9]"
 
 DISCLOSURE = 0.8
 REMOVAL = 0.95
-#: A co-occurrence that chance gives with a higher probability is no evidence.
+#: Share of false pairs that may be expected among those taken as evidence.
 CHANCE = 0.01
+#: Steps of the evidence histogram in a nat, and the nats beyond which all evidence counts alike.
+STEPS, MOST_EVIDENCE = 8, 400
 #: A term: letters, then letters or digits.
 WORD = r"\p{L}[\p{L}\p{N}]*+"
 #: Stands for every character of a base span (a noncharacter), and counts as a letter there.
@@ -153,29 +157,44 @@ def entities(spans: DataFrame) -> DataFrame:
     return spans.select("row", F.explode(both).alias("entity")).distinct()
 
 
+def evidence_needed(stats: DataFrame, share: float = CHANCE) -> float:
+    """The least evidence (nats) at which the pairs beyond it hold at most ``share`` of false ones, expected among
+    all pairs that meet more than once; from a histogram of some thousand rows at most."""
+    step = F.floor(F.least("evidence", F.lit(float(MOST_EVIDENCE))) * STEPS)
+    counts = {r["step"]: r["n"] for r in stats.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    tests, taken, needed = sum(counts.values()), 0, float("inf")
+    for at in sorted(counts, reverse=True):
+        taken += counts[at]
+        if tests * math.exp(-at / STEPS) <= share * taken:
+            needed = at / STEPS
+    return needed
+
+
 def disclosing(left: DataFrame, spans: DataFrame, clean: DataFrame) -> DataFrame:
     """``row, term, removed``: terms of a document that give one of its entities away, by the whole
-    corpus: ``left`` is what the base spans leave of the numbered documents, ``clean`` the others."""
-    total = left.select(F.lit(1)).unionByName(clean.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
-    held = entities(spans)
+    corpus: ``left`` is what the base spans leave of the numbered documents (``first`` of their text or not), ``clean`` the others."""
+    once = left.filter("first")
+    total = once.select(F.lit(1)).unionByName(clean.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
+    held = entities(spans).join(left.select("row", "first"), "row")
     # an entity or a term of one document has no others to tell by
-    known = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter("n_e > 1"), "entity")
+    known = held.join(held.filter("first").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter("n_e > 1"), "entity")
     known = stored(known.crossJoin(F.broadcast(total)).filter("n_e < n"), "entities")  # one row
-    words = left.select(F.explode(_terms(FILLED_WORD)).alias("term")).unionByName(clean.select(F.explode(_terms(WORD)).alias("term")))
+    words = once.select(F.explode(_terms(FILLED_WORD)).alias("term")).unionByName(clean.select(F.explode(_terms(WORD)).alias("term")))
     # documents per term: counted map-side, then met with the terms in question
     holding = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter("n_t > 1")
     wanted = left.join(known.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(FILLED_WORD)).alias("term"))
     rate = F.col("n_e") / F.col("n")
     # n_te is n_e at most, so that a common word is out before it meets a rare entity
     able = F.col("n_e") - 1 >= (F.col("n_t") - 1) * F.pow(rate, F.lit(1 - DISCLOSURE)) * (1 - 1e-9)
-    pairs = stored(wanted.join(holding, "term").join(known, "row").filter(able).select("row", "entity", "term", "n_t", "n_e", "n"), "pairs")
-    stats = pairs.groupBy("entity", "term", "n_t", "n_e", "n").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
+    met = wanted.join(holding, "term").join(known, "row").filter(able)
+    pairs = stored(met.select("row", "entity", "term", "first", "n_t", "n_e", "n"), "pairs")
     k, others = F.col("n_te") - 1, F.col("n_t") - 1
     pmi, ic = F.log2(k / others / rate), -F.log2(rate)
     misses = F.when(others > k, (others - k) * F.log((1 - k / others) / (1 - rate))).otherwise(F.lit(0.0))
-    evidence = k * F.log(k / others / rate) + misses
-    told = stats.filter((pmi >= DISCLOSURE * ic) & (evidence >= float(-math.log(CHANCE))))
-    told = told.select("entity", "term", (pmi >= REMOVAL * ic).alias("removed"))
+    stats = pairs.filter("first").groupBy("entity", "term", "n_t", "n_e", "n").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
+    evidence = F.when(k / others > rate, k * F.log(k / others / rate) + misses).otherwise(F.lit(0.0))
+    stats = stored(stats.select("entity", "term", (pmi >= DISCLOSURE * ic).alias("tells"), (pmi >= REMOVAL * ic).alias("removed"), evidence.alias("evidence")), "stats")
+    told = stats.filter(F.col("tells") & (F.col("evidence") >= evidence_needed(stats))).select("entity", "term", "removed")
     return pairs.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
 
 
@@ -200,7 +219,10 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def find_spans(clean: DataFrame, held: DataFrame) -> DataFrame:
     """``row, kind, start, end, removed``: base spans and terms of the numbered documents."""
     spans = stored(base_spans(held.select("row", F.col("text").cast("string").alias("text"))), "spans")
-    left = stored(filled(held, spans), "left")
+    whole = held.select("row", F.md5(F.col("text").cast("string")).alias("print"))
+    firsts = whole.groupBy("print").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    left = filled(held, spans).join(firsts, "row", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    left = stored(left, "left")
     terms = placed(left, stored(disclosing(left, spans, clean), "told"))
     return spans.select("row", "kind", "start", "end", F.lit(False).alias("removed")).unionByName(
         terms.select("row", F.lit(TERM).alias("kind"), "start", "end", "removed")
