@@ -7,14 +7,15 @@ words, or a whole item of fewer, are searched backward through the ranks of a wa
 occurrences are located by sampled suffix positions, and the spans are merged.
 
 The benchmark is sent to the tasks in blocks of items of bounded size, and each block is searched in
-every shard.  Null and empty texts have no words; repeated ids are separate documents, and
-an item id that occurs twice is one item with the phrases of both.  An empty benchmark hits nothing.
+every shard; a task holds one block at a time.  Null and empty texts have no words; repeated ids are separate documents, and
+an item id that occurs twice is one item with the phrases of both; a null item id counts as the item "".  An empty benchmark
+hits nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,15 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
     return blocks
 
 
-def search(texts: list[str | None], blocks: list[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+def one_by_one(blocks: list) -> Iterator[Phrases]:
+    """The broadcast blocks; where there are several, each is let go before the next is read."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
+
+
+def search(texts: list[str | None], blocks: Iterable[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """A shard's documents: (words, first word's place, hit flags by place, items found)."""
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], dtype=np.int64)
@@ -121,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "text", SHARD_BYTES):
             texts = part.column("text").to_pylist()
-            sizes, starts, hit, items = search(texts, [b.value for b in blocks])
+            sizes, starts, hit, items = search(texts, one_by_one(blocks))
             total = np.concatenate(([0], np.cumsum(hit)))
             n_hit = total[starts + sizes] - total[starts]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
@@ -176,7 +185,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "text", SHARD_BYTES):
             texts = part.column(at).to_pylist()
-            sizes, starts, hit, _ = search(texts, [b.value for b in blocks])
+            sizes, starts, hit, _ = search(texts, one_by_one(blocks))
             kept = np.ones(len(texts), dtype=bool)
             lengths = None if counted is None else part.column(counted).to_pylist()
             for i, (t, s, n) in enumerate(zip(texts, starts.tolist(), sizes.tolist())):
