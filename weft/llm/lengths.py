@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.llm.arrow import stored
 from weft.llm.encoding import default_path, encoded
 
 #: Lengths per block in the two-level suffix sums.
@@ -38,7 +39,8 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
 
     Sums run over blocks of lengths, then inside each block, so no task sees all lengths.
     """
-    exact = histogram.groupBy("length").agg(F.sum("documents").alias("documents"))
+    # read twice below, so that the documents are encoded once
+    exact = stored(histogram.groupBy("length").agg(F.sum("documents").alias("documents")), "lengths")
     exact = exact.withColumn("__b", F.floor(F.col("length") / BLOCK)).withColumn("__t", F.col("length") * F.col("documents"))
     blocks = exact.groupBy("__b").agg(F.sum("documents").alias("__n"), F.sum("__t").alias("__s"))
     after = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
