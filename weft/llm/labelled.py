@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +27,14 @@ class Sample:
     label: np.ndarray
 
 
-def labelled_sample(
+def chosen_rows(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS
-) -> Sample:
-    """Whole texts with their label 0 or 1, at most ``rows`` of each class.
+) -> DataFrame:
+    """``doc_id, label, text``: whole texts with their label 0 or 1, at most ``rows`` of each class.
 
     The choice is by a hash of the id, the same for every partitioning; documents are taken in that
-    order as long as the classes' share of ``characters`` lasts.  Rows that ``allowed`` (over the
+    order as long as the classes' share of ``characters`` lasts.  A text longer than what is left is passed over
+    for shorter ones behind it, so one above half of ``characters`` is never learned from.  Rows that ``allowed`` (over the
     labels' ``doc_id``) excludes, null labels and null ids are left out; an id with both
     labels counts as 1.
     """
@@ -54,8 +57,27 @@ def labelled_sample(
             left[r["label"]] -= r["n"]
             take.add(r["doc_id"])
     kept = F.broadcast(spark.createDataFrame([(i,) for i in sorted(take)], "doc_id bigint"))
-    got = met.join(kept, "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    text = got["text"].combine_chunks()
-    if isinstance(text, pa.ChunkedArray):
-        text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-    return Sample(text.cast(pa.large_string()), got["label"].to_numpy().astype(np.float64))
+    return met.join(kept, "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+
+
+def as_sample(table: pa.Table) -> Sample:
+    table = table.sort_by("doc_id")
+    text = pa.concat_arrays([pa.array([], pa.large_string()), *table["text"].cast(pa.large_string()).chunks])
+    return Sample(text, table["label"].to_numpy().astype(np.float64))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> Sample:
+    """The chosen rows here, for a look at them."""
+    return as_sample(chosen_rows(docs, labels, label, allowed, rows, characters).toArrow())
+
+
+def fitted(chosen: DataFrame, train: Callable[[Sample], object]) -> object:
+    """The model that ``train`` makes of the chosen rows, in a task: only the model reaches the driver."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema)], schema=schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(as_sample(table)))], pa.binary())], ["model"])
+
+    made = chosen.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train(as_sample(schema.empty_table()))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.arrow import slices, words
-from weft.llm.labelled import CHARACTERS, ROWS_PER_CLASS, Sample, fold, labelled_sample
+from weft.llm.labelled import CHARACTERS, ROWS_PER_CLASS, Sample, chosen_rows, fitted, fold
 from weft.llm.wordgrams import features, per_word
 
 BITS = 18
@@ -146,7 +146,7 @@ def score_with(docs: DataFrame, model, held_out) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> SubwordModel:
     """Learned from labelled rows outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "quality", fold("doc_id", HELD_OUT_FOLDS) != HELD_OUT, rows, characters))
+    return fitted(chosen_rows(docs, labels, "quality", fold("doc_id", HELD_OUT_FOLDS) != HELD_OUT, rows, characters), train)
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weft.llm.arrow import words
-from weft.llm.labelled import CHARACTERS, ROWS_PER_CLASS, Sample, fold, labelled_sample
+from weft.llm.labelled import CHARACTERS, ROWS_PER_CLASS, Sample, chosen_rows, fitted, fold
 from weft.llm.quality import score_with
 from weft.llm.wordgrams import features, per_word
 
@@ -162,7 +162,7 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> RatioModel:
     """Learned from labelled rows outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "toxic", fold("doc_id", HELD_OUT_FOLDS) != HELD_OUT, rows, characters))
+    return fitted(chosen_rows(docs, labels, "toxic", fold("doc_id", HELD_OUT_FOLDS) != HELD_OUT, rows, characters), train)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, characters: int = CHARACTERS) -> DataFrame:
