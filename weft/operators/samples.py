@@ -85,7 +85,7 @@ def split_corpus(
 
 def check_datasets(table: DataFrame) -> None:
     """Data sets are numbered in 16 bits; this also bounds every per-data-set broadcast."""
-    if len(table.limit(MAX_DATASETS + 1).collect()) > MAX_DATASETS:
+    if table.limit(MAX_DATASETS + 1).count() > MAX_DATASETS:
         raise ValueError(f"more than {MAX_DATASETS} data sets")
 
 
@@ -94,7 +94,7 @@ def epoch_plan(
     length: int,
     requested: int | DataFrame | None = None,
     extra: bool = True,
-    drop_last: bool = True,
+    drop_last: bool | Column = True,
 ) -> DataFrame:
     """Per data set: documents, tokens, epochs needed, whether the last epoch stays apart, samples.
 
@@ -126,8 +126,9 @@ def epoch_plan(
     stats = stats.withColumn("last_apart", F.coalesce((F.col("epochs") > 1) & few, F.lit(False)))
     tokens = F.col("epochs") * F.col("epoch_tokens") - x
     whole = F.floor(tokens / F.lit(length)).cast("bigint")
+    kept = F.lit(drop_last) if isinstance(drop_last, bool) else drop_last
     stats = stats.withColumn(
-        "n_samples", whole if drop_last else F.ceil(tokens / F.lit(length)).cast("bigint")
+        "n_samples", F.when(kept, whole).otherwise(F.ceil(tokens / F.lit(length)).cast("bigint"))
     ).withColumn("total_tokens", F.col("epochs") * F.col("epoch_tokens"))
     return pin(stats)  # one row per data set, read by every later step
 
@@ -207,14 +208,17 @@ def sample_bounds(
     )
 
 
-def shuffle_samples(bounds: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """(dataset, sample_id, k): seeded permutation, samples of a separate last epoch stay last."""
+def shuffle_samples(bounds: DataFrame, plan: DataFrame, seed: int, name: Column | str = "dataset") -> DataFrame:
+    """(dataset, sample_id, k): seeded permutation, samples of a separate last epoch stay last.
+
+    ``name`` stands for the data set in the draws.
+    """
     rows = bounds.join(
         plan.select("dataset", "n_samples", "head_samples", "last_apart"), "dataset"
     ).filter(F.col("sample_id") < F.col("n_samples"))
     rows = rows.withColumn(
         "phase", (F.col("last_apart") & (F.col("sample_id") >= F.col("head_samples"))).cast("int")
-    ).withColumn("__k", order_key(seed, "dataset", "sample_id"))
+    ).withColumn("__k", order_key(seed, name, "sample_id"))
     ranked = hashed_running(rows, "__k", within=["dataset", "phase"], ties=["sample_id"])
     return ranked.select(
         "dataset",

@@ -507,22 +507,73 @@ def oversampled(t):
     return S.oversampled(per_source(t), weights(t), sized(t).count())
 
 
-@query(
-    "c16_build_splits",
-    f"""WITH {RANKED}, sp AS (SELECT dataset, doc_id, n, CASE WHEN o<round_even(0.7*m,0) THEN 'train'
-        WHEN o<round_even((0.7+0.2)*m,0) THEN 'valid' ELSE 'test' END AS split FROM ranked),
-    st AS (SELECT split, dataset, (sum(n)-1)//{LENGTH} AS ns FROM sp GROUP BY 1,2),
-    sm AS (SELECT split, dataset, unnest(range(ns::BIGINT)) AS sample_id FROM st WHERE ns>0),
-    sh AS (SELECT *, row_number() OVER (PARTITION BY split, dataset ORDER BY md5(concat_ws('|','{SEED}',dataset,sample_id)))-1 AS k FROM sm),
-    z AS (SELECT split, dataset, count(*) AS n, row_number() OVER (PARTITION BY split ORDER BY dataset) AS d FROM sh GROUP BY 1,2),
-    tt AS (SELECT split, sum(n)::DOUBLE AS t FROM z GROUP BY 1)
-    SELECT split, row_number() OVER (PARTITION BY split ORDER BY (k+0.5)/(n::DOUBLE/t), d, k)-1 AS i, dataset, k, sample_id::BIGINT AS sample_id
-    FROM sh JOIN z USING (split, dataset) JOIN tt USING (split)""",
-)
-def built(t):
-    parts = build_splits(sized(t), BuildConfig(length=LENGTH, split="70,20,10", seed=SEED))
+def built_sql(corpus: str, requested: str, shares: str, valid_apart: bool = False) -> str:
+    """All splits: samples asked of each source (``requested`` over ``tt``), then ``shares`` (split, dataset, d, w, take)."""
+    served = "row_number() OVER (PARTITION BY split ORDER BY (k+0.5)/w, d, k)-1"
+    i = f"CASE WHEN split='valid' THEN k ELSE {served} END" if valid_apart else served
+    return f"""WITH corp AS ({corpus}), ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY doc_id)-1 AS o, count(*) OVER (PARTITION BY dataset) AS m FROM corp),
+    sp AS (SELECT dataset, doc_id, n, CASE WHEN o<round_even(0.7*m,0) THEN 'train' WHEN o<round_even((0.7+0.2)*m,0) THEN 'valid' ELSE 'test' END AS split FROM ranked),
+    tt AS (SELECT split, dataset, sum(n)::BIGINT AS t, sum(sum(n)) OVER (PARTITION BY split) AS whole FROM sp GROUP BY 1,2),
+    rq AS ({requested}), p0 AS (SELECT *, coalesce(greatest(1, (requested*{LENGTH}+1+t-1)//t), 1) AS e FROM rq),
+    p1 AS (SELECT *, ((e-1)*t-1)//{LENGTH} AS head, (t-1)//{LENGTH} AS per FROM p0),
+    pl AS (SELECT *, coalesce(e>1 AND requested-head < floor(0.8::DOUBLE*per), false) AS apart, ((e*t-1)//{LENGTH})::BIGINT AS ns FROM p1),
+    sm AS (SELECT split, dataset, unnest(range(ns)) AS sample_id, apart, head FROM pl WHERE ns>0),
+    sh AS (SELECT split, dataset, sample_id, row_number() OVER (PARTITION BY split, dataset ORDER BY (apart AND sample_id>=head)::INT, md5(concat_ws('|','{SEED}',dataset,sample_id)))-1 AS k FROM sm),
+    ws AS ({shares}), bl AS (SELECT split, dataset, k, sample_id, take, {i} AS i FROM sh JOIN ws USING (split, dataset))
+    SELECT split, i, dataset, k, sample_id::BIGINT AS sample_id FROM bl WHERE i<take OR {"split='valid'" if valid_apart else "false"}"""
+
+
+def built(t, config, corpus=None):
+    parts = build_splits(corpus if corpus is not None else sized(t), config)
     out = None
     for name, df in parts.items():
         df = df.select(F.lit(name).alias("split"), "i", "dataset", "k", "sample_id")
         out = df if out is None else out.unionByName(df)
     return out
+
+
+SOURCES = "SELECT source AS dataset, doc_id, octet_length(encode(text))+1 AS n FROM documents WHERE octet_length(encode(text))>0"
+LANGUAGES = SOURCES.replace("source AS dataset", "lang AS dataset")
+ONE_EPOCH = "SELECT *, NULL::BIGINT AS requested FROM tt"
+BY_SAMPLES = "SELECT split, dataset, row_number() OVER (PARTITION BY split ORDER BY dataset) AS d, ns/(sum(ns) OVER (PARTITION BY split))::DOUBLE AS w, {take} AS take FROM pl WHERE ns>0"
+ASKED = {"train": 700, "valid": 90, "test": 40}
+ASKED_SQL = "CASE split " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in ASKED.items()) + " END"
+
+
+def by_language(t):
+    return E.byte_lengths(t.documents, "lang")
+
+
+@query("c16_build_splits", built_sql(SOURCES, ONE_EPOCH, BY_SAMPLES.format(take="sum(ns) OVER (PARTITION BY split)")))
+def build_names(t):
+    """Names alone: every sample of every source once."""
+    return built(t, BuildConfig(length=LENGTH, split="70,20,10", seed=SEED))
+
+
+@query("c16_separate_validation", built_sql(SOURCES, ONE_EPOCH, BY_SAMPLES.format(take="sum(ns) OVER (PARTITION BY split)"), valid_apart=True))
+def build_separate(t):
+    """The validation set of every source by itself."""
+    return built(t, BuildConfig(length=LENGTH, split="70,20,10", seed=SEED, separate_validation=True))
+
+
+@query(
+    "c16_names_with_sizes",
+    built_sql(LANGUAGES, f"SELECT *, ceil(({ASKED_SQL})::DOUBLE*t/whole::DOUBLE)::BIGINT AS requested FROM tt", BY_SAMPLES.format(take=f"least({ASKED_SQL}, sum(ns) OVER (PARTITION BY split))")),
+)
+def build_sized_names(t):
+    """Names and sizes: every source is asked for its share by tokens, for as many epochs as that takes."""
+    return built(t, BuildConfig(length=LENGTH, split="70,20,10", seed=SEED, sizes=tuple(ASKED.values())), by_language(t))
+
+
+@query(
+    "c16_weights_with_sizes",
+    built_sql(
+        LANGUAGES,
+        f"SELECT tt.*, ceil(ceil(({ASKED_SQL})*w)*(1+0.005::DOUBLE))::BIGINT AS requested FROM tt JOIN (SELECT * FROM (VALUES ('de',0.1::DOUBLE),('en',0.4::DOUBLE),('es',0.3::DOUBLE),('fr',0.2::DOUBLE)) v(dataset, w)) USING (dataset)",
+        f"SELECT split, dataset, d, w, {ASKED_SQL} AS take FROM (SELECT DISTINCT split FROM tt), (VALUES ('de',0,0.1::DOUBLE),('en',1,0.4::DOUBLE),('es',2,0.3::DOUBLE),('fr',3,0.2::DOUBLE)) v(dataset, d, w)",
+    ),
+)
+def build_weighted(t):
+    """Weights and sizes: every source is asked for its part and a surplus."""
+    weights = (("de", 0.1), ("en", 0.4), ("es", 0.3), ("fr", 0.2))
+    return built(t, BuildConfig(length=LENGTH, split="70,20,10", seed=SEED, weights=weights, sizes=tuple(ASKED.values())), by_language(t))
