@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import batches as B
+from weft.operators import hooks as K
 from weft.operators import packing as P
 
 
@@ -168,3 +170,35 @@ def test_pad_batch_rules(spark):
     bad = spark.createDataFrame([(0, None)], "batch int, a array<int>")
     with pytest.raises(Exception, match="batch of nulls"):
         B.pad_batch(bad, {"a": 0}).collect()
+
+
+def test_best_fit_as_a_hook_equals_the_operator(spark):
+    """One buffer that holds all samples gives the operator's bins; several give each buffer's own."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice([0, 1, 7, 30, 55, 64, rng.randint(1, 64)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq_id bigint, length bigint").repartition(3)
+    pack = lambda g: {"ids": g.column("seq_id").to_pylist()}
+    one = K.pack_with(df, "seq_id", 1_000, K.largest_that_fits(64), pack, "ids array<bigint>").collect()
+    bins = {}
+    for r in P.pack_best_fit(df, 64).orderBy("bin_id", "slot").collect():
+        bins.setdefault(r["bin_id"], []).append(r["seq_id"])
+    assert {r["pack"]: r["ids"] for r in one} == bins
+    many = K.pack_with(df, "seq_id", 70, K.largest_that_fits(64), pack, "ids array<bigint>").collect()
+    assert {r["buffer"] for r in many} == set(range(5))
+    assert all(set(r["ids"]) <= set(range(70 * r["buffer"], 70 * r["buffer"] + 70)) for r in many)
+    assert sorted(i for r in many for i in r["ids"]) == list(range(300))
+
+
+def test_batch_hook_and_wrong_selections(spark):
+    df = spark.createDataFrame([(i, i % 5 + 1) for i in range(23)], "seq_id bigint, length bigint")
+    by_two = lambda t: [range(a, min(a + 2, t.num_rows)) for a in range(0, t.num_rows, 2)]
+    pack = lambda g: {"n": g.num_rows, "longest": max(g.column("length").to_pylist())}
+
+    def batch(packed):
+        return pa.table({"width": pa.array([max(packed.column("longest").to_pylist())], pa.int64()), "rows": pa.array([packed.num_rows], pa.int64())})
+
+    out = K.pack_with(df, "seq_id", 10, by_two, pack, "n int, longest bigint", batch, "width bigint, rows bigint").collect()
+    assert sorted((r["buffer"], r["pack"], r["width"], r["rows"]) for r in out) == [(0, 0, 5, 5), (1, 0, 5, 5), (2, 0, 3, 2)]
+    with pytest.raises(Exception, match="twice"):
+        K.pack_with(df, "seq_id", 10, lambda t: [[0, 1], [1]], pack, "n int, longest bigint").collect()
+    assert K.pack_with(df.limit(0), "seq_id", 10, by_two, pack, "n int, longest bigint").collect() == []

@@ -1,3 +1,4 @@
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,25 @@ def test_vqa_contractions_of_two_parts(spark):
     cases = {"couldnt've": "couldn't've", "Mightnt": "mightn't", "someones": "someone's", "youre two": "you're 2", "shedve": "shedve"}
     df = spark.createDataFrame(list(cases.items()), "a string, b string")
     assert all(r[0] == r[1] for r in df.select(X.vqa_normalize("a"), "b").collect())
+
+
+def test_subword_tokenizers_equal_their_libraries(spark):
+    """Through the encoding path: nulls, empty lists and empty parts included."""
+    import sentencepiece
+    import tokenizers
+
+    texts = [["Hello world.", " naïve 日本 🙂", ""], [], None, ["a"], ["word " * 500]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, parts array<string>").repartition(2)
+    plain = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    by_kind = {
+        "bpe-json": ("byte_bpe_50k.json", lambda t: plain.encode(t, add_special_tokens=False).ids),
+        "tiktoken": ("byte_bpe_50k.tiktoken", lambda t: plain.encode(t, add_special_tokens=False).ids),
+        "sentencepiece": ("piece_bpe_32k.model", pieces.encode),
+    }
+    for kind, (name, encode) in by_kind.items():
+        out = T.encode_with(df, "parts", "ids", lambda kind=kind, path=P.path(name): T.load_tokenizer(kind, path)).collect()
+        assert {r["i"]: r["ids"] for r in out} == {i: None if t is None else [encode(p) for p in t] for i, t in enumerate(texts)}
+    numbers = spark.createDataFrame([(["1 22 3"],)], "parts array<string>")
+    assert T.encode_with(numbers, "parts", "ids", lambda: T.load_tokenizer("null")).first()["ids"] == [[1, 22, 3]]
+    assert T.load_tokenizer("tiktoken", P.path("byte_bpe_50k.tiktoken")).decode([15496]) == "Hello"

@@ -96,8 +96,13 @@ class ByteTokenizer:
         return kept.decode("utf-8", errors="ignore").rstrip()
 
 
-def load_tokenizer(kind: str, path: str | None = None) -> Tokenizer:
-    """Tokenizer by type; vocabulary libraries are imported only where they are used."""
+#: Fixed value: how byte-level vocabularies of ranks cut a text before merging.
+BYTE_LEVEL_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def load_tokenizer(kind: str, path: str | None = None, pattern: str | None = None) -> Tokenizer:
+    """Tokenizer by type: ``byte``, ``bpe-json``, ``sentencepiece``, ``tiktoken`` (a file of ranks, with its ``pattern``), ``null`` (ids
+    written as text); vocabulary libraries are imported only where they are used."""
     if kind == "byte":
         return ByteTokenizer()
     if kind == "bpe-json":
@@ -109,6 +114,9 @@ def load_tokenizer(kind: str, path: str | None = None) -> Tokenizer:
             def encode(self, text):
                 return inner.encode(text, add_special_tokens=False).ids
 
+            def encode_batch(self, texts):
+                return [e.ids for e in inner.encode_batch_fast(texts, add_special_tokens=False)]
+
             def decode(self, ids):
                 return inner.decode(ids)
 
@@ -122,10 +130,43 @@ def load_tokenizer(kind: str, path: str | None = None) -> Tokenizer:
             def encode(self, text):
                 return inner.encode(text)
 
+            def encode_batch(self, texts):
+                return inner.encode(texts, num_threads=1)
+
             def decode(self, ids):
                 return inner.decode(ids)
 
         return _Sentencepiece()
+    if kind == "tiktoken":
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        ranked = tiktoken.Encoding("own", pat_str=pattern or BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+        class _Tiktoken:
+            def encode(self, text):
+                return ranked.encode_ordinary(text)
+
+            def encode_batch(self, texts):
+                return ranked.encode_ordinary_batch(texts, num_threads=1)
+
+            def decode(self, ids):
+                return ranked.decode(ids)
+
+        return _Tiktoken()
+    if kind == "null":
+
+        class _Null:
+            def encode(self, text):
+                return [int(x) for x in text.split(" ")]
+
+            def decode(self, ids):
+                return " ".join(map(str, ids))
+
+        return _Null()
     raise ValueError(f"unknown tokenizer type {kind!r}")
 
 
@@ -137,7 +178,10 @@ def encode_with(
     @F.pandas_udf("array<array<int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = make()
-        for batch in batches:
-            yield batch.map(lambda parts: [tok.encode(p) for p in parts])
+        together = getattr(tok, "encode_batch", lambda texts: [tok.encode(t) for t in texts])
+        for batch in batches:  # all parts of a batch in one call, then dealt back to their rows
+            sizes = [0 if parts is None else len(parts) for parts in batch]
+            flat = iter(together([p for parts in batch if parts is not None for p in parts]))
+            yield pd.Series([None if parts is None else [next(flat) for _ in range(n)] for parts, n in zip(batch, sizes)], dtype=object)
 
     return df.withColumn(out, run(F.col(column)))

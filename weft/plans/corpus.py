@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as X
 from weft.functions.ordering import ranged_running
-from weft.functions.tokens import byte_decode, byte_encode, int_encode, int_offsets
+from weft.functions.tokens import byte_decode, byte_encode, encode_with, int_encode, int_offsets, load_tokenizer
 from weft.operators import encode as E
 from weft.operators import samples as S
 from weft.plans.build import BuildConfig, build_splits
@@ -577,3 +577,34 @@ def build_weighted(t):
     """Weights and sizes: every source is asked for its part and a surplus."""
     weights = (("de", 0.1), ("en", 0.4), ("es", 0.3), ("fr", 0.2))
     return built(t, BuildConfig(length=LENGTH, split="70,20,10", seed=SEED, weights=weights, sizes=tuple(ASKED.values())), by_language(t))
+
+
+# ---- extension points ------------------------------------------------------------------------
+
+# a vocabulary has no SQL: compared with the libraries in the tests
+@query("u1_encode_subword")
+def encode_subword(t):
+    """The sentences of every text by three types of tokenizer."""
+    import public_tokenizers
+
+    files = {"bpe-json": "byte_bpe_50k.json", "tiktoken": "byte_bpe_50k.tiktoken", "sentencepiece": "piece_bpe_32k.model"}
+    out = t.documents.select("doc_id", X.split_sentences("text").alias("parts"))
+    for kind, name in files.items():
+        out = encode_with(out, "parts", kind, lambda kind=kind, path=public_tokenizers.path(name): load_tokenizer(kind, path))
+    flat = {kind: F.flatten(F.col(f"`{kind}`")) for kind in files}
+    columns = [c for kind, ids in flat.items() for c in (F.size(ids).alias(f"n_{kind.split('-')[0]}"), digest(ids).alias(f"ids_{kind.split('-')[0]}"))]
+    return out.select("doc_id", *columns)
+
+
+@query(
+    "u4_sample_hook",
+    f"""{FLAT} SELECT dataset, sample_id, list_sum(tk)::BIGINT AS total, len(list_filter(tk, lambda x: x>=128))::INT AS high FROM g""",
+)
+def sample_hook(t):
+    """A function of the caller on every sample, as ``DataFrame.transform`` takes it."""
+
+    def hook(rows):
+        total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return rows.select("dataset", "sample_id", total.alias("total"), F.size(F.filter("tokens", lambda x: x >= 128)).alias("high"))
+
+    return samples(t).transform(hook)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions.ordering import ranged_running
 from weft.functions.tokens import byte_encode
 from weft.operators import batches as B
+from weft.operators import hooks as K
 from weft.operators import packing as P
 from weft.plans.registry import digest, query
 
@@ -84,6 +85,29 @@ def pack_best_fit(t):
     return P.pack_best_fit(fitting(t), CAP)
 
 
+BUFFER = 200
+
+
+@query(
+    "u5_packing_hooks",
+    f"""WITH RECURSIVE {FIT}, bf AS (SELECT *, (row_number() OVER (ORDER BY seq_id)-1)//{BUFFER} AS buffer FROM len),
+    s0 AS (SELECT buffer, list({{'l': length, 'id': seq_id}} ORDER BY length, seq_id) AS items FROM bf GROUP BY 1),
+    g AS (SELECT buffer, items, NULL::STRUCT(l BIGINT, id BIGINT) AS got, 0::BIGINT AS pack, 0::BIGINT AS slot, 0::BIGINT AS used FROM s0
+      UNION ALL SELECT buffer, list_filter(items, lambda x: pick IS NULL OR x.id<>pick.id), pick, CASE WHEN pick IS NULL THEN pack+1 ELSE pack END,
+        CASE WHEN pick IS NULL THEN 0 WHEN got IS NULL THEN 0 ELSE slot+1 END, CASE WHEN pick IS NULL THEN 0 ELSE used+pick.l END
+      FROM (SELECT *, list_max(list_filter(items, lambda x: x.l<={CAP}-used)) AS pick FROM g WHERE len(items)>0))
+    SELECT buffer, pack, sum(got.l)::BIGINT AS length, string_agg(got.id::VARCHAR, ' ' ORDER BY slot) AS members FROM g WHERE got IS NOT NULL GROUP BY 1, 2""",
+)
+def packing_hooks(t):
+    """Best fit as the caller's own select and pack, over buffers of samples in order."""
+
+    def pack(group):
+        ids = group.column("seq_id").to_pylist()
+        return {"length": sum(group.column("length").to_pylist()), "members": " ".join(map(str, ids))}
+
+    return K.pack_with(fitting(t), "seq_id", BUFFER, K.largest_that_fits(CAP), pack, "length bigint, members string")
+
+
 @query(
     "d4_pack_padded",
     f"""WITH RECURSIVE {LEN}, {walk(BIN, 1 << 60, f"(CASE WHEN length>{BIN} THEN 1 ELSE 0 END)::BIGINT", "(length+63)//64*64")}

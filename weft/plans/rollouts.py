@@ -279,6 +279,38 @@ def eval_means(t):
     return R.eval_means(rows).withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    "u2_reward_function",
+    """SELECT doc_id, (CASE WHEN doc_id%3=0 THEN CASE WHEN doc_id%2=0 THEN 0.05 ELSE 1.0 END WHEN doc_id%3=1 THEN 0.05 ELSE -0.5 END)::DOUBLE AS reward FROM documents""",
+)
+def reward_function(t):
+    """The caller's own equality: lengths of the whole texts that differ by one at most are equal."""
+    near = lambda a, b: F.abs(a.cast("bigint") - b.cast("bigint")) <= 1
+    head = "replace(replace(text, '<', ' '), chr(92), ' ')"
+    said = F.expr(
+        f"CASE doc_id % 3 WHEN 0 THEN {head} || '<answer>' || (n_chars + 1) || '</answer>' WHEN 1 THEN {head} || '<answer>' || (n_chars + 2) || '</answer>' ELSE {head} END"
+    )
+    reason = F.expr("CASE WHEN doc_id % 2 = 0 THEN 'length' ELSE 'stop' END")
+    return t.documents.select("doc_id", R.math_reward(said, F.col("n_chars").cast("string"), reason, equal=near).alias("reward"))
+
+
+@query(
+    "u3_environments",
+    """WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, n/(sum(n) OVER ())::DOUBLE AS weight FROM n)
+    SELECT event_type AS env, 'agent.'||event_type AS agent, round(weight,9) AS weight, event_type='error' AS evaluation_only, n::VARCHAR AS events, n AS rollouts FROM s""",
+)
+def environments(t):
+    """An environment for every type of event, weighted by how many there are, met with its rollouts."""
+    counts = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type").collect()  # a row per type
+    configs = [
+        {"env": r["event_type"], "agent": f"agent.{r['event_type']}", "args": {"events": r["n"]}, "weight": r["n"], "evaluation_only": r["event_type"] == "error"}
+        for r in counts
+    ]
+    table = R.environment_table(t.spark, configs)
+    held = t.events.groupBy(F.col("event_type").alias("env")).agg(F.count(F.lit(1)).alias("rollouts"))
+    return held.join(F.broadcast(table), "env").select("env", "agent", F.round("weight", 9).alias("weight"), "evaluation_only", F.col("args")["events"].alias("events"), "rollouts")
+
+
 @query(
     "e13_math_reward",
     """SELECT doc_id, (CASE doc_id%7 WHEN 0 THEN CASE WHEN doc_id%3=0 THEN 0.05 ELSE 1.0 END WHEN 1 THEN CASE WHEN doc_id%3=0 THEN 0.05 ELSE 0.1 END WHEN 2 THEN 0.05
