@@ -23,6 +23,16 @@ def draw(seed: int | str, *keys: str | Column) -> Column:
     return order_key(seed, *keys)
 
 
+def draws_of(seed: int | str, *keys: str | Column) -> Column:
+    """What :func:`draw_at` needs to name the draws of (seed, keys) and one more key."""
+    return F.concat_ws("|", F.lit(str(seed)), *[k if isinstance(k, Column) else F.col(k) for k in keys], F.lit(""))
+
+
+def draw_at(named: Column, key: Column) -> Column:
+    """The draw of (seed, keys, key), as :func:`draw` gives it, with the common part put together once."""
+    return F.md5(F.concat(named, key.cast("string")))
+
+
 def plain_draw(seed: int | str, *keys) -> str:
     """The same digits outside Spark, for code that has no column form."""
     return hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()
@@ -51,11 +61,16 @@ def steps(weights: Sequence[float]) -> list[int]:
     return ends
 
 
-def choice(value: Column, ends: Sequence[int]) -> Column:
-    """1 + how many of ``ends`` the number has reached."""
+def reached(digits: Column, end: int, k: int = 0) -> Column:
+    """Whether number ``k`` of a draw is at least ``end``: eight digits compare as text as they do as a number."""
+    return F.lit(False) if end >= RANGE else F.substring(digits, 8 * k + 1, 8) >= F.lit(f"{end:08x}")
+
+
+def choice(digits: Column, ends: Sequence[int], k: int = 0) -> Column:
+    """1 + how many of ``ends`` number ``k`` of a draw has reached."""
     out = F.lit(1)
     for end in ends:
-        out = out + (value >= F.lit(end)).cast("int")
+        out = out + reached(digits, end, k).cast("int")
     return out
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.draws import below, bind, choice, coins, draw, number, plain_draw, plain_number, shuffled, steps, upto
+from weft.functions.draws import below, bind, choice, coins, draw, draw_at, draws_of, number, plain_draw, plain_number, reached, shuffled, steps, upto
 from weft.functions.tokens import byte_values
 
 GEOMETRIC = 0.2  # fixed value of the published span masking
@@ -77,7 +77,9 @@ def _words(tokens: Column, cfg: MaskConfig) -> Callable:
             every = upto(F.size(v["places"]))
             if cfg.whole_words and cfg.continuations:
                 continued = sorted(cfg.continuations)
-                starts = F.filter(every, lambda j: (j == 0) | ~v["tokens"][v["places"][j]].isin(*continued))
+                whole = len(continued) == continued[-1] - continued[0] + 1
+                inside = lambda t: t.between(continued[0], continued[-1]) if whole else t.isin(*continued)
+                starts = F.filter(every, lambda j: (j == 0) | ~inside(v["tokens"][v["places"][j]]))
             else:
                 starts = every
             bounds = F.concat(starts, F.array(F.size(v["places"])))
@@ -88,7 +90,7 @@ def _words(tokens: Column, cfg: MaskConfig) -> Callable:
     return with_places
 
 
-def _pick(v: Column, budget: Column, taken: Column, idx: Column, tag: str, cfg: MaskConfig, geometric: bool) -> Column:
+def _pick(v: Column, budget: Column, taken: Column | None, idx: Column, tag: str, cfg: MaskConfig, geometric: bool) -> Column:
     """Ranges of places: n-grams in drawn order that fit the budget and touch no earlier one, sorted.
 
     A drawn size shrinks until it fits; ``taken`` are ranges that may not be touched either.
@@ -96,31 +98,34 @@ def _pick(v: Column, budget: Column, taken: Column, idx: Column, tag: str, cfg:
     last = F.size(v["bounds"]) - 1
     ends = cfg.size_ends(geometric)
 
-    def candidate(w):
-        return F.struct(draw(cfg.seed, F.lit(tag), idx, w).alias("d"), w.alias("w"))
+    def candidates(named):
+        return F.sort_array(F.transform(upto(last), lambda w: F.struct(draw_at(named, w).alias("d"), w.alias("w"))))
 
     def step(s, c):
-        drawn = choice(number(c["d"], 1), ends)
-        start = v["bounds"][c["w"]]
         room = budget - s["used"]
-        stop = F.lit(None).cast("int")
-        for n in range(1, cfg.max_ngram + 1):  # the greatest size that fits comes last and stays
-            at = v["bounds"][F.least(c["w"] + n, last)]
-            stop = F.when((drawn >= n) & (at - start <= room), at).otherwise(stop)
 
-        def tried(stop):
+        def sized(x):
+            stop = F.lit(None).cast("int")
+            for n in range(1, cfg.max_ngram + 1):  # the greatest size that fits comes last and stays
+                at = v["bounds"][F.least(c["w"] + n, last)]
+                stop = F.when((x["drawn"] >= n) & (at - x["start"] <= room), at).otherwise(stop)
+            return bind(stop, lambda stop: tried(x["start"], stop))
+
+        def tried(start, stop):
             clash = lambda r: (r["from"] < stop) & (start < r["to"])
-            free = stop.isNotNull() & ~F.exists(s["ranges"], clash) & ~F.exists(taken, clash)
+            free = stop.isNotNull() & ~F.exists(s["ranges"], clash)
+            free = free if taken is None else free & ~F.exists(taken, clash)
             longer = F.struct(
                 (s["used"] + stop - start).alias("used"),
                 F.array_append(s["ranges"], F.struct(start.alias("from"), stop.alias("to"))).alias("ranges"),
             )
             return F.when(free, longer).otherwise(s)
 
-        return F.when(room <= 0, s).otherwise(bind(stop, tried))
+        found = F.struct(choice(c["d"], ends, 1).alias("drawn"), v["bounds"][c["w"]].alias("start"))
+        return F.when(room < 1, s).otherwise(bind(found, sized))  # an n-gram has a place at least
 
     start = F.struct(F.lit(0).alias("used"), _empty(RANGES).alias("ranges"))
-    ordered = F.sort_array(F.transform(upto(last), candidate))
+    ordered = bind(draws_of(cfg.seed, F.lit(tag), idx), candidates)
     return F.sort_array(F.aggregate(ordered, start, step)["ranges"])
 
 
@@ -137,13 +142,18 @@ def _covered(places: Column, ranges: Column) -> Column:
 def _patched(base: Column, changes: Column, field: str) -> Column:
     """``base`` with the changed positions replaced; ``changes`` is sorted by ``p``."""
 
-    def piece(i):
-        after = F.when(i > 0, changes[i - 1]["p"] + 1).otherwise(F.lit(0))
-        at = F.when(i < F.size(changes), changes[i]["p"]).otherwise(F.size(base))
-        own = F.when(i < F.size(changes), F.array(changes[i][field])).otherwise(_empty(INTS))
-        return F.concat(F.slice(base, after + 1, at - after), own)
+    def patched(v):
+        n = F.size(changes)
+
+        def piece(i):
+            after = F.when(i > 0, changes[i - 1]["p"] + 1).otherwise(F.lit(0))
+            at = F.when(i < n, changes[i]["p"]).otherwise(F.size(v))
+            own = F.when(i < n, F.array(changes[i][field])).otherwise(_empty(INTS))
+            return F.concat(F.slice(v, after + 1, at - after), own)
+
+        return F.flatten(F.transform(upto(n + 1), piece))
 
-    return F.flatten(F.transform(upto(F.size(changes) + 1), piece))
+    return bind(base, patched)
 
 
 def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) -> Column:
@@ -155,16 +165,15 @@ def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) ->
 
     def chosen(v):
         budget = _budget(F.size(v["tokens"]), target, cfg)
-        spans = _pick(v, budget, _empty(RANGES), idx, "mask", cfg, cfg.geometric)
-        return bind(spans, lambda s: changed(v, s, budget))
+        return bind(budget, lambda b: bind(_pick(v, b, None, idx, "mask", cfg, cfg.geometric), lambda s: changed(v, s, b)))
 
     def fate(v, p):
         original = v["tokens"][p]
         if cfg.always_mask:
             return F.lit(cfg.mask).cast("bigint")
         by = lambda d: (
-            F.when(number(d) < below(MASKED), F.lit(cfg.mask).cast("bigint"))
-            .when(number(d) < below(CHANGED), number(d, 1) % cfg.vocab)
+            F.when(~reached(d, below(MASKED)), F.lit(cfg.mask).cast("bigint"))
+            .when(~reached(d, below(CHANGED)), number(d, 1) % cfg.vocab)
             .otherwise(original)
         )
         return bind(draw(cfg.seed, F.lit("fate"), idx, p), by)
