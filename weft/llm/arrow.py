@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,15 @@ def cuts(lengths: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def let_go() -> None:
+    """Give memory that a task has freed back to the system: workers are kept for the next stage, and what their
+    allocators hold back would add up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -46,6 +56,7 @@ def slices(
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         for a, b in cuts(sizes.to_numpy(zero_copy_only=False), limit):
             yield batch.slice(a, b - a)
+    let_go()
 
 
 def gathered(
@@ -64,6 +75,8 @@ def gathered(
             size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        del held
+    let_go()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import gathered, ragged, slices, stored, texts
+from weft.llm.arrow import gathered, let_go, ragged, slices, stored, texts
 from weft.llm.components import components
 
 WIDTH = 5
@@ -216,6 +216,8 @@ def shared_postings(dealt: DataFrame) -> DataFrame:
             kept = mine > 1
             if kept.any():
                 out.append((r["block"], r["seal"], int(kept.sum()), *_packed(own[kept], place[kept]), mine[kept].astype("<u4").tobytes()))
+        del parts, h, order, ranked, start, size, times
+        let_go()
         names = ["block", "seal", "n", "first", "gaps", "places", "times"]
         cols = list(zip(*out)) if out else [[]] * len(names)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.arrow import let_go
+
 #: Labelled rows of each class that a fit takes at most, and the bound on their characters together.
 ROWS_PER_CLASS = 1_500
 CHARACTERS = 6_000_000
@@ -77,7 +79,10 @@ def fitted(chosen: DataFrame, train: Callable[[Sample], object]) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema)], schema=schema) for b in batches], schema)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(as_sample(table)))], pa.binary())], ["model"])
+        model = pickle.dumps(train(as_sample(table)))
+        del table
+        let_go()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     made = chosen.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train(as_sample(schema.empty_table()))
