@@ -211,8 +211,13 @@ def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) ->
 
 
 def _once(df: DataFrame, value: Column) -> DataFrame:
-    """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression."""
-    return df.select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
+    """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression.
+
+    Rows cost far more time than bytes here: there is a task for each shuffle partition, which a coalescing by bytes would fold
+    together.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, "idx").select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
 
 
 def _padded(values: Column, length: int, fill: int) -> Column:
