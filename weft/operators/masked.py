@@ -258,14 +258,15 @@ def pair_tokens(sentences: Column, target: Column, idx: Column, cfg: MaskConfig)
     def trimmed(s):
         na, nb = F.size(s["a"]), F.size(s["b"])
         excess = F.greatest((na + nb - target).cast("int"), F.lit(0))
-        lead = F.abs(na - nb)
-        from_a = lambda k: F.when(k < lead, na > nb).otherwise((k - lead) % 2 == 1)
+        lead, a_leads = F.least(F.abs(na - nb), excess), na > nb
 
         def cut(c):
-            front = lambda k: F.substring(c["coins"], k + 1, F.lit(1)) < "8"
-            count = lambda test: F.size(F.filter(upto(c["n"]), test))
-            a_front, a_all = count(lambda k: from_a(k) & front(k)), count(from_a)
-            b_front = count(lambda k: ~from_a(k) & front(k))
+            heads = lambda text: F.length(F.translate(text, "89abcdef", ""))
+            begin, rest = F.substring(c["coins"], 1, c["lead"]), F.substring(c["coins"], c["lead"] + 1, c["n"] - c["lead"])
+            turns_b, turns_a = F.regexp_replace(rest, "(.).?", "$1"), F.regexp_replace(rest, ".(.?)", "$1")
+            a_front = F.when(a_leads, heads(begin)).otherwise(F.lit(0)) + heads(turns_a)
+            b_front = F.when(a_leads, F.lit(0)).otherwise(heads(begin)) + heads(turns_b)
+            a_all = F.when(a_leads, c["lead"]).otherwise(F.lit(0)) + F.shiftright(c["n"] - c["lead"], 1)
             return F.struct(
                 F.slice(s["a"], a_front + 1, na - a_all).alias("a"),
                 F.slice(s["b"], b_front + 1, nb - (c["n"] - a_all)).alias("b"),
@@ -273,7 +274,7 @@ def pair_tokens(sentences: Column, target: Column, idx: Column, cfg: MaskConfig)
                 (c["n"] > 0).cast("int").alias("truncated"),
             )
 
-        return bind(F.struct(excess.alias("n"), coins(cfg.seed, excess, F.lit("trim"), idx).alias("coins")), cut)
+        return bind(F.struct(excess.alias("n"), lead.alias("lead"), coins(cfg.seed, excess, F.lit("trim"), idx).alias("coins")), cut)
 
     return bind(bind(draw(cfg.seed, F.lit("pair"), idx), parts), trimmed)
 
