@@ -110,3 +110,46 @@ def test_type_suffixes_are_no_numbers(spark):
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(to_number("t")).collect()]
     assert got[:5] == [3.0, -4.5, 1e5, 0.5, 5.0] and got[5:12] == [None] * 7
     assert got[12] != got[12] and got[13] == float("inf")
+
+
+def named(df, what):
+    """How often an expression is named in the plan: each time is one evaluation for a row."""
+    return df._jdf.queryExecution().analyzed().toString().count(what)
+
+
+def test_normalisation_reads_the_text_once(spark):
+    from weft.functions import text as X
+
+    df = spark.createDataFrame([("The dog's 1,000 cats, (two) isnt a-b; end.",), ("",), (None,)], "t string")
+    out = df.select(X.vqa_normalize(F.upper("t")).alias("x"))
+    assert named(out, "translate(") == 1 and named(out, "upper(") == 1
+    assert [r["x"] for r in df.select(X.vqa_normalize("t").alias("x")).collect()] == ["dog's 1000 cats 2 isn't ab end", "", None]
+
+
+def test_distance_prepares_each_text_once(spark):
+    df = spark.createDataFrame([(" A  b ", ["a b", "a  bs"]), ("", [""]), (None, ["x"])], "p string, g array<string>")
+    out = df.select(S.anls(F.upper("p"), F.col("g")).alias("x"))
+    assert named(out, "upper(") == 1 and named(out, "lower(") == 2
+    assert [r["x"] for r in out.collect()] == [1.0, 1.0, 0.0]
+
+
+def test_open_answers_are_cut_once(spark):
+    from weft.functions import text as X
+
+    df = spark.createDataFrame([("It is 3.\nso the answer is 1,200 = 7 ",), ("Yes.",), ("",), (None,)], "t string")
+    out = df.select(X.parse_open(F.upper("t")).alias("x"))
+    assert named(out, "upper(") == 1 and named(out, "split(") == 1
+    assert [r["x"] for r in out.collect()] == [["3.0", "7.0"], ["yes"], [""], None]
+
+
+def test_numbers_and_choices_evaluate_their_answer_once(spark):
+    from weft.functions import text as X
+
+    df = spark.createDataFrame([("The answer is 12.345",), ("12.345",), ("(B) or (C).",)], "t string")
+    number = df.select(X.numeric_answer(X.tidy_number(F.upper("t"))).alias("x"))
+    assert named(number, "upper(") == 1
+    letters = F.array(*map(F.lit, "ABC"))
+    options = F.create_map(*[F.lit(x) for x in ("A", "red", "B", "blue", "C", "green")])
+    choice = df.select(X.parse_choice(F.upper("t"), letters, options).alias("x"))
+    assert named(choice, "upper(") == 1
+    assert [r["x"] for r in choice.collect()] == ["A", "A", "C"]
