@@ -130,3 +130,84 @@ def test_subword_tokenizers_equal_their_libraries(spark):
     numbers = spark.createDataFrame([(["1 22 3"],)], "parts array<string>")
     assert T.encode_with(numbers, "parts", "ids", lambda: T.load_tokenizer("null")).first()["ids"] == [[1, 22, 3]]
     assert T.load_tokenizer("tiktoken", P.path("byte_bpe_50k.tiktoken")).decode([15496]) == "Hello"
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    @F.arrow_udf("int")
+    def rows(texts: pa.Array) -> pa.Array:
+        return pa.array([len(texts)] * len(texts), pa.int32())
+
+    long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert long.select(rows("t").alias("n")).agg(F.max("n")).first()[0] < 500
+
+
+def test_a_tokenizer_gets_a_bounded_call(spark, monkeypatch):
+    import numpy as np
+
+    from weft.functions import tokens as T
+
+    monkeypatch.setattr(T, "CALL_CHARS", 10)
+    calls = []
+
+    def together(texts):
+        calls.append(sum(map(len, texts)))
+        return [list(t.encode()) for t in texts]
+
+    ids = T._coded(["abc", "", "defghijkl", "m" * 30, "n"], together)
+    assert max(calls) == 30 and len(calls) == 3
+    assert ids.to_pylist() == [list(t.encode()) for t in ("abc", "", "defghijkl", "m" * 30, "n")]
+    assert T._coded([], together).to_pylist() == [] and ids.flatten().to_numpy().dtype == np.int32
+
+
+def test_encoded_parts_keep_nulls_and_empty_lists(spark):
+    from weft.functions import tokens as T
+
+    df = spark.createDataFrame([(1, ["ä", "", "b c"]), (2, None), (3, [])], "k int, p array<string>").coalesce(1)
+    wanted = {1: [[195, 164], [], [98, 32, 99]], 2: None, 3: []}
+    own = df.select("k", T.byte_encode_parts("p").alias("x"))
+    other = T.encode_with(df, "p", "x", T.ByteTokenizer)
+    assert {r["k"]: r["x"] for r in own.collect()} == wanted == {r["k"]: r["x"] for r in other.collect()}
+
+
+def test_decoded_bytes_keep_nulls_and_drop_what_is_no_byte(spark):
+    from weft.functions import tokens as T
+
+    df = spark.createDataFrame([(1, [104, 300, 105, -1, 32]), (2, None), (3, []), (4, [195, 40, 195, 164])], "k int, t array<int>").coalesce(1)
+    found = {r["k"]: r["x"] for r in df.select("k", T.byte_decode("t").alias("x")).collect()}
+    assert found == {1: "hi", 2: None, 3: "", 4: "(ä"}
+
+
+def test_images_of_a_batch_are_padded_one_by_one(spark):
+    from weft.sources.pairs import image_ints
+
+    df = spark.createDataFrame([(1, b"\1\0\0\0\2"), (2, None), (3, b""), (4, b"\xff\xff\xff\xff")], "k int, c binary").coalesce(1)
+    found = {r["k"]: r["x"] for r in df.select("k", image_ints(F.col("c")).alias("x")).collect()}
+    assert found == {1: [3, 1, 2], 2: None, 3: [0], 4: [0, -1]}
+
+
+def test_sentences_are_those_of_the_plain_pattern(spark):
+    import random
+    import re
+
+    from weft.functions.text import split_sentences
+
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("ab.!? \n") for _ in range(pick.randrange(40))) for _ in range(400)] + ["a.b" * 100_000, ". a", "?? a.", "..", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r["k"]: r["s"] for r in df.select("k", split_sentences("t", keep_newlines=True).alias("s")).collect()}
+    plain = re.compile(r"[\s\S]+?[.!?]+(?:[ \n]+|\Z)|[\s\S]+\Z")
+    assert found == {k: plain.findall(t) for k, t in enumerate(texts)}
+
+
+def test_runs_cut_a_text_once(spark):
+    from weft.functions.text import split_sentences
+    from weft.operators import runs as R
+
+    docs = spark.createDataFrame([(1, "a. bb. ccc. dddd."), (2, "one."), (3, "x" * 600 + ". b."), (4, None)], "doc_id bigint, text string")
+    lengths = docs.select("doc_id", F.transform(split_sentences("text"), lambda s: F.octet_length(s)).alias("sentence_lengths"), F.lit(2).alias("title_length"))
+    runs = R.sentence_runs(lengths, 5)
+    assert runs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # the rows and their bucket totals
+    assert sorted((r["doc_id"], r["first"], r["last"]) for r in runs.collect()) == [(1, 0, 2), (1, 2, 4)]
+    assert {r["doc_id"] for r in R.title_blocks(lengths, 12).collect()} == {1, 2}

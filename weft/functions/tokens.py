@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,10 @@ def empty_ints() -> Column:
     return F.array().cast("array<int>")
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _utf8(texts: pa.Array) -> pa.Array:
+def _bytes_of(texts: pa.Array) -> pa.ListArray:
     """The bytes are there already: one buffer and its offsets become one list array."""
     raw = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
     data = raw.buffers()[2]
     values = np.zeros(0, np.int32)
     if data is not None:
@@ -32,11 +32,27 @@ def _utf8(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(values), mask=nulls)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _utf8(texts: pa.Array) -> pa.Array:
+    return _bytes_of(texts)
+
+
 def byte_encode(text: str | Column) -> Column:
     """UTF-8 bytes as ``array<int>``, by Arrow batches."""
     return _utf8(F.col(text) if isinstance(text, str) else text)
 
 
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def _utf8_parts(parts: pa.Array) -> pa.Array:
+    starts = pa.array(np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py(), pa.int32())
+    return pa.ListArray.from_arrays(starts, _bytes_of(parts.flatten()), mask=parts.is_null() if parts.null_count else None)
+
+
+def byte_encode_parts(parts: str | Column) -> Column:
+    """UTF-8 bytes of every text of an ``array<string>``, by Arrow batches."""
+    return _utf8_parts(F.col(parts) if isinstance(parts, str) else parts)
+
+
 def byte_values(text: str | Column) -> Column:
     """The same as an expression that also works inside a lambda; Latin-1 maps every byte to one
     character."""
@@ -50,14 +66,14 @@ def byte_values(text: str | Column) -> Column:
 def byte_decode(tokens: str | Column, special_start: int = BYTE_VOCAB) -> Column:
     """Text of byte tokens: special ids dropped, malformed bytes ignored, right-stripped."""
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        def one(row):
-            row = np.asarray(row, dtype="i8")
-            kept = row[(row >= 0) & (row < special_start)].astype("u1")
-            return kept.tobytes().decode("utf-8", errors="ignore").rstrip()
-
-        return ids.map(one, na_action="ignore")
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        kept = (flat >= 0) & (flat < special_start)
+        ends = np.concatenate(([0], np.cumsum(kept)))[np.asarray(ids.offsets, np.int64) - ids.offsets[0].as_py()].tolist()
+        data = flat[kept].astype("u1").tobytes()
+        texts = [data[a:b].decode("utf-8", errors="ignore").rstrip() for a, b in zip(ends, ends[1:])]
+        return pa.array(texts, pa.string(), mask=np.asarray(ids.is_null()))
 
     return decode(F.col(tokens) if isinstance(tokens, str) else tokens)
 
@@ -100,9 +116,10 @@ class ByteTokenizer:
 BYTE_LEVEL_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@functools.cache
 def load_tokenizer(kind: str, path: str | None = None, pattern: str | None = None) -> Tokenizer:
     """Tokenizer by type: ``byte``, ``bpe-json``, ``sentencepiece``, ``tiktoken`` (a file of ranks, with its ``pattern``), ``null`` (ids
-    written as text); vocabulary libraries are imported only where they are used."""
+    written as text); vocabulary libraries are imported only where they are used, and a process reads a vocabulary once."""
     if kind == "byte":
         return ByteTokenizer()
     if kind == "bpe-json":
@@ -170,18 +187,45 @@ def load_tokenizer(kind: str, path: str | None = None, pattern: str | None = Non
     raise ValueError(f"unknown tokenizer type {kind!r}")
 
 
+#: Characters that a tokenizer is given in one call: what it returns for each token is many times the id.
+CALL_CHARS = 1 << 20
+
+
+def _calls(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in stretches of about :data:`CALL_CHARS`."""
+    stretch, chars = [], 0
+    for text in texts:
+        stretch.append(text)
+        chars += len(text)
+        if chars >= CALL_CHARS:
+            yield stretch
+            stretch, chars = [], 0
+    if stretch:
+        yield stretch
+
+
+def _coded(texts: list[str], together: Callable) -> pa.ListArray:
+    """The ids of every text, held as whole numbers and not as objects."""
+    sizes, values = [], [np.zeros(0, np.int32)]
+    for stretch in _calls(texts):
+        ids = together(stretch)
+        sizes += map(len, ids)
+        values.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), pa.array(np.concatenate(values)))
+
+
 def encode_with(
     df: DataFrame, column: str, out: str, make: Callable[[], Tokenizer]
 ) -> DataFrame:
     """Encode an ``array<string>`` column to ``array<array<int>>``, one tokenizer per task."""
 
-    @F.pandas_udf("array<array<int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<array<int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = make()
         together = getattr(tok, "encode_batch", lambda texts: [tok.encode(t) for t in texts])
-        for batch in batches:  # all parts of a batch in one call, then dealt back to their rows
-            sizes = [0 if parts is None else len(parts) for parts in batch]
-            flat = iter(together([p for parts in batch if parts is not None for p in parts]))
-            yield pd.Series([None if parts is None else [next(flat) for _ in range(n)] for parts, n in zip(batch, sizes)], dtype=object)
+        for parts in batches:
+            ids = _coded(parts.flatten().to_pylist(), together)
+            starts = pa.array(np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py(), pa.int32())
+            yield pa.ListArray.from_arrays(starts, ids, mask=parts.is_null() if parts.null_count else None)
 
     return df.withColumn(out, run(F.col(column)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +18,17 @@ AUDIO_TAG = "<audio>"  # fixed value
 def image_ints(content: Column) -> Column:
     """Bytes zero-padded to a multiple of four as little-endian integers, pad count first."""
 
-    @F.pandas_udf("array<int>")
-    def run(batch: pd.Series) -> pd.Series:
-        def one(raw):
-            pad = -len(raw) % 4
-            return np.concatenate([[pad], np.frombuffer(bytes(raw) + b"\0" * pad, "<i4")]).astype("i4")
-
-        return batch.map(one, na_action="ignore")
+    @F.arrow_udf("array<int>")
+    def run(batch: pa.Array) -> pa.Array:
+        pieces, ends = [], [0]
+        for raw in batch:
+            if raw.is_valid:
+                body = raw.as_py()
+                pad = -len(body) % 4
+                pieces += [pad.to_bytes(4, "little"), body, b"\0" * pad]
+            ends.append(ends[-1] + ((len(body) + pad) // 4 + 1 if raw.is_valid else 0))
+        values = np.frombuffer(b"".join(pieces), "<i4").astype("i4")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=batch.is_null() if batch.null_count else None)
 
     return run(content)
 
