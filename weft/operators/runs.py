@@ -49,39 +49,52 @@ def run_ends(
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "target"]))
 
 
-def _runs_to(lengths: Column, target: Column, min_here: int, left_over: int) -> Column:
+def _usable(lengths: pa.ListArray, min_sentences: int, tested_from: int) -> pa.ListArray:
+    """The rows with enough sentences, and none too long where there are at least ``tested_from`` of them; the others
+    without sentences.  Asked here, since a filter outside would have the texts cut once more for each condition."""
+    offsets = np.asarray(lengths.offsets, dtype=np.int64)
+    sizes = lengths.flatten().to_numpy(zero_copy_only=False)
+    n, start = np.diff(offsets), offsets[:-1] - offsets[0]
+    too_long = np.concatenate(([0], np.cumsum(sizes > LONG_SENTENCE)))
+    bad = (n < min_sentences) | ((n >= tested_from) & (too_long[start + n] > too_long[start]))
+    kept = np.repeat(~bad, n)
+    ends = np.concatenate(([0], np.cumsum(np.where(bad, 0, n))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sizes[kept], pa.int32()))
+
+
+def _runs_to(lengths: Column, target: Column, min_sentences: int) -> Column:
     """Runs by one target per document."""
 
     @F.arrow_udf(RUNS)
     def walk(lengths: pa.Array, target: pa.Array) -> pa.Array:
         aims = target.to_numpy(zero_copy_only=False)
-        return run_ends(lengths, min_here, left_over, lambda rows, r: aims[rows])
+        return run_ends(_usable(lengths, min_sentences, min_sentences), min_sentences, min_sentences, lambda rows, r: aims[rows])
 
     return walk(lengths, target)
 
 
-def _runs_drawn(lengths: Column, key: Column, min_here: int, left_over: int, max_len: int, short_ratio: int, seed: int) -> Column:
-    """Runs by a target drawn for every run: one in ``short_ratio`` is short, 2 + h mod (max_len - 1)."""
+def _runs_drawn(lengths: Column, key: Column, min_sentences: int, max_len: int, short_ratio: int, seed: int) -> Column:
+    """Runs by a target for every run: drawn, one in ``short_ratio`` is short, 2 + h mod (max_len - 1); without a ratio
+    ``max_len``."""
 
     @F.arrow_udf(RUNS)
     def walk(lengths: pa.Array, key: pa.Array) -> pa.Array:
         names = key.to_pylist()
 
         def targets(rows, r):
+            if not short_ratio:
+                return np.full(len(rows), max_len, dtype=np.int64)
             h = np.array([plain_number(plain_draw(seed, names[i], r)) for i in rows.tolist()], dtype=np.int64)
             return np.where(h % short_ratio == 0, 2 + h % (max_len - 1), max_len)
 
-        return run_ends(lengths, min_here, left_over, targets)
+        return run_ends(_usable(lengths, min_sentences, 2), min_sentences, 2, targets)
 
     return walk(lengths, key)
 
 
-def _usable(lengths: Column, min_sentences: int, tested_from: int) -> Column:
-    """Enough sentences, and none too long where there are at least ``tested_from`` of them."""
-    tested = F.size(lengths) >= tested_from
-    return (F.size(lengths) >= min_sentences) & ~(
-        tested & F.exists(lengths, lambda n: n > LONG_SENTENCE)
-    )
+def _dealt(walked: DataFrame, *keys: str) -> DataFrame:
+    """A row per run.  Outer, because Spark puts a test for empty arrays before an inner one, and walks every text again for it."""
+    return walked.select(*keys, F.posexplode_outer("__r").alias("run", "__x")).filter("run is not null")
 
 
 def sentence_runs(
@@ -106,16 +119,9 @@ def sentence_runs(
             "epoch", F.explode(F.sequence(F.lit(first_epoch), F.lit(first_epoch + how_many - 1)))
         )
 
-        usable = rows.filter(_usable(F.col("__l"), min_sentences, 2))
-        if short_ratio:
-            key = F.concat_ws("|", "epoch", "doc_id")
-            found = _runs_drawn(F.col("__l"), key, min_sentences, 2, max_len, short_ratio, seed)
-        else:
-            found = _runs_to(F.col("__l"), F.lit(max_len), min_sentences, 2)
-        walked = usable.withColumn("__r", found)
-        return walked.select("epoch", "doc_id", F.posexplode("__r").alias("run", "__x")).select(
-            "epoch", "doc_id", "run", "__x.*"
-        )
+        key = F.concat_ws("|", "epoch", "doc_id")
+        walked = rows.withColumn("__r", _runs_drawn(F.col("__l"), key, min_sentences, max_len, short_ratio, seed))
+        return _dealt(walked, "epoch", "doc_id").select("epoch", "doc_id", "run", "__x.*")
 
     if n_samples is not None:
         epochs = _epochs_for(one_pass, n_samples)
@@ -152,14 +158,10 @@ def title_blocks(
     Block ids count documents in order and restart with every epoch.
     """
     lengths = F.col("sentence_lengths").cast("array<int>")
-    usable = docs.select("doc_id", lengths.alias("__l"), "title_length").filter(
-        _usable(F.col("__l"), min_sentences, min_sentences)
-    )
+    rows = docs.select("doc_id", lengths.alias("__l"), "title_length")
     target = F.lit(max_len) - F.col("title_length")
-    walked = usable.withColumn("__r", _runs_to(F.col("__l"), target.cast("int"), min_sentences, min_sentences))
-    blocks = walked.select("doc_id", F.posexplode("__r").alias("run", "__x")).select(
-        "doc_id", "run", "__x.first", "__x.last"
-    )
+    walked = rows.withColumn("__r", _runs_to(F.col("__l"), target.cast("int"), min_sentences))
+    blocks = _dealt(walked, "doc_id").select("doc_id", "run", "__x.first", "__x.last")
     numbered = ranged_running(blocks, ["doc_id", "run"], out="block_id")
     copies = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     copies = copies.withColumn("__k", order_key(seed + 1, "epoch", "block_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.text import split_sentences
-from weft.functions.tokens import byte_encode, byte_values
+from weft.functions.tokens import byte_encode, byte_encode_parts
 from weft.operators import chat as H
 from weft.operators import masked as M
 from weft.operators import runs as R
@@ -63,10 +63,8 @@ def title_blocks(t):
 def run_rows(t):
     """Sentence runs with the tokens of their sentences."""
     runs = R.sentence_runs(sentence_lengths(t), MAXLEN, RATIO, 2, seed=SEED)
-    parts = F.filter(
-        F.transform(split_sentences("text"), lambda s: byte_values(s)), lambda a: F.size(a) > 0
-    )
-    return R.run_sentences(runs, t.documents.select("doc_id", parts.alias("s")), "s")
+    texts = R.run_sentences(runs, t.documents.select("doc_id", split_sentences("text").alias("s")), "s")
+    return texts.select("idx", byte_encode_parts("sentences").alias("sentences"), "target")
 
 
 # a byte vocabulary with special ids above it; UTF-8 continuation bytes continue a word
