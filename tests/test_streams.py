@@ -67,3 +67,20 @@ def test_reward_spread(spark):
     df = spark.createDataFrame([([1.0, 1.0],), ([0.0, 2.0],)], "rewards array<double>")
     assert [r[0] for r in df.select(R.reward_spread("rewards")).collect()] == [0.0, 1.0]
     assert R.filter_uniform_groups(df).count() == 1
+
+
+def test_staged_rows_are_spread_over_files(spark, tmp_path):
+    import glob
+
+    from weft.plans.registry import Tables
+    from weft.plans.streams import staged
+
+    rows = spark.range(0, 1000, 1, 12).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
+    stream, folder = staged(Tables(spark, str(tmp_path)), rows)
+    files = glob.glob(f"{folder}/in/*.parquet")
+    assert len(files) == 12
+    out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+    query = out.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
+    assert spark.read.parquet(f"{folder}/out").agg({"doc_id": "sum"}).first()[0] == 999 * 500

@@ -15,10 +15,13 @@ from weft.streaming import tables as T
 
 
 def staged(t, df, parts=3, by=None):
-    """The rows as a stream of ``parts`` files, one per micro-batch."""
+    """The rows as a stream of ``parts`` micro-batches; rows dealt by ``by`` are one file each, others as many files as the
+    table has splits, so that no task writes or reads a third of it."""
     folder = f"{shared_dir(t.spark)}/weft-{uuid.uuid4().hex}"
-    (df.repartition(parts, by) if by is not None else df.repartition(parts)).write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = parts if by is not None else max(parts, df.rdd.getNumPartitions())
+    (df.repartition(files, by) if by is not None else df.repartition(files)).write.parquet(f"{folder}/in")
+    at_once = -(-files // parts)
+    stream = t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/in")
     return stream, folder
 
 
