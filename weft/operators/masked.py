@@ -99,7 +99,8 @@ def _pick(v: Column, budget: Column, taken: Column | None, idx: Column, tag: str
     ends = cfg.size_ends(geometric)
 
     def candidates(named):
-        return F.sort_array(F.transform(upto(last), lambda w: F.struct(draw_at(named, w).alias("d"), w.alias("w"))))
+        # the draw and the word in one text: texts sort far faster than structs
+        return F.sort_array(F.transform(upto(last), lambda w: F.concat(draw_at(named, w), w.cast("string"))))
 
     def step(s, c):
         room = budget - s["used"]
@@ -107,7 +108,7 @@ def _pick(v: Column, budget: Column, taken: Column | None, idx: Column, tag: str
         def sized(x):
             stop = F.lit(None).cast("int")
             for n in range(1, cfg.max_ngram + 1):  # the greatest size that fits comes last and stays
-                at = v["bounds"][F.least(c["w"] + n, last)]
+                at = v["bounds"][F.least(x["w"] + n, last)]
                 stop = F.when((x["drawn"] >= n) & (at - x["start"] <= room), at).otherwise(stop)
             return bind(stop, lambda stop: tried(x["start"], stop))
 
@@ -121,7 +122,8 @@ def _pick(v: Column, budget: Column, taken: Column | None, idx: Column, tag: str
             )
             return F.when(free, longer).otherwise(s)
 
-        found = F.struct(choice(c["d"], ends, 1).alias("drawn"), v["bounds"][c["w"]].alias("start"))
+        word = F.substring(c, 33, 10).cast("int")
+        found = bind(word, lambda w: F.struct(choice(c, ends, 1).alias("drawn"), w.alias("w"), v["bounds"][w].alias("start")))
         return F.when(room < 1, s).otherwise(bind(found, sized))  # an n-gram has a place at least
 
     start = F.struct(F.lit(0).alias("used"), _empty(RANGES).alias("ranges"))
