@@ -375,6 +375,10 @@ def dense_rows(df: DataFrame, length: int) -> DataFrame:
     )
 
 
+#: Rows that a shard may have; None, as it is, for any number.
+MAX_SHARD_ROWS: int | None = None
+
+
 def pack_concat(
     df: DataFrame, length: int, shards: int, eos: int, key: str = "conv_id"
 ) -> DataFrame:
@@ -389,6 +393,8 @@ def pack_concat(
     )
     numbered = pin(ranged_running(narrow, [key], out="i"))
     share, extra = divmod(numbered.count(), shards)
+    if MAX_SHARD_ROWS is not None and share + (extra > 0) > MAX_SHARD_ROWS:
+        raise ValueError(f"more than {MAX_SHARD_ROWS} rows in a shard: ask for more shards")
     edge = (share + 1) * extra
     early = F.col("i") < edge
     shard = F.when(early, F.expr(f"i div {share + 1}")).otherwise(extra + F.expr(f"(i - {edge}) div {max(share, 1)}"))
