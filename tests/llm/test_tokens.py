@@ -42,6 +42,18 @@ def test_slices_of_a_batch_are_encoded_alike():
     assert np.concatenate([np.diff(p[1]) for p in parts]).tolist() == np.diff(bounds).tolist()
 
 
+def test_a_word_is_looked_up_once_in_all_its_spellings(tokenizer):
+    """A batch costs Python a step for each word, not for each spelling with the punctuation around it."""
+    every = ["house House, (HOUSE) house! house. ;house: Ähre ähre, don't DON'T, \u212aelvin kelvin", "house, 'house"]
+    encoder, given = WordEncoder(default_path()), []
+    cores = encoder._cores
+    encoder._cores = lambda pieces: given.append(list(pieces)) or cores(pieces)
+    ids, bounds = encoder.encode(pa.array(every, pa.string()))
+    assert [len(g) for g in given] == [len(set(given[0]))] and given[0].count("house") == 1 and len(given[0]) == 7
+    for i, t in enumerate(every):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def frame(spark, rows, extra=True):
     if not extra:
         return spark.createDataFrame(rows, "doc_id bigint, text string")

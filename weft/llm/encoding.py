@@ -2,7 +2,8 @@
 
 White space never reaches a token, and the vocabulary marks the last token of every run of
 letters, so a text's ids are the ids of its words put together.  A batch is encoded by its distinct
-words; a word that is anything but plain letters with common punctuation around them goes through
+words, and these by what is left of them in small letters without the punctuation around them, which Arrow takes
+off; a word that is anything but plain letters with common punctuation around them goes through
 the tokenizer as it stands.
 """
 
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from weft.llm.arrow import ragged, words
 
@@ -46,6 +48,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -57,67 +60,90 @@ class WordEncoder:
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
-    def _whole(self, pieces: list[str]) -> None:
+    def _whole(self, pieces: list[str]) -> list[bytes]:
         """Any strings, as the tokenizer has them."""
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = self._bytes(e.ids)
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _letters(self, pieces: list[str]) -> None:
+    def _letters(self, pieces: list[str]) -> list[bytes]:
         """Runs of letters: many in one call, cut where a run closes."""
         groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
         coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
         for group, e in zip(groups, coded):
             ids = np.asarray(e.ids, dtype=self.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):
-                self._whole(group)
+                out += self._whole(group)
                 continue
-            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for piece, end in zip(group, (ends * size).tolist()):
-                self.known[piece] = raw[start:end]
-                start = end
-
-    def distinct(self, chunks: list[str]) -> list[bytes]:
-        """Ids, as bytes, of strings without blanks."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known, parts = self.known, []
-        letters: set[str] = set()
-        whole: set[str] = set()
-        for chunk in chunks:
-            right = chunk.rstrip(EDGES)
-            core = right.lstrip(EDGES)
-            low = core.lower()
-            if low.isalpha() and (low.isascii() or max(low) <= PLAIN):
-                before, after = right[: len(right) - len(core)], chunk[len(right) :]
-                parts.append((before, low, after))
-                if low not in known:
-                    letters.add(low)
-                if before and before not in known:
-                    whole.add(before)
-                if after and after not in known:
-                    whole.add(after)
-            else:
-                parts.append((chunk, "", ""))
-                if chunk not in known:
-                    whole.add(chunk)
-        if whole:
-            self._whole(sorted(whole))
-        if letters:
-            self._letters(sorted(letters))
+            raw, cuts = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _strings(self, pieces: list[str]) -> list[bytes]:
+        """Ids, as bytes, of strings that go through the tokenizer as they stand."""
         known = self.known
-        return [known[a] + known[b] + known[c] for a, b, c in parts]
+        new = sorted({piece for piece in pieces if piece not in known})
+        if new:
+            known.update(zip(new, self._whole(new)))
+        return [known[piece] for piece in pieces]
+
+    def _cores(self, pieces: list[str]) -> list[bytes]:
+        """Ids, as bytes, of distinct strings in small letters; none for one that isn't plain letters."""
+        coded = list(map(self.cores.get, pieces))
+        new = [k for k, ids in enumerate(coded) if ids is None]
+        low = [pieces[k].lower() for k in new]
+        plain = list({v for v in low if v.isalpha() and (v.isascii() or max(v) <= PLAIN)})
+        if new:
+            known = dict(zip(plain, self._letters(plain)))
+            for k, v in zip(new, low):
+                coded[k] = self.cores[pieces[k]] = known.get(v, b"")
+        return coded
+
+    def distinct(self, chunks: pa.Array) -> pa.Array:
+        """Ids, as bytes, of strings without blanks: what is cut from their ends and what is left between."""
+        if len(self.known) + len(self.cores) > REMEMBERED:
+            self.known, self.cores = {"": b""}, {}
+        chunks = chunks.cast(pa.large_string())
+        right = pc.utf8_rtrim(chunks, EDGES)
+        inner = pc.utf8_ltrim(right, EDGES)
+        low = pc.ascii_lower(inner).dictionary_encode()
+        cores, core = self._cores(_list(low.dictionary)), low.indices.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero((np.fromiter(map(len, cores), np.int64, len(cores)) == 0)[core])
+        size, kept, left = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (chunks, right, inner))
+        pieces = pa.array([b"", *cores], pa.large_binary())
+        at = np.zeros((len(chunks), 3), dtype=np.int64)  # before, core, after; 0 for none
+        at[:, 1] = core + 1
+        plain = np.ones(len(chunks), dtype=bool)
+        plain[odd] = False
+        start = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset :][: len(chunks)]
+        for side, first, n in ((0, start, kept - left), (2, start + kept, size - kept)):
+            some = np.flatnonzero(plain & (n > 0))
+            edges = _cut(chunks, first[some], n[some]).dictionary_encode()
+            at[some, side] = len(pieces) + edges.indices.to_numpy(zero_copy_only=False)
+            pieces = pa.concat_arrays([pieces, pa.array(self._strings(_list(edges.dictionary)), pa.large_binary())])
+        at[odd, 1] = len(pieces) + np.arange(len(odd))
+        pieces = pa.concat_arrays([pieces, pa.array(self._strings(_list(chunks.take(pa.array(odd)))), pa.large_binary())])
+        flat = pieces.take(pa.array(at.reshape(-1)))
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1 : 3].copy()
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends), flat.buffers()[2]])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets per text); null is empty."""
         offsets, index, dictionary = words(column)
-        coded = self.distinct(dictionary.to_pylist())
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(coded), dtype=self.dtype)
-        counts = sizes[index]
-        starts = (np.cumsum(sizes) - sizes)[index]
-        bounds = np.concatenate(([0], np.cumsum(counts)))[offsets]
-        return flat[ragged(starts, counts)], bounds
+        coded = self.distinct(dictionary).take(pa.array(index))
+        ends = np.frombuffer(coded.buffers()[1], np.int64)[: len(coded) + 1] // self.dtype.itemsize
+        return np.frombuffer(coded.buffers()[2] or b"", self.dtype, count=int(ends[-1])), ends[offsets]
+
+
+def _list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(strings: pa.LargeStringArray, first: np.ndarray, n: np.ndarray) -> pa.LargeStringArray:
+    """The ``n`` bytes from ``first`` on in the strings' data."""
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ragged(first, n)]
+    ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(data))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
