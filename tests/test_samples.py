@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import samples as S
 from weft.operators import schedule
-from weft.plans.build import BuildConfig, build_splits, cached, requested_sizes
+from weft.plans.build import RUN, BuildConfig, build_splits, cached, requested_sizes, sample_ids
 
 
 def walk_bounds(lengths, length, extra, n_samples):
@@ -194,3 +194,13 @@ def test_cache_keeps_the_first_table(spark, tmp_path):
     again = cached(spark, str(tmp_path), {"a": 1}, lambda: spark.range(9).toDF("x"))
     other = cached(spark, str(tmp_path), {"a": 2}, lambda: spark.range(5).toDF("x"))
     assert (first.count(), again.count(), other.count()) == (3, 3, 5)
+
+
+def test_runs_of_samples_stay_in_several_tasks(spark):
+    """The runs are few rows; put together in one task, that task would make every sample of the build."""
+    plan = spark.createDataFrame([("a", 40 * RUN + 3), ("b", 5), ("c", 0)], "dataset string, n_samples bigint")
+    ids = sample_ids(plan)
+    per = {r[0]: r[1] for r in ids.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()}
+    assert len(per) > 2 and max(per.values()) < 0.8 * sum(per.values())
+    got = ids.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("d"), F.max("sample_id").alias("m"))
+    assert {tuple(r) for r in got.collect()} == {("a", 40 * RUN + 3, 40 * RUN + 3, 40 * RUN + 2), ("b", 5, 5, 4)}

@@ -47,7 +47,7 @@ def requested_sizes(
 #: Between the split and the data set in the key that one plan for all splits works with.
 BETWEEN = "\x1f"
 #: Sample numbers that one row gives rise to.
-RUN = 1 << 16
+RUN = 1 << 13
 
 
 def build_splits(corpus: DataFrame, config: BuildConfig) -> dict[str, DataFrame]:
@@ -71,12 +71,14 @@ def build_splits(corpus: DataFrame, config: BuildConfig) -> dict[str, DataFrame]
 
 
 def sample_ids(plan: DataFrame) -> DataFrame:
-    """(dataset, sample_id) of every sample of a plan, in runs that are dealt out."""
+    """(dataset, sample_id) of every sample of a plan, in runs that are dealt out to a fixed number of tasks: they are so few that
+    they would be put in one task else, which then makes every sample."""
+    tasks = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_samples") - 1) / RUN))
     some = plan.filter("n_samples > 0").select("dataset", "n_samples", F.explode(runs).alias("__run"))
     first = F.col("__run") * RUN
     ids = F.sequence(first, F.least(first + RUN, F.col("n_samples")) - 1)
-    return some.repartition("dataset", "__run").select("dataset", F.explode(ids).alias("sample_id"))
+    return some.repartition(tasks, "dataset", "__run").select("dataset", F.explode(ids).alias("sample_id"))
 
 
 def _sizes(config: BuildConfig) -> dict[str, int | None]:
