@@ -371,3 +371,21 @@ def test_one_giant_shard_is_packed_in_blocks(spark):
         want += [(s, i, sum(e < i for e in ends)) for i in range(ends[-1] + 1 if ends else 0)]
     assert got == want
     assert nextfit.next_fit(df.limit(0), 10).collect() == []
+
+
+def test_infill_cuts_the_bytes_and_not_the_characters(spark):
+    """Segments with malformed ends, wide characters and blanks at the end, beside the plain walk."""
+    texts = ["plain words here", "\u00e9t\u00e9 \u65e5\u672c \U0001f642!", "tail \u00a0 \n", "", "\u00e7a", "x"]
+    rows = []
+    for i in range(40):
+        t = [b for k in range(3) for b in [*texts[(i + k * (1 + i // 6)) % 6].encode(), 256]][i % 3 : len(texts) * 9 - i % 5]
+        rows.append((i, t))
+    rows.append((40, [0xE9, 0x80, 65, 0xFF, 66, 0xC3, 256, 0xED, 0xA0, 0x80, 67]))
+    cfg = M.InfillConfig(rate=0.9, spm_rate=0.5, prefix=260, middle=261, suffix=262, pad=263, eod=256, seed=3)
+    out = M.fim_bytes(spark.createDataFrame(rows, "idx bigint, tokens array<int>"), cfg)
+    assert "ascii(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    from weft.functions.tokens import ByteTokenizer
+
+    tok = ByteTokenizer()
+    got = {r["idx"]: list(r["tokens"]) for r in out.collect()}
+    assert got == {i: M.infill_sample(list(t), i, cfg, tok) for i, t in rows}

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.draws import below, bind, choice, coins, draw, draw_at, draws_of, number, plain_draw, plain_number, reached, shuffled, steps, upto
-from weft.functions.tokens import byte_values
 
 GEOMETRIC = 0.2  # fixed value of the published span masking
 #: Shares of masked positions that become the mask token, and that become it or another token; fixed values.
@@ -395,8 +394,13 @@ UTF8 = [
 BLANK_END = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
 
-def byte_text(tokens: Column, special_start: int = 256) -> Column:
-    """Text of byte tokens: special ids dropped, malformed bytes ignored, right-stripped."""
+def _latin(b: Column) -> Column:
+    """The bytes as a text: a character for each, which Latin-1 turns into that byte."""
+    return F.encode(F.array_join(F.transform(b, F.char), ""), "ISO-8859-1").cast("string")
+
+
+def _decoded(tokens: Column, special_start: int) -> Column:
+    """(bytes, text) of byte tokens: the bytes that decode, and their text, right-stripped; the text begins at the first byte."""
 
     def decoded(b):
         def whole(i):
@@ -411,15 +415,20 @@ def byte_text(tokens: Column, special_start: int = 256) -> Column:
                 ok = ok & ((size <= k) | ((follows >= 0x80) & (follows <= 0xBF)))
             return F.when(ok, F.slice(b, i + 1, size)).otherwise(F.array().cast("array<int>"))
 
-        good = F.when(F.exists(b, lambda t: t >= 0x80), F.flatten(F.transform(upto(F.size(b)), whole))).otherwise(b)
-        digits = F.transform(good, lambda t: F.lpad(F.hex(t), 2, "0"))
-        text = F.unhex(F.array_join(digits, "")).cast("string")
-        return F.regexp_replace(text, BLANK_END, "")
+        pair = lambda g, s: F.struct(g.alias("bytes"), F.regexp_replace(s, BLANK_END, "").alias("text"))
+        # only malformed bytes, as where a sample cuts a character, are looked at one by one
+        some = bind(F.flatten(F.transform(upto(F.size(b)), whole)), lambda g: pair(g, _latin(g)))
+        return bind(_latin(b), lambda s: F.when(F.is_valid_utf8(s), pair(b, s)).otherwise(some))
 
     kept = F.filter(tokens, lambda t: (t >= 0) & (t < special_start)).cast("array<int>")
     return bind(kept, decoded)
 
 
+def byte_text(tokens: Column, special_start: int = 256) -> Column:
+    """Text of byte tokens: special ids dropped, malformed bytes ignored, right-stripped."""
+    return _decoded(tokens, special_start)["text"]
+
+
 def _marked(i: int) -> Column:
     return F.array(F.lit(i))
 
@@ -428,12 +437,14 @@ def _segment_bytes(tokens: Column, rate: float, cfg: InfillConfig, keys: list[Co
     """A segment of byte tokens cut at two drawn characters and put in another order."""
 
     def cut(d):
-        def rearranged(text):
+        def rearranged(decoded):
+            text = decoded["text"]
             n = F.length(text) + 1
             x, y = number(d, 1) % n, number(d, 2) % n
 
             def moved(c):
-                part = lambda a, b: byte_values(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+                at = lambda k: F.octet_length(F.substring(text, F.lit(1), k.cast("int")))
+                part = lambda a, b: F.slice(decoded["bytes"], at(a) + 1, at(b) - at(a))
                 pre, mid, suf = part(F.lit(0), c["low"]), part(c["low"], c["high"]), part(c["high"], n - 1)
                 spm = F.concat(_marked(cfg.prefix), _marked(cfg.suffix), suf, _marked(cfg.middle), pre, mid)
                 psm = F.concat(_marked(cfg.prefix), pre, _marked(cfg.suffix), suf, _marked(cfg.middle), mid)
@@ -442,7 +453,7 @@ def _segment_bytes(tokens: Column, rate: float, cfg: InfillConfig, keys: list[Co
             out = bind(F.struct(F.least(x, y).alias("low"), F.greatest(x, y).alias("high")), moved)
             return out if cfg.no_prefix is None else F.when(F.startswith(text, F.lit(cfg.no_prefix)), tokens).otherwise(out)
 
-        return F.when(number(d) >= below(rate), tokens).otherwise(bind(byte_text(tokens), rearranged))
+        return F.when(number(d) >= below(rate), tokens).otherwise(bind(_decoded(tokens, 256), rearranged))
 
     return bind(draw(cfg.seed, F.lit("infill"), *keys), cut)
 
@@ -462,7 +473,8 @@ def _rejoined(tokens: Column, mark: int, change: Callable[[Column, Column], Colu
 
         return F.flatten(F.transform(upto(F.size(at) + 1), part))
 
-    return bind(F.filter(upto(F.size(tokens)), lambda i: tokens[i] == mark), parts)
+    at = F.filter(upto(F.size(tokens)), lambda i: tokens[i] == mark)
+    return bind(F.when(~F.array_contains(tokens, mark), F.array().cast("array<int>")).otherwise(at), parts)
 
 
 def fim_bytes(df: DataFrame, cfg: InfillConfig) -> DataFrame:
