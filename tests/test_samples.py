@@ -204,3 +204,21 @@ def test_runs_of_samples_stay_in_several_tasks(spark):
     assert len(per) > 2 and max(per.values()) < 0.8 * sum(per.values())
     got = ids.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("d"), F.max("sample_id").alias("m"))
     assert {tuple(r) for r in got.collect()} == {("a", 40 * RUN + 3, 40 * RUN + 3, 40 * RUN + 2), ("b", 5, 5, 4)}
+
+
+def test_columns_of_samples_without_marks_are_not_gone_through(spark):
+    rows = [[1, 2, 3], [1, 9, 2, 9], [9], [-1, 5, -1], [], [1, None, 9, 2], [None, 1], None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, tokens array<int>")
+    lm = S.lm_columns(df.filter("size(tokens) > 0"), extra=False)
+    out = S.ltor_columns(df.withColumnRenamed("tokens", "input"), eod=9, pad=5)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan(lm) and "array_contains" in plan(out)
+    for r in lm.collect():
+        assert r["input"] == [0 if v == -1 else v for v in rows[r["i"]]]
+    for r in out.filter("input is not null").collect():
+        at, seg, want = 0, 0, []
+        for v in rows[r["i"]]:
+            want.append((at, seg, 0 if v in (9, 5) else 1))
+            at, seg = (0, seg + 1) if v == 9 else (at + 1, seg)
+        assert list(zip(r["position_ids"], r["segment_ids"], r["loss_mask"])) == want
+    assert [tuple(r)[2:] for r in out.filter("input is null").collect()] == [(None, None, None)]

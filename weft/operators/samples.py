@@ -8,11 +8,14 @@ corpus or a whole blend, and a data set holding most rows still spreads over all
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.ordering import hashed_running, order_key, ranged_running
+from weft.functions.tokens import empty_ints
 from weft.operators.schedule import given, schedule, states
 from weft.session import pin
 
@@ -136,7 +139,8 @@ def epoch_plan(
 def document_order(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """(dataset, epoch, doc_id, n_tokens, pos, start): all epochs shuffled together, the last
     one on its own when the plan says so; ``start`` is the token offset in that order."""
-    wanted = plan.select("dataset", "n_docs", "epoch_tokens", "epochs", "last_apart")
+    # the plan has a row per data set; joined by a shuffle, a data set would stay in one task for the ranks as well
+    wanted = F.broadcast(plan.select("dataset", "n_docs", "epoch_tokens", "epochs", "last_apart"))
     copies = docs.select("dataset", "doc_id", "n_tokens").join(wanted, "dataset")
     copies = copies.withColumn(
         "epoch", F.explode(F.sequence(F.lit(0), (F.col("epochs") - 1).cast("int")))
@@ -167,7 +171,7 @@ def sample_bounds(
     there is no walk: cost is documents plus samples.
     """
     x = int(extra)
-    rows = order.join(plan.select("dataset", "n_samples", "total_tokens"), "dataset")
+    rows = order.join(F.broadcast(plan.select("dataset", "n_samples", "total_tokens")), "dataset")
     end = F.col("start") + F.col("n_tokens")
     last_token = F.col("total_tokens") - x
     if extra:  # the document with start <= p < end
@@ -214,7 +218,7 @@ def shuffle_samples(bounds: DataFrame, plan: DataFrame, seed: int, name: Column
     ``name`` stands for the data set in the draws.
     """
     rows = bounds.join(
-        plan.select("dataset", "n_samples", "head_samples", "last_apart"), "dataset"
+        F.broadcast(plan.select("dataset", "n_samples", "head_samples", "last_apart")), "dataset"
     ).filter(F.col("sample_id") < F.col("n_samples"))
     rows = rows.withColumn(
         "phase", (F.col("last_apart") & (F.col("sample_id") >= F.col("head_samples"))).cast("int")
@@ -241,7 +245,7 @@ def materialize(
     at most length + 1 tokens.
     """
     x = int(extra)
-    rows = order.join(plan.select("dataset", "n_samples"), "dataset").join(
+    rows = order.join(F.broadcast(plan.select("dataset", "n_samples")), "dataset").join(
         corpus.select("dataset", "doc_id", "tokens"), ["dataset", "doc_id"]
     )
     start, end = F.col("start"), F.col("start") + F.col("n_tokens")
@@ -287,8 +291,8 @@ def lm_columns(df: DataFrame, extra: bool = True, pad: int = -1) -> DataFrame:
     else:
         ids, labels = t, F.concat(F.slice(t, F.lit(2), n - 1), F.array(F.lit(pad)))
 
-    def unpad(a):
-        return F.transform(a, lambda v: F.when(v == pad, 0).otherwise(v))
+    def unpad(a):  # an array without padding is not gone through
+        return F.when(~F.array_contains(a, pad), a).otherwise(F.transform(a, lambda v: F.when(v == pad, 0).otherwise(v)))
 
     return (
         df.withColumn("__i", ids)
@@ -315,7 +319,9 @@ def ltor_columns(
     segment.  With ``pad`` the padding is masked in the loss as well.
     """
     t = F.col(column)
+    # most samples lie inside one document; only those that hold an end are gone through token by token
     ends = F.filter(F.transform(t, lambda v, i: F.when(v == eod, i + 1)), lambda e: e.isNotNull())
+    ends = F.when(~F.array_contains(t, eod), empty_ints()).otherwise(ends)
     edges = F.concat(F.array(F.lit(0)), ends, F.array(F.size(t)))
     spans = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), edges, lambda b, a: b - a)
     spans = F.filter(spans, lambda n: n > 0)  # per segment, so both columns cost O(tokens)
@@ -334,10 +340,15 @@ def ltor_columns(
             hit = hit | (v == pad)
         return F.when(hit, 0).otherwise(1)
 
+    marks = [eod] * mask_eod + [pad] * (pad is not None)
+    losses = F.transform(t, loss)
+    if marks:
+        none = reduce(and_, [~F.array_contains(t, mark) for mark in marks])
+        losses = F.when(none, F.array_repeat(F.lit(1), F.size(t))).otherwise(losses)
     return (
         out.withColumn("position_ids", positions if reset_positions else plain)
         .withColumn("segment_ids", segments if reset_attention else zero)
-        .withColumn("loss_mask", F.transform(t, loss))
+        .withColumn("loss_mask", losses)
         .drop("__s")
     )
 
