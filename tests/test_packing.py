@@ -202,3 +202,11 @@ def test_batch_hook_and_wrong_selections(spark):
     with pytest.raises(Exception, match="twice"):
         K.pack_with(df, "seq_id", 10, lambda t: [[0, 1], [1]], pack, "n int, longest bigint").collect()
     assert K.pack_with(df.limit(0), "seq_id", 10, by_two, pack, "n int, longest bigint").collect() == []
+
+
+def test_bins_of_sequences_without_masks(spark):
+    bins = spark.createDataFrame([(0, 0, 7), (0, 1, 8), (1, 0, 9)], "bin_id bigint, slot int, seq_id bigint")
+    df = spark.createDataFrame([(7, [1, 2], [True, False]), (8, [3], [True]), (9, [], [])], "seq_id bigint, tokens array<int>, generation_mask array<boolean>")
+    whole, bare = (P.assemble_bins(bins, d, 4, 0).orderBy("bin_id") for d in (df, df.drop("generation_mask")))
+    assert bare.collect() == whole.drop("loss_mask").collect()
+    assert [r["tokens"] for r in bare.collect()] == [[1, 2, 3, 0], [0, 0, 0, 0]]

@@ -178,14 +178,16 @@ def assemble_bins(
 ) -> DataFrame:
     """Packed rows from (seq_id, tokens, generation_mask): tokens, positions, loss mask, starts.
 
-    Groups hold at most one bin of tokens.
+    Groups hold at most one bin of tokens.  Sequences that come without a ``generation_mask`` give rows without a loss
+    mask; what a caller has no use for is then not moved twice with the tokens.
     """
+    masked = ["generation_mask"] * ("generation_mask" in df.columns)
     joined = bins.select("bin_id", "slot", "seq_id").join(
-        df.select("seq_id", "tokens", "generation_mask"), "seq_id"
+        df.select("seq_id", "tokens", *masked), "seq_id"
     )
     grouped = joined.groupBy("bin_id").agg(
         F.sort_array(
-            F.collect_list(F.struct("slot", "seq_id", "tokens", "generation_mask"))
+            F.collect_list(F.struct("slot", "seq_id", "tokens", *masked))
         ).alias("__m")
     )
 
@@ -199,7 +201,7 @@ def assemble_bins(
             F.filter(lengths, lambda n: n > 0), lambda n: F.sequence(F.lit(0), n - 1)
         )
     )
-    mask = F.transform(F.flatten(part("generation_mask")), lambda g: g.cast("int"))
+    masks = [F.transform(F.flatten(part(name)), lambda g: g.cast("int")) for name in masked]
 
     def fill(c, value):
         return F.concat(
@@ -212,7 +214,7 @@ def assemble_bins(
         lengths.alias("lengths"),
         fill(tokens, pad).alias("tokens"),
         fill(positions, 0).alias("position_ids"),
-        fill(mask, 0).alias("loss_mask"),
+        *[fill(mask, 0).alias("loss_mask") for mask in masks],
     )
 
 

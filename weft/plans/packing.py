@@ -332,7 +332,7 @@ def partition(t):
 )
 def unpack(t):
     placed = P.pack_nfd(fitting(t), BIN, MAX_SEQS)
-    rows = P.assemble_bins(placed, token_rows(t), BIN, 0)
+    rows = P.assemble_bins(placed, token_rows(t).drop("generation_mask"), BIN, 0)
     packed = rows.select(
         F.expr("bin_id % 4").alias("rank"),
         F.expr("bin_id div 4").alias("row"),
