@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from weft.llm import jaccard
+from weft.llm.arrow import gathered
 from weft.llm.components import components
 
 BLANKS = " \t\n\v\f\r"
@@ -200,3 +201,27 @@ def test_prefix_is_long_enough():
     for size, p in zip(n.tolist(), jaccard.prefix(n).tolist()):
         least = min(-(-75 * (size + other) // 175) for other in range(-(-75 * size // 100), size * 100 // 75 + 1))
         assert p >= size - least + 1
+
+
+def test_blocks_depend_on_the_texts_alone():
+    rng = random.Random(4)
+    texts = [rng.choice([None, "", "x" * rng.randint(1, 90), "y" * 400]) for _ in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    made = []
+    for step in (1, 7, 50, 299, 300):
+        batches = (rows.slice(i, step) for i in range(0, 300, step))
+        made.append([b.column("doc_id").to_pylist() for b in gathered(batches, "text", 200)])
+    assert all(m == made[0] for m in made) and len(made[0]) > 50 and sum(made[0], []) == list(range(300))
+    sizes = [[len(texts[i] or "") for i in block] for block in made[0]]
+    assert all(sum(s) <= 200 or sum(map(bool, s)) == 1 for s in sizes)
+
+
+def test_representatives_of_several_blocks_in_batches_by_bytes(spark, tmp_path):
+    """The set table carries a row number and the postings don't, so that batches cut by bytes differ between the scans."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(150, 350)))) for i in range(4000)]
+    docs += [(5000 + i, docs[i * 37][1]) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    left = jaccard.representatives(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == list(range(4000))

@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_jaccard import sets
 from tests.llm.test_pii import base
+from weft import session
 from weft.llm import pii, quality
 from weft.llm.encoding import default_path
 
@@ -126,3 +127,9 @@ def test_stages_that_leave_nothing_and_repeated_rows(spark, tmp_path):
         assert [r["doc_id"] for r in out] == ([7] if given else [])
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "PII", "best-fit packing"]
+
+
+def test_a_stage_called_alone_takes_batches_by_bytes(spark):
+    spark.conf.unset(session.BATCH_SETTING)
+    sizes = corpus_pipeline._sized(lambda spark, docs, folder: spark.conf.get(session.BATCH_SETTING))(spark, None, "")
+    assert sizes == str(session.BATCH_BYTES)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weft.llm import lengths, packing, tokenfile
+from weft.llm import encoding, lengths, packing, tokenfile
 from weft.llm.encoding import WordEncoder, default_path
 
 WORDS = ["The", "don't", "we'll", "x", "ÉTÉ", "über", "İstanbul", "ΣΑΣ", "日本語", "a1b2", "3.14", "...", "!!", "(ok)", "-", "'s", "<|endoftext|>", "|x|", "é́", "J̌", " ", "\t", "\x1c", "\r\n", "🙂", "ﬁ", "##a##", "'", "naïve,", " "]
@@ -54,6 +54,34 @@ def test_a_word_is_looked_up_once_in_all_its_spellings(tokenizer):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_worker_remembers_the_words_that_keep_coming_and_few_others(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED", 40)
+    encoder, given = WordEncoder(default_path()), []
+    letters = encoder._letters
+    encoder._letters = lambda pieces: given.extend(pieces) or letters(pieces)
+    for i in range(20):
+        rare = [f"x{chr(97 + i)}{chr(97 + j)}" for j in range(10)]
+        encoder.encode(pa.array([" ".join(["house", *rare, "q" * 300])]))
+        assert len(encoder.cores) <= 60 and max(map(len, encoder.cores.newer)) < 300
+    assert given.count("house") == 1 and given.count("xab") == 1
+
+
+def test_the_tokenizer_gets_a_bounded_number_of_words_in_a_call(tokenizer, monkeypatch):
+    monkeypatch.setattr(encoding, "CALL", 1000)
+    plain = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(2600)]
+    text = " ".join([*plain, *[f"{i}x" for i in range(2600)]])
+    encoder, sizes = WordEncoder(default_path()), []
+
+    class Spy:
+        def encode_batch_fast(self, pieces, **options):
+            sizes.append(sum(len(p.split()) for p in pieces))
+            return tokenizer.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Spy()
+    assert encoder.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(sizes) <= 1000 and sum(sizes) == 5200
+
+
 def frame(spark, rows, extra=True):
     if not extra:
         return spark.createDataFrame(rows, "doc_id bigint, text string")

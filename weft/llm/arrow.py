@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import pin, shared_dir
+from weft.session import small_batches as by_bytes
 
 #: Rows that travel together to a Python worker.
 BATCH_ROWS = 1_000
@@ -62,17 +63,21 @@ def slices(
 def gathered(
     batches: Iterator[pa.RecordBatch], column: str, limit: int
 ) -> Iterator[pa.RecordBatch]:
-    """Slices put together again up to ``limit`` bytes of text: one block of documents each."""
+    """The rows in blocks of ``limit`` bytes of text at most (a longer text stands with empty ones only).  Where a block ends
+    depends on the texts alone: other columns beside them may make Spark cut its batches elsewhere."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for part in slices(batches, column, limit):
-        n = int(pc.sum(pc.binary_length(part.column(column))).as_py() or 0)
-        if held and size + n > limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-        if part.num_rows:
-            held.append(part)
+    for batch in batches:
+        start = 0
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        for i, n in enumerate(lengths.to_numpy(zero_copy_only=False).tolist()):
+            if size and size + n > limit:
+                held.append(batch.slice(start, i - start))
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, start = [], 0, i
             size += n
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         del held
@@ -101,6 +106,7 @@ def small_batches(spark: SparkSession) -> None:
     """Rows of this package are whole texts, so a batch between Spark and its Python workers has few of
     them: ten thousand would be held several times over on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    by_bytes(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

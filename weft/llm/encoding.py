@@ -20,10 +20,11 @@ from weft.llm.arrow import ragged, words
 #: Punctuation cut from the ends of a word before it is looked up; none of it starts a contraction
 #: or a special token.
 EDGES = ".,!|&$%#*?;:()\"-"
-#: Distinct words that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
-#: Words encoded in one call.
-TOGETHER = 500
+#: Distinct strings of a kind that a worker remembers about, and the longest, in characters, that it does.
+REMEMBERED, LONGEST = 200_000, 64
+#: Words put together in one text, and strings encoded in one call: the tokenizer holds a call's tokens some hundred
+#: bytes each, and every thread of it keeps what it had.
+TOGETHER, CALL = 500, 4_000
 #: Letters below this code point have one form only, so normalisation leaves them alone.
 PLAIN = "ɏ"
 
@@ -34,6 +35,39 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """What was looked up lately, in two halves: when the newer one is full, the older one goes.  Words that keep
+    coming are carried over, so those of a few documents don't push them out."""
+
+    def __init__(self):
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.newer) + len(self.older)
+
+    def turn(self) -> None:
+        if len(self.newer) >= REMEMBERED // 2:
+            self.newer, self.older = {}, self.newer
+
+    def found(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The keys' values, and the places of those that have none."""
+        newer, older = self.newer, self.older
+        values, none = list(map(newer.get, keys)), []
+        for k, value in enumerate(values):
+            if value is None:
+                value = values[k] = older.get(keys[k])
+                if value is None:
+                    none.append(k)
+                else:
+                    newer[keys[k]] = value
+        return values, none
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= LONGEST:
+            self.newer[key] = value
+
+
 class WordEncoder:
     """Ids of texts, equal to the tokenizer's own ``encode(text, add_special_tokens=False)``."""
 
@@ -47,8 +81,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.known, self.cores = Recent(), Recent()
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -62,14 +95,16 @@ class WordEncoder:
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         """Any strings, as the tokenizer has them."""
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encode = self.tokenizer.encode_batch_fast
+        return [self._bytes(e.ids) for i in range(0, len(pieces), CALL) for e in encode(pieces[i : i + CALL], add_special_tokens=False)]
 
     def _letters(self, pieces: list[str]) -> list[bytes]:
         """Runs of letters: many in one call, cut where a run closes."""
         groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        encode, step = self.tokenizer.encode_batch_fast, CALL // TOGETHER
+        calls = (encode([" ".join(g) for g in groups[i : i + step]], add_special_tokens=False) for i in range(0, len(groups), step))
         out: list[bytes] = []
-        for group, e in zip(groups, coded):
+        for group, e in zip(groups, (e for call in calls for e in call)):
             ids = np.asarray(e.ids, dtype=self.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):
@@ -81,28 +116,31 @@ class WordEncoder:
 
     def _strings(self, pieces: list[str]) -> list[bytes]:
         """Ids, as bytes, of strings that go through the tokenizer as they stand."""
-        known = self.known
-        new = sorted({piece for piece in pieces if piece not in known})
-        if new:
-            known.update(zip(new, self._whole(new)))
-        return [known[piece] for piece in pieces]
+        coded, new = self.known.found(pieces)
+        fresh = sorted({pieces[k] for k in new})
+        made = dict(zip(fresh, self._whole(fresh)))
+        for piece, ids in made.items():
+            self.known.keep(piece, ids)
+        for k in new:
+            coded[k] = made[pieces[k]]
+        return coded
 
     def _cores(self, pieces: list[str]) -> list[bytes]:
         """Ids, as bytes, of distinct strings in small letters; none for one that isn't plain letters."""
-        coded = list(map(self.cores.get, pieces))
-        new = [k for k, ids in enumerate(coded) if ids is None]
+        coded, new = self.cores.found(pieces)
         low = [pieces[k].lower() for k in new]
         plain = list({v for v in low if v.isalpha() and (v.isascii() or max(v) <= PLAIN)})
         if new:
             known = dict(zip(plain, self._letters(plain)))
             for k, v in zip(new, low):
-                coded[k] = self.cores[pieces[k]] = known.get(v, b"")
+                coded[k] = known.get(v, b"")
+                self.cores.keep(pieces[k], coded[k])
         return coded
 
     def distinct(self, chunks: pa.Array) -> pa.Array:
         """Ids, as bytes, of strings without blanks: what is cut from their ends and what is left between."""
-        if len(self.known) + len(self.cores) > REMEMBERED:
-            self.known, self.cores = {"": b""}, {}
+        self.known.turn()
+        self.cores.turn()
         chunks = chunks.cast(pa.large_string())
         right = pc.utf8_rtrim(chunks, EDGES)
         inner = pc.utf8_ltrim(right, EDGES)

@@ -183,9 +183,11 @@ def dealt_postings(docs: DataFrame, ranges: int, width: int = WIDTH) -> DataFram
             if not order:
                 continue
             h = np.concatenate([first[name] for name in order])
-            place = np.repeat(np.arange(len(order)), [len(first[name]) for name in order])
+            place = np.repeat(np.arange(len(order), dtype=np.uint32), [len(first[name]) for name in order])
+            del first, sets
             by = np.argsort(h, kind="stable")
             h, place = h[by], place[by]
+            del by
             edge = np.searchsorted(h, np.array([(k << 48) // ranges for k in range(ranges + 1)], dtype=np.uint64))
             some = np.flatnonzero(np.diff(edge)).tolist()
             cols = list(zip(*((k, int(edge[k + 1] - edge[k]), block, seal(order), *_packed(h[edge[k] : edge[k + 1]], place[edge[k] : edge[k + 1]])) for k in some)))
