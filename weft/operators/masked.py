@@ -1,28 +1,32 @@
-"""Masked objectives as array expressions: sentence pairs, n-gram masking, span corruption, fill in the middle.
+"""Masked objectives by Arrow batches: sentence pairs, n-gram masking, span corruption; fill in the middle as array expressions.
 
 Every random choice is a draw named by (seed, sample, purpose, position), see :mod:`weft.functions.draws`, so
 samples need no walk of their own and come out alike in any partitioning.  Maskable positions are called
 places and are numbered without the special tokens; a word is a range of places, an n-gram a range of words.
-Choosing n-grams folds over the words of one sample in drawn order; the rest is slices between the changed
-positions, linear in the sample.  Only fill-in-the-middle with a tokenizer from outside goes through Python.
+The samples of a batch lie side by side as lines: their draws are hashed together, and choosing n-grams goes over
+the words of all lines in drawn order, one word of each line at a time.  Fill-in-the-middle with a tokenizer from
+outside goes through Python sample by sample.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from weft.functions.draws import below, bind, choice, coins, draw, draw_at, draws_of, number, plain_draw, plain_number, reached, shuffled, steps, upto
+from weft.functions.draws import below, bind, draw, number, plain_draw, plain_draws, plain_number, steps, upto
 
 GEOMETRIC = 0.2  # fixed value of the published span masking
 #: Shares of masked positions that become the mask token, and that become it or another token; fixed values.
 MASKED, CHANGED = 0.8, 0.9
-RANGES = "array<struct<from:int,to:int>>"
-INTS = "array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -58,103 +62,187 @@ class MaskConfig:
         return steps(weights)
 
 
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
-
-
-
-def _words(tokens: Column, cfg: MaskConfig) -> Callable:
-    """Calls its argument with ``tokens``, ``places`` (positions) and ``bounds``: word w covers the places from
-    bounds[w] to bounds[w + 1] - 1."""
-
-    def with_places(body):
-        ordinary = lambda v: F.filter(upto(F.size(v["tokens"])), lambda i: ~v["tokens"][i].isin(cfg.cls, cfg.sep))
-        return bind(F.struct(tokens.alias("tokens")), lambda v: bind(F.struct(v["tokens"].alias("tokens"), ordinary(v).alias("places")), with_bounds(body)))
-
-    def with_bounds(body):
-        def inner(v):
-            every = upto(F.size(v["places"]))
-            if cfg.whole_words and cfg.continuations:
-                continued = sorted(cfg.continuations)
-                whole = len(continued) == continued[-1] - continued[0] + 1
-                inside = lambda t: t.between(continued[0], continued[-1]) if whole else t.isin(*continued)
-                starts = F.filter(every, lambda j: (j == 0) | ~inside(v["tokens"][v["places"][j]]))
-            else:
-                starts = every
-            bounds = F.concat(starts, F.array(F.size(v["places"])))
-            return bind(F.struct(v["tokens"].alias("tokens"), v["places"].alias("places"), bounds.alias("bounds")), body)
-
-        return inner
-
-    return with_places
-
-
-def _pick(v: Column, budget: Column, taken: Column | None, idx: Column, tag: str, cfg: MaskConfig, geometric: bool) -> Column:
-    """Ranges of places: n-grams in drawn order that fit the budget and touch no earlier one, sorted.
-
-    A drawn size shrinks until it fits; ``taken`` are ranges that may not be touched either.
-    """
-    last = F.size(v["bounds"]) - 1
-    ends = cfg.size_ends(geometric)
-
-    def candidates(named):
-        # the draw and the word in one text: texts sort far faster than structs
-        return F.sort_array(F.transform(upto(last), lambda w: F.concat(draw_at(named, w), w.cast("string"))))
-
-    def step(s, c):
-        room = budget - s["used"]
-
-        def sized(x):
-            stop = F.lit(None).cast("int")
-            for n in range(1, cfg.max_ngram + 1):  # the greatest size that fits comes last and stays
-                at = v["bounds"][F.least(x["w"] + n, last)]
-                stop = F.when((x["drawn"] >= n) & (at - x["start"] <= room), at).otherwise(stop)
-            return bind(stop, lambda stop: tried(x["start"], stop))
-
-        def tried(start, stop):
-            clash = lambda r: (r["from"] < stop) & (start < r["to"])
-            free = stop.isNotNull() & ~F.exists(s["ranges"], clash)
-            free = free if taken is None else free & ~F.exists(taken, clash)
-            longer = F.struct(
-                (s["used"] + stop - start).alias("used"),
-                F.array_append(s["ranges"], F.struct(start.alias("from"), stop.alias("to"))).alias("ranges"),
-            )
-            return F.when(free, longer).otherwise(s)
-
-        word = F.substring(c, 33, 10).cast("int")
-        found = bind(word, lambda w: F.struct(choice(c, ends, 1).alias("drawn"), w.alias("w"), v["bounds"][w].alias("start")))
-        return F.when(room < 1, s).otherwise(bind(found, sized))  # an n-gram has a place at least
-
-    start = F.struct(F.lit(0).alias("used"), _empty(RANGES).alias("ranges"))
-    ordered = bind(draws_of(cfg.seed, F.lit(tag), idx), candidates)
-    return F.sort_array(F.aggregate(ordered, start, step)["ranges"])
-
-
-def _budget(n: Column, target: Column, cfg: MaskConfig) -> Column:
-    share = F.lit(float(cfg.probability))
-    return F.least(target * share, F.greatest(F.lit(1.0), F.bround(n * share, 0)))
-
-
-def _covered(places: Column, ranges: Column) -> Column:
-    """The positions of the places in the ranges."""
-    return F.flatten(F.transform(ranges, lambda r: F.slice(places, r["from"] + 1, r["to"] - r["from"])))
-
-
-def _patched(base: Column, changes: Column, field: str) -> Column:
-    """``base`` with the changed positions replaced; ``changes`` is sorted by ``p``."""
-
-    def patched(v):
-        n = F.size(changes)
-
-        def piece(i):
-            after = F.when(i > 0, changes[i - 1]["p"] + 1).otherwise(F.lit(0))
-            at = F.when(i < n, changes[i]["p"]).otherwise(F.size(v))
-            own = F.when(i < n, F.array(changes[i][field])).otherwise(_empty(INTS))
-            return F.concat(F.slice(v, after + 1, at - after), own)
-
-        return F.flatten(F.transform(upto(n + 1), piece))
-
-    return bind(base, patched)
+#: Cells (rows by the longest of them) worked on at once.
+CELLS = 1 << 18
+
+
+def _heads(seed: int, tag: str, names: list[str | None]) -> list[str]:
+    """What names the draws of (seed, tag, sample) and one more key, see :func:`weft.functions.draws.plain_draws`."""
+    return [f"{seed}|{tag}|" if n is None else f"{seed}|{tag}|{n}|" for n in names]
+
+
+def _lists(array: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(ends with a leading 0, values) of a list array, which may be a slice."""
+    offsets = np.asarray(array.offsets, np.int64)
+    return offsets - offsets[0], array.flatten()
+
+
+def _numbers(array: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
+    """(values, which are null) of an array of whole numbers."""
+    if not array.null_count:
+        return array.to_numpy(zero_copy_only=False).astype(np.int64), None
+    return array.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), array.is_null().to_numpy(zero_copy_only=False)
+
+
+def _targets(target: pa.Array) -> np.ndarray:
+    """Targets as doubles; a missing one is no limit."""
+    return target.cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[slice]:
+    """Stretches of rows of bounded rows times longest row, a row at least."""
+    first = widest = 0
+    for i, n in enumerate(sizes.tolist()):
+        widest = max(widest, n)
+        if i > first and widest * (i + 1 - first) > CELLS:
+            yield slice(first, i)
+            first, widest = i, n
+    if len(sizes) > first:
+        yield slice(first, len(sizes))
+
+
+def _ragged(lengths: np.ndarray, values: np.ndarray, blank: np.ndarray | None = None, absent: np.ndarray | None = None) -> pa.ListArray:
+    """A list array from the values of all rows, the nulls among them and the rows that are null."""
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    items = pa.array(values, pa.int64(), mask=blank)
+    return pa.ListArray.from_arrays(pa.array(ends), items, mask=None if absent is None else pa.array(absent))
+
+
+class _Lines:
+    """The samples of a block side by side: a line of tokens each, of ``sizes`` tokens and filled up to the longest."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, blank: np.ndarray | None, names: list[str | None], target: np.ndarray, cfg: MaskConfig):
+        self.tokens, self.sizes, self.blank, self.names, self.cfg = tokens, sizes, blank, names, cfg
+        plain = (np.arange(tokens.shape[1]) < sizes[:, None]) & (tokens != cfg.cls) & (tokens != cfg.sep)
+        if blank is not None:
+            plain &= ~blank
+        #: places: their line and position, in order
+        self.row, self.at = np.nonzero(plain)
+        self.n_places = plain.sum(axis=1)
+        self.begun = np.cumsum(self.n_places) - self.n_places
+        starts = np.ones(len(self.row), bool)
+        if cfg.whole_words and cfg.continuations:
+            starts = ~np.isin(tokens[self.row, self.at], sorted(cfg.continuations))
+            starts[self.begun[self.n_places > 0]] = True
+        self.n_words = np.bincount(self.row[starts], minlength=len(sizes))
+        before = np.cumsum(self.n_words) - self.n_words
+        #: the word of a place, numbered in its line
+        self.word = np.cumsum(starts) - 1 - before[self.row]
+        #: word w covers the places from bounds[w] to bounds[w + 1] - 1; behind the last word comes the number of places
+        self.width = int(self.n_words.max(initial=0))
+        self.bounds = np.repeat(self.n_places[:, None], self.width + cfg.max_ngram + 1, axis=1)
+        self.bounds[self.row[starts], self.word[starts]] = np.flatnonzero(starts) - self.begun[self.row[starts]]
+        share = float(cfg.probability)
+        self.budget = np.minimum(target * share, np.maximum(1.0, np.rint(sizes * share)))
+
+    def pick(self, tag: str, taken: np.ndarray | None, geometric: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(length of the n-gram that begins at a word, whether a word is covered): n-grams in drawn order that fit the
+        budget and touch no earlier one, nor a word of ``taken``.  A drawn size shrinks until it fits."""
+        cfg, rows, width = self.cfg, len(self.sizes), self.width
+        spans, covered = np.zeros((rows, width), np.int64), np.zeros((rows, width + cfg.max_ngram), bool)
+        if not width:
+            return spans, covered
+        here = np.arange(width) < self.n_words[:, None]
+        line, word = np.nonzero(here)
+        drawn = plain_draws(_heads(cfg.seed, tag, self.names), line, word)
+        size = np.ones((rows, width), np.int64)
+        for end in cfg.size_ends(geometric):
+            size[here] += drawn[1] >= end
+        order = self._order(tag, here, word, drawn)
+        lost = covered if taken is None else taken.copy()
+        used, active = np.zeros(rows, np.int64), np.arange(rows)
+        for k in range(width):
+            # an n-gram has a place at least
+            active = active[(self.n_words[active] > k) & (self.budget[active] - used[active] >= 1)]
+            if not len(active):
+                break
+            w = order[active, k]
+            begin, room, wanted = self.bounds[active, w], self.budget[active] - used[active], size[active, w]
+            n = np.zeros(len(active), np.int64)
+            for g in range(1, cfg.max_ngram + 1):
+                n[(wanted >= g) & (self.bounds[active, w + g] - begin <= room)] = g
+            free = n > 0
+            for g in range(cfg.max_ngram):
+                free &= ~((n > g) & lost[active, w + g])
+            line, w, n, begin = active[free], w[free], n[free], begin[free]
+            for g in range(cfg.max_ngram):
+                lost[line[n > g], w[n > g] + g] = True
+                covered[line[n > g], w[n > g] + g] = True
+            used[line] += self.bounds[line, w + n] - begin
+            spans[line, w] = n
+        return spans, covered
+
+    def _order(self, tag: str, here: np.ndarray, word: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """The words of every line in the order of their draws, the missing ones last."""
+        bits = self.width.bit_length()
+        low = np.uint64((1 << bits) - 1)
+        keys = np.full(here.shape, np.iinfo(np.uint64).max)
+        keys[here] = (((drawn[0].astype(np.uint64) << np.uint64(32)) | drawn[1]) & ~low) | word.astype(np.uint64)
+        keys.sort(axis=1)
+        order = (keys & low).astype(np.int64)
+        # the word stands in the last bits of the draw: draws that agree in all others are compared whole
+        close = (keys[:, 1:] >> np.uint64(bits) == keys[:, :-1] >> np.uint64(bits)) & here[:, 1:]
+        for i in np.flatnonzero(close.any(axis=1)).tolist():
+            head = _heads(self.cfg.seed, tag, [self.names[i]])[0]
+            n = int(self.n_words[i])
+            order[i, :n] = sorted(range(n), key=lambda w: hashlib.md5(f"{head}{w}".encode()).hexdigest() + str(w))
+        return order
+
+    def positions(self, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, position) of the places of covered words, in order."""
+        hit = covered[self.row, self.word]
+        return self.row[hit], self.at[hit]
+
+    def masked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, labels, changed, spans): the tokens after masking; what stood where ``changed`` says so; the n-grams."""
+        cfg = self.cfg
+        spans, covered = self.pick("mask", None, cfg.geometric)
+        line, at = self.positions(covered)
+        text, labels, changed = self.tokens.copy(), np.full(self.tokens.shape, -1, np.int64), np.zeros(self.tokens.shape, bool)
+        if cfg.always_mask:
+            text[line, at] = cfg.mask
+        else:
+            d = plain_draws(_heads(cfg.seed, "fate", self.names), line, at).astype(np.int64)
+            other = np.where(d[0] < below(CHANGED), d[1] % cfg.vocab, self.tokens[line, at])
+            text[line, at] = np.where(d[0] < below(MASKED), cfg.mask, other)
+        changed[line, at] = True
+        if cfg.permute:
+            line, at = self.positions(self.pick("move", covered, False)[1])
+            d = plain_draws(_heads(cfg.seed, "swap", self.names), line, at)
+            text[line, at] = self.tokens[line, at[np.lexsort((at, d[3], d[2], d[1], d[0], line))]]
+            changed[line, at] = True
+        labels[changed] = self.tokens[changed]
+        return text, labels, changed, spans
+
+    def ranges(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, from, to) of n-grams as ranges of places, in order."""
+        line, word = np.nonzero(spans)
+        return line, self.bounds[line, word], self.bounds[line, word + spans[line, word]]
+
+
+def _token_lines(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, blank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Tokens (and which are null) of stretches of ``flat``, a line each, zeros behind."""
+    lines = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    here = np.arange(lines.shape[1]) < sizes[:, None]
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    lines[here] = flat[at]
+    if blank is None:
+        return lines, None
+    gone = np.zeros(lines.shape, bool)
+    gone[here] = blank[at]
+    return lines, gone
+
+
+def _in_blocks(sizes: np.ndarray, schema: str, build: Callable[[slice], pa.StructArray]) -> pa.Array:
+    """The struct arrays of all stretches of rows as one."""
+    made = [build(block) for block in _blocks(sizes)]
+    return pa.concat_arrays(made) if made else pa.array([], to_arrow_type(StructType.fromDDL(schema)))
+
+
+CHANGED_TEXT = (
+    "tokens array<bigint>, text array<bigint>, changes array<struct<p:int,token:bigint,label:bigint>>, places array<int>, "
+    "spans array<struct<from:int,to:int>>"
+)
 
 
 def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) -> Column:
@@ -164,152 +252,196 @@ def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) ->
     ``spans`` the chosen n-grams as ranges of ``places``.
     """
 
-    def chosen(v):
-        budget = _budget(F.size(v["tokens"]), target, cfg)
-        return bind(budget, lambda b: bind(_pick(v, b, None, idx, "mask", cfg, cfg.geometric), lambda s: changed(v, s, b)))
-
-    def fate(v, p):
-        original = v["tokens"][p]
-        if cfg.always_mask:
-            return F.lit(cfg.mask).cast("bigint")
-        by = lambda d: (
-            F.when(~reached(d, below(MASKED)), F.lit(cfg.mask).cast("bigint"))
-            .when(~reached(d, below(CHANGED)), number(d, 1) % cfg.vocab)
-            .otherwise(original)
-        )
-        return bind(draw(cfg.seed, F.lit("fate"), idx, p), by)
-
-    def changed(v, spans, budget):
-        masked = F.transform(
-            _covered(v["places"], spans),
-            lambda p: F.struct(p.alias("p"), fate(v, p).alias("token"), v["tokens"][p].alias("label")),
-        )
-        if not cfg.permute:
-            return bind(masked, lambda c: result(v, spans, c))
-        moved = _covered(v["places"], _pick(v, budget, spans, idx, "move", cfg, False))
-
-        def swapped(m):
-            return F.transform(
-                upto(F.size(m["to"])),
-                lambda i: F.struct(
-                    m["to"][i].alias("p"), v["tokens"][m["from"][i]].alias("token"), v["tokens"][m["to"][i]].alias("label")
-                ),
+    @F.arrow_udf(f"struct<{CHANGED_TEXT}>")
+    def run(tokens: pa.Array, target: pa.Array, idx: pa.Array) -> pa.Array:
+        ends, flat = _lists(tokens)
+        (values, blank), sizes, names, aims = _numbers(flat), np.diff(ends), idx.to_pylist(), _targets(target)
+        absent = tokens.is_null().to_numpy(zero_copy_only=False)
+
+        def block(b: slice) -> pa.StructArray:
+            cells, gone = _token_lines(ends[:-1][b], sizes[b], values, blank)
+            lines = _Lines(cells, sizes[b], gone, names[b], aims[b], cfg)
+            text, labels, changed, spans = lines.masked()
+            here = np.arange(cells.shape[1]) < sizes[b][:, None]
+            line, begin, end = lines.ranges(spans)
+            at = np.nonzero(changed)
+            lists = lambda n, items: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), items)
+            changes = [pa.array(at[1], pa.int32()), pa.array(text[at], pa.int64()), pa.array(labels[at], pa.int64())]
+            ranges = [pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
+            nulls = None if gone is None else gone[here]
+            return pa.StructArray.from_arrays(
+                [
+                    _ragged(sizes[b], cells[here], nulls, absent[b]),
+                    _ragged(sizes[b], text[here], nulls, absent[b]),
+                    lists(changed.sum(axis=1), pa.StructArray.from_arrays(changes, ["p", "token", "label"])),
+                    lists(lines.n_places, pa.array(lines.at, pa.int32())),
+                    lists(np.bincount(line, minlength=len(sizes[b])), pa.StructArray.from_arrays(ranges, ["from", "to"])),
+                ],
+                ["tokens", "text", "changes", "places", "spans"],
             )
 
-        both = bind(moved, lambda m: F.struct(m.alias("to"), shuffled(m, cfg.seed, F.lit("swap"), idx).alias("from")))
-        return bind(bind(both, lambda m: F.sort_array(F.concat(masked, swapped(m)))), lambda c: result(v, spans, c))
-
-    def result(v, spans, changes):
-        return F.struct(
-            v["tokens"].alias("tokens"),
-            _patched(v["tokens"], changes, "token").alias("text"),
-            changes.alias("changes"),
-            v["places"].alias("places"),
-            spans.alias("spans"),
-        )
+        return _in_blocks(sizes, CHANGED_TEXT, block)
 
-    return _words(tokens.cast(INTS), cfg)(chosen)
+    return run(tokens, target, idx.cast("string"))
 
 
 def _once(df: DataFrame, value: Column) -> DataFrame:
     """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression.
 
-    Rows cost far more time than bytes here: there is a task for each shuffle partition, which a coalescing by bytes would fold
+    Rows cost more time than bytes here: there is a task for each shuffle partition, which a coalescing by bytes would fold
     together.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, "idx").select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
 
 
-def _padded(values: Column, length: int, fill: int) -> Column:
-    """Up to ``length`` with ``fill``; longer is an error."""
-    error = F.raise_error(F.lit("sample longer than the sequence length")).cast(INTS)
-    filled = lambda v: F.concat(v, F.array_repeat(F.lit(fill).cast("bigint"), F.lit(length) - F.size(v)))
-    return bind(values, lambda v: F.when(F.size(v) > length, error).otherwise(filled(v)))
+def _padded(values: np.ndarray, sizes: np.ndarray, length: int, fill: int) -> np.ndarray:
+    """Lines cut or filled up to ``length`` with ``fill`` from their size on; a longer one is an error."""
+    if (sizes > length).any():
+        raise ValueError("sample longer than the sequence length")
+    out = np.full((len(sizes), length), fill, np.int64)
+    width = min(length, values.shape[1])
+    np.copyto(out[:, :width], values[:, :width], where=np.arange(width) < sizes[:, None])
+    return out
 
 
-def _zeroed(values: Column, pad: int) -> Column:
-    return F.transform(values, lambda t: F.when(t == pad, F.lit(0).cast("bigint")).otherwise(t))
+def _zeroed(values: np.ndarray, pad: int) -> np.ndarray:
+    return np.where(values == pad, 0, values)
 
 
-def pair_tokens(sentences: Column, target: Column, idx: Column, cfg: MaskConfig) -> Column:
-    """struct(a, b, swapped, truncated): cut at a drawn pivot, swapped by a coin, trimmed from drawn ends.
+class _Pairs:
+    """Two parts of every sample as stretches of one array: cut at a drawn pivot, swapped by a coin, trimmed from drawn ends.
 
     The longer part is trimmed until both are equal, then the second and the first take turns.
     """
-    n = F.size(sentences)
 
-    def parts(d):
+    def __init__(self, sentences: pa.ListArray, names: list[str | None], target: np.ndarray, cfg: MaskConfig):
+        of_row, inner = _lists(sentences)
+        ends, flat = _lists(inner)
+        self.flat, self.blank = _numbers(flat)
+        rows, n = len(names), np.diff(of_row)
+        absent = sentences.is_null().to_numpy(zero_copy_only=False)
+        self.swapped, pivot = np.zeros(rows, np.int64), n
+        if cfg.classify:
+            texts = [f"{cfg.seed}|pair" if name is None else f"{cfg.seed}|pair|{name}" for name in names]
+            draws = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in texts), ">u4").reshape(-1, 4).astype(np.int64)
+            if (n[~absent] < 2).any():
+                raise ValueError("a pair needs at least two sentences")
+            pivot = np.where(n >= 3, 1 + draws[:, 0] % np.maximum(n - 1, 1), 1)
+            self.swapped = (draws[:, 1] % 2 == 0).astype(np.int64)
+        start, end = of_row[:-1], of_row[1:]
+        middle = np.minimum(start + pivot, end)
+        # a part with a missing sentence is missing; with the first part the whole sample is
+        missing = np.concatenate(([0], np.cumsum(inner.is_null().to_numpy(zero_copy_only=False))))
+        lost_first, lost_second = absent | (missing[middle] > missing[start]), absent | (missing[end] > missing[middle])
+        swap = lambda x, y: (np.where(self.swapped == 1, y, x), np.where(self.swapped == 1, x, y))
+        self.a, self.b = swap(ends[start], ends[middle])
+        na, nb = swap(ends[middle] - ends[start], ends[end] - ends[middle])
         if not cfg.classify:
-            return F.struct(F.flatten(sentences).cast(INTS).alias("a"), _empty(INTS).alias("b"), F.lit(0).alias("swapped"))
-        pivot = F.when(n >= 3, 1 + number(d) % (n - 1)).when(n == 2, F.lit(1))
-        pivot = F.when(n < 2, F.raise_error(F.lit("a pair needs at least two sentences")).cast("int")).otherwise(pivot).cast("int")
-        heads = number(d, 1) % 2 == 0
-
-        def cut(at):
-            first, second = F.flatten(F.slice(sentences, 1, at)).cast(INTS), F.flatten(F.slice(sentences, at + 1, n)).cast(INTS)
-            return F.struct(
-                F.when(heads, second).otherwise(first).alias("a"),
-                F.when(heads, first).otherwise(second).alias("b"),
-                heads.cast("int").alias("swapped"),
-            )
+            lost_second = np.zeros(rows, bool)
+        self.absent, lost_b = swap(lost_first, lost_second)
+        na, nb = np.where(self.absent, 0, na), np.where(self.absent | lost_b, 0, nb)
+        # what has no target or misses a part is not trimmed
+        whole = self.absent | lost_b | np.isinf(target)
+        excess = np.maximum(na + nb - np.where(whole, na + nb, target).astype(np.int64), 0)
+        lead, a_leads = np.minimum(np.abs(na - nb), excess), na > nb
+        a_front, b_front = self._fronts(excess, lead, a_leads, names, cfg)
+        a_all = np.where(a_leads, lead, 0) + ((excess - lead) >> 1)
+        self.a, self.b, self.na, self.nb = self.a + a_front, self.b + b_front, na - a_all, nb - (excess - a_all)
+        self.truncated = (excess > 0).astype(np.int64)
+
+    @staticmethod
+    def _fronts(excess: np.ndarray, lead: np.ndarray, a_leads: np.ndarray, names: list[str | None], cfg: MaskConfig) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens leave the front of the first and of the second part: a coin for each, 32 in a draw."""
+        a_front, b_front = np.zeros(len(excess), np.int64), np.zeros(len(excess), np.int64)
+        some = np.flatnonzero(excess > 0)
+        for part in _blocks(excess[some]):
+            rows = some[part]
+            n = -(-excess[rows] // 32)
+            line = np.repeat(np.arange(len(rows)), n)
+            block = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            d = plain_draws(_heads(cfg.seed, "trim", [names[i] for i in rows.tolist()]), line, block)
+            turns = np.arange(28, -1, -4, dtype=np.uint32)
+            coins = (((d.T[:, :, None] >> turns) & 15) < 8).reshape(len(line), 32)
+            k = block[:, None] * 32 + np.arange(32)
+            ahead = lead[rows][line][:, None]
+            of_a = np.where(k < ahead, a_leads[rows][line][:, None], (k - ahead) % 2 == 1)
+            heads = coins & (k < excess[rows][line][:, None])
+            a_front[rows] = np.bincount(line, (heads & of_a).sum(axis=1), len(rows)).astype(np.int64)
+            b_front[rows] = np.bincount(line, (heads & ~of_a).sum(axis=1), len(rows)).astype(np.int64)
+        return a_front, b_front
+
+    def lines(self, b: slice, cfg: MaskConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(tokens, sizes, nulls) of ``[CLS] A [SEP] B [SEP]``, a line each."""
+        na, nb = self.na[b], self.nb[b]
+        sizes = na + 2 + np.where(nb > 0, nb + 1, 0)
+        line, k = np.arange(len(na)), np.arange(int(sizes.max(initial=0)))
+        second = k > na[:, None] + 1
+        inside = np.where(second, k - na[:, None] - 2 < nb[:, None], (k > 0) & (k <= na[:, None]))
+        at = np.where(second, self.b[b][:, None] + k - na[:, None] - 2, self.a[b][:, None] + k - 1)
+        tokens = np.full(inside.shape, cfg.sep, np.int64)
+        tokens[inside] = self.flat[at[inside]]
+        tokens[line, 0] = cfg.cls
+        if self.blank is None:
+            return tokens, sizes, None
+        gone = np.zeros(inside.shape, bool)
+        gone[inside] = self.blank[at[inside]]
+        return tokens, sizes, gone
+
+
+BERT = (
+    "text array<bigint>, types array<bigint>, labels array<bigint>, is_random int, padding_mask array<bigint>, loss_mask array<bigint>, "
+    "truncated int"
+)
+
 
-        return bind(pivot, cut)
-
-    def trimmed(s):
-        na, nb = F.size(s["a"]), F.size(s["b"])
-        excess = F.greatest((na + nb - target).cast("int"), F.lit(0))
-        lead, a_leads = F.least(F.abs(na - nb), excess), na > nb
-
-        def cut(c):
-            heads = lambda text: F.length(F.translate(text, "89abcdef", ""))
-            begin, rest = F.substring(c["coins"], 1, c["lead"]), F.substring(c["coins"], c["lead"] + 1, c["n"] - c["lead"])
-            turns_b, turns_a = F.regexp_replace(rest, "(.).?", "$1"), F.regexp_replace(rest, ".(.?)", "$1")
-            a_front = F.when(a_leads, heads(begin)).otherwise(F.lit(0)) + heads(turns_a)
-            b_front = F.when(a_leads, F.lit(0)).otherwise(heads(begin)) + heads(turns_b)
-            a_all = F.when(a_leads, c["lead"]).otherwise(F.lit(0)) + F.shiftright(c["n"] - c["lead"], 1)
-            return F.struct(
-                F.slice(s["a"], a_front + 1, na - a_all).alias("a"),
-                F.slice(s["b"], b_front + 1, nb - (c["n"] - a_all)).alias("b"),
-                s["swapped"].alias("swapped"),
-                (c["n"] > 0).cast("int").alias("truncated"),
+def bert_samples(df: DataFrame, cfg: MaskConfig) -> DataFrame:
+    """Masked pairs from (idx, sentences array<array<int>>, target): ``[CLS] A [SEP] B [SEP]``, masked and padded."""
+
+    @F.arrow_udf(f"struct<{BERT}>")
+    def run(idx: pa.Array, sentences: pa.Array, target: pa.Array) -> pa.Array:
+        names, aims = idx.to_pylist(), _targets(target)
+        pairs = _Pairs(sentences, names, aims, cfg)
+
+        def block(b: slice) -> pa.StructArray:
+            tokens, sizes, gone = pairs.lines(b, cfg)
+            text, labels, changed, _ = _Lines(tokens, sizes, gone, names[b], aims[b], cfg).masked()
+            k, absent = np.arange(cfg.length), pairs.absent[b]
+            types = np.where(k < pairs.na[b][:, None] + 2, 0, np.where(k < sizes[:, None], 1, cfg.pad))
+            full = lambda values, nulls=None: _ragged(np.full(len(sizes), cfg.length), values.reshape(-1), nulls, absent)
+            nulls = None if gone is None else _padded(gone, sizes, cfg.length, 0).astype(bool).reshape(-1)
+            unseen = np.where(text == cfg.pad, cfg.pad, 1)
+            if gone is not None:
+                unseen[gone] = 1
+            number = lambda values: pa.array(values, pa.int32())
+            return pa.StructArray.from_arrays(
+                [
+                    full(_padded(_zeroed(text, cfg.pad), sizes, cfg.length, 0), nulls),
+                    full(types),
+                    full(_zeroed(_padded(labels, sizes, cfg.length, -1), cfg.pad)),
+                    number(pairs.swapped[b]),
+                    full(_padded(unseen, sizes, cfg.length, cfg.pad)),
+                    full(_padded(changed, sizes, cfg.length, 0)),
+                    number(pairs.truncated[b]),
+                ],
+                ["text", "types", "labels", "is_random", "padding_mask", "loss_mask", "truncated"],
             )
 
-        return bind(F.struct(excess.alias("n"), lead.alias("lead"), coins(cfg.seed, excess, F.lit("trim"), idx).alias("coins")), cut)
+        return _in_blocks(pairs.na + pairs.nb + 3, BERT, block)
 
-    return bind(bind(draw(cfg.seed, F.lit("pair"), idx), parts), trimmed)
+    return _once(df, run(F.col("idx").cast("string"), F.col("sentences"), F.col("target")))
 
 
-def bert_samples(df: DataFrame, cfg: MaskConfig) -> DataFrame:
-    """Masked pairs from (idx, sentences array<array<int>>, target): ``[CLS] A [SEP] B [SEP]``, masked and padded."""
-    idx, target = F.col("idx"), F.col("target")
-    special = lambda i: F.array(F.lit(i).cast("bigint"))
-    repeat = lambda x, n: F.array_repeat(F.lit(x).cast("bigint"), n)
-
-    def joined(s):
-        two = F.size(s["b"]) > 0
-        tokens = F.concat(special(cfg.cls), s["a"], special(cfg.sep), F.when(two, F.concat(s["b"], special(cfg.sep))).otherwise(_empty(INTS)))
-        types = F.concat(repeat(0, F.size(s["a"]) + 2), repeat(1, F.when(two, F.size(s["b"]) + 1).otherwise(F.lit(0))))
-        return bind(mask_ngrams(tokens, target, idx, cfg), lambda m: finished(s, m, types))
-
-    def finished(s, m, types):
-        size = F.size(m["tokens"])
-        marks = F.transform(m["changes"], lambda c: F.struct(c["p"].alias("p"), c["label"].alias("label"), F.lit(1).cast("bigint").alias("one")))
-        kept = F.transform(m["text"], lambda t: F.when(t == cfg.pad, F.lit(cfg.pad)).otherwise(F.lit(1)).cast("bigint"))
-        return bind(
-            marks,
-            lambda c: F.struct(
-                _padded(_zeroed(m["text"], cfg.pad), cfg.length, 0).alias("text"),
-                _padded(types, cfg.length, cfg.pad).alias("types"),
-                _zeroed(_padded(_patched(repeat(-1, size), c, "label"), cfg.length, -1), cfg.pad).alias("labels"),
-                s["swapped"].alias("is_random"),
-                _padded(kept, cfg.length, cfg.pad).alias("padding_mask"),
-                _padded(_patched(repeat(0, size), c, "one"), cfg.length, 0).alias("loss_mask"),
-                s["truncated"].alias("truncated"),
-            ),
-        )
-
-    return _once(df, bind(pair_tokens(F.col("sentences"), target, idx, cfg), joined))
+SPANS = (
+    "text_enc array<bigint>, text_dec array<bigint>, labels array<bigint>, loss_mask array<bigint>, truncated int, enc_mask array<bigint>, "
+    "dec_mask array<bigint>"
+)
+
+
+def _in_lines(row: np.ndarray, values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes): a line for each row, of the values in their order."""
+    sizes = np.bincount(row, minlength=rows)
+    return _token_lines(np.cumsum(sizes) - sizes, sizes, values, None)[0], sizes
 
 
 def span_corrupt(
@@ -317,45 +449,69 @@ def span_corrupt(
 ) -> DataFrame:
     """Span corruption of (idx, tokens, target): sentinels in place of the chosen n-grams for the encoder, the n-grams
     behind their sentinels for the decoder."""
-    always = replace(cfg, always_mask=True, permute=False)
-    idx, target = F.col("idx"), F.col("target").cast("int")
-    names = F.array(*[F.lit(s).cast("bigint") for s in sentinels])
-    one = lambda x: F.array(F.lit(x).cast("bigint"))
-    ones = lambda a, fill: F.transform(a, lambda t: (t != fill).cast("bigint"))
-
-    def corrupted(m):
-        n = F.size(m["spans"])
-        spot = lambda i, side: m["places"][m["spans"][i][side]]
-        last = lambda i: m["places"][m["spans"][i]["to"] - 1]
-
-        def kept(i):
-            after = F.when(i > 0, last(i - 1) + 1).otherwise(F.lit(0))
-            at = F.when(i < n, spot(i, "from")).otherwise(F.size(m["tokens"]))
-            return F.concat(F.slice(m["tokens"], after + 1, at - after), F.when(i < n, F.array(names[i])).otherwise(_empty(INTS)))
-
-        def told(i):
-            own = F.slice(m["places"], m["spans"][i]["from"] + 1, m["spans"][i]["to"] - m["spans"][i]["from"])
-            return F.concat(F.array(names[i]), F.transform(own, lambda p: m["tokens"][p]))
-
-        enough = F.when(n > len(sentinels), F.raise_error(F.lit("more masked spans than sentinel tokens")).cast("int")).otherwise(n)
-        return bind(
-            F.struct(F.flatten(F.transform(upto(enough + 1), kept)).alias("enc"), F.flatten(F.transform(upto(n), told)).alias("told")), finished
-        )
-
-    def finished(s):
-        dec, labels = F.concat(one(bos), s["told"]), F.concat(s["told"], one(eos))
-        return F.struct(
-            _padded(_zeroed(s["enc"], cfg.pad), cfg.length, 0).alias("text_enc"),
-            _padded(_zeroed(dec, cfg.pad), decoder_length, 0).alias("text_dec"),
-            _padded(_zeroed(labels, cfg.pad), decoder_length, 0 if cfg.pad == -1 else -1).alias("labels"),
-            _padded(F.transform(dec, lambda t: F.lit(1).cast("bigint")), decoder_length, 0).alias("loss_mask"),
-            (F.size("tokens") > target).cast("int").alias("truncated"),
-            _padded(ones(s["enc"], cfg.pad), cfg.length, 0).alias("enc_mask"),
-            _padded(ones(dec, cfg.pad), decoder_length, 0).alias("dec_mask"),
-        )
-
-    cut = F.slice(F.col("tokens"), 1, F.greatest(target, F.lit(0)))
-    return _once(df, bind(mask_ngrams(cut, target, idx, always), corrupted))
+    always, marks = replace(cfg, always_mask=True, permute=False), np.array(sentinels, np.int64)
+
+    def corrupted(lines: _Lines, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which cells the encoder keeps, all cells with the sentinels), then (row, value) of what the decoder is told, in order."""
+        line, begin, end = lines.ranges(spans)
+        n = np.bincount(line, minlength=len(lines.sizes))
+        if (n > len(marks)).any():
+            raise ValueError("more masked spans than sentinel tokens")
+        name = marks[np.arange(len(line)) - (np.cumsum(n) - n)[line]]
+        first, last = lines.at[lines.begun[line] + begin], lines.at[lines.begun[line] + end - 1]
+        # the first position of an n-gram holds its sentinel, those behind it up to its last are left out
+        values, depth = lines.tokens.copy(), np.zeros((len(n), lines.tokens.shape[1] + 2), np.int8)
+        values[line, first] = name
+        np.add.at(depth, (line, first + 1), 1)
+        np.add.at(depth, (line, last + 1), -1)
+        kept = (np.cumsum(depth, axis=1)[:, :-2] == 0) & (np.arange(values.shape[1]) < lines.sizes[:, None])
+        # a sentinel before the tokens of each n-gram
+        sizes = end - begin
+        told_row = np.repeat(line, sizes + 1)
+        head = np.cumsum(sizes + 1) - sizes - 1
+        place = np.arange(len(told_row)) - np.repeat(head, sizes + 1) - 1 + np.repeat(lines.begun[line] + begin, sizes + 1)
+        told = lines.tokens[told_row, lines.at[np.maximum(place, 0)]]
+        told[head] = name
+        return kept, values, told_row, told
+
+    @F.arrow_udf(f"struct<{SPANS}>")
+    def run(idx: pa.Array, tokens: pa.Array, target: pa.Array) -> pa.Array:
+        ends, flat = _lists(tokens)
+        (values, blank), whole, names, aims = _numbers(flat), np.diff(ends), idx.to_pylist(), _targets(target)
+        cut = np.minimum(whole, np.maximum(np.where(np.isinf(aims), 0, aims), 0)).astype(np.int64)
+        absent, open_end = tokens.is_null().to_numpy(zero_copy_only=False), np.isinf(aims)
+
+        def block(b: slice) -> pa.StructArray:
+            sizes, rows = cut[b], len(cut[b])
+            cells, gone = _token_lines(ends[:-1][b], sizes, values, blank)
+            lines = _Lines(cells, sizes, gone, names[b], aims[b], always)
+            kept, enc, told_row, told = corrupted(lines, lines.pick("mask", None, always.geometric)[0])
+            enc_row = np.nonzero(kept)[0]
+            enc, n_enc = _in_lines(enc_row, enc[kept], rows)
+            nulls = None
+            if gone is not None:
+                nulls = _padded(_in_lines(enc_row, gone[kept], rows)[0], n_enc, cfg.length, 0).astype(bool).reshape(-1)
+            told, n_told = _in_lines(told_row, told, rows)
+            dec = np.concatenate((np.full((rows, 1), bos), told), axis=1)
+            labels = np.concatenate((told, np.zeros((rows, 1), np.int64)), axis=1)
+            labels[np.arange(rows), n_told] = eos
+            full = lambda values, n, length, fill, *nulls: _ragged(np.full(rows, length), _padded(values, n, length, fill).reshape(-1), *nulls)
+            return pa.StructArray.from_arrays(
+                [
+                    full(_zeroed(enc, cfg.pad), n_enc, cfg.length, 0, nulls, absent[b]),
+                    full(_zeroed(dec, cfg.pad), n_told + 1, decoder_length, 0),
+                    full(_zeroed(labels, cfg.pad), n_told + 1, decoder_length, 0 if cfg.pad == -1 else -1),
+                    full(np.ones_like(dec), n_told + 1, decoder_length, 0),
+                    pa.array(whole[b] > sizes, pa.int32(), mask=absent[b] | open_end[b]),
+                    full(enc != cfg.pad, n_enc, cfg.length, 0, nulls, absent[b]),
+                    full(dec != cfg.pad, n_told + 1, decoder_length, 0),
+                ],
+                ["text_enc", "text_dec", "labels", "loss_mask", "truncated", "enc_mask", "dec_mask"],
+            )
+
+        return _in_blocks(cut, SPANS, block)
+
+    return _once(df, run(F.col("idx").cast("string"), F.col("tokens"), F.col("target").cast("int")))
 
 
 # ---- fill in the middle --------------------------------------------------------------------
