@@ -93,7 +93,7 @@ def test_draws_of_a_batch_equal_the_single_ones():
     assert D.plain_draws([], np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (4, 0)
 
 
-@pytest.mark.parametrize("changes", [{"geometric": True, "permute": True, "classify": False}])
+@pytest.mark.parametrize("changes", [{"geometric": True, "permute": True, "classify": False}, {}])
 def test_masking_goes_by_batches(spark, changes):
     """One batch function and no draw as an expression: an md5 for each word in an interpreted lambda took nine tenths of the time."""
     pairs = spark.createDataFrame([(1, [[5], [6]], 8)], "idx bigint, sentences array<array<int>>, target int")
@@ -228,6 +228,22 @@ def test_pairs_need_two_sentences_and_room(spark):
             M.bert_samples(spark.createDataFrame(rows, schema), CFG).collect()
 
 
+def test_pairs_with_missing_sentences_or_keys(spark):
+    """A sample without its first part has no text; without its second it is the first alone; without a target it is whole."""
+    made = [(None, [[1, 2], [3]], 8), (2, None, 8), (3, [[1] * 20, None], 8), (4, [[1] * 9, [2] * 9], None), (5, [[1, None, 3], [4, 5]], 9), (6, [[], []], 5)]
+    df = spark.createDataFrame(made, "idx bigint, sentences array<array<int>>, target int")
+    out = {r["idx"]: r.asDict() for r in M.bert_samples(df, CFG).collect()}
+    arrays = ("text", "types", "labels", "padding_mask", "loss_mask")
+    assert len(out[None]["text"]) == 64 and out[None]["truncated"] == 0
+    assert all(out[2][name] is None for name in arrays) and out[2]["is_random"] in (0, 1)
+    swapped = int(number(draws(CFG.seed, "pair", 3), 1) % 2 == 0)
+    assert out[3]["is_random"] == swapped and out[3]["truncated"] == 0
+    assert out[3]["text"] is None if swapped else out[3]["text"].count(0) == 64 - 22
+    assert out[4] == pair_by_hand([[1] * 9, [2] * 9], 10**6, 4, CFG)
+    assert out[5]["text"].count(None) == 1 and out[5]["loss_mask"][out[5]["text"].index(None)] == 0
+    assert out[6] == pair_by_hand([[], []], 5, 6, CFG)
+
+
 def test_replacement_shares(spark):
     df = spark.range(400).select(F.col("id").alias("idx"), F.expr("transform(sequence(0, 49), i -> cast(i as int))").alias("t"))
     out = df.select(F.explode(M.mask_ngrams(F.col("t"), F.lit(60), F.col("idx"), CFG)["changes"]).alias("c")).select("c.*")
