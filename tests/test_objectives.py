@@ -93,7 +93,7 @@ def test_draws_of_a_batch_equal_the_single_ones():
     assert D.plain_draws([], np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (4, 0)
 
 
-@pytest.mark.parametrize("changes", [{"geometric": True, "permute": True, "classify": False}, {}])
+@pytest.mark.parametrize("changes", [{"geometric": True, "permute": True, "classify": False}, {}, {"classify": False}])
 def test_masking_goes_by_batches(spark, changes):
     """One batch function and no draw as an expression: an md5 for each word in an interpreted lambda took nine tenths of the time."""
     pairs = spark.createDataFrame([(1, [[5], [6]], 8)], "idx bigint, sentences array<array<int>>, target int")
