@@ -277,6 +277,26 @@ def test_spans_equal_the_walk_and_merge_back(spark):
         M.span_corrupt(df, CFG, [300], 290, 291, 64).collect()
 
 
+def test_spans_go_by_batches_and_take_odd_rows(spark):
+    """Special tokens inside an n-gram go with it, an empty or missing sample has no spans, a missing target leaves nothing."""
+    cfg, sentinels = replace(CFG, probability=0.5), list(range(300, 340))
+    made = [(i, [1, 200, 2, 201, 3, 200, 4, 201, 5, 6, 200] * 3, 30) for i in range(20)] + [(30, [], 5), (31, None, 5), (32, [1, 2], None), (None, [1, 2, 3], 9), (33, [7] * 9, 0)]
+    df = spark.createDataFrame(made, "idx bigint, tokens array<int>, target int")
+    made_of = M.span_corrupt(df, cfg, sentinels, 290, 291, 64)
+    plan = made_of.select("idx", "labels")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "md5" not in plan and "lambda" not in plan
+    out = {r["idx"]: r.asDict() for r in made_of.collect()}
+    for i, tokens, target in made:
+        if i is None or tokens is None or target is None:
+            continue
+        enc, dec, labels = spans_by_hand(tokens, target, i, cfg, sentinels, 290, 291)
+        assert out[i]["text_enc"] == enc + [0] * (64 - len(enc)) and out[i]["text_dec"] == dec + [0] * (64 - len(dec))
+        assert out[i]["labels"] == labels + [0] * (64 - len(labels)) and out[i]["truncated"] == int(len(tokens) > target)
+    assert out[31]["text_enc"] is None and out[31]["truncated"] is None and out[31]["text_dec"][:2] == [290, 0]
+    assert out[32]["text_enc"] == [0] * 64 and out[32]["truncated"] is None
+    assert len(out[None]["text_enc"]) == 64
+
+
 def infill_rows(n=80, seed=6):
     rng = random.Random(seed)
     pieces = ["alpha", "/", " ", "é", "日本", "🙂", "keep ", "\n", "\u3000"]
