@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import tokens as T
 from weft.operators import batches as B
 from weft.operators import hooks as K
 from weft.operators import packing as P
@@ -210,3 +211,59 @@ def test_bins_of_sequences_without_masks(spark):
     whole, bare = (P.assemble_bins(bins, d, 4, 0).orderBy("bin_id") for d in (df, df.drop("generation_mask")))
     assert bare.collect() == whole.drop("loss_mask").collect()
     assert [r["tokens"] for r in bare.collect()] == [[1, 2, 3, 0], [0, 0, 0, 0]]
+
+
+def test_lists_as_bytes_and_back():
+    cases = [
+        (pa.int32(), [[1, 255], [], None, [0]]), (pa.int32(), [[1, 256], [], None]), (pa.int64(), [[-1, 5], [2**40]]), (pa.int32(), [[70000, -3], None]),
+        (pa.bool_(), [[True, False], [], None]), (pa.int32(), [[1, None], [], [5]]), (pa.int32(), []), (pa.int32(), [None, None]), (pa.int8(), [[-128, 127]]),
+    ]
+    for kind, rows in cases:
+        lists = pa.array(rows, pa.list_(kind))
+        narrow = T.narrow_lists(lists)
+        assert T.wide_lists(narrow, kind).to_pylist() == rows
+        assert T.wide_lists(narrow[1:], kind).to_pylist() == T.wide_lists(T.narrow_lists(lists[1:]), kind).to_pylist() == rows[1:]
+    parts = [[[1, 255], None, []], [[300]], [[None, 3], [7]], [[-1]]]
+    mixed = pa.concat_arrays([T.narrow_lists(pa.array(rows, pa.list_(pa.int32()))) for rows in parts])
+    assert T.wide_lists(mixed, pa.int32()).to_pylist() == sum(parts, [])
+    assert T.narrow_lists(pa.array([[7] * 100], pa.list_(pa.int32()))).field("data").nbytes < 120
+
+
+def moved(df):
+    """The types of the columns that the joins of a plan put together."""
+    found, left = set(), [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            found |= {c.output().apply(i).dataType().catalogString() for c in children for i in range(c.output().size())}
+        left += children
+    return found
+
+
+def test_tokens_move_as_bytes_and_not_for_their_numbers(spark):
+    """Bins, their parts and the numbers of these, with sequences that come twice; tokens were moved as arrays, twice over."""
+    rng = random.Random(8)
+    bins = [(b, s, rng.randrange(30)) for b in range(12) for s in range(rng.randint(0, 5))]
+    seqs = [(i, None if i == 7 else [rng.choice([1, 255, 256, -4]) for _ in range(rng.choice([0, 1, 3]))]) for i in range(30) for _ in range(1 + i % 3)]
+    placed = spark.createDataFrame(bins, "bin_id bigint, slot int, seq_id bigint").repartition(3)
+    df = spark.createDataFrame(seqs, "seq_id bigint, tokens array<int>").repartition(2)
+    rows = P.assemble_bins(placed, df, 16, 0)
+    assert "array<int>" not in moved(rows)
+    want = {}
+    for b, s, i in bins:
+        want.setdefault(b, []).extend((s, i, t is not None, t or []) for k, t in seqs if k == i)
+    got = {r["bin_id"]: r for r in rows.collect()}
+    assert set(got) == set(want)
+    for b, members in want.items():
+        members.sort()
+        assert got[b]["seq_ids"] == [m[1] for m in members]
+        if all(m[2] for m in members):
+            flat = sum((m[3] for m in members), [])
+            assert got[b]["tokens"] == flat + [0] * (16 - len(flat)) and got[b]["lengths"] == [len(m[3]) for m in members]
+    of = (F.expr("bin_id % 3").alias("rank"), F.expr("bin_id div 3").alias("row"), P.cumulative(F.col("lengths")).alias("cu_seqlens"))
+    packed, sizes = rows.select(*of, "tokens"), P.bin_lengths(placed, df).select(*of)
+    assert moved(sizes) <= {"bigint", "int"}
+    out = B.unpack(packed, sizes)
+    assert "array<int>" not in moved(out)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, B.unpack(packed).collect())) != []

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, IntegralType
 
 BYTE_VOCAB = 256
 
@@ -53,6 +54,74 @@ def byte_encode_parts(parts: str | Column) -> Column:
     return _utf8_parts(F.col(parts) if isinstance(parts, str) else parts)
 
 
+#: Whole numbers of a list in as few bytes each as a batch allows; a negative width stands for lists with nulls inside.
+NARROW = "struct<width:tinyint,data:binary>"
+WIDTHS = {1: "<u1", 2: "<u2", 4: "<i4", 8: "<i8"}
+
+
+def narrow_lists(lists: pa.Array) -> pa.StructArray:
+    """Lists of whole numbers or truth values as bytes; a token id below 256 takes one byte and not four."""
+    ends, flat = np.asarray(lists.offsets, np.int64), lists.flatten().cast(pa.int64())
+    ends = ends - ends[0]
+    if flat.null_count:
+        known = np.asarray(flat.is_valid().to_numpy(zero_copy_only=False), "u1")
+        values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+        data = pa.array([known[a:b].tobytes() + values[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        width = -8
+    else:
+        values = flat.to_numpy(zero_copy_only=False)
+        low, high = int(values.min(initial=0)), int(values.max(initial=0))
+        width = 8 if low < -(1 << 31) or high >= 1 << 31 else 4 if low < 0 or high >= 1 << 16 else 2 if high >= 1 << 8 else 1
+        raw = pa.py_buffer(values.astype(WIDTHS[width]))
+        data = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((ends * width).astype(np.int32)), raw])
+    widths = pa.array(np.full(len(lists), width, np.int8))
+    return pa.StructArray.from_arrays([widths, data], ["width", "data"], mask=lists.is_null() if lists.null_count else None)
+
+
+def wide_lists(narrow: pa.StructArray, element: pa.DataType) -> pa.ListArray:
+    """The lists that :func:`narrow_lists` took."""
+    widths = narrow.field("width").fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = narrow.field("data").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) and raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+    counts = np.diff(ends) // np.where(widths < 0, 9, widths)
+    if len(np.unique(widths)) == 1 and widths[0] > 0:
+        flat = pa.array(data[ends[0] : ends[-1]].view(WIDTHS[int(widths[0])]).astype(np.int64))
+    else:
+        values, known = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for a, b, n, width in zip(ends.tolist(), ends[1:].tolist(), counts.tolist(), widths.tolist()):
+            values.append(data[a + n * (width < 0) : b].copy().view(WIDTHS[abs(width)]).astype(np.int64))
+            known.append(data[a : a + n].astype(bool) if width < 0 else np.ones(n, bool))
+        flat = pa.array(np.concatenate(values), mask=~np.concatenate(known))
+    starts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    return pa.ListArray.from_arrays(starts, flat.cast(element), mask=narrow.is_null() if narrow.null_count else None)
+
+
+def can_narrow(kind: DataType) -> bool:
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, (IntegralType, BooleanType))
+
+
+def narrowed(lists: str | Column) -> Column:
+    """An array of whole numbers or truth values as bytes, for a shuffle."""
+
+    @F.arrow_udf(NARROW)
+    def run(lists: pa.Array) -> pa.Array:
+        return narrow_lists(lists)
+
+    return run(lists)
+
+
+def widened(narrow: str | Column, kind: ArrayType) -> Column:
+    """The array that :func:`narrowed` took, of the type that it had."""
+    element = to_arrow_type(kind.elementType)
+
+    @F.arrow_udf(kind)
+    def run(narrow: pa.Array) -> pa.Array:
+        return wide_lists(narrow, element)
+
+    return run(narrow)
+
+
 def byte_values(text: str | Column) -> Column:
     """The same as an expression that also works inside a lambda; Latin-1 maps every byte to one
     character."""

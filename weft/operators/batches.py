@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.ordering import hashed_running, order_key, ranged_running
+from weft.functions.tokens import can_narrow, narrowed, widened
 
 # Suffixes of batch-size schedules.
 UNITS = {"K": 10**3, "M": 10**6, "B": 10**9, "T": 10**12}
@@ -137,9 +138,12 @@ def partition_of(n: int, k: int, mode: str = "ceil", ordinal: str = "i") -> Colu
     return F.when(part < k, part)
 
 
-def unpack(df: DataFrame) -> DataFrame:
+def unpack(df: DataFrame, numbering: DataFrame | None = None) -> DataFrame:
     """(global_id, rank, row, slot, tokens) from packed (rank, row, tokens, cu_seqlens); parts of
-    no length are skipped, ids run over ranks in order."""
+    no length are skipped, ids run over ranks in order.
+
+    ``numbering`` are the same rows without tokens, where they come without moving any; the ids are taken from them.
+    """
     cu = F.col("cu_seqlens")
     spans = F.transform(
         F.sequence(F.lit(1), F.size(cu) - 1),
@@ -151,7 +155,7 @@ def unpack(df: DataFrame) -> DataFrame:
     )
     spans = F.filter(spans, lambda s: s["n"] > 0)
     numbered = ranged_running(
-        df.select("rank", "row", F.explode(F.transform(spans, lambda s: s["slot"])).alias("slot")),
+        (df if numbering is None else numbering).select("rank", "row", F.explode(F.transform(spans, lambda s: s["slot"])).alias("slot")),
         ["rank", "row", "slot"],
         out="global_id",
     )
@@ -168,7 +172,11 @@ def unpack(df: DataFrame) -> DataFrame:
             )
         ).alias("__s"),
     ).select("rank", "row", "__s.*")
-    return numbered.join(cut, ["rank", "row", "slot"])
+    kind = df.schema["tokens"].dataType
+    if not can_narrow(kind):
+        return numbered.join(cut, ["rank", "row", "slot"])
+    out = numbered.join(cut.withColumn("tokens", narrowed("tokens")), ["rank", "row", "slot"])
+    return out.withColumn("tokens", widened("tokens", kind))
 
 
 def pad_batch(

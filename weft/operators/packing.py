@@ -8,10 +8,16 @@ length).  Members, order and bins equal the sequential walk; no task holds a gro
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from weft.functions.ordering import ranged_running
+from weft.functions.tokens import can_narrow, narrowed, wide_lists
 
 # piece of a plan: sequences of ``length`` ranked [first, last) go ``per_bin`` to a bin, from
 # ``bin_id`` on, at ``slot`` and token ``start`` of each bin
@@ -173,23 +179,73 @@ def pack_prefix(df: DataFrame, capacity: int) -> DataFrame:
     )
 
 
+def bin_lengths(bins: DataFrame, df: DataFrame) -> DataFrame:
+    """(bin_id, lengths) of the bins of :func:`assemble_bins`, without moving a token.
+
+    Sequences of one ``seq_id`` and slot come here by length, there by their tokens; the empty ones are first in both.
+    """
+    sized = df.select("seq_id", F.size("tokens").alias("__n"))
+    grouped = bins.select("bin_id", "slot", "seq_id").join(sized, "seq_id").groupBy("bin_id").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "seq_id", "__n"))).alias("__m")
+    )
+    return grouped.select("bin_id", F.transform("__m", lambda m: m["__n"]).alias("lengths"))
+
+
+def _ordered(of: np.ndarray, members: pa.StructArray) -> pa.StructArray:
+    """Members that lie by bin, slot and sequence; those alike in all three by their arrays, a missing one and a null first."""
+    same = lambda name: pc.equal(members.field(name)[1:], members.field(name)[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    tied = (of[1:] == of[:-1]) & same("slot") & same("seq_id") if len(of) > 1 else np.zeros(0, bool)
+    if not tied.any():
+        return members
+    order, first = np.arange(len(of)), 0
+    key = lambda value: (value is not None, [(x is not None, x or 0) for x in value or []])
+    for last in np.flatnonzero(~np.append(tied, False)).tolist():
+        if last > first:
+            rows = members[first : last + 1].to_pylist()
+            order[first : last + 1] = first + np.array(
+                sorted(range(len(rows)), key=lambda i: [key(v) for k, v in rows[i].items() if k not in ("slot", "seq_id")])
+            )
+        first = last + 1
+    return members.take(pa.array(order))
+
+
+def _members(lists: Column, kind: ArrayType, narrow: list[str]) -> Column:
+    """The members of bins with their arrays as they were before :func:`narrowed`."""
+
+    @F.arrow_udf(kind)
+    def run(lists: pa.Array) -> pa.Array:
+        ends, inner = np.asarray(lists.offsets, np.int64), lists.flatten()
+        fields = []
+        for f in kind.elementType.fields:
+            field = inner.field(f.name)
+            fields.append(wide_lists(field, to_arrow_type(f.dataType.elementType)) if f.name in narrow else field)
+        members = pa.StructArray.from_arrays(fields, names=kind.elementType.names)
+        of = np.repeat(np.arange(len(lists)), np.diff(ends))
+        return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), _ordered(of, members))
+
+    return run(lists)
+
+
 def assemble_bins(
     bins: DataFrame, df: DataFrame, bin_size: int, pad: int
 ) -> DataFrame:
     """Packed rows from (seq_id, tokens, generation_mask): tokens, positions, loss mask, starts.
 
     Groups hold at most one bin of tokens.  Sequences that come without a ``generation_mask`` give rows without a loss
-    mask; what a caller has no use for is then not moved twice with the tokens.
+    mask; what a caller has no use for is then not moved twice with the tokens.  Tokens and masks are moved in as few bytes as
+    they need.
     """
     masked = ["generation_mask"] * ("generation_mask" in df.columns)
-    joined = bins.select("bin_id", "slot", "seq_id").join(
-        df.select("seq_id", "tokens", *masked), "seq_id"
-    )
+    arrays = ["tokens", *masked]
+    narrow = [c for c in arrays if can_narrow(df.schema[c].dataType)]
+    moved = [narrowed(c).alias(c) if c in narrow else F.col(c) for c in arrays]
+    joined = bins.select("bin_id", "slot", "seq_id").join(df.select("seq_id", *moved), "seq_id")
+    fields = [joined.schema[c] for c in ("slot", "seq_id")] + [df.schema[c] for c in arrays]
+    kind = ArrayType(StructType(fields))
     grouped = joined.groupBy("bin_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("slot", "seq_id", "tokens", *masked))
-        ).alias("__m")
+        F.sort_array(F.collect_list(F.struct("slot", "seq_id", *arrays))).alias("__m")
     )
+    grouped = grouped.select("bin_id", _members(F.col("__m"), kind, narrow).alias("__m"))
 
     def part(name):
         return F.transform("__m", lambda m: m[name])

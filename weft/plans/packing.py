@@ -332,14 +332,14 @@ def partition(t):
 )
 def unpack(t):
     placed = P.pack_nfd(fitting(t), BIN, MAX_SEQS)
-    rows = P.assemble_bins(placed, token_rows(t).drop("generation_mask"), BIN, 0)
-    packed = rows.select(
+    tokens = token_rows(t).drop("generation_mask")
+    starts = (
         F.expr("bin_id % 4").alias("rank"),
         F.expr("bin_id div 4").alias("row"),
-        "tokens",
         P.cumulative(F.col("lengths")).alias("cu_seqlens"),
     )
-    out = B.unpack(packed)
+    packed = P.assemble_bins(placed, tokens, BIN, 0).select(*starts, "tokens")
+    out = B.unpack(packed, P.bin_lengths(placed, tokens).select(*starts))
     return out.select("global_id", "rank", "row", digest("tokens").alias("tokens"))
 
 
