@@ -199,6 +199,24 @@ def test_lines_of_a_batch_are_cut_in_blocks(monkeypatch):
     assert order._order("mask", np.ones((1, 3), bool), np.arange(3), drawn)[0].tolist() == want
 
 
+def test_sentences_are_dealt_as_texts(spark):
+    """Runs are dealt to the tasks as texts and turned to tokens there: tokens were shuffled as arrays, four bytes for one."""
+    from weft.plans import objectives as O
+
+    class Tables:
+        documents = spark.createDataFrame([(1, "one. two. three."), (2, None), (None, "a. b."), (3, "x")], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+
+    rows = O.run_rows(Tables)
+    left, dealt = [rows._jdf.queryExecution().optimizedPlan()], []
+    while left:
+        node = left.pop()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if "Repartition" in node.nodeName():
+            dealt += [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+    assert "array<string>" in dealt and "array<array<int>>" not in dealt
+    assert sorted(r["sentences"] for r in rows.collect()) == [[list(b"one."), list(b"two."), list(b"three.")]]
+
+
 def sentences_at_random(n, seed, top=100):
     rng = random.Random(seed)
     return [[[rng.randrange(top) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(2, 7))] for _ in range(n)]

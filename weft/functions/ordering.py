@@ -44,6 +44,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def by_rows(df: DataFrame, key: str = "idx") -> DataFrame:
+    """Rows that cost more time than bytes, dealt by ``key``: there is a task for each shuffle partition, which a coalescing by
+    bytes would fold together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def hashed_running(
     df: DataFrame,
     key: str,

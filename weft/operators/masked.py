@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from weft.functions.draws import below, bind, draw, number, plain_draw, plain_draws, plain_number, steps, upto
+from weft.functions.ordering import by_rows
 
 GEOMETRIC = 0.2  # fixed value of the published span masking
 #: Shares of masked positions that become the mask token, and that become it or another token; fixed values.
@@ -286,13 +287,8 @@ def mask_ngrams(tokens: Column, target: Column, idx: Column, cfg: MaskConfig) ->
 
 
 def _once(df: DataFrame, value: Column) -> DataFrame:
-    """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression.
-
-    Rows cost more time than bytes here: there is a task for each shuffle partition, which a coalescing by bytes would fold
-    together.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, "idx").select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
+    """``idx`` and the fields of a struct; a row generator keeps the optimiser from repeating its expression."""
+    return df.select("idx", F.explode(F.array(value)).alias("__r")).select("idx", "__r.*")
 
 
 def _padded(values: np.ndarray, sizes: np.ndarray, length: int, fill: int) -> np.ndarray:
@@ -650,7 +646,7 @@ def fim_bytes(df: DataFrame, cfg: InfillConfig) -> DataFrame:
         fit = lambda out: F.slice(F.concat(out, F.array_repeat(F.lit(cfg.pad), F.greatest(n - F.size(out), F.lit(0)))), 1, n)
         return F.struct(bind(_rejoined(t, cfg.eod, segment), fit).alias("tokens"))
 
-    return _once(df, bind(F.col("tokens").cast("array<int>"), sized))
+    return _once(by_rows(df), bind(F.col("tokens").cast("array<int>"), sized))
 
 
 def infill_segment(tokens: list[int], rate: float, cfg: InfillConfig, tok, keys: tuple) -> list[int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.functions.ordering import by_rows
 from weft.functions.text import split_sentences
 from weft.functions.tokens import byte_encode, byte_encode_parts
 from weft.operators import chat as H
@@ -63,7 +64,7 @@ def title_blocks(t):
 def run_rows(t):
     """Sentence runs with the tokens of their sentences."""
     runs = R.sentence_runs(sentence_lengths(t), MAXLEN, RATIO, 2, seed=SEED)
-    texts = R.run_sentences(runs, t.documents.select("doc_id", split_sentences("text").alias("s")), "s")
+    texts = by_rows(R.run_sentences(runs, t.documents.select("doc_id", split_sentences("text").alias("s")), "s"))
     return texts.select("idx", byte_encode_parts("sentences").alias("sentences"), "target")
 
 
